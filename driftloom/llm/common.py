@@ -36,3 +36,35 @@ def partitions(spark: SparkSession) -> int:
 
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+def document_key() -> list[Column]:
+    """Two columns that name a row of documents by its id and its text; rows equal in both are one document."""
+    tag = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    return [F.xxhash64(tag, "text").alias("_k1"), F.hash("text", tag).alias("_k2")]
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of the links ``a``, ``b`` (longs): ``node``, ``root`` (its smallest node).
+
+    Alternating large-star and small-star steps: every node hands its larger neighbours to its
+    smallest one, then its smaller ones, until each node points at its root. A hub's rows meet only
+    in joins and in minima that are taken before the shuffle, so no group is gathered in one task.
+    Nodes without links are not returned; an empty table gives an empty result.
+    """
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    state = checkpoint(pairs.distinct())
+    seen = None
+    while True:
+        mark = tuple(state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+        if mark == seen:
+            return state.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node").unionByName(
+                state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            )
+        seen = mark
+        both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        state = checkpoint(small.unionByName(lowest.withColumnRenamed("m", "b")).distinct())
