@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from driftloom.llm import mixing, simhash
+from driftloom.llm import chunking, mixing, packing, quality, sharding, simhash, topk
 
 QUERIES = {
+    "op2_packed_sequences": packing.op2_packed_sequences,
+    "op5_exact_top_k": topk.op5_exact_top_k,
+    "op6_quality_scores": quality.op6_quality_scores,
+    "op7_balanced_shards": sharding.op7_balanced_shards,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_simhash_components": simhash.op9_simhash_components,
+    "op10_chunk_fingerprints": chunking.op10_chunk_fingerprints,
+}
+ORACLES = {
+    "op5_exact_top_k": topk.ORACLE,
+    "op8_mix_sources": mixing.ORACLE,
 }
-ORACLES = {"op8_mix_sources": mixing.ORACLE}
