@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from driftloom.llm import chunking, mixing, packing, quality, sharding, simhash, topk
+from driftloom.llm import chunking, licenses, lines, mixing, packing, quality, sharding, simhash, tokens, topk
 
 QUERIES = {
+    "op1_edited_token_counts": tokens.op1_edited_token_counts,
     "op2_packed_sequences": packing.op2_packed_sequences,
+    "op3_line_dedup": lines.op3_line_dedup,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_exact_top_k": topk.op5_exact_top_k,
     "op6_quality_scores": quality.op6_quality_scores,
     "op7_balanced_shards": sharding.op7_balanced_shards,
@@ -14,6 +17,8 @@ QUERIES = {
     "op10_chunk_fingerprints": chunking.op10_chunk_fingerprints,
 }
 ORACLES = {
+    "op3_line_dedup": lines.ORACLE,
+    "op4_license_scan": licenses.ORACLE,
     "op5_exact_top_k": topk.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
 }

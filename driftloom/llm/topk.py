@@ -173,9 +173,9 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-with v as (select vec_id, list_transform(embedding, x -> floor(1024 * x::double)) as v from embeddings
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
     where vec_id is not null and embedding is not null
-      and len(list_filter(embedding, x -> x is null or not isfinite(x::double))) = 0),
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
 s as (select q.vec_id as query_id, c.vec_id as vec_id, list_dot_product(q.v, c.v)::bigint as score
     from v q join v c on c.vec_id <> q.vec_id and len(c.v) = len(q.v) where q.vec_id % 100 = 0)
 select query_id, rank::int as rank, vec_id, score from
