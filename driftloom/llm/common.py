@@ -15,21 +15,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it, or None."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's shared checkpoint folder, its lineage cut.
 
-    The folder is the one that ``spark.checkpoint.dir`` names. Only a session without one
-    (a test on one machine) gets a temporary folder.
+    Only a session for which no folder is set (a test on one machine) gets a temporary one.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftloom-")
-        )
+        context.setCheckpointDir(shared_folder(df.sparkSession) or tempfile.mkdtemp(prefix="driftloom-"))
     return df.checkpoint(eager=True)
 
 
+def boxed(docs: DataFrame, *more: Column) -> DataFrame:
+    """All columns of ``docs`` in one, ``_row``, whatever their names, and ``more`` beside it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *more)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

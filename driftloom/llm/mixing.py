@@ -15,11 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import WORD, checkpoint, table
+from driftloom.llm.common import WORD, boxed, checkpoint, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -28,19 +28,22 @@ ROUNDS = 6
 #: The source table is broadcast up to this many sources (some 50 bytes each), else joined.
 BROADCAST_SOURCES = 20_000
 HASH_BITS, STEP = 60, 12
+IS_TAKEN = "exists(_taken, x -> size <= x.g and _h <= x.t)"
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, ``_k`` (sorts as the source by code point, null last), ``_h``."""
-    return docs.select(
-        "doc_id",
-        "source",
+def _sizes() -> list[Column]:
+    """size, ``_k`` (sorts as the source by code point, null last), ``_h``."""
+    return [
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~")).alias("_k"),
         F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 15), 16, 10)
         .cast("long")
         .alias("_h"),
-    )
+    ]
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", *_sizes())
 
 
 def targets(docs: DataFrame, weights: Sequence[int], share: float, max_repeat: int) -> DataFrame:
@@ -111,29 +114,16 @@ def _threshold(eligible: DataFrame, gap: DataFrame, small: bool) -> DataFrame:
     return done.unionByName(last).groupBy("_k").agg(F.max("_thr").alias("_thr"), F.max("_words").alias("_words"))
 
 
-def mix(
-    docs: DataFrame,
-    weights: Sequence[int] = WEIGHTS,
-    share: float = SHARE,
-    max_repeat: int = MAX_REPEAT,
-    rounds: int = ROUNDS,
-) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken (= copies * size) of every row.
-
-    Null texts and texts without words have size 0 and are taken 0 times; a null source is one
-    source, the last; rows with one doc_id share a hash and stand or fall together; an empty table
-    gives an empty result; columns beyond doc_id, text and source are not looked at. Reruns agree:
-    nothing but ids, sources and sizes decides.
-    """
-    rows = checkpoint(sized(docs))
-    state = checkpoint(targets(rows, weights, share, max_repeat).withColumn("_taken", F.expr("cast(array() as array<struct<g:bigint,t:bigint>>)")))
+def plan(rows: DataFrame, weights: Sequence[int], share: float, max_repeat: int, rounds: int) -> tuple[DataFrame, bool]:
+    """Each source's passes and thresholds for the ``sized`` rows, and whether they are few enough to broadcast."""
+    none = F.expr("cast(array() as array<struct<g:bigint,t:bigint>>)")
+    state = checkpoint(targets(rows, weights, share, max_repeat).withColumn("_taken", none))
     small = state.count() <= BROADCAST_SOURCES
     hint = F.broadcast if small else (lambda df: df)
-    is_taken = "exists(_taken, x -> size <= x.g and _h <= x.t)"
     for _ in range(rounds):
         eligible = (
             rows.where("size > 0").join(hint(state.select("_k", "_gap", "_taken")), "_k")
-            .where(f"size <= _gap and not {is_taken}").select("_k", "size", "_h")
+            .where(f"size <= _gap and not {IS_TAKEN}").select("_k", "size", "_h")
         )
         found = _threshold(eligible, state.select("_k", "_gap"), small)
         state = checkpoint(
@@ -145,15 +135,48 @@ def mix(
                 .alias("_taken"),
             )
         )
-    extra = F.expr(f"cast({is_taken} as bigint)")
-    copies = F.when(F.col("size") > 0, F.col("_passes") + extra).otherwise(0)
-    return (
-        rows.join(hint(state), "_k")
-        .withColumn("copies", copies.cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return state, small
+
+
+def _copies(rows: DataFrame, state: DataFrame, small: bool) -> DataFrame:
+    copies = F.when(F.col("size") > 0, F.col("_passes") + F.expr(f"cast({IS_TAKEN} as bigint)")).otherwise(0)
+    return rows.join(F.broadcast(state) if small else state, "_k").withColumn("copies", copies.cast("long"))
+
+
+def mix(
+    docs: DataFrame,
+    weights: Sequence[int] = WEIGHTS,
+    share: float = SHARE,
+    max_repeat: int = MAX_REPEAT,
+    rounds: int = ROUNDS,
+) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken (= copies * size) of every row.
+
+    Null texts and texts without words have size 0 and are taken 0 times; a null source is one
+    source, the last; rows with one doc_id share a hash and stand or fall together; an empty table
+    gives an empty result; columns beyond doc_id, text and source are not looked at. Reruns agree:
+    nothing but ids, sources and sizes decides.
+    """
+    rows = checkpoint(sized(docs))
+    found = _copies(rows, *plan(rows, weights, share, max_repeat, rounds))
+    return found.select(
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
+def mixed(
+    docs: DataFrame,
+    weights: Sequence[int] = WEIGHTS,
+    share: float = SHARE,
+    max_repeat: int = MAX_REPEAT,
+    rounds: int = ROUNDS,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as ``mix`` takes it."""
+    state, small = plan(checkpoint(sized(docs)), weights, share, max_repeat, rounds)
+    found = _copies(boxed(docs, *_sizes()), state, small).where("copies > 0")
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ``documents`` table mixed to the weights 5, 2, 1 at 150 % of its words."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -12,15 +12,16 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import table
+from driftloom.llm.common import boxed, table
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 20_000
@@ -152,18 +153,21 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(x, np.array([r["quality"] for r in rows], np.float64))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with ``_score`` added; a null text is scored as an empty one."""
-    from pyspark.sql.functions import pandas_udf
+def score_of(model: Model) -> Callable[[Column], Column]:
+    """The scores of a text column; a null text is scored as an empty one."""
 
-    @pandas_udf("double")
-    def score(text):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        x = np.array([statistics(t or "") for t in text], np.float64).reshape(-1, len(STATISTICS))
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        x = np.array([statistics(t or "") for t in texts], np.float64).reshape(-1, len(STATISTICS))
         return pd.Series(model.scores(x))
 
-    return docs.withColumn("_score", score("text"))
+    return score
+
+
+def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
+    """The rows of ``docs``, all columns, that score ``keep`` or more; see ``quality_scores``."""
+    score = score_of(fitted(docs, labels, sample))
+    return boxed(docs, score(F.col("text")).alias("_score")).where(F.col("_score") >= keep).select("_row.*")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
@@ -174,11 +178,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, kee
     empty texts are scored like any other; repeated rows get equal scores; a null doc_id is not held
     out; an empty table gives an empty result; only doc_id and text are read.
     """
-    rows = scored(docs.select("doc_id", "text"), fitted(docs, labels, sample))
-    return rows.select(
-        "doc_id", held_out().alias("held_out"), F.col("_score").alias("score"),
-        (F.col("_score") >= keep).cast("int").alias("predicted"),
-    )
+    score = score_of(fitted(docs, labels, sample))
+    rows = docs.select("doc_id", held_out().alias("held_out"), score(F.col("text")).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= keep).cast("int"))
 
 
 def op6_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

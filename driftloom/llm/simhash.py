@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import checkpoint, components, table
+from driftloom.llm.common import boxed, checkpoint, components, table
 
 SHINGLE = 4
 SEED = 42
@@ -62,15 +63,17 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) of every row."""
+    """doc_id, h (a hash of the text), fp (the 64 bits as a long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(t.as_py(), size) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            kept = [batch.column("doc_id"), batch.column("h"), pa.array(values.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(kept, ["doc_id", "h", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, h long, fp long")
 
 
 def _nearest(x: np.ndarray) -> np.ndarray:
@@ -207,7 +210,7 @@ def near_links(fps: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id of every row of ``docs``.
+    """doc_id, h (a hash of the text), fp, root (a fingerprint), component_id of every row of ``docs``.
 
     Null and wordless texts have fingerprint 0 and are linked like any other; rows with one
     fingerprint are one node; a null doc_id is never the smallest, and a component without any
@@ -222,7 +225,25 @@ def near_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     )
     linked = checkpoint(linked)
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root")
-    return fps.join(named.select("fp", "component_id"), "fp")
+    return fps.join(named.select("fp", "root", "component_id"), "fp")
+
+
+def representatives(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs``, one of each near-duplicate component: that of the smallest doc_id.
+
+    Of rows that share this id the one whose text has the smallest hash stays, and of equal rows
+    one; a component without any id keeps a row in the same way.
+    """
+    found = near_components(docs, size).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = found.groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    best = kept.groupBy("root", "doc_id").agg(F.min("h").alias("h"), F.min_by("n", "h").alias("n"))
+    best = checkpoint(best.select(F.col("doc_id").alias("_id"), F.col("h").alias("_kept"), "n"))
+    rows = boxed(docs, F.xxhash64("text").alias("_h"), F.col("doc_id").alias("_own"))
+    rows = rows.join(best, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_kept")), "left_semi")
+    if best.where("n > 1").take(1):  # equal rows
+        first = F.row_number().over(W.partitionBy("_own", "_h").orderBy(F.lit(1)))
+        rows = rows.withColumn("_first", first).where("_first = 1")
+    return rows.select("_row.*")
 
 
 def hexed(fp: str = "fp") -> Column:
