@@ -1,14 +1,19 @@
 """SimHash near-duplicates by anchor-point covering.
 
-A document's fingerprint has 64 bits. Two fingerprints that differ in at most 4 bits differ, in the
-bits 0-23, 24-47 and 48-63, either in at most one bit of the first block, or in at most one of the
-second, or in none of the third (2 + 2 + 1 > 4). So it is enough to find pairs per block:
+Fingerprints are compared per block of bits. The anchors of a block are a covering code: a Hamming
+[15, 11] codeword on 15 bits (every value has one within 1 bit) and any value of its other bits. Two
+block values that differ in one bit share every anchor within covering radius of either, so it is
+enough that each fingerprint stands at its own anchor and visits those within radius plus threshold,
+1 + 1 bits (of the plain bits, within 1); of a pair, the one with the smaller anchor is the visitor.
+A block may also ask for equal values: then all values are anchors, radius and threshold are 0.
 
-* the anchors of a 24-bit block are a covering code: a Hamming [15, 11] codeword on 15 bits and any
-  value of the other 9. Each block value has an anchor within radius 1; two values that differ in
-  one bit share every anchor within 1 of either, so a fingerprint goes to each anchor within
-  1 + 1 of it (of the plain bits, within 1): at most 17 of 2**20.
-* the anchors of the 16-bit block are all its values, covering radius and threshold 0.
+``EXACT`` (64 bits, links at 4 or fewer): two fingerprints that differ in at most 4 bits differ, in
+the bits 0-23, 24-47 and 48-63, in at most one bit of the first block, or at most one of the second,
+or in none of the third (2 + 2 + 1 > 4), so no link is missed.
+
+``WIDE`` (256 bits in 16 blocks of 16, links at 53 or fewer) is for a similarity of 0.8 or more of
+five-word shingles: such texts differ in some 39 bits or fewer, 5.7 being the standard deviation,
+and at 39 bits a pair has a block within one bit with a probability of 0.99.
 
 The fingerprints at one anchor are compared with numpy, and only a spanning forest of the links is
 passed on, so a dense group of near copies costs links in proportion to its size, not its square.
@@ -17,6 +22,7 @@ passed on, so a dense group of near copies costs links in proportion to its size
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
@@ -26,54 +32,99 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import boxed, checkpoint, components, table
+from driftloom.llm.common import boxed, checkpoint, components, partitions, table
 
-SHINGLE = 4
 SEED = 42
-BITS = 4
-HAMMING, PLAIN = 15, 9
+HAMMING = 15
 #: Anchors of at most this many fingerprints are compared together, shifted against one another.
 SMALL = 16
-#: Anchors up to this size are compared all with all; larger ones by breadth-first search.
+#: Anchors up to this size are compared own with all; larger ones by breadth-first search.
 SQUARE = 2048
 #: Posting rows that are gathered before a spanning forest is passed on.
 CHUNK = 200_000
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """The 64-bit SimHash of all word shingles of a text, repeats included; 0 without words."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= size:
+@dataclass(frozen=True)
+class Scheme:
+    """Words of a shingle, 64-bit words of a fingerprint, differing bits of a link, and (first bit, width, threshold) of the blocks."""
+
+    shingle: int
+    words: int
+    limit: int
+    blocks: tuple[tuple[int, int, int], ...]
+
+    @property
+    def names(self) -> list[str]:
+        return [f"f{i}" for i in range(self.words)]
+
+
+EXACT = Scheme(4, 1, 4, ((0, 24, 1), (24, 24, 1), (48, 16, 0)))
+WIDE = Scheme(5, 4, 53, tuple((16 * i, 16, 1) for i in range(16)))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that scatters them (the finaliser of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, size: int = 4, words: int = 1) -> np.ndarray:
+    """The SimHash of all word shingles of a text, repeats included, as 64-bit words; 0 without words.
+
+    The first word's hashes are the shingles' XXH64, those of further words are made from it.
+    """
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return np.zeros(words, np.uint64)
+    joined = b" ".join(tokens)
+    if len(tokens) <= size:
         hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     else:
-        ends = list(accumulate(len(w) + 1 for w in words))
-        starts = [0, *ends[: len(words) - size]]
+        ends = list(accumulate(len(w) + 1 for w in tokens))
+        starts = [0, *ends[: len(tokens) - size]]
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter(
             (digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[size - 1 :])), np.uint64, len(starts)
         )
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        octets = hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+    counts = np.zeros(64 * words, np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        h = hashes[i : i + (1 << 14)]
+        wide = [h, *(_mixed(h + np.uint64(w * 0x9E3779B97F4A7C15 % 2**64)) for w in range(1, words))]
+        octets = np.stack(wide, axis=1).astype("<u8").view(np.uint8).reshape(len(h), -1)
         counts += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8").astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, h (a hash of the text), fp (the 64 bits as a long) of every row."""
+def node(fp: np.ndarray) -> np.ndarray:
+    """A 64-bit name for each row of words; of a single word, the word."""
+    out = fp[:, 0]
+    for i in range(1, fp.shape[1]):
+        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + fp[:, i])
+    return out
+
+
+def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1).view(np.uint64)
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def fingerprints(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
+    """doc_id, h (a hash of the text), fp (the fingerprint's name) and its words f0, ... of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t.as_py(), size) for t in batch.column("text")], np.uint64)
-            kept = [batch.column("doc_id"), batch.column("h"), pa.array(values.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(kept, ["doc_id", "h", "fp"])
+            rows = [fingerprint(t.as_py(), scheme.shingle, scheme.words) for t in batch.column("text")]
+            fp = np.array(rows, np.uint64).reshape(-1, scheme.words)
+            kept = [batch.column("doc_id"), batch.column("h"), _signed(node(fp)), *map(_signed, fp.T)]
+            yield pa.RecordBatch.from_arrays(kept, ["doc_id", "h", "fp", *scheme.names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, h long, fp long")
+    return rows.mapInArrow(run, ", ".join([f"doc_id {kind}", "h long", "fp long", *(f"{n} long" for n in scheme.names)]))
 
 
 def _nearest(x: np.ndarray) -> np.ndarray:
@@ -84,14 +135,17 @@ def _nearest(x: np.ndarray) -> np.ndarray:
     return s
 
 
-def block_anchors(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, anchors): for each 24-bit value every anchor within covering radius plus threshold."""
+def block_anchors(value: np.ndarray, width: int, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, anchors, visiting): each block value at its own anchor and, with threshold 1, at the larger ones that it visits."""
+    rows = np.arange(len(value))
+    if not threshold:
+        return rows, value, np.zeros(len(value), bool)
     code, plain = value & ((1 << HAMMING) - 1), value >> HAMMING
     s = _nearest(code)
     home = code ^ np.where(s > 0, 1 << np.maximum(s - 1, 0), 0)
-    rows = np.arange(len(value))
-    out_rows, out = [rows], [(plain << HAMMING) | home]
-    for bit in range(PLAIN):
+    own = (plain << HAMMING) | home
+    out_rows, out = [rows], [own]
+    for bit in range(width - HAMMING):
         out_rows.append(rows)
         out.append(((plain ^ (1 << bit)) << HAMMING) | home)
     for j in range(1, HAMMING + 1):
@@ -100,26 +154,29 @@ def block_anchors(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         word = code ^ (1 << (j - 1)) ^ (1 << np.maximum(other - 1, 0))
         out_rows.append(rows[found])
         out.append(((plain << HAMMING) | word)[found])
-    return np.concatenate(out_rows), np.concatenate(out)
+    row, anchor = np.concatenate(out_rows), np.concatenate(out)
+    keep = anchor >= own[row]
+    return row[keep], anchor[keep], (anchor > own[row])[keep]
 
 
-def anchors(fps: DataFrame) -> DataFrame:
-    """anchor, fp: each distinct ``fp`` at all its anchors."""
+def anchors(fps: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
+    """anchor (its lowest bit set for visitors) and the words: each fingerprint at all its anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = batch.column("fp").to_numpy(zero_copy_only=False)
-            bits = fp.view(np.uint64)
-            parts = []
-            for block, shift in enumerate((0, 24)):
-                rows, at = block_anchors(((bits >> np.uint64(shift)) & np.uint64(0xFFFFFF)).astype(np.int64))
-                parts.append((rows, at | (block << 40)))
-            parts.append((np.arange(len(fp)), (bits >> np.uint64(48)).astype(np.int64) | (2 << 40)))
-            at, kept = np.concatenate([a for _, a in parts]), fp[np.concatenate([r for r, _ in parts])]
-            for i in range(0, len(at), CHUNK):
-                yield pa.RecordBatch.from_arrays([pa.array(at[i : i + CHUNK]), pa.array(kept[i : i + CHUNK])], ["anchor", "fp"])
-
-    return fps.select("fp").mapInArrow(run, "anchor long, fp long")
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2000):
+                fp = _matrix(whole.slice(k, 2000), scheme.names)
+                rows, at = [], []
+                for i, (first, width, threshold) in enumerate(scheme.blocks):
+                    value = (fp[:, first // 64] >> np.uint64(first % 64)) & np.uint64((1 << width) - 1)
+                    row, anchor, visiting = block_anchors(value.astype(np.int64), width, threshold)
+                    rows.append(row)
+                    at.append(((anchor | (i << 40)) << 1) | visiting)
+                kept = fp[np.concatenate(rows)]
+                columns = [pa.array(np.concatenate(at)), *map(_signed, kept.T)]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", *scheme.names])
+
+    return fps.select(*scheme.names).mapInArrow(run, ", ".join(f"{n} long" for n in ["anchor", *scheme.names]))
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,102 +196,110 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ y) <= BITS
+def _near(x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16) <= limit
 
 
-def _large(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _large(fp: np.ndarray, names: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links of one anchor by breadth-first search over what is not reached yet."""
-    rest, out = fp, []
+    rest, out = np.arange(len(fp)), []
     while len(rest):
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
             now, front = front[:64], front[64:]
             hit = np.zeros(len(rest), bool)
             for x in now:
-                new = _near(rest, x) & ~hit
+                new = _near(fp[rest], fp[x], limit) & ~hit
                 if new.any():
                     hit |= new
-                    out.append((rest[new], np.full(int(new.sum()), x)))
+                    out.append((names[rest[new]], np.full(int(new.sum()), names[x])))
             front, rest = np.concatenate([front, rest[hit]]), rest[~hit]
-    return (np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])) if out else (fp[:0], fp[:0])
+    return out
 
 
-def links(at: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within each anchor; ``at`` is sorted."""
-    begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+def links(at: np.ndarray, fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within each anchor; ``at`` is sorted, an anchor's own before its visitors."""
+    place, names = at >> 1, node(fp)
+    begin = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     size = np.diff(np.r_[begin, len(at)])
-    out = []
-    small = np.repeat(size <= SMALL, size)
-    a, f = at[small], fp[small]
+    own = np.add.reduceat((at & 1) == 0, begin, dtype=np.int64)
+    out = [(names[:0], names[:0])]
+    small = np.flatnonzero(np.repeat((size <= SMALL) & (size > 1) & (own > 0), size))
+    a = place[small]
     for shift in range(1, SMALL):
-        hit = (a[shift:] == a[:-shift]) & _near(f[shift:], f[:-shift])
-        out.append((f[shift:][hit], f[:-shift][hit]))
-    for k, n in zip(begin[size > SMALL], size[size > SMALL]):
-        x = fp[k : k + n]
+        same = np.flatnonzero(a[shift:] == a[:-shift])
+        if not len(same):
+            break
+        p, q = small[same], small[same + shift]
+        hit = _near(fp[p], fp[q], limit)
+        out.append((names[p[hit]], names[q[hit]]))
+    big = (size > SMALL) & (own > 0)
+    for k, n, m in zip(begin[big], size[big], own[big]):
+        x, called = fp[k : k + n], names[k : k + n]
         if n > SQUARE:
-            out.append(_large(x))
+            out += _large(x, called, limit)
             continue
-        for i in range(0, n, 256):
-            p, q = np.nonzero(_near(x[i : i + 256, None], x[None, :]))
+        for i in range(0, m, 256):
+            p, q = np.nonzero(_near(x[i : min(m, i + 256), None], x[None, :], limit))
             keep = p + i < q
-            out.append((x[p[keep] + i], x[q[keep]]))
+            out.append((called[p[keep] + i], called[q[keep]]))
     a, b = np.concatenate([p for p, _ in out]), np.concatenate([q for _, q in out])
     return forest(a, b) if len(a) else (a, b)
 
 
-def near_links(fps: DataFrame) -> DataFrame:
-    """Links ``a``, ``b`` that connect all distinct fingerprints which differ in at most 4 bits."""
+def near_links(fps: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
+    """Links ``a``, ``b`` (names) that connect the distinct fingerprints that the scheme links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
 
         def passed(at: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            a, b = links(at, fp.view(np.uint64))
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([*map(_signed, links(at, fp, scheme.limit))], ["a", "b"])
 
         for batch in batches:
             at = batch.column("anchor").to_numpy(zero_copy_only=False)
-            held.append((at, batch.column("fp").to_numpy(zero_copy_only=False)))
+            held.append((at, _matrix(batch, scheme.names)))
             rows += len(at)
-            if rows >= CHUNK and held[0][0][0] != at[-1]:
+            if rows >= CHUNK and held[0][0][0] >> 1 != at[-1] >> 1:
                 at, fp = (np.concatenate(x) for x in zip(*held))
-                last = int(np.searchsorted(at, at[-1]))
+                last = int(np.searchsorted(at >> 1, at[-1] >> 1))
                 yield passed(at[:last], fp[:last])
                 held, rows = [(at[last:], fp[last:])], len(at) - last
         if rows:
             yield passed(*(np.concatenate(x) for x in zip(*held)))
 
-    dealt = anchors(fps).repartition("anchor").sortWithinPartitions("anchor")
+    n = partitions(fps.sparkSession)
+    dealt = anchors(fps, scheme).repartition(n, F.shiftright("anchor", 1)).sortWithinPartitions("anchor")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, h (a hash of the text), fp, root (a fingerprint), component_id of every row of ``docs``.
+def near_components(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
+    """doc_id, h (a hash of the text), fp (the fingerprint's name), root (a name), component_id of every row of ``docs``.
 
     Null and wordless texts have fingerprint 0 and are linked like any other; rows with one
     fingerprint are one node; a null doc_id is never the smallest, and a component without any
     other has a null component_id; an empty table gives an empty result; no column but doc_id and
     text is read.
     """
-    fps = checkpoint(fingerprints(docs, size))
-    distinct = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(near_links(distinct))
+    fps = checkpoint(fingerprints(docs, scheme))
+    firsts = [F.first(n).alias(n) for n in scheme.names]
+    distinct = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), *firsts))
+    roots = components(near_links(distinct, scheme))
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     linked = checkpoint(linked)
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root")
-    return fps.join(named.select("fp", "root", "component_id"), "fp")
+    return fps.select("doc_id", "h", "fp").join(named.select("fp", "root", "component_id"), "fp")
 
 
-def representatives(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def representatives(docs: DataFrame, scheme: Scheme = WIDE) -> DataFrame:
     """The rows of ``docs``, one of each near-duplicate component: that of the smallest doc_id.
 
     Of rows that share this id the one whose text has the smallest hash stays, and of equal rows
     one; a component without any id keeps a row in the same way.
     """
-    found = near_components(docs, size).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = near_components(docs, scheme).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = found.groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
     best = kept.groupBy("root", "doc_id").agg(F.min("h").alias("h"), F.min_by("n", "h").alias("n"))
     best = checkpoint(best.select(F.col("doc_id").alias("_id"), F.col("h").alias("_kept"), "n"))
