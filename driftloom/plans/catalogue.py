@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from driftloom.plans import drift_queries, resampling_queries
+
+MODULES = (drift_queries, resampling_queries)
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in MODULES:
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
