@@ -188,7 +188,7 @@ def spectrograms(table: DataFrame, recordings: DataFrame, spec: Spectrogram = Sp
             out["features"] = [spec.of(samples, rate, a, b).astype(np.float32).ravel() if b > a else None for a, b in zip(out["onset_s"], out["offset_s"])]
         return out[["audio_path", *keep, "features", "was_low", "was_high"]]
 
-    pairs = table.groupBy("audio_path").cogroup(recordings.select("audio_path", "content").groupBy("audio_path"))
+    pairs = table.groupBy("audio_path").cogroup(recordings.select(F.col("audio_path").alias("audio_path"), "content").groupBy("audio_path"))
     found = pairs.applyInPandas(extract, schema)
     counts = found.agg(
         F.count_if("was_low").alias("n_low"), F.count_if("was_high").alias("n_high"), F.count_if(F.col("features").isNull()).alias("n_empty")

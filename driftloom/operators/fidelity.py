@@ -39,6 +39,7 @@ def _against(queries: DataFrame, train: DataFrame, work: Callable[[pd.DataFrame,
     q, n_q = _blocks(queries, "_q")
     t, n_t = _blocks(train, "_t")
     q = q.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(n_t - 1))))
+    q = q.select(*[F.col(c).alias(c) for c in q.columns])  # columns of its own, also where both come from one table
     t = t.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

@@ -51,7 +51,7 @@ def _counts(true: DataFrame, pred: DataFrame, by: Sequence[str], tolerance: floa
     names = ["n_true", "n_pred", "n_matched"]
     kinds = dict(true.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + [f"{n} long" for n in names])
-    sides = [df.select(*by, *columns).groupBy(*by) for df in (true, pred)]
+    sides = [df.select(*[F.col(c).alias(c) for c in (*by, *columns)]).groupBy(*by) for df in (true, pred)]
     return sides[0].cogroup(sides[1]).applyInPandas(sweep, schema)
 
 
