@@ -2,7 +2,7 @@
 
 Documents with one text are linked. Each starts in a shard by hash. In each round a group's copies
 want to go where most of their neighbours can be together: to the group's cell with the largest
-size it could reach under the shard's quota (a group larger than a shard gets several such cells).
+size it could reach under the shard's quota (a group larger than that gets several such cells).
 Moves are taken in hash order as far as the quota of the target goes; the quota cut is found with
 a histogram of 4,096 buckets per target, and only its boundary bucket is looked at move by move.
 
@@ -37,16 +37,20 @@ def _per_shard(df: DataFrame, shards: int, total: str) -> list[int]:
     return [int(found.get(s, 0)) for s in range(shards)]
 
 
-def wishes(cells: DataFrame, room: list[int], quota: int) -> DataFrame:
-    """The cells whose copies want to move: g, shard, n, target."""
+def wishes(cells: DataFrame, room: list[int]) -> DataFrame:
+    """The cells whose copies want to move: g, shard, n, target.
+
+    A group's leaders are its cells of greatest reach, as many as it needs to hold all its copies.
+    """
     whole = W.partitionBy("g")
+    space = _picked(room, F.col("shard"))
     c = cells.withColumn("_all", F.sum("n").over(whole))
-    c = c.withColumn("_reach", F.least("_all", F.col("n") + _picked(room, F.col("shard"))))
+    c = c.withColumn("_reach", F.least("_all", F.col("n") + space))
     order = whole.orderBy(F.desc("_reach"), F.desc("n"), F.xxhash64("g", "shard"), "shard")
-    c = c.withColumn("_place", F.row_number().over(order))
-    c = c.withColumn("_seats", F.ceil(F.col("_all") / F.lit(max(1, quota))))
-    seats = F.collect_list(F.when(F.col("_place") <= F.col("_seats"), F.col("shard"))).over(whole)
-    c = c.withColumn("_leaders", F.array_sort(seats)).where(F.col("_place") > F.col("_seats"))
+    c = c.withColumn("_before", F.sum("_reach").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("_reach"))
+    c = c.withColumn("_leads", F.col("_before") < F.col("_all"))
+    open_leaders = F.collect_list(F.when(F.col("_leads") & (space > 0), F.col("shard"))).over(whole)
+    c = c.withColumn("_leaders", F.array_sort(open_leaders)).where("not _leads and size(_leaders) > 0")
     pick = F.pmod(F.xxhash64("g", "shard"), F.size("_leaders")).cast("int")
     return c.select("g", "shard", "n", F.element_at("_leaders", pick + 1).alias("target"))
 
@@ -58,7 +62,7 @@ def propagate(cells: DataFrame, shards: int, quotas: list[int], rounds: int = RO
         load = _per_shard(state, shards, "n")
         room = [max(0, q - n) for q, n in zip(quotas, load)]
         moves = checkpoint(
-            wishes(state, room, min(quotas)).withColumn("_b", F.pmod(F.xxhash64("target", "g"), F.lit(BUCKETS)))
+            wishes(state, room).withColumn("_b", F.pmod(F.xxhash64("target", "g"), F.lit(BUCKETS)))
         )
         hist = moves.groupBy("target", "_b").agg(F.sum("n").alias("n"))
         before = F.sum("n").over(W.partitionBy("target").orderBy("_b")) - F.col("n")
