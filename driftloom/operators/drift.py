@@ -25,7 +25,7 @@ def paired(left: DataFrame, right: DataFrame, on: Sequence[str], side: str, how:
     a = left.select(*on, *[F.col(c).alias(f"{c}_a") for c in left.columns if c not in on])
     b = right.select(*on, *[F.col(c).alias(f"{c}_b") for c in right.columns if c not in on])
     rule = F.col(f"{side}_a") < F.col(f"{side}_b") if how is None else how
-    return a.join(b, list(on)).where(rule)
+    return a.join(b, list(on)).where(rule) if on else a.join(b, rule)  # without keys: a few sides only
 
 
 def centroid_drift(units: DataFrame, type_keys: Sequence[str], side: str, how: Column | None = None, other: DataFrame | None = None) -> DataFrame:

@@ -44,3 +44,42 @@ def assigned(df: DataFrame, centres: list[list[float]], column: str = "z") -> Da
     choices = [F.struct(squared_distance(column, F.array(*map(F.lit, c))).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)]
     best = F.array_min(F.array(*choices))
     return df.withColumn("_b", best).withColumns({"mode": F.col("_b.i"), "distance": F.sqrt("_b.d")}).drop("_b")
+
+
+def embedded(features: DataFrame, by: list[str], side: str, components: int, column: str = "features") -> DataFrame:
+    """``features`` with z: principal components of each individual, fitted on its first ``side`` only.
+
+    A fit sees one individual's reference rows; the model then meets the rows of one individual and
+    side at a time, so neither the driver nor any task holds more than that.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kinds = dict(features.dtypes)
+    keys = ", ".join(f"`{c}` {kinds[c]}" for c in by)
+    first = features.groupBy(*by).agg(F.min(side).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    reference = features.join(first, by).where(F.col(side) == F.col("_first")).select(*by, "_n", column)
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack([np.asarray(v, np.float64) for v in rows[column]])
+        mean = x.mean(axis=0)
+        k = max(1, min(components, int(rows["_n"].iloc[0]), *x.shape))
+        axes = np.linalg.svd(x - mean, full_matrices=False)[2][:k]
+        return pd.DataFrame([(*key, mean, axes.ravel())], columns=[*by, "_mean", "_axes"])
+
+    models = reference.groupBy(*by).applyInPandas(fit, f"{keys}, _mean array<double>, _axes array<double>")
+    models = features.select(*by, side).distinct().join(models, by)
+    rest = [c for c in features.columns if c not in (*by, side, column)]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*by, side, *rest)) + ", z array<double>"
+
+    def project(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        out = rows[[*by, side, *rest]]
+        if rows.empty or model.empty:
+            return out.iloc[:0].assign(z=[])
+        mean = np.asarray(model["_mean"].iloc[0])
+        axes = np.asarray(model["_axes"].iloc[0]).reshape(-1, len(mean))
+        x = np.stack([np.asarray(v, np.float64) for v in rows[column]])
+        return out.assign(z=list((x - mean) @ axes.T))
+
+    model_columns = models.select(*[F.col(c).alias(c) for c in (*by, side, "_mean", "_axes")])
+    return features.groupBy(*by, side).cogroup(model_columns.groupBy(*by, side)).applyInPandas(project, schema)

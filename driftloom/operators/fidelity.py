@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -128,9 +128,12 @@ def within_label_correlation(points: DataFrame, max_pairs: int = 20_000, seed: i
     pairs = a.join(b, "label").where("ida < idb")
     pairs = pairs.select("label", *[F.round(F.sqrt(squared_distance(f"{v}a", f"{v}b")), 9).alias(v) for v in "zr"])
     ranked = average_ranks(average_ranks(pairs, ["label"], "z", "_z"), ["label"], "r", "_r")
-    rho = F.corr("_z", "_r")
-    flat = F.stddev_pop("_z") * F.stddev_pop("_r") == 0
-    return ranked.groupBy("label").agg(F.count(F.lit(1)).alias("n_pairs"), F.when(flat, 0.0).otherwise(F.coalesce(rho, F.lit(0.0))).alias("rho"))
+    return ranked.groupBy("label").agg(F.count(F.lit(1)).alias("n_pairs"), F.coalesce(correlation("_z", "_r"), F.lit(0.0)).alias("rho"))
+
+
+def correlation(x: str, y: str) -> Column:
+    """Pearson's, null where either side does not vary."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
 
 
 def pair_weighted(rhos: DataFrame) -> DataFrame:
@@ -141,4 +144,4 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row, n and rho, of two columns of a small result."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.lit(0).alias("_g"), x, y)
     ranked = average_ranks(average_ranks(rows, ["_g"], x, "_x"), ["_g"], y, "_y")
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("rho"))
+    return ranked.agg(F.count(F.lit(1)).alias("n"), correlation("_x", "_y").alias("rho"))
