@@ -22,7 +22,7 @@ from driftloom.llm.common import checkpoint, table
 K = 10
 SCALE = 1024
 SHARD_ROWS, QUERY_ROWS, LEAF_ROWS = 4096, 2048, 64
-LOWEST = -(2**63)
+LOWEST = 1 - 2**63
 
 
 def whole_numbers(vectors: DataFrame, scale: int) -> DataFrame:
@@ -129,6 +129,7 @@ def _searched(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return pa.table(dict(zip(names, map(pa.array, parts))))
 
     by = ("_dim", "_shard", "_block")
+    queries = queries.select(*[F.col(c).alias(c) for c in (*by, "vec_id", "v", "floor")])  # columns of its own
     pairs = vectors.groupBy(*by).cogroup(queries.groupBy(*by))
     return pairs.applyInArrow(run, "query_id long, vec_id long, score long")
 
@@ -137,18 +138,25 @@ def _ranked(found: DataFrame) -> Column:
     return F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE) -> DataFrame:
+def top_k(
+    vectors: DataFrame,
+    is_query: Column,
+    k: int = K,
+    scale: int = SCALE,
+    shard_rows: int = SHARD_ROWS,
+    query_rows: int = QUERY_ROWS,
+) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` largest inner products of each row for which ``is_query`` holds.
 
     Scores are inner products of the components' floor(scale * x), saturated to 64 bits; ties go to
     the smaller vec_id. Candidates are all rows but those with the query's own id; a query with
     fewer candidates returns them all. Vectors of different lengths do not meet. Rows without id,
     vector or with a component that is null or not finite take no part; an id that comes twice is
-    searched once for each distinct vector; an empty table gives an empty result.
+    one query, with the best of what its vectors find; an empty table gives an empty result.
     """
     rows = checkpoint(whole_numbers(vectors, scale).withColumn("_dim", F.size("v")))
     n, n_queries = rows.count(), rows.where(is_query).count()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-n_queries // QUERY_ROWS))
+    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // query_rows))
     rows = rows.withColumn("_shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
     queries = rows.where(is_query).withColumn("_block", F.pmod(F.xxhash64("vec_id", "_dim"), F.lit(blocks)).cast("int"))
     held = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
