@@ -41,7 +41,7 @@ def load_dataset(spark: SparkSession, root: str, source: str = "tree", on_date_m
     cover = counts[0].join(counts[1], "dir_day", "full").join(counts[2], "dir_day", "full").na.fill(0)
     cover = cover.withColumn("n_unannotated", F.greatest(F.col("n_audio") - F.col("n_annotated"), F.lit(0).cast("long")))
     paths = [r[0] for r in good.select("path").collect()]
-    fields = good.withColumn("_path", _local(F.col("path"))).drop("path", "length")
+    fields = good.withColumn("_path", _local(F.col("path"))).drop("path")
     if not paths:
         return canonical(fields), cover
     rows = _checked(READERS["simple-seq"](spark, paths)).withColumn("_path", _local(F.col("path"))).drop("path")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.functions.scalars import base_name
@@ -36,8 +36,14 @@ def parent(path: str | Column, level: int = 1) -> Column:
     return F.element_at(F.split(path, "/"), -1 - level)
 
 
-def listing(spark, root: str, suffix: str) -> DataFrame:  # noqa: ANN001
-    """path and length of the files below ``root`` with a suffix; their contents are not read."""
+def listing(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """path of every file below ``root`` with a suffix, empty ones too: Spark's own file index, no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}")
+    return spark.createDataFrame([(f,) for f in files.load(root).inputFiles()], "path string")
+
+
+def sizes(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """path and length of the files below ``root`` that are not empty; their contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}")
     return files.load(root).select("path", "length")
 
