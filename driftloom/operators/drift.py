@@ -102,5 +102,6 @@ def drift_of_points(points: DataFrame, type_keys: Sequence[str], side: str, how:
 
 def variance_of_points(points: DataFrame, by: Sequence[str]) -> DataFrame:
     """by, n_rows, tv straight from the renditions."""
-    per_dim = M.long_form(points, by).groupBy(*by, "dim").agg(F.var_samp("x").alias("v"), F.count(F.lit(1)).alias("n"))
+    rows = points.select(*by, F.posexplode("z").alias("dim", "x"))
+    per_dim = rows.groupBy(*by, "dim").agg(F.var_samp("x").alias("v"), F.count(F.lit(1)).alias("n"))
     return per_dim.groupBy(*by).agg(F.max("n").alias("n_rows"), F.sum("v").alias("tv"))
