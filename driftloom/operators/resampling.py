@@ -21,6 +21,9 @@ NULL_SEED = 10_007
 
 
 def with_draws(df: DataFrame, n_draws: int) -> DataFrame:
+    """Each row once per draw. The rows are few before and many after, so they are dealt out to all tasks first."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartition(n, F.xxhash64(*df.columns))
     return df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
 
 
@@ -147,11 +150,19 @@ def bootstrap_centroid(means: DataFrame, by: Sequence[str], side: str, pairs: Da
     stats = drawn.join(means.select(*keys, "bout", "dim", "m"), [*keys, "bout"]).groupBy(*keys, "draw", "dim").agg(
         n.alias("n"), mu.alias("mu"), F.when(n > 1, v).alias("v")
     )
-    sides = [stats.select(*by, F.col(side).alias(f"{side}_{s}"), "draw", "dim", *[F.col(c).alias(c + s) for c in ("n", "mu", "v")]) for s in "ab"]
-    rows = pairs.join(sides[0], [*by, f"{side}_a"]).join(sides[1], [*by, f"{side}_b", "draw", "dim"]).where("na >= 2 and nb >= 2")
+    rows = _pair_sides(pairs, by, side).join(stats, keys)
+    both = [F.max(F.when(F.col("_is_a") == s, F.col(c))).alias(c + n) for s, n in ((True, "a"), (False, "b")) for c in ("n", "mu", "v")]
+    per_dim = rows.groupBy(*by, f"{side}_a", f"{side}_b", "draw", "dim").agg(*both).where("na >= 2 and nb >= 2")
     gap = F.col("mua") - F.col("mub")
     term = gap * gap - F.col("va") / F.col("na") - F.col("vb") / F.col("nb")
-    return rows.groupBy(*by, f"{side}_a", f"{side}_b", "draw").agg(F.sum(term).alias("drift"))
+    return per_dim.groupBy(*by, f"{side}_a", f"{side}_b", "draw").agg(F.sum(term).alias("drift"))
+
+
+def _pair_sides(pairs: DataFrame, by: Sequence[str], side: str) -> DataFrame:
+    """Each pair twice, once for either side, so that the draws of a side are made once for all its pairs."""
+    each = F.array(*[F.struct(F.col(f"{side}_{s}").alias(side), F.lit(s == "a").alias("_is_a")) for s in "ab"])
+    rows = pairs.select(*by, f"{side}_a", f"{side}_b", F.explode(each).alias("_s"))
+    return rows.select(*by, f"{side}_a", f"{side}_b", f"_s.{side}", "_s._is_a")
 
 
 def bootstrap_dispersion(moments: DataFrame, by: Sequence[str], side: str, pairs: DataFrame, n_boot: int = 1000, seed: int = 0) -> DataFrame:
@@ -162,9 +173,11 @@ def bootstrap_dispersion(moments: DataFrame, by: Sequence[str], side: str, pairs
     drawn = resamples(units_of(moments, keys), keys, n_boot, seed)
     rows = drawn.join(moments.select(*keys, "bout", "dim", "n", "sx", "sxx"), [*keys, "bout"])
     tv = total_variance(rows, [*keys, "draw"], F.col("w")).where("tv > 0").select(*keys, "draw", "tv")
-    a = pairs.join(tv.withColumnsRenamed({side: f"{side}_a", "tv": "tva"}), [*by, f"{side}_a"])
-    b = a.join(tv.withColumnsRenamed({side: f"{side}_b", "tv": "tvb"}), [*by, f"{side}_b", "draw"])
-    return b.select(*by, f"{side}_a", f"{side}_b", "draw", F.ln(F.col("tvb") / F.col("tva")).alias("log_ratio"))
+    found = _pair_sides(pairs, by, side).join(tv, keys).groupBy(*by, f"{side}_a", f"{side}_b", "draw").agg(
+        F.max(F.when(F.col("_is_a"), F.col("tv"))).alias("a"), F.max(F.when(~F.col("_is_a"), F.col("tv"))).alias("b")
+    )
+    found = found.where("a is not null and b is not null")
+    return found.select(*by, f"{side}_a", f"{side}_b", "draw", F.ln(F.col("b") / F.col("a")).alias("log_ratio"))
 
 
 def interval(draws: DataFrame, by: Sequence[str], value: str, alpha: float = 0.05) -> DataFrame:

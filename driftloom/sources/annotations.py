@@ -17,14 +17,20 @@ from driftloom.sources.names import listing
 
 SEGMENTS = "path string, onset_s double, offset_s double, label string"
 POLICIES = ("raise", "skip")
+#: From whole files (path, value) to their intervals.
+Reader = Callable[[DataFrame], DataFrame]
 
 
-def _delimited(onset: str, offset: str, label: str, sep: str = ",") -> Callable[[SparkSession, list[str]], DataFrame]:
-    """A reader of files with a header, all columns as strings, whose columns may be in any order."""
+def texts(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """path and value: the whole text of each file below ``root`` whose name ends in ``suffix``."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}")
+    return files.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
 
-    def read(spark: SparkSession, paths: list[str]) -> DataFrame:
-        lines = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+def _delimited(onset: str, offset: str, label: str, sep: str = ",") -> Reader:
+    """A reader of files with a header, all columns as strings, whose columns may be in any order."""
 
+    def read(files: DataFrame) -> DataFrame:
         def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 for path, text in zip(frame["path"], frame["value"]):
@@ -37,23 +43,21 @@ def _delimited(onset: str, offset: str, label: str, sep: str = ",") -> Callable[
                     cells = [[r.split(sep)[i].strip().strip('"') for i in at] for r in rows[1:]]
                     yield pd.DataFrame([(path, float(a), float(b), c) for a, b, c in cells], columns=["path", "onset_s", "offset_s", "label"])
 
-        return lines.mapInPandas(parse, SEGMENTS)
+        return files.select("path", "value").mapInPandas(parse, SEGMENTS)
 
     return read
 
 
-def _parsed(one: Callable[[str], list[tuple[float, float, str]]]) -> Callable[[SparkSession, list[str]], DataFrame]:
+def _parsed(one: Callable[[str], list[tuple[float, float, str]]]) -> Reader:
     """A reader of whole text files, each turned into intervals by ``one``."""
 
-    def read(spark: SparkSession, paths: list[str]) -> DataFrame:
-        texts = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-
+    def read(files: DataFrame) -> DataFrame:
         def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 for path, text in zip(frame["path"], frame["value"]):
                     yield pd.DataFrame([(path, *x) for x in one(text)], columns=["path", "onset_s", "offset_s", "label"])
 
-        return texts.mapInPandas(parse, SEGMENTS)
+        return files.select("path", "value").mapInPandas(parse, SEGMENTS)
 
     return read
 
@@ -84,7 +88,7 @@ def song_xml(text: str) -> list[tuple[float, float, str]]:
     return out
 
 
-READERS: dict[str, Callable[[SparkSession, list[str]], DataFrame]] = {
+READERS: dict[str, Reader] = {
     "simple-seq": _delimited("onset_s", "offset_s", "label"),
     "generic-seq": _delimited("onset_s", "offset_s", "label"),
     "raven": _delimited("Begin Time (s)", "End Time (s)", "Annotation", "\t"),
@@ -94,7 +98,7 @@ READERS: dict[str, Callable[[SparkSession, list[str]], DataFrame]] = {
 }
 
 
-def reader(name: str) -> Callable[[SparkSession, list[str]], DataFrame]:
+def reader(name: str) -> Reader:
     if name not in READERS:
         raise ValueError(f"unknown annotation format {name!r}; known: {', '.join(sorted(READERS))}")
     return READERS[name]
@@ -125,17 +129,17 @@ def load_from_manifest(spark: SparkSession, manifest: DataFrame, annot_root: str
     _policy(on_missing)
     read = reader(annot_format)
     wanted = manifest.withColumn("_path", _local(F.col("annot_path")))
-    there = listing(spark, annot_root, "").select(_local(F.col("path")).alias("_path"))
+    suffix = wanted.agg(F.max(F.regexp_extract("annot_path", r"(\.[^./]+)$", 1))).first()[0] or ""
+    there = listing(spark, annot_root, suffix).select(_local(F.col("path")).alias("_path"))
     missing = wanted.join(there, "_path", "left_anti")
     count = missing.agg(F.count(F.lit(1)).alias("n_missing"))
     if on_missing == "raise":
         first = [r[0] for r in missing.select("annot_path").limit(5).collect()]
         if first:
             raise FileNotFoundError(f"annotation file(s) missing: {', '.join(first)}")
-    paths = [r[0] for r in there.join(wanted.select("_path"), "_path", "left_semi").distinct().collect()]
-    if not paths:
-        return canonical(wanted.limit(0).withColumn("day", F.to_date("timestamp"))), count
-    rows = _checked(read(spark, paths)).withColumn("_path", _local(F.col("path"))).drop("path")
+    files = texts(spark, annot_root, suffix).withColumn("_path", _local(F.col("path")))
+    files = files.join(wanted.select("_path"), "_path", "left_semi")
+    rows = _checked(read(files)).withColumn("_path", _local(F.col("path"))).drop("path")
     joined = rows.join(wanted, "_path").withColumns(
         {
             "audio_file": base_name("audio_path"), "day": F.to_date("timestamp"), "duration_s": F.col("offset_s") - F.col("onset_s"),

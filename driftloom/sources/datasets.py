@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions.scalars import base_name
 from driftloom.schema import canonical
-from driftloom.sources.annotations import READERS, _checked, _local
+from driftloom.sources.annotations import READERS, _checked, _local, texts
 from driftloom.sources.names import directory_day, listing, parent, recording
 
 
@@ -40,11 +40,9 @@ def load_dataset(spark: SparkSession, root: str, source: str = "tree", on_date_m
     ]
     cover = counts[0].join(counts[1], "dir_day", "full").join(counts[2], "dir_day", "full").na.fill(0)
     cover = cover.withColumn("n_unannotated", F.greatest(F.col("n_audio") - F.col("n_annotated"), F.lit(0).cast("long")))
-    paths = [r[0] for r in good.select("path").collect()]
     fields = good.withColumn("_path", _local(F.col("path"))).drop("path")
-    if not paths:
-        return canonical(fields), cover
-    rows = _checked(READERS["simple-seq"](spark, paths)).withColumn("_path", _local(F.col("path"))).drop("path")
+    files = texts(spark, root, ".wav.csv").withColumn("_path", _local(F.col("path"))).join(fields.select("_path"), "_path", "left_semi")
+    rows = _checked(READERS["simple-seq"](files)).withColumn("_path", _local(F.col("path"))).drop("path")
     table = rows.join(fields, "_path").withColumns(
         {
             "audio_path": F.regexp_replace("_path", r"\.csv$", ""), "audio_file": base_name(F.regexp_replace("_path", r"\.csv$", "")),

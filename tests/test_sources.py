@@ -21,9 +21,9 @@ NOTES = "onset_s,offset_s,label\n0.1,0.2,a\n0.3,0.5,0\n"
 @pytest.mark.parametrize(
     ("name", "want"),
     [
-        ("gy6or6_220312_0836.1.wav", ("gy6or6", None, dt.datetime(2012, 3, 22, 8, 36), 1)),
-        ("or60yw70_baseline_280912_0705.-26369.wav", ("or60yw70", "baseline", dt.datetime(2012, 9, 28, 7, 5), -26369)),
-        ("bl26lb16__two_words_190412_1721.20144.wav.csv", ("bl26lb16", "two_words", dt.datetime(2012, 4, 19, 17, 21), 20144)),
+        ("wr4ub2_220312_0836.1.wav", ("wr4ub2", None, dt.datetime(2012, 3, 22, 8, 36), 1)),
+        ("ok71vy3_baseline_280912_0705.-26369.wav", ("ok71vy3", "baseline", dt.datetime(2012, 9, 28, 7, 5), -26369)),
+        ("mn30po9__two_words_190412_1721.20144.wav.csv", ("mn30po9", "two_words", dt.datetime(2012, 4, 19, 17, 21), 20144)),
         ("notes.txt", (None, None, None, None)),
         ("bird_991399_2561.1.wav", ("bird", None, None, 1)),
     ],
@@ -106,22 +106,22 @@ def test_formats():
 
 def test_raven_columns(spark, tmp_path):
     path = write(tmp_path / "a.txt", "Selection\tBegin Time (s)\tEnd Time (s)\tAnnotation\n1\t0.5\t0.9\tx\n")
-    assert [tuple(r)[1:] for r in annotations.reader("raven")(spark, [str(path)]).collect()] == [(0.5, 0.9, "x")]
+    assert [tuple(r)[1:] for r in annotations.reader("raven")(annotations.texts(spark, str(path.parent), ".txt")).collect()] == [(0.5, 0.9, "x")]
 
 
 def test_flat_annotations(spark):
     notes = spark.createDataFrame(
-        [("d/llb3_0002_2018_04_23_14_18_03.wav", 0.1, 0.2, "1"), ("llb3_0002_2018_04_23_14_18_03.wav", 0.3, 0.2, "2"), ("llb3_0003_2018_04_24_10_00_00.wav", 0.1, 0.4, "1"), ("gone_2018_04_24_10_00_00.wav", 0.1, 0.4, "1")],
+        [("d/zed7_0002_2018_04_23_14_18_03.wav", 0.1, 0.2, "1"), ("zed7_0002_2018_04_23_14_18_03.wav", 0.3, 0.2, "2"), ("zed7_0003_2018_04_24_10_00_00.wav", 0.1, 0.4, "1"), ("gone_2018_04_24_10_00_00.wav", 0.1, 0.4, "1")],
         "file string, on double, off double, label string",
     )
-    audio = spark.createDataFrame([("/z/llb3_0002_2018_04_23_14_18_03.wav",), ("/a/llb3_0002_2018_04_23_14_18_03.wav",), ("/a/llb3_0003_2018_04_24_10_00_00.wav",)], "path string")
+    audio = spark.createDataFrame([("/z/zed7_0002_2018_04_23_14_18_03.wav",), ("/a/zed7_0002_2018_04_23_14_18_03.wav",), ("/a/zed7_0003_2018_04_24_10_00_00.wav",)], "path string")
     columns = {"audio_file": "file", "onset_s": "on", "offset_s": "off"}
-    settings = ("llb3", r"(?P<timestamp>\d{4}(?:_\d\d){5})", "%Y_%m_%d_%H_%M_%S", columns)
+    settings = ("zed7", r"(?P<timestamp>\d{4}(?:_\d\d){5})", "%Y_%m_%d_%H_%M_%S", columns)
     table, counts = annotations.load_flat(notes, audio, *settings, on_missing="skip", group="control")
     assert tuple(counts.first()) == (1, 0, 1)
     rows = table.orderBy("timestamp").collect()
     assert [(r["day"], r["audio_path"], r["group"]) for r in rows] == [
-        (dt.date(2018, 4, 23), "/a/llb3_0002_2018_04_23_14_18_03.wav", "control"), (dt.date(2018, 4, 24), "/a/llb3_0003_2018_04_24_10_00_00.wav", "control")]
+        (dt.date(2018, 4, 23), "/a/zed7_0002_2018_04_23_14_18_03.wav", "control"), (dt.date(2018, 4, 24), "/a/zed7_0003_2018_04_24_10_00_00.wav", "control")]
     with pytest.raises(FileNotFoundError):
         annotations.load_flat(notes, audio, *settings)
     with pytest.raises(ValueError, match="missing required"):
