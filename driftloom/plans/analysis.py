@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.functions.lineage import cut
 from driftloom.operators import clean as C
 from driftloom.operators import drift as D
 from driftloom.operators import moments as M
@@ -74,32 +75,31 @@ def analyse_points(points: DataFrame, config: AnalysisConfig = AnalysisConfig(),
     All draws join bouts' moments, which are aggregated once. A floor pools the draws of all days and
     types of an individual; where there is none, floors and comparisons with them are null or 0.
     """
-    points = C.with_days(points, "bird", "day").select("bird", "day", "label", "bout", "z")
-    moments = M.bout_moments(centred_points(points), SIDE).persist()
-    means = M.bout_means(moments)
+    points = cut(C.with_days(points, "bird", "day").select("bird", "day", "label", "bout", "z"))
+    moments = cut(M.bout_moments(centred_points(points), SIDE))
     support = moments.where("dim = 0").groupBy(*SIDE).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_bouts"))
     rows_ok = F.col("n_rows") >= config.min_renditions
     for_null = support.where(rows_ok & (F.col("n_bouts") >= config.min_bouts)).select(*SIDE)
     for_pairs = support.where(rows_ok & (F.col("n_bouts") >= 2)).select(*SIDE)
 
     variances = M.total_variance(moments, SIDE)
-    scale = D.within_type_scale(variances, BIRD, "day")
-    null_moments = moments.join(for_null, SIDE, "left_semi")
+    scale = cut(D.within_type_scale(variances, BIRD, "day"))
+    null_moments = cut(moments.join(for_null, SIDE, "left_semi"))
     centroid = R.centroid_null(M.bout_means(null_moments), SIDE, config.n_null, config.seed)
     spread = R.dispersion_null(null_moments, SIDE, config.n_null, config.seed)
-    floors = (
+    floors = cut(
         scale.join(R.floor_of(centroid, BIRD, "drift").select("bird", F.col("floor").alias("centroid_floor")), BIRD, "left")
         .join(R.floor_of(spread, BIRD, "log_ratio", absolute=True).select("bird", F.col("floor").alias("dispersion_floor")), BIRD, "left")
     )
 
-    pair_moments = moments.join(for_pairs, SIDE, "left_semi")
+    pair_moments = cut(moments.join(for_pairs, SIDE, "left_semi"))
     pair_means = M.bout_means(pair_moments)
     keys = [*TYPE, "day_a", "day_b"]
-    drift = D.centroid_drift(M.unit_moments(pair_means, SIDE), TYPE, "day").select(*keys, "drift")
+    drift = cut(D.centroid_drift(M.unit_moments(pair_means, SIDE), TYPE, "day").select(*keys, "drift"))
     days = drift.select(*keys)
-    boot = R.interval(R.bootstrap_centroid(pair_means, TYPE, "day", days, config.n_boot, config.seed), keys, "drift")
+    boot = cut(R.interval(R.bootstrap_centroid(pair_means, TYPE, "day", days, config.n_boot, config.seed), keys, "drift"))
     ratio = D.dispersion_drift(M.total_variance(pair_moments, SIDE), TYPE, "day")
-    boot_ratio = R.interval(R.bootstrap_dispersion(pair_moments, TYPE, "day", days, config.n_boot, config.seed), keys, "log_ratio")
+    boot_ratio = cut(R.interval(R.bootstrap_dispersion(pair_moments, TYPE, "day", days, config.n_boot, config.seed), keys, "log_ratio"))
     typed = (
         drift.join(boot.select(*keys, F.col("low").alias("c_low")), keys)
         .join(ratio, keys).join(boot_ratio.select(*keys, F.col("low").alias("d_low"), F.col("high").alias("d_high")), keys)
@@ -126,7 +126,7 @@ def analyse_points(points: DataFrame, config: AnalysisConfig = AnalysisConfig(),
         F.count(F.lit(1)).alias("n_syllables"), F.count_distinct("bout").alias("n_bouts"), F.count_distinct("day").alias("n_days"),
         F.min("day").alias("reference_day"), F.array_sort(F.collect_set("day")).alias("days"), F.array_sort(F.collect_set("label")).alias("types"),
     )
-    return Analysis(summary.join(floors, BIRD).withColumnRenamed("scale", "within_type_variance"), pairs)
+    return Analysis(cut(summary.join(floors, BIRD).withColumnRenamed("scale", "within_type_variance")), cut(pairs))
 
 
 def centred_points(points: DataFrame) -> DataFrame:
@@ -143,15 +143,16 @@ def syntax(table: DataFrame, types: DataFrame, config: AnalysisConfig) -> tuple[
     if not config.splice:
         for place in ("first", "second"):
             pairs = pairs.join(types.withColumnRenamed("label", place), ["bird", place], "left_semi")
+    pairs = cut(pairs)
     divergence = D.syntax_drift(D.transition_shares(pairs, keys), "day", BIRD).withColumnRenamed("jsd", "syntax_divergence")
     floor = R.floor_of(R.syntax_null(pairs, keys, SYNTAX_DRAWS, SYNTAX_SEED), BIRD, "jsd")
-    return divergence, floor.select("bird", F.col("floor").alias("syntax_floor"))
+    return cut(divergence), cut(floor.select("bird", F.col("floor").alias("syntax_floor")))
 
 
 def analyse(table: DataFrame, recordings: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> Analysis:
     """From the canonical table and the recordings (audio_path, content) to drift against noise floors."""
     points, _ = points_of(table, recordings, config)
-    return analyse_points(points.persist(), config, table)
+    return analyse_points(points, config, table)
 
 
 def per_bird_drift(analysis: Analysis, standardised: bool = True) -> DataFrame:

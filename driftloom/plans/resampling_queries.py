@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftloom.functions.lineage import cut
 from driftloom.functions.scalars import rounded
 from driftloom.operators import drift as D
 from driftloom.operators import groups as G
@@ -149,9 +150,9 @@ SQL_BOOT_REPEATED = _sql_boot("w").replace("select event_type, day_a, day_b, dra
 
 def _week_apart(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(bout moments, the day pairs seven days apart with their drift)."""
-    moments = T.event_moments(spark, sf_dir)
+    moments = cut(T.event_moments(spark, sf_dir))
     units = M.unit_moments(M.bout_means(moments), T.SIDE)
-    return moments, D.centroid_drift(units, T.TYPES, "day", F.datediff("day_b", "day_a") == 7)
+    return moments, cut(D.centroid_drift(units, T.TYPES, "day", F.datediff("day_b", "day_a") == 7))
 
 
 def _boot(spark: SparkSession, sf_dir: str, collapse: bool) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftloom.functions.lineage import cut
 from driftloom.functions.scalars import portable_hash
 from driftloom.operators import clean as C
 from driftloom.operators import drift as D
@@ -77,14 +78,14 @@ def manipulation(points: DataFrame, events: DataFrame, least_rows: int = 20, lea
     enough = rows.groupBy(*key).agg(
         F.count_distinct(F.when(F.col("is_base"), F.col("day"))).alias("nb"), F.count_distinct(F.when(~F.col("is_base"), F.col("day"))).alias("np")
     ).where((F.col("nb") >= least_days) & (F.col("np") >= least_days)).select(*key)
-    rows = rows.join(enough, key, "left_semi")
+    rows = cut(rows.join(enough, key, "left_semi"))
     base = rows.where("is_base")
     scale = D.variance_of_points(base, key).where((F.col("n_rows") >= least_rows) & (F.col("tv") > 0)).select(*key, F.col("tv").alias("scale"))
     side = [*key, "day"]
-    moments = M.bout_moments(base, side)
+    moments = cut(M.bout_moments(base, side))
     support = moments.where("dim = 0").groupBy(*side).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("bouts")).where(F.col("rows") >= least_rows)
     usable = moments.join(support.where(F.col("bouts") >= least_bouts).select(*side), side, "left_semi")
-    floors = (
+    floors = cut(
         R.floor_of(R.centroid_null(M.bout_means(usable), side, n_draws, seed), key, "drift").select(*key, F.col("floor").alias("c"))
         .join(R.floor_of(R.dispersion_null(usable, side, n_draws, seed), key, "log_ratio", absolute=True).select(*key, F.col("floor").alias("dispersion_floor")), key, "left")
         .join(scale, key).select(*key, "scale", (F.col("c") / F.col("scale")).alias("centroid_floor"), "dispersion_floor")
@@ -97,16 +98,16 @@ def manipulation(points: DataFrame, events: DataFrame, least_rows: int = 20, lea
     after = rows.where("not is_base").withColumn("side", F.col("day"))
     after_ok = C.supported(after, [*key, "side"], "bout", least_rows, 2).select(*key, "side")
     both = pool.unionByName(after.join(after_ok, [*key, "side"], "left_semi")).select(*key, "side", "bout", "z")
-    all_moments = M.bout_moments(both, [*key, "side"])
+    all_moments = cut(M.bout_moments(both, [*key, "side"]))
     means = M.bout_means(all_moments)
     how = (F.col("side_a") == F.lit("1900-01-01").cast("date")) & (F.col("side_b") > F.col("side_a"))
-    drift = D.centroid_drift(M.unit_moments(means, [*key, "side"]), key, "side", how)
+    drift = cut(D.centroid_drift(M.unit_moments(means, [*key, "side"]), key, "side", how))
     draws = R.bootstrap_centroid(means, key, "side", drift.select(*key, "side_a", "side_b"), n_boot, seed, collapse=False)
     low = R.interval(draws, [*key, "side_a", "side_b"], "drift").select(*key, "side_b", "low")
     spread = D.dispersion_drift(M.total_variance(all_moments, [*key, "side"]), key, "side", how).select(*key, "side_b", "log_ratio")
     post = drift.join(low, [*key, "side_b"], "left").join(spread, [*key, "side_b"], "left").join(floors, key).join(events, key)
     post = post.withColumns({"days_post": F.datediff("side_b", "t0"), "std": F.col("drift") / F.col("scale"), "over": F.col("low") / F.col("scale") > F.col("centroid_floor")})
-    recordings = post.groupBy(*key).agg(
+    recordings = cut(post).groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_post_days"), F.max("std").alias("post_max"), F.max_by("std", "days_post").alias("post_final"),
         F.max(F.abs("log_ratio")).alias("dispersion_max"), F.min(F.when(F.col("over"), F.col("days_post"))).alias("first_day_over_floor"),
         F.count_if("over").alias("n_days_over_floor"), F.first("centroid_floor").alias("centroid_floor"), F.first("dispersion_floor").alias("dispersion_floor"),
