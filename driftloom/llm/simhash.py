@@ -284,7 +284,11 @@ def near_components(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     fps = checkpoint(fingerprints(docs, scheme))
     firsts = [F.first(n).alias(n) for n in scheme.names]
     distinct = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), *firsts))
-    roots = components(near_links(distinct, scheme))
+    return with_components(fps, distinct, components(near_links(distinct, scheme)))
+
+
+def with_components(fps: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, h, fp, root, component_id of the rows of ``fps``; ``distinct`` has fp, first (its smallest doc_id), ``roots`` node, root."""
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
@@ -299,7 +303,12 @@ def representatives(docs: DataFrame, scheme: Scheme = WIDE) -> DataFrame:
     Of rows that share this id the one whose text has the smallest hash stays, and of equal rows
     one; a component without any id keeps a row in the same way.
     """
-    found = near_components(docs, scheme).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return one_of_each(docs, near_components(docs, scheme))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for the components of ``found``: doc_id, h, root, component_id."""
+    found = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = found.groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
     best = kept.groupBy("root", "doc_id").agg(F.min("h").alias("h"), F.min_by("n", "h").alias("n"))
     best = checkpoint(best.select(F.col("doc_id").alias("_id"), F.col("h").alias("_kept"), "n"))
