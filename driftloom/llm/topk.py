@@ -59,16 +59,19 @@ class Tree:
 
 
 class Best:
-    """The k best (score, id) of each query so far, ties to the smaller id."""
+    """The k best (score, id) of each query so far, ties to the smaller id; if ids ``repeat``, each with its best score only."""
 
-    def __init__(self, queries: int, k: int, floor: np.ndarray):
-        self.k, self.floor = k, floor
+    def __init__(self, queries: int, k: int, floor: np.ndarray, repeat: bool = False):
+        self.k, self.floor, self.repeat = k, floor, repeat
         self.kth = floor.copy()
         self.held: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))] * queries
 
     def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
         scores, ids = np.r_[self.held[q][0], scores], np.r_[self.held[q][1], ids]
-        order = np.lexsort((ids, -scores))[: self.k]
+        order = np.lexsort((ids, -scores))
+        if self.repeat:
+            order = order[np.sort(np.unique(ids[order], return_index=True)[1])]
+        order = order[: self.k]
         self.held[q] = scores[order], ids[order]
         if len(order) == self.k:
             self.kth[q] = max(self.floor[q], scores[order[-1]])
@@ -76,7 +79,7 @@ class Best:
 
 def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> Best:
     """The k best rows of ``x`` for each query, none below its floor and not the query itself."""
-    best = Best(len(q), k, floor)
+    best = Best(len(q), k, floor, len(np.unique(ids)) < len(ids))
     largest = int(max(np.abs(x).max(), np.abs(q).max())) if x.size else 0
     exact = largest * largest * x.shape[1] < 2**53  # else in Python's whole numbers
     xf, qf = x.astype(np.float64), q.astype(np.float64)
@@ -152,9 +155,10 @@ def top_k(
     the smaller vec_id. Candidates are all rows but those with the query's own id; a query with
     fewer candidates returns them all. Vectors of different lengths do not meet. Rows without id,
     vector or with a component that is null or not finite take no part; an id that comes twice is
-    one query, with the best of what its vectors find; an empty table gives an empty result.
+    one query, with the best of what its vectors find, and one candidate, with its vectors' largest
+    score; an empty table gives an empty result.
     """
-    rows = checkpoint(whole_numbers(vectors, scale).withColumn("_dim", F.size("v")))
+    rows = checkpoint(whole_numbers(vectors, scale).distinct().withColumn("_dim", F.size("v")))
     n, n_queries = rows.count(), rows.where(is_query).count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // query_rows))
     rows = rows.withColumn("_shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
@@ -164,14 +168,14 @@ def top_k(
     if shards == 1:
         found = home
     else:
-        full = home.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k)
+        full = home.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k)
         floors = queries.join(full, queries["vec_id"] == full["query_id"], "left").select(
             "vec_id", "v", "_dim", "_block", "_shard", F.coalesce("kth", F.lit(LOWEST)).alias("floor")
         )
         away = floors.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("_to <> _shard")
         away = away.select("vec_id", "v", "_dim", "_block", F.col("_to").alias("_shard"), "floor")
         found = home.unionByName(_searched(held, away, k))
-    found = found.distinct()
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", _ranked(found)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
