@@ -320,7 +320,7 @@ def minimum_detectable_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def birds_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Individuals per group for an effect of two standard deviations, by simulated permutation tests."""
-    return G.birds_needed(G.power_by_size(spark, 0.1, 0.05, max_n=12, n_simulations=200, n_permutations=500))
+    return G.birds_needed(G.power_by_size(spark, 0.1, 0.05))
 
 
 @query()
@@ -328,9 +328,9 @@ def drift_against_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole analysis on events: two halves of the users as individuals, drift of every day pair over its floors."""
     from driftloom.plans.analysis import AnalysisConfig, analyse_points
 
-    rows = T.events(spark, sf_dir).where("day < date '2024-01-09'").withColumn("bird", (F.col("user_id") % 2).cast("string"))
+    rows = T.events(spark, sf_dir).withColumn("bird", (F.col("user_id") % 2).cast("string"))
     points = M.points(rows.withColumn("label", F.col("event_type")), ["bird", "day", "label"], "user_id", "value")
-    found = analyse_points(points, AnalysisConfig(min_renditions=10, min_bouts=4, n_boot=N_BOOT, n_null=N_DRAWS))
+    found = analyse_points(points, AnalysisConfig(min_renditions=10, min_bouts=4))
     numbers = ["centroid_drift", "centroid_drift_standardised", "dispersion_drift", "dispersion_drift_abs"]
     counts = ["separation_days", "n_types", "n_types_exceeding_centroid_floor", "n_types_exceeding_dispersion_floor"]
     return found.pairs.select("bird", "day_a", "day_b", *counts, *[rounded(c).alias(c) for c in numbers])

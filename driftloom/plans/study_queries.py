@@ -78,14 +78,12 @@ def manipulation_study(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sensitivity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least detectable effect by bouts per side and types averaged."""
-    points = labelled_events(spark, sf_dir).where("day < date '2024-01-06'")
-    return studies.sensitivity(points, (5, 10, 20), (1, 3, 5), 2000.0, (0.05, 0.1, 0.5, 1.0, 2.0), 3, 40)
+    return studies.sensitivity(labelled_events(spark, sf_dir), (5, 10, 20), (1, 3, 5), 2000.0, (0.05, 0.1, 0.5, 1.0, 2.0))
 
 
 @query()
 def dispersion_sensitivity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = labelled_events(spark, sf_dir).where("day < date '2024-01-06'")
-    return studies.dispersion_sensitivity(points, (5, 10, 20), n_draws=40)
+    return studies.dispersion_sensitivity(labelled_events(spark, sf_dir), (5, 10, 20))
 
 
 @query()
