@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,19 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it, or None."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
+    Where it is unset, a session whose tasks run in the driver's own process (``local``) gets a
+    temporary folder; on a cluster that is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="driftloom-")
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder, its lineage cut.
 
-    Only a session for which no folder is set (a test on one machine) gets a temporary one.
-    """
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` written to the cluster's shared checkpoint folder, its lineage cut."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession) or tempfile.mkdtemp(prefix="driftloom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -1,20 +1,25 @@
 """Near-duplicates by the exact Jaccard similarity of distinct five-word shingles.
 
-Candidates come from MinHash: 40 bands of 4 minima each. A pair of similarity s shares no band with a
-probability of (1 - s^4)^40, 7e-10 at 0.8, whatever its length. The bands only propose: rows that
-share one are compared by their whole sets of shingles, and only pairs of similarity 0.8 or more are
-links. The documents of a component of links are near copies of each other.
-
-Rows of equal sets are one node. The bands are taken in passes; a later pass looks only at buckets
-whose nodes are not one component yet, and of buckets with the same nodes at one. A large bucket is
-compared block against block, each pair of blocks in a group of its own, and of a group only a
-spanning forest of the links is passed on.
+Candidates come from the anchor-point covering of :mod:`simhash`, over 256-bit SimHashes of the
+distinct shingles. Sets of similarity 0.8 have a cosine of 0.89, so each bit differs with a
+probability of 0.15, and two fingerprints in 39 bits, 5.7 being the standard deviation; near are
+those that differ in 60 bits or fewer. A table looks at ``width`` bits and forgives one; there are
+as many tables as a pair at 0.8 needs to meet in one of them with a probability of 0.995, and width
+grows with the number of rows, so that an anchor holds few rows that only chance has led there.
+
+Candidates are checked by their whole sets, and only pairs of similarity 0.8 or more are links. The
+documents of a component of links are near copies of each other. Sets that are equal are one node.
+
+A dense group would have as many candidates as pairs. So candidates come in two passes: first each
+node with the smallest of its near nodes at an anchor (by a hash that is the same everywhere, so a
+group gathers round few nodes), and then, of the nodes that had any, all near pairs whose ends the
+checked links do not connect yet.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,61 +28,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.llm.common import checkpoint, components, partitions
-from driftloom.llm.simhash import SEED, forest, one_of_each, with_components
+from driftloom.llm.simhash import (
+    SEED,
+    SMALL,
+    SQUARE,
+    Scheme,
+    Table,
+    block_pairs,
+    by_anchor,
+    groups,
+    majority,
+    near,
+    one_of_each,
+    shingle_hashes,
+    signed,
+    small_pairs,
+    whole_anchors,
+    with_components,
+)
 
 SHINGLE = 5
-BANDS, MINIMA = 40, 4
-#: The ends of the passes over the bands.
-PASSES = (2, 10, BANDS)
 #: Least similarity, as a fraction.
 OVER, UNDER = 4, 5
-#: Nodes of a block; columns of shingles that are multiplied at once; values hashed at once; rows gathered before groups are compared.
-BLOCK, COLUMNS, CHUNK, ROWS = 256, 4096, 1024, 2000
-_DRAWN = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * MINIMA), dtype=np.uint64)
-SALTS, FACTORS = _DRAWN[0], _DRAWN[1] | np.uint64(1)
+WORDS, LIMIT, RECALL = 4, 60, 0.995
+#: Bits of a table at least: those of the code.
+LEAST_WIDTH = 15
+#: Candidates of one node that a group of the check holds, about.
+SPOKES = 512
+#: Nodes that the first pass takes as the centres of one large anchor, at most.
+CENTRES = 64
+
+
+def scheme_for(rows: int) -> Scheme:
+    """The tables for so many distinct sets."""
+    width = max(LEAST_WIDTH, math.ceil(math.log2(max(rows, 2))) - 4)
+    similarity = OVER / UNDER
+    differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    meets = (1 - differs) ** width + width * differs * (1 - differs) ** (width - 1)
+    count = math.ceil(math.log(1 - RECALL) / math.log(1 - meets))
+    per = 64 * WORDS // width
+    tables = []
+    for i in range(count):  # side by side as far as the bits go, then again over the bits in another order
+        bits = np.random.default_rng(i // per).permutation(64 * WORDS) if i >= per else np.arange(64 * WORDS)
+        tables.append(Table(tuple((int(b), 1) for b in bits[i % per * width :][:width]), 1))
+    return Scheme(WORDS, LIMIT, tuple(tables))
 
 
 def shingles(text: str | None) -> np.ndarray:
     """The distinct five-word shingles of a text, hashed and sorted; a shorter text is one shingle; none without words."""
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
-    if len(tokens) <= SHINGLE:
-        return np.array([digest(joined, SEED)], np.uint64)
-    ends = list(accumulate(len(w) + 1 for w in tokens))
-    starts = [0, *ends[: len(tokens) - SHINGLE]]
-    found = (digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :]))
-    return np.unique(np.fromiter(found, np.uint64, len(starts)))
-
-
-def bands(found: np.ndarray) -> np.ndarray:
-    """A hash of each band of a set of shingles; none of an empty set."""
-    if not len(found):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * MINIMA, 2**64 - 1, np.uint64)
-    for i in range(0, len(found), CHUNK):
-        least = np.minimum(least, ((found[i : i + CHUNK, None] ^ SALTS) * FACTORS).min(axis=0))
-    rows = least.reshape(BANDS, MINIMA)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64)
-
-
-def node(found: np.ndarray) -> int:
+    return np.unique(shingle_hashes(text, SHINGLE))
+
+
+def name(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
 
 
 def _fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, h (a hash of the text), fp (the node), bands of every row."""
+    """doc_id, h (a hash of the text), fp (the node), any (whether it has words), f0, ... (the SimHash) of every row."""
+    words = [f"f{i}" for i in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch.column("text")]
-            names = pa.array([node(s) for s in sets], pa.int64())
-            hashes = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), names, hashes], ["doc_id", "h", "fp", "bands"])
+            simhashes = np.array([majority(s, WORDS) for s in sets], np.uint64).reshape(-1, WORDS)
+            columns = [pa.array([name(s) for s in sets], pa.int64()), pa.array([len(s) > 0 for s in sets]), *map(signed, simhashes.T)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *columns], ["doc_id", "h", "fp", "any", *words])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h long, fp long, bands array<long>")
+    schema = ", ".join([f"doc_id {kind}", "h long", "fp long", "any boolean", *(f"{w} long" for w in words)])
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -86,114 +105,151 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch.column("text")]
-            columns = [pa.array([node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            columns = [pa.array([name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["node", "shingles"])
 
-    texts = docs.select(F.xxhash64("text").alias("h"), "text").join(needed, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
-    return texts.mapInArrow(run, "node long, shingles binary")
-
-
-def similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The places of all pairs whose Jaccard similarity is 0.8 or more."""
-    size = np.array([len(s) for s in sets], np.int64)
-    row = np.repeat(np.arange(len(sets)), size)
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times > 1
-    place = np.cumsum(shared) - 1
-    keep = shared[column]
-    row, column = row[keep], place[column[keep]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    common = np.zeros((len(sets), len(sets)), np.float64)
-    for first in range(0, int(shared.sum()), COLUMNS):
-        at = slice(*np.searchsorted(column, [first, first + COLUMNS]))
-        held = np.zeros((len(sets), min(COLUMNS, int(shared.sum()) - first)), np.float32)
-        held[row[at], column[at] - first] = 1
-        common += held @ held.T
-    linked = (OVER + UNDER) * common >= OVER * (size[:, None] + size[None, :])
-    return np.nonzero(np.triu(linked, 1))
-
-
-def _links(members: DataFrame) -> DataFrame:
-    """Links ``a``, ``b`` that connect the nodes of each bucket as its similar pairs do; ``members`` has bucket, lo, hi, node, shingles."""
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").join(needed, "h", "left_semi")
+    return texts.groupBy("h").agg(F.first("text").alias("text")).mapInArrow(run, "node long, shingles binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[tuple, int, bytes]] = []
 
-        def passed() -> pa.RecordBatch:
-            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-            begin = 0
-            for end in range(1, len(held) + 1):
-                if end < len(held) and held[end][0] == held[begin][0]:
-                    continue
-                if end - begin > 1:
-                    names = np.array([x[1] for x in held[begin:end]], np.int64)
-                    a, b = similar([np.frombuffer(x[2], np.uint64) for x in held[begin:end]])
-                    if len(a):
-                        out.append(forest(names[a], names[b]))
-                begin = end
-            a, b = (np.concatenate(x) for x in zip(*out))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+def _rank(node: np.ndarray) -> np.ndarray:
+    """An order of nodes that is the same at every anchor."""
+    return node * np.uint64(0x9E3779B97F4A7C15)
 
-        for batch in batches:
-            for x in batch.to_pylist():
-                key = (x["bucket"], x["lo"], x["hi"])
-                if len(held) >= ROWS and held[-1][0] != key:
-                    yield passed()
-                    held.clear()
-                held.append((key, x["node"], x["shingles"]))
-        if held:
-            yield passed()
-
-    n = partitions(members.sparkSession)
-    dealt = members.repartition(n, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    return dealt.mapInArrow(run, "a long, b long")
 
+def centred(at: np.ndarray, fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(centre, node): at each anchor, each node with the first of its near nodes in rank order.
+
+    Of an anchor of over SQUARE rows the first CENTRES nodes are centres, and each other node goes to the first that it is near to.
+    """
+    begin, size, own = groups(at)
+    p, q = [], []
+    for a, b in small_pairs(at, fp, LIMIT):
+        p.append(a)
+        q.append(b)
+    big = (size > SMALL) & (own > 0)
+    for k, n, m in zip(begin[big], size[big], own[big]):
+        x = fp[k : k + n]
+        if n <= SQUARE:
+            for a, b in block_pairs(x[:m], x, LIMIT):
+                p.append(a + k)
+                q.append(b + k)
+            continue
+        rest = np.argsort(_rank(node[k : k + n]), kind="stable")
+        for _ in range(CENTRES):
+            if len(rest) < 2:
+                break
+            centre, rest = rest[0], rest[1:]
+            hit = near(x[rest], x[centre], LIMIT)
+            p.append(np.full(int(hit.sum()), centre + k))
+            q.append(rest[hit] + k)
+            rest = rest[~hit]
+    none = np.zeros(0, np.int64)
+    p, q = np.concatenate([none, *p]), np.concatenate([none, *q])
+    low = _rank(node[p]) <= _rank(node[q])
+    p, q = np.where(low, p, q), np.where(low, q, p)
+    order = np.lexsort((_rank(node[p]), at[q] >> 1, q))
+    first = order[np.r_[True, q[order][1:] != q[order][:-1]]] if len(order) else order
+    return node[p[first]], node[q[first]]
+
+
+def unconnected(at: np.ndarray, fp: np.ndarray, node: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one, other): all near pairs of the anchors whose roots differ; at a large anchor the other is in its largest component, if either is."""
+    begin, size, own = groups(at)
+    out = []
+    for a, b in small_pairs(at, fp, LIMIT):
+        keep = root[a] != root[b]
+        out.append((a[keep], b[keep]))
+    big = (size > SMALL) & (own > 0)
+    for k, n, _m in zip(begin[big], size[big], own[big]):
+        roots, times = np.unique(root[k : k + n], return_counts=True)
+        inside = root[k : k + n] == roots[times.argmax()]
+        order = np.r_[np.flatnonzero(~inside), np.flatnonzero(inside)] + k
+        rest = int((~inside).sum())
+        mine = (at[order] & 1) == 0
+        for a, b in block_pairs(fp[order[:rest]], fp[order], LIMIT):
+            keep = (a < b) & (mine[a] | mine[b])
+            a, b = order[a[keep]], order[b[keep]]
+            keep = root[a] != root[b]
+            out.append((a[keep], b[keep]))
+    none = np.zeros(0, np.int64)
+    a, b = (np.concatenate([none, *x]) for x in (zip(*out) if out else ((), ())))
+    return node[a], node[b]
+
+
+def _candidates(nodes: DataFrame, scheme: Scheme, rooted: bool) -> DataFrame:
+    """Distinct pairs ``a``, ``b``: with ``rooted``, those that are not connected yet."""
+    keep = ("fp", "root") if rooted else ("fp",)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, values in whole_anchors(batches, [*scheme.names, *keep]):
+            fp, rest = values[:, : scheme.words], values[:, scheme.words :].T
+            a, b = unconnected(at, fp, *rest) if rooted else centred(at, fp, *rest)
+            yield pa.RecordBatch.from_arrays([signed(a), signed(b)], ["a", "b"])
+
+    return by_anchor(nodes, scheme, keep).mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
-def _rooted(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``nodes`` with the root of each one's component."""
-    if links is None:
-        return nodes.withColumn("root", F.col("node"))
-    return nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
+def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose similarity is 0.8 or more; those of one ``a`` are dealt out by some SPOKES at a time."""
 
-def _open(postings: DataFrame) -> DataFrame:
-    """bucket, blocks: the buckets that are not one component yet, one of those with the same nodes."""
-    mark = F.xxhash64("node", F.lit(1))
-    each = postings.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"),
-        F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(mark).alias("two"),
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, centre = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b = [], []
+            for x, salt, y, raw in zip(*(batch.column(c) for c in ("a", "salt", "b", "shingles"))):
+                found = np.frombuffer(raw.as_buffer(), np.uint64)
+                if y.as_py() is None:
+                    key, centre = (x, salt), found
+                    continue
+                if key != (x, salt):
+                    raise ValueError("a pair without its first set")
+                size = len(found) + len(centre)
+                if OVER * size > (OVER + UNDER) * min(len(found), len(centre)):
+                    continue
+                common = len(np.intersect1d(found, centre, assume_unique=True))
+                if (OVER + UNDER) * common >= OVER * size:
+                    a.append(x.as_py())
+                    b.append(y.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPOKES).cast("int").alias("parts"))
+    salt = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
+    spokes = pairs.join(parts, "a").select("a", salt.alias("salt"), "b")
+    spokes = spokes.join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "shingles")
+    centres = parts.join(sets.withColumnRenamed("node", "a"), "a").select(
+        "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "shingles"
     )
-    each = each.where("low <> high").groupBy("n", "one", "two").agg(F.min("bucket").alias("bucket"))
-    return each.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    n = partitions(pairs.sparkSession)
+    dealt = centres.unionByName(spokes).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     """doc_id, h (a hash of the text), fp (the node), root, component_id of every row of ``docs``.
 
-    Null and wordless texts are one node; rows with one set of shingles are one node; a null doc_id is
-    never the smallest, and a component without any other has a null component_id; an empty table
-    gives an empty result; no column but doc_id and text is read.
+    Null and wordless texts are one node; rows with one set of shingles are one node, so repeated
+    rows and ties cost nothing; a text of any length is read whole; a null doc_id is never the
+    smallest, and a component without any other has a null component_id; an empty table gives an
+    empty result; no column but doc_id and text is read.
     """
     fps = checkpoint(_fingerprints(docs))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("h").alias("h"), F.first("bands").alias("bands"))
-    nodes = checkpoint(nodes)
-    postings = nodes.select(F.col("fp").alias("node"), "h", F.posexplode("bands").alias("band", "bucket"))
-    several = postings.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    postings = checkpoint(postings.join(several, "bucket", "left_semi"))
-    sets = checkpoint(_sets(docs, postings.select("h").distinct()))
-    links = None
-    for first, end in zip((0, *PASSES), PASSES):
-        now = postings.where((F.col("band") >= first) & (F.col("band") < end)).select("bucket", "node")
-        now = checkpoint(_rooted(now, links))
-        members = now.join(_open(now), "bucket").withColumn("_block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
-        members = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        members = members.select("bucket", F.least("_block", "_other").alias("lo"), F.greatest("_block", "_other").alias("hi"), "node")
-        found = _links(members.join(sets, "node"))
-        links = checkpoint(found if links is None else links.unionByName(found))
+    words = [f"f{i}" for i in range(WORDS)]
+    firsts = [F.first(c).alias(c) for c in ("any", *words)]
+    nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("h").alias("h"), *firsts))
+    scheme = scheme or scheme_for(nodes.count())
+    pairs = checkpoint(_candidates(nodes.where("any"), scheme, rooted=False))
+    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    needed = checkpoint(nodes.join(ends, "fp", "left_semi"))
+    sets = checkpoint(_sets(docs, needed.select("h")))
+    links = checkpoint(_checked(pairs, sets))
+    rooted = needed.join(components(links).withColumnRenamed("node", "fp"), "fp", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
+    more = checkpoint(_candidates(rooted, scheme, rooted=True).join(pairs, ["a", "b"], "left_anti"))
+    links = links.unionByName(_checked(more, sets))
     return with_components(fps, nodes.select("fp", "first"), components(links))
 
 
 def one_of_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, one of each component of near copies: that of the smallest doc_id, as ``representatives`` has it."""
+    """The rows of ``docs``, one of each component of near copies, as ``simhash.one_of_each`` chooses it."""
     return one_of_each(docs, near_copies(docs))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from driftloom.llm import neardup
+from driftloom.llm import neardup, simhash
 
 from . import data
 
@@ -44,15 +44,25 @@ def copies():
     return rows
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_near_copies_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(neardup, "BLOCK", block)
+@pytest.mark.parametrize("small", [(16, 2048), (2, 8)])
+def test_near_copies_equal_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(neardup, "SMALL", small[0])
+    monkeypatch.setattr(simhash, "SMALL", small[0])
+    monkeypatch.setattr(neardup, "SQUARE", small[1])
     source = copies()
     df = data.clashing(spark.createDataFrame(source, data.DOCS))
     assert data.as_rows(neardup.near_copies(df), "doc_id", "component_id") == brute(source)
     assert neardup.near_copies(data.empty(spark)).count() == 0
 
 
+def test_whole_table_equals_brute_force(spark):
+    source = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    found = neardup.near_copies(spark.createDataFrame(source, "doc_id long, text string"))
+    got, want = (sorted(x) for x in (data.as_rows(found, "doc_id", "component_id"), brute(source)))
+    assert sum(g == w for g, w in zip(got, want)) >= 0.998 * len(want)
+    assert all(g[1] >= w[1] for g, w in zip(got, want))  # nothing is joined that brute force does not join
+
+
 def test_stage_keeps_what_is_less_similar(spark):
     rng = random.Random(1)
     rows = []
@@ -68,11 +78,19 @@ def test_stage_keeps_what_is_less_similar(spark):
     assert kept.count() == len(rows)
 
 
-def test_bands_meet_at_the_least_similarity():
-    rng = np.random.default_rng(0)
-    for n in (9, 90, 900):
-        for _ in range(300):
+@pytest.mark.parametrize("rows", [1000, 2**30])
+def test_candidates_at_the_least_similarity(rows):
+    """Pairs of sets at 0.8: nearly all are near, and meet at an anchor of some table."""
+    rng, scheme = np.random.default_rng(0), neardup.scheme_for(rows)
+    assert all(t.width == scheme.tables[0].width for t in scheme.tables)
+    for n in (9, 36, 90, 900):
+        a, b = [], []
+        for _ in range(400):
             x = rng.integers(0, 2**63, n + n // 9, dtype=np.uint64)
-            a, b = np.unique(x[:n]), np.unique(x[n // 9 :])
-            assert 0.79 < jaccard(set(a.tolist()), set(b.tolist())) < 0.81
-            assert (neardup.bands(a) == neardup.bands(b)).any()
+            a.append(simhash.majority(x[:n], neardup.WORDS))
+            b.append(simhash.majority(x[n // 9 :], neardup.WORDS))
+        a, b = np.array(a), np.array(b)
+        met = np.zeros(len(a), bool)
+        for t in scheme.tables:
+            met |= np.bitwise_count(t.values(a) ^ t.values(b)) <= t.threshold
+        assert (met & simhash.near(a, b, scheme.limit)).mean() > (0.9 if n == 9 else 0.95)
