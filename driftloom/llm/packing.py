@@ -1,11 +1,18 @@
 """Lexical retrieval packing: windows filled with BM25 neighbours of a seed document.
 
-Documents are dealt by hash into shards of some 4 MB of text, each with an inverted index over the
-token ids of its documents. In a shard, documents become seeds in order of doc_id. A seed's tokens
-fill windows of 1,024; its last, unfinished window is filled from the unused documents in order of
-their BM25 score for the seed's most telling terms (documents that share none come last), each as
-far as it fits: what is cut off stays unused and is a seed or a neighbour later. So every window but
-a shard's last is full, and the last is split into sequences of powers of two: no padding at all.
+Terms are token ids. Document frequencies, the number of documents and their mean length are counted
+over all documents first. Documents are then dealt by content: in order of the two terms of greatest
+BM25 weight, and this order is cut into spans of even size for the shuffle, where a pair of terms
+with more than its share of all tokens is spread over spans of its own. Within a partition the
+documents come in that order, and each run of some two million tokens is a shard with an inverted
+index of its own, so a document's lexical neighbours are in its shard.
+
+In a shard, documents become seeds in order. A seed's tokens fill windows of 1,024; its last,
+unfinished window is filled from the unused documents in order of their BM25 score for all of the
+seed's terms (documents that share none come last), each as far as it fits: what is cut off stays
+unused and is a seed or a neighbour later. What a shard can't fill goes on into the next shard of
+the partition; only a partition's last window is split into sequences of powers of two. So there is
+no padding at all.
 """
 
 from __future__ import annotations
@@ -21,21 +28,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import table
+from driftloom.llm.common import checkpoint, partitions, table
 
 WINDOW = 1024
 END = 0
-SHARD_BYTES, SHARD_ROWS = 4 << 20, 4096
+#: Tokens and documents of a shard: the last document is the one that reaches either.
+SHARD_TOKENS, SHARD_ROWS = 2 << 20, 4096
 K1, B = 1.2, 0.75
-#: The seed's terms that ask for neighbours: those of the greatest BM25 weight.
-QUERY_TERMS = 24
 VOCABULARY = "byte_bpe_50k"
-Piece = tuple[int, int, int, int, int]
+#: Spans of the order by content for each shuffle partition.
+SPANS = 4
+Piece = tuple[object, int, int, int, int, int, int]
 
 
 @cache
-def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], list[int]]:
-    """The ids of a text by the public vocabulary of that name; its special strings are ordinary text.
+def ranks(vocabulary: str) -> dict[bytes, int]:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
+@cache
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """The special strings that the tokenizer file knows, with their ids."""
+    return {t.content: i for i, t in _tokenizer(vocabulary, True).get_added_tokens_decoder().items()}
+
+
+@cache
+def encoder(vocabulary: str = VOCABULARY, special: bool = False) -> Callable[[str], list[int]]:
+    """The ids of a text by the public vocabulary of that name; with ``special``, its special strings have their own ids.
 
     The ranks of the vocabulary give the same ids as its tokenizer file at several times the speed;
     texts that the quicker library gives up on go through the tokenizer file.
@@ -43,111 +65,142 @@ def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], list[int]]:
     import public_tokenizers
     import tiktoken
 
-    with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    quick = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    known = added_tokens(vocabulary) if special else {}
+    quick = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(vocabulary), special_tokens=known)
 
     def encode(text: str) -> list[int]:
         try:
-            return quick.encode_ordinary(text)
+            return quick.encode(text, allowed_special="all", disallowed_special=())
         except BaseException as stopped:  # the library panics on some very long runs of spaces
             if type(stopped).__name__ != "PanicException" and not isinstance(stopped, ValueError):
                 raise
-            return slow_encoder(vocabulary)(text)
+            return _tokenizer(vocabulary, special).encode(text, add_special_tokens=False).ids
 
     return encode
 
 
 @cache
-def slow_encoder(vocabulary: str) -> Callable[[str], list[int]]:
+def _tokenizer(vocabulary: str, special: bool):  # noqa: ANN202
     import public_tokenizers
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-    tokenizer.encode_special_tokens = True
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    tokenizer.encode_special_tokens = not special
+    return tokenizer
+
+
+def size_of(vocabulary: str = VOCABULARY) -> int:
+    return max(*ranks(vocabulary).values(), *added_tokens(vocabulary).values()) + 1
+
+
+def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, in order, and how often each comes."""
+    s = np.sort(ids)
+    begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    return s[begin], np.diff(np.r_[begin, len(s)])
+
+
+class Statistics:
+    """The number of documents, their mean length and each term's inverse document frequency, over all documents."""
+
+    def __init__(self, documents: int, tokens: int, df: np.ndarray):
+        self.mean = max(1.0, tokens / max(1, documents))
+        self.df = df
+        self.idf = np.log1p((documents - df + 0.5) / (df + 0.5))
+
+    def weights(self, terms: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+        return self.idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * length / self.mean))
+
+    def place(self, ids: np.ndarray) -> tuple[int, int]:
+        """The two terms of greatest weight of those that another document has too; ties go to the smaller term, 0 where there is none."""
+        terms, counts = terms_of(ids)
+        shared = self.df[terms] > 1
+        terms, weight = terms[shared], self.weights(terms, counts, len(ids))[shared]
+        best = [int(t) for t in terms[np.lexsort((terms, -weight))[:2]]] if len(terms) else []
+        return tuple([*best, 0, 0][:2])
 
 
 class Index:
-    """BM25 over the documents of a shard; terms are token ids."""
-
-    def __init__(self, docs: list[np.ndarray]):
-        n = len(docs)
-        lengths = np.array([len(d) for d in docs], np.float64)
-        terms, counts = [], []
-        for d in docs:
-            s = np.sort(d.astype(np.uint16), kind="stable")
-            begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            terms.append(s[begin])
-            counts.append(np.diff(np.r_[begin, len(s)]))
-        term = np.concatenate(terms)
-        doc = np.repeat(np.arange(n), [len(t) for t in terms])
-        tf = np.concatenate(counts).astype(np.float64)
-        df = np.bincount(term, minlength=1 << 16)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / lengths.mean()))
-        self.terms, self.weights = terms, np.split(weight, np.cumsum([len(t) for t in terms])[:-1])
+    """An inverted index with BM25 weights over the documents of a shard."""
+
+    def __init__(self, docs: list[np.ndarray], statistics: Statistics):
+        found = [terms_of(d) for d in docs]
+        self.terms, self.n = [t for t, _ in found], len(docs)
+        weights = [statistics.weights(t, c, len(d)) for (t, c), d in zip(found, docs)]
+        term = np.concatenate(self.terms)
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight, self.df = doc[order], weight[order], df
-        self.begin = np.r_[0, np.cumsum(df)]
-        self.n = n
+        self.doc = np.repeat(np.arange(self.n), [len(t) for t in self.terms])[order]
+        self.weight = np.concatenate(weights)[order]
+        self.begin = np.r_[0, np.cumsum(np.bincount(term, minlength=len(statistics.df)))]
 
     def scores(self, seed: int) -> np.ndarray:
-        """The BM25 score of every document of the shard for the seed's most telling terms."""
-        terms, weights = self.terms[seed], self.weights[seed]
-        shared = self.df[terms] > 1
-        terms, weights = terms[shared], weights[shared]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-weights, QUERY_TERMS)[:QUERY_TERMS]]
-        out = np.zeros(self.n)
-        for t in terms:
-            at = slice(self.begin[t], self.begin[int(t) + 1])
-            out[self.doc[at]] += self.weight[at]
-        return out
-
-
-def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[Piece]:
-    """Pieces (document, start, length, sequence, offset) of the token arrays, none of which is empty."""
-    index, sequence = Index(docs), 0
-    length = np.array([len(d) for d in docs])
-    start = np.zeros(len(docs), np.int64)
-    unused = np.ones(len(docs), bool)
-    upcoming = list(range(len(docs)))
-    heapq.heapify(upcoming)
-    while upcoming:
-        seed = heapq.heappop(upcoming)
-        if not unused[seed]:
-            continue
-        while length[seed] - start[seed] >= window:
-            yield seed, int(start[seed]), window, sequence, 0
-            start[seed] += window
-            sequence += 1
-        filled = int(length[seed] - start[seed])
-        unused[seed] = False
-        if not filled:
-            continue
-        parts = [(seed, int(start[seed]), filled)]
-        for other in _neighbours(index, seed, unused, upcoming):
-            take = int(min(window - filled, length[other] - start[other]))
-            parts.append((other, int(start[other]), take))
-            start[other] += take
-            filled += take
-            unused[other] = start[other] < length[other]
-            if filled == window:
-                break
-        if filled == window:
-            offset = 0
-            for doc, begin, n in parts:
-                yield doc, begin, n, sequence, offset
-                offset += n
-            sequence += 1
-        else:  # the shard's last tokens
-            for piece in _powers(parts, filled, sequence):
-                yield piece
-                sequence = piece[3] + 1
-
-
-def _neighbours(index: Index, seed: int, unused: np.ndarray, upcoming: list[int]) -> Iterator[int]:
+        """The BM25 score of every document of the shard for all of the seed's terms."""
+        terms = self.terms[seed].astype(np.int64)
+        first, count = self.begin[terms], self.begin[terms + 1] - self.begin[terms]
+        at = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+        return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
+
+
+class Packer:
+    """Fills windows shard after shard; ``parts`` is the window that is not full yet."""
+
+    def __init__(self, statistics: Statistics, window: int, first_sequence: int):
+        self.statistics, self.window, self.sequence = statistics, window, first_sequence
+        self.parts: list[tuple[object, np.ndarray, int, int]] = []
+        self.filled = 0
+
+    def shard(self, names: list, docs: list[np.ndarray]) -> Iterator[Piece]:
+        """The pieces (name, start, length, crc, tokens, sequence, offset) of the windows that become full; no array is empty."""
+        index = Index(docs, self.statistics)
+        length, start = np.array([len(d) for d in docs]), np.zeros(len(docs), np.int64)
+        unused, upcoming = np.ones(len(docs), bool), list(range(len(docs)))
+
+        def put(doc: int) -> None:
+            take = int(min(self.window - self.filled, length[doc] - start[doc]))
+            self.parts.append((names[doc], docs[doc], int(start[doc]), take))
+            start[doc] += take
+            self.filled += take
+            unused[doc] = start[doc] < length[doc]
+
+        while upcoming:
+            seed = heapq.heappop(upcoming)
+            while unused[seed]:
+                put(seed)
+                if self.filled == self.window:
+                    yield from self.full()
+            if self.filled:
+                for other in neighbours(index, seed, unused, upcoming):
+                    put(other)
+                    if self.filled == self.window:
+                        yield from self.full()
+                        break
+
+    def full(self, room: int | None = None) -> Iterator[Piece]:
+        offset = 0
+        for name, ids, begin, n in self.parts:
+            crc = zlib.crc32(ids[begin : begin + n].astype("<u4").tobytes())
+            yield name, begin, n, crc, len(ids), self.sequence, offset
+            offset += n
+        self.parts, self.filled, self.sequence = [], 0, self.sequence + 1
+
+    def rest(self) -> Iterator[Piece]:
+        """The last tokens, cut into sequences whose lengths are the powers of two of their sum."""
+        left, self.parts, total = self.parts[::-1], [], self.filled
+        while total:
+            room = 1 << (total.bit_length() - 1)
+            total -= room
+            while room:
+                name, ids, begin, n = left.pop()
+                take = min(n, room)
+                self.parts.append((name, ids, begin, take))
+                room -= take
+                if take < n:
+                    left.append((name, ids, begin + take, n - take))
+            yield from self.full()
+
+
+def neighbours(index: Index, seed: int, unused: np.ndarray, upcoming: list[int]) -> Iterator[int]:
+    """The unused documents by score, ties in order, then those that share no term, in order; callers use up each before the next."""
     scores = np.where(unused, index.scores(seed), 0.0)
     for many in (8, len(scores)):
         top = np.argpartition(-scores, many - 1)[:many] if many < len(scores) else np.arange(len(scores))
@@ -161,51 +214,132 @@ def _neighbours(index: Index, seed: int, unused: np.ndarray, upcoming: list[int]
             heapq.heappop(upcoming)
 
 
-def _powers(parts: list[tuple[int, int, int]], total: int, sequence: int) -> Iterator[Piece]:
-    """The last tokens, cut into sequences whose lengths are the powers of two of their sum."""
-    room, offset = 1 << (total.bit_length() - 1), 0
-    for doc, begin, n in parts:
-        while n:
-            take = min(n, room - offset)
-            yield doc, begin, take, sequence, offset
-            begin, n, total, offset = begin + take, n - take, total - take, offset + take
-            if offset == room and total:
-                sequence, offset, room = sequence + 1, 0, 1 << (total.bit_length() - 1)
-
-
-def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY) -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, h (a hash of the text), ids (the bytes of its token ids and the end id) of every row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    unsigned = np.uint16 if size_of(vocabulary) <= 1 << 16 else np.uint32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(vocabulary, True)
+        for batch in batches:
+            ids = [np.array([*encode(t.as_py() or ""), END], unsigned).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(ids, pa.binary())], ["doc_id", "h", "ids"])
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, h long, ids binary")
+
+
+def statistics_of(rows: DataFrame, vocabulary: str = VOCABULARY) -> Statistics:
+    """Counted over all ``encoded`` rows; what comes to the driver is a row for each term of the vocabulary at most."""
+    size = size_of(vocabulary)
+    unsigned = np.uint16 if size <= 1 << 16 else np.uint32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, documents, tokens = np.zeros(size, np.int64), 0, 0
+        for batch in batches:
+            for raw in batch.column("ids"):
+                ids = np.frombuffer(raw.as_buffer(), unsigned)
+                df[np.unique(ids)] += 1
+                documents, tokens = documents + 1, tokens + len(ids)
+        term = np.r_[-2, -1, np.flatnonzero(df)]
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(np.r_[documents, tokens, df[df > 0]])], ["term", "n"])
+
+    found = dict(map(tuple, rows.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect()))
+    df = np.zeros(size, np.int64)
+    for t, n in found.items():
+        if t >= 0:
+            df[t] = n
+    return Statistics(found.get(-2, 0), found.get(-1, 0), df)
+
+
+def placed(rows: DataFrame, statistics: Statistics, spans: int) -> DataFrame:
+    """``rows`` with one, two (the terms they are placed by), span and size.
+
+    The driver gets the sum of tokens for each first term, and of each pair of terms that holds more
+    than a quarter of a span (at most four for each span), and lays them out by number; a row stands
+    in its first term's share by a hash of the second, in a large pair's share by a hash of its own.
+    """
+    unsigned = np.uint16 if len(statistics.df) <= 1 << 16 else np.uint32
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields]
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(x.as_buffer(), unsigned) for x in batch.column("ids")]
+            one, two = np.array([statistics.place(x) for x in ids], np.int32).reshape(-1, 2).T
+            columns = [*batch.columns, pa.array(one), pa.array(two), pa.array([len(x) for x in ids], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "one", "two", "size"])
+
+    found = rows.mapInArrow(terms, ", ".join([*fields, "one int", "two int", "size long"]))
+    pairs = checkpoint(found.groupBy("one", "two").agg(F.sum("size").alias("size")))
+    total = pairs.agg(F.sum("size")).first()[0] or 0
+    heavy = {(a, b): n for a, b, n in pairs.where(F.col("size") > max(1, total // (4 * spans))).collect()}
+    light = {a: n for a, n in pairs.groupBy("one").agg(F.sum("size")).collect()}  # a row for each term at most
+    for (a, _), n in heavy.items():
+        light[a] -= n
+    layout, at = {}, 0
+    for a, b in sorted([*((a, -1) for a in light), *heavy]):
+        size = heavy[(a, b)] if b >= 0 else light[a]
+        layout[(a, b)] = at, size
+        at += size
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in terms(batches):
+            out = []
+            for one, two, h, own in zip(*(batch.column(c).to_pylist() for c in ("one", "two", "h", "own"))):
+                large = (one, two) in heavy
+                first, size = layout[(one, two if large else -1)]
+                share = (h ^ own) if large else two * 0x9E3779B97F4A7C15
+                share = ((share * 0xD6E8FEB86659FD93) >> 20 & 0xFFFFFFFF) / 2**32
+                out.append(min(spans - 1, int((first + size * share) * spans / max(1, total))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "span"])
+
+    own = rows.withColumn("own", F.xxhash64("doc_id", "h"))
+    return own.mapInArrow(dealt, ", ".join([*fields, "own long", "one int", "two int", "size long", "span int"])).drop("own")
+
+
+def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece.
 
     Null and empty texts are the end id alone. Rows that repeat, or share a doc_id, are packed each
-    by itself; a null doc_id is kept. A long text is cut over many windows. An empty table gives an
+    by itself, equal ones in any order; a null doc_id is kept. A long text is cut over many windows.
+    Documents of equal score follow one another in order of their place. An empty table gives an
     empty result; only doc_id and text are read.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"))
-    n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    shards = max(1, -(-(size or 0) // SHARD_BYTES), -(-n // SHARD_ROWS))
-    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(shard_rows: pa.Table) -> pa.Table:
-        place = shard_rows.column("_shard")[0].as_py()
-        shard_rows = shard_rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        encode = encoder(vocabulary)
-        tokens = [np.array([*encode(t.as_py()), END], np.uint32) for t in shard_rows.column("text")]
-        found = list(pack_shard(tokens, window))
-        doc, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*found))
-        crcs = [zlib.crc32(tokens[d][a : a + k].astype("<u4").tobytes()) for d, a, k, _, _ in found]
-        sizes = np.array([len(t) for t in tokens], np.int64)
-        return pa.table(
-            {
-                "doc_id": shard_rows.column("doc_id").take(pa.array(doc)),
-                "start": start, "length": length, "ids_crc32": np.array(crcs, np.int64), "doc_tokens": sizes[doc],
-                "sequence_id": (place << 32) + sequence, "offset": offset,
-            }
-        )
-
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return rows.withColumn("_shard", shard).groupBy("_shard").applyInArrow(run, schema)
+    spark = docs.sparkSession
+    rows = checkpoint(encoded(docs, vocabulary))
+    statistics = statistics_of(rows, vocabulary)
+    n, field = partitions(spark), docs.schema["doc_id"].dataType
+    unsigned = np.uint16 if len(statistics.df) <= 1 << 16 else np.uint32
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, held, tokens = None, ([], []), 0
+
+        def table_of(pieces: Iterator[Piece]) -> pa.RecordBatch:
+            columns = list(zip(*pieces)) or [()] * len(names)
+            kinds = [arrow, *[pa.int64()] * 6]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+        for batch in batches:
+            for doc_id, raw, span in zip(*(batch.column(c) for c in ("doc_id", "ids", "span"))):
+                packer = packer or Packer(statistics, window, span.as_py() << 32)
+                held[0].append(doc_id.as_py())
+                held[1].append(np.frombuffer(raw.as_buffer(), unsigned))
+                tokens += len(held[1][-1])
+                if tokens >= shard_tokens or len(held[0]) >= SHARD_ROWS:
+                    yield table_of(packer.shard(*held))
+                    held, tokens = ([], []), 0
+        if held[0]:
+            yield table_of(packer.shard(*held))
+        if packer:
+            yield table_of(packer.rest())
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow = to_arrow_type(field)
+    dealt = placed(rows, statistics, SPANS * n).select("doc_id", "h", "ids", "one", "two", "span")
+    dealt = dealt.repartition(n, "span").sortWithinPartitions("span", "one", "two", "doc_id", "h")
+    return dealt.mapInArrow(run, f"doc_id {field.simpleString()}, " + ", ".join(f"{c} long" for c in names[1:]))
 
 
 def op2_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,14 @@ def test_edited_counts(spark):
 
 
 def check_packing(source, found):
-    encode = packing.encoder()
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+    def encode(text):
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
     pieces = {}
     for r in found:
         pieces.setdefault(r["doc_id"], []).append(r)
@@ -72,21 +79,76 @@ def check_packing(source, found):
     assert padding == 0
 
 
-def test_packing_covers_every_token_once(spark):
-    check_packing(data.rows(), packing.pack(data.docs(spark)).collect())
+@pytest.mark.parametrize("shard_tokens", [packing.SHARD_TOKENS, 3000])
+def test_packing_covers_every_token_once(spark, shard_tokens):
+    odd = [(200, "before<|endoftext|>after <|endoftext|>", "en", "s", 1), (201, " " * 5000 + "<|endoftext|>", "en", "s", 1)]
+    source = [*data.rows(), *odd, *[(300 + i, "copies of one text, each by itself " * 40, "en", "s", 1) for i in range(60)]]
+    df = data.clashing(spark.createDataFrame(source, data.DOCS)).withColumn("span", F.lit("x")).withColumn("ids", F.lit(1))
+    check_packing(source, packing.pack(df, shard_tokens=shard_tokens).collect())
     assert packing.pack(data.empty(spark)).count() == 0
 
 
+def plain_bm25(docs, seed):
+    """The formula, document by document."""
+    n, mean, out = len(docs), sum(map(len, docs)) / len(docs), []
+    for d in docs:
+        total = 0.0
+        for t in set(docs[seed]):
+            tf, df = d.count(t), sum(t in x for x in docs)
+            total += np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+        out.append(total)
+    return out
+
+
+def test_scores_and_neighbours_equal_plain_bm25(spark):
+    rng = random.Random(4)
+    texts = [data.words(rng, rng.randint(1, 60)) for _ in range(40)]
+    rows = packing.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    statistics = packing.statistics_of(rows)
+    docs = [[*packing.encoder()(t), 0] for t in texts]
+    arrays = [np.array(d, np.uint16) for d in docs]
+    index = packing.Index(arrays, statistics)
+    for seed in range(len(docs)):
+        want = plain_bm25(docs, seed)
+        assert index.scores(seed) == pytest.approx(want)
+        unused = np.ones(len(docs), bool)
+        unused[seed] = False
+        got = []
+        for other in packing.neighbours(index, seed, unused, list(range(len(docs)))):
+            got.append(other)
+            unused[other] = False
+        scores = index.scores(seed)
+        assert got == sorted(set(range(len(docs))) - {seed}, key=lambda i: (-scores[i], i))
+
+
 def test_packing_prefers_neighbours():
     rng = np.random.default_rng(0)
     topics = [rng.choice(5000, 300, replace=False) + 5000 * t for t in range(3)]
-    docs = [np.r_[rng.choice(topics[i % 3], 700), 0].astype(np.uint32) for i in range(30)]
+    docs = [np.r_[rng.choice(topics[i % 3], 700), 0].astype(np.uint16) for i in range(30)]
+    df = np.zeros(packing.size_of(), np.int64)
+    for d in docs:
+        df[np.unique(d)] += 1
+    packer = packing.Packer(packing.Statistics(len(docs), sum(map(len, docs)), df), packing.WINDOW, 0)
     by_sequence = {}
-    for doc, _, _, sequence, _ in packing.pack_shard(docs):
+    for doc, _, _, _, _, sequence, _ in packer.shard(list(range(30)), docs):
         by_sequence.setdefault(sequence, set()).add(doc % 3)
     assert np.mean([len(t) == 1 for t in by_sequence.values()]) > 0.7
 
 
+def test_documents_of_one_topic_lie_together(spark):
+    rng = random.Random(8)
+    topics = [[f"{data.words(rng, 1)}{t}x{k}" for k in range(6)] for t in range(30)]
+    rows = [(i, " ".join(rng.choice(topics[i % 30]) for _ in range(50)) + " " + data.words(rng, 10)) for i in range(600)]
+    encoded = packing.encoded(spark.createDataFrame(rows, "doc_id long, text string"))
+    statistics = packing.statistics_of(encoded)
+    spans = {r[0]: r[1] for r in packing.placed(encoded, statistics, 8).select("doc_id", "span").collect()}
+    assert set(spans.values()) <= set(range(8))
+    together = [spans[i] == spans[j] for i in range(600) for j in range(i + 30, 600, 30)]
+    assert np.mean(together) > 0.25  # 0.125 by chance
+    sizes = Counter(spans.values())
+    assert max(sizes.values()) < 3 * 600 / 8
+
+
 def brute_lines(source, docs_needed=lines.DOCS):
     seen = {}
     for i, (doc_id, text, *_rest) in enumerate(source):
