@@ -57,6 +57,23 @@ def document_key() -> list[Column]:
     return [F.xxhash64(tag, "text").alias("_k1"), F.hash("text", tag).alias("_k2")]
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], rows_of: str) -> DataFrame:
+    """The inner join of ``rows`` with ``keyed``, which has each key once and, in ``rows_of``, about how many rows have it.
+
+    A key with more rows than a shuffle partition's even share is dealt out to several tasks by a
+    hash of the whole row. There are no more such keys than partitions; they are broadcast.
+    """
+    n = partitions(rows.sparkSession)
+    total = keyed.agg(F.sum(rows_of)).first()[0] or 0
+    share = max(1000, total // n)
+    parts = F.ceil(F.col(rows_of) / share).cast("int").alias("_parts")
+    hot = keyed.where(F.col(rows_of) > share).select(*keys, parts)
+    salt = F.pmod(F.xxhash64(*rows.columns), F.coalesce("_parts", F.lit(1))).cast("int")
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_parts")
+    right = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), parts) - 1)))
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links ``a``, ``b`` (longs): ``node``, ``root`` (its smallest node).
 
