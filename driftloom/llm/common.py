@@ -6,6 +6,7 @@ import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but the space and the ASCII controls from tab to carriage return.
@@ -74,6 +75,25 @@ def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], rows_of: str
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
+def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``_nth``: 1, 2, ... for the rows that are equal in ``keys`` (none of them null), in any order.
+
+    Rows are numbered within the partitions that hold them, and each goes on where the one before
+    has ended, so that the copies of a key are never in one task.
+    """
+    held = checkpoint(rows.withColumn("_held", F.spark_partition_id()))
+    counts = held.groupBy(*keys, "_held").agg(F.count(F.lit(1)).alias("_n"))
+    several = counts.groupBy(*keys).agg(F.sum("_n").alias("_n")).where("_n > 1").select(*keys)
+    counts = checkpoint(counts.join(several, keys, "left_semi"))
+    if not counts.take(1):
+        return held.drop("_held").withColumn("_nth", F.lit(1).cast("long"))
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_held")) - F.col("_n")
+    starts = counts.withColumn("_before", before).drop("_n")
+    own = F.row_number().over(W.partitionBy(*keys, "_held").orderBy(F.lit(1)))
+    found = held.withColumn("_own", own).join(starts, [*keys, "_held"], "left")
+    return found.withColumn("_nth", F.coalesce("_before", F.lit(0)) + F.col("_own")).drop("_held", "_own", "_before")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links ``a``, ``b`` (longs): ``node``, ``root`` (its smallest node).
 

@@ -362,6 +362,39 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(data.empty(spark)).count() == 0
 
 
+def greedy(docs, gap):
+    """The plain reading: in hash order, whatever still fits."""
+    taken = 0
+    for _h, size in sorted(docs):
+        if 0 < size <= gap - taken:
+            taken += size
+    return taken
+
+
+def test_mixing_equals_a_plain_walk(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LOOK", 8)
+    rng = random.Random(3)
+    rows = [(None if i % 2 else i, data.words(rng, rng.choice([0, 1, 3, 40, 200])), "en", f"s{i % 5}", 1) for i in range(400)]
+    rows += [(7, "the same words in each of these rows", "en", "s1", 1)] * 90 + [(8, None, "en", None, 1)] * 3
+    df = spark.createDataFrame(rows, data.DOCS).repartition(5)
+    found = mixing.mix(df).collect()
+    hashed = {}
+    for r in mixing.sized(df).collect():
+        hashed.setdefault(r["source"], []).append((r["_h"], r["size"]))
+    assert sum(len({h for h, _ in s}) for s in hashed.values()) == len(rows)
+    by = {}
+    for r in found:
+        by.setdefault(r["source"], []).append(r)
+    for source, members in by.items():
+        target, size = members[0]["target"], members[0]["source_size"]
+        passes = int(target // size) if size else 0
+        want = passes * size + greedy(hashed[source], int(target - passes * size))
+        assert sum(r["taken"] for r in members) == want
+        left = [r["size"] for r in members if r["size"] and r["copies"] == passes]
+        assert not left or target - want < min(left) + 1
+    assert Counter(map(tuple, found)) == Counter(map(tuple, mixing.mix(df.repartition(2)).collect()))
+
+
 def brute_components(source, scheme):
     fps = [simhash.fingerprint(t) for _, t, *_ in source]
     parent = list(range(len(source)))
