@@ -279,7 +279,7 @@ def test_top_k_is_exact(spark, shard_rows):
     x[50:150] = x[50]
     vectors = [(i, v.tolist()) for i, v in enumerate(x)]
     vectors += [(1000, None), (1001, [None] * 8), (1005, [float("nan")] * 8), (None, [1.0] * 8), (1010, [1.0, 2.0]), (1011, [2.0, 2.0]), (1015, [0.0] * 8)]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("floor", F.lit(1))
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumns({"floor": F.lit(1), "_cell": F.lit("x"), "_row": F.lit(0)})
     found = topk.top_k(df, F.expr("vec_id % 5 = 0"), shard_rows=shard_rows, query_rows=32)
     assert sorted(tuple(r) for r in found.collect()) == brute_top(vectors)
     assert topk.top_k(df.limit(0), F.expr("vec_id % 5 = 0")).count() == 0
@@ -287,7 +287,7 @@ def test_top_k_is_exact(spark, shard_rows):
 
 def test_top_k_with_large_components():
     x = np.array([[2**40, 1], [2**40, 2], [-(2**40), 3]], np.int64)
-    best = topk.search(np.array([1, 2, 3]), x, np.array([9]), np.array([[2**35, 1]], np.int64), np.array([topk.LOWEST]), 2)
+    best = topk.search(np.arange(3), np.array([1, 2, 3]), x, np.array([9]), np.array([[2**35, 1]], np.int64), np.array([topk.LOWEST]), 2)
     assert best.held[0][1].tolist() == [1, 2]
     assert best.held[0][0].tolist() == [2**63 - 1, 2**63 - 1]
 
