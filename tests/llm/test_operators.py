@@ -238,28 +238,75 @@ def test_line_dedup_equals_its_sql(spark):
     assert found.where(f"{lines.N_DROPPED} > 0").count() > 100
 
 
-def test_licences(spark):
-    texts = {
-        1: "Released under the MIT License.\nSome prose.",
-        2: "Prose. This work is licensed under the GNU General Public Licence, version 3.",
-        3: "Licensed under CC BY-NC 4.0.\nx\nAll rights reserved.",
-        4: "A licence is a thing. It is not one that is known.",
-        5: None,
-        6: "",
-        7: "Copyright (c) A\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the "
+LICENCE_TEXTS = {
+    1: ("Released under the MIT License.\nSome prose.", ["MIT"]),
+    2: ("Prose. This work is licensed under the GNU General Public Licence, version 3.", ["GPL-3.0-only"]),
+    3: ("Licensed under CC BY-NC 4.0.\nx\nAll rights reserved.", ["CC-BY-NC-4.0", "All-Rights-Reserved"]),
+    4: ("A licence is a thing. It is not one that is known. Licensed under a tree.", []),
+    5: (None, []),
+    6: ("", []),
+    7: (
+        "Copyright (c) A\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the "
         "following conditions are met:\nRedistributions of source code must retain the above copyright notice, this list of conditions and the "
         "following disclaimer.\nNeither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
-        "products derived from this software without specific prior written permission.",
-        8: "MIT License\nno full stop",
-        9: "Licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License.",
-    }
-    df = spark.createDataFrame([(k, v, "en", "s", 0) for k, v in texts.items()], data.DOCS)
-    found = {r[0]: list(r[1]) for r in licenses.scan(data.clashing(df)).select("_row.doc_id", "_licences").collect()}
-    assert found == {
-        1: ["MIT"], 2: ["GPL-3.0-only"], 3: ["CC-BY-NC-4.0", "All-Rights-Reserved"], 4: [], 5: [], 6: [], 7: ["BSD-3-Clause"],
-        8: ["MIT"], 9: ["Apache-2.0"],
-    }
+        "products derived from this software without specific prior written permission.", ["BSD-3-Clause"],
+    ),
+    8: ("MIT License\nno full stop", ["MIT"]),
+    9: ("Licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License.", ["Apache-2.0"]),
+    10: ("some words.\nAll rights\nreserved.", ["All-Rights-Reserved"]),
+    11: ("All  rights   reserved.", ["All-Rights-Reserved"]),
+    12: (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met:\n1. Neither the name of Example Works Ltd. nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission.", ["BSD-3-Clause"],
+    ),
+    13: ("# foo is free software: you can redistribute it and/or modify\n# it under the terms of the GNU Lesser General Public License as published by\n"
+         "# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.", ["LGPL-3.0-or-later"]),
+    14: ("This library is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0-only"]),
+    15: ("This project is released under the Zlib license. It is published under EPL-2.0.", ["EPL-2.0", "Zlib"]),
+    16: ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+         "arising from the use of this software.\nPermission is granted to anyone to use this software for any purpose, including commercial "
+         "applications, and to alter it and redistribute it freely, subject to the following restrictions:", ["Zlib"]),
+    17: ("This file has been placed in the public\ndomain.", ["Public-Domain"]),
+    18: ("words " * 30_000 + "\nThis work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", ["CC-BY-SA-3.0"]),
+}
+
+
+def test_licences(spark):
+    import duckdb
+
+    rows = [(k, v, "en", "s", 0) for k, (v, _) in LICENCE_TEXTS.items()]
+    rows += [(1, LICENCE_TEXTS[1][0], "en", "s", 0), (None, LICENCE_TEXTS[2][0], None, None, None)]
+    df = spark.createDataFrame(rows, data.DOCS)
+    found = licenses.scan(data.clashing(df))
+    assert data.as_rows(found, "_row.doc_id", "_licences") == sorted(
+        ((k, LICENCE_TEXTS[k or 2][1]) for k, *_ in rows), key=repr
+    )
+    assert found.where("_row._row = 'x_row'").count() == len(rows)
     assert licenses.scan(data.empty(spark)).count() == 0
+    documents = df.toArrow()
+    con = duckdb.connect()
+    con.register("documents", documents)
+    got = found.select("_row.doc_id", F.array_join("_sentences", " "), F.array_join("_licences", " "), F.size("_licences").cast("long"))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, con.execute(licenses.ORACLE).fetchall()))
+
+
+def test_the_hint_leaves_no_known_sentence_out():
+    import re
+
+    rng = random.Random(1)
+    for _, forms in licenses.SENTENCES:
+        for form in forms:
+            spread = "".join(rng.choice([" ", "\n", " -- ", "\t", ", "]) if c == " " else c for c in form)
+            assert re.search(licenses.HINT, spread), form
+    for name, pattern in licenses.PATTERNS:
+        plain = re.sub(r"\[a-z0-9 \]\{1,\d+\}|\[a-z\]\{1,30\}", "words", pattern)
+        plain = re.sub(r"\([^()]*\)\?", "", re.sub(r"\([^()]*\)\?", "", plain))
+        plain = re.sub(r"\(([^()|]*)\|[^()]*\)", r"\1", plain)
+        assert re.search(licenses.HINT, plain.replace(" ", " \n ")), name
+    ids = {name for name, _ in (*licenses.SENTENCES, *licenses.PATTERNS, *licenses.NAMES)}
+    used = {x.rstrip("?") for _, rule in licenses.RULES for x in rule.split()}
+    assert used == ids
 
 
 def brute_top(vectors, k=10, scale=1024):
