@@ -1,15 +1,18 @@
 """Balanced label propagation: linked documents move to one shard, shard sizes stay even.
 
-Documents with one text are linked. Each starts in a shard by hash. In each round a group's copies
-want to go where most of their neighbours can be together: to the group's cell with the largest
-size it could reach under the shard's quota (a group larger than that gets several such cells).
-Moves are taken in hash order as far as the quota of the target goes; the quota cut is found with
-a histogram of 4,096 buckets per target, and only its boundary bucket is looked at move by move.
+Documents with one text are linked. Each starts in a shard by hash. In each round a join of the
+copies with their group's cells tells where most of their neighbours can be together: in the group's
+cell with the largest size it could reach under the shard's quota (a group larger than that gets
+several such cells). Copies that are elsewhere want to move there. Moves are taken in hash order as
+far as the quota of the target goes; the quota cut is found with a histogram of 4,096 buckets per
+target, and only its boundary bucket is looked at move by move. Each round takes links off the cut,
+and the last is the one that moves nothing.
 
 The copies of a group in a shard are interchangeable, so the state of the propagation is a row
-(group, shard, count), not a row per document. Groups of one stay out of it. At the end documents
-are numbered within their shards, linked ones first; those beyond the shard's quota fill the gaps
-of the others by number, so counts are at most one apart whatever the propagation has left.
+(group, shard, count), not a row per document: a link is one of the pairs in a group, and as many are
+cut as there are pairs of copies in different shards. Groups of one stay out of it. At the end
+documents are numbered within their shards, linked ones first; those beyond the shard's quota fill
+the gaps of the others by number, so counts are at most one apart whatever the propagation has left.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import checkpoint, partitions, table
+from driftloom.llm.common import checkpoint, partitions, spread_join, table
 
 SHARDS = 40
 ROUNDS = 8
@@ -40,19 +43,33 @@ def _per_shard(df: DataFrame, shards: int, total: str) -> list[int]:
 def wishes(cells: DataFrame, room: list[int]) -> DataFrame:
     """The cells whose copies want to move: g, shard, n, target.
 
-    A group's leaders are its cells of greatest reach, as many as it needs to hold all its copies.
+    A group's leaders are its cells of greatest reach, as many as it needs to hold all its copies;
+    its other cells are joined with them.
     """
-    whole = W.partitionBy("g")
-    space = _picked(room, F.col("shard"))
-    c = cells.withColumn("_all", F.sum("n").over(whole))
-    c = c.withColumn("_reach", F.least("_all", F.col("n") + space))
-    order = whole.orderBy(F.desc("_reach"), F.desc("n"), F.xxhash64("g", "shard"), "shard")
-    c = c.withColumn("_before", F.sum("_reach").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("_reach"))
-    c = c.withColumn("_leads", F.col("_before") < F.col("_all"))
-    open_leaders = F.collect_list(F.when(F.col("_leads") & (space > 0), F.col("shard"))).over(whole)
-    c = c.withColumn("_leaders", F.array_sort(open_leaders)).where("not _leads and size(_leaders) > 0")
-    pick = F.pmod(F.xxhash64("g", "shard"), F.size("_leaders")).cast("int")
-    return c.select("g", "shard", "n", F.element_at("_leaders", pick + 1).alias("target"))
+    here = F.struct("shard", "n", _picked(room, F.col("shard")).alias("space"))
+    groups = cells.groupBy("g").agg(F.sum("n").alias("all"), F.collect_list(here).alias("cells"))  # a cell for each shard at most
+    ranked = F.array_sort(
+        F.transform("cells", lambda c: F.struct(
+            (-F.least(F.col("all"), c["n"] + c["space"])).alias("reach"), (-c["n"]).alias("n"),
+            F.xxhash64("g", c["shard"]).alias("h"), c["shard"].alias("shard"), c["space"].alias("space"),
+        ))
+    )
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).cast("bigint").alias("before"), none.alias("leaders"), none.alias("open"))
+
+    def step(have: Column, c: Column) -> Column:
+        shard = F.array(c["shard"].cast("int"))
+        more = F.struct(
+            (have["before"] - c["reach"]).alias("before"), F.concat(have["leaders"], shard).alias("leaders"),
+            F.when(c["space"] > 0, F.concat(have["open"], shard)).otherwise(have["open"]).alias("open"),
+        )
+        return F.when(have["before"] < F.col("all"), more).otherwise(have)
+
+    leaders = groups.select("g", F.aggregate(ranked, start, step).alias("x"))
+    leaders = leaders.select("g", "x.leaders", F.array_sort("x.open").alias("open")).where("size(open) > 0")
+    moving = cells.join(leaders, "g").where(~F.array_contains("leaders", F.col("shard").cast("int")))
+    pick = F.pmod(F.xxhash64("g", "shard"), F.size("open")).cast("int")
+    return moving.select("g", "shard", "n", F.element_at("open", pick + 1).alias("target"))
 
 
 def propagate(cells: DataFrame, shards: int, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
@@ -88,11 +105,12 @@ def propagate(cells: DataFrame, shards: int, quotas: list[int], rounds: int = RO
 
 
 def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, size, text_crc32, linked (other rows have the text), shard, slot of every row.
+    """doc_id, size, text_crc32, links (other rows with the text), cut_links (those in other shards), shard, slot of every row.
 
     The counts of the shards differ by one at most, and slots run from 0 without gaps. Null texts
-    are empty, and linked with the empty ones; a null doc_id is an id like any other; identical rows
-    are interchangeable; an empty table gives an empty result; only doc_id and text are read.
+    are empty, and linked with the empty ones; a text of any length is read whole; a null doc_id is
+    an id like any other; rows that repeat are documents each, and interchangeable, as are equal
+    texts where moves tie; an empty table gives an empty result; only doc_id and text are read.
     """
     spark = docs.sparkSession
     salts = shards * -(-partitions(spark) // shards)
@@ -132,12 +150,23 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     placed = rows.withColumn("number", number).join(lookup, ["g", "salt"], "left")
     placed = checkpoint(
         placed.select(
-            "doc_id", "size", "text_crc32", "salt",
+            "doc_id", "size", "text_crc32", "salt", "g",
             F.col("start").isNotNull().alias("linked"),
             F.coalesce(found, F.pmod("salt", F.lit(shards))).cast("int").alias("shard"),
         )
     )
-    return _evened(placed, shards, quotas)
+    return _with_cuts(checkpoint(_evened(placed, shards, quotas)))
+
+
+def _with_cuts(placed: DataFrame) -> DataFrame:
+    """``placed`` with links and cut_links in place of ``g`` and ``linked``."""
+    cells = placed.where("linked").groupBy("g", "shard").agg(F.count(F.lit(1)).alias("here"))
+    total = F.sum("here").over(W.partitionBy("g"))  # a row for each shard at most
+    cells = checkpoint(cells.withColumn("links", total - 1).withColumn("cut_links", total - F.col("here")))
+    columns = ["doc_id", "size", "text_crc32", "links", "cut_links", "shard", "slot"]
+    linked = spread_join(placed.where("linked").drop("linked"), cells, ["g", "shard"], "here").select(columns)
+    none = F.lit(0).cast("long")
+    return linked.unionByName(placed.where("not linked").withColumns({"links": none, "cut_links": none}).select(columns))
 
 
 def _evened(placed: DataFrame, shards: int, quotas: list[int]) -> DataFrame:
@@ -160,7 +189,7 @@ def _evened(placed: DataFrame, shards: int, quotas: list[int]) -> DataFrame:
     slot = _picked(load, F.col("_to")) + spare - _picked(gap_at, F.col("_to"))
     ranked = ranked.withColumn("_to", F.when(over < 0, F.col("shard")).otherwise(target))
     return ranked.select(
-        "doc_id", "size", "text_crc32", "linked",
+        "doc_id", "size", "text_crc32", "g", "linked",
         F.col("_to").cast("int").alias("shard"),
         F.when(over < 0, F.col("_rank")).otherwise(slot).cast("long").alias("slot"),
     )
@@ -171,5 +200,5 @@ def op7_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = balanced_shards(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "linked",
+        F.lit(None).cast("int").alias("grown_shard"), "links", "cut_links",
     )

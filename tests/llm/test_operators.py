@@ -382,6 +382,13 @@ def test_shards_are_even_and_copies_together(spark):
         groups.setdefault(text[r["doc_id"]], Counter())[r["shard"]] += 1
     assert all(len(c) == 1 for t, c in groups.items() if 1 < sum(c.values()) <= 50)
     assert len(groups["one large group"]) <= 7
+    for r in found:
+        of = groups[text[r["doc_id"]]]
+        assert r["links"] == sum(of.values()) - 1
+        assert r["cut_links"] == sum(of.values()) - of[r["shard"]]
+    cut = sum(r["cut_links"] for r in found) / sum(r["links"] for r in found)
+    assert cut < 0.87  # 0.9 if copies lay anywhere; the large group alone must cut 0.8 and more of its links
+    assert sum(r["cut_links"] for r in found if r["links"] < 50) == 0
     odd = sharding.balanced_shards(data.clashing(data.docs(spark)), 7).collect()
     check_shards(odd, 7)
     assert sorted(r["size"] for r in odd) == sorted(len((r[1] or "").encode()) + 16 for r in data.rows())
