@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions.scalars import portable_hash
+from driftloom.operators import draws as G
 from driftloom.operators import resampling as R
 
 # The default grids of standardised squared displacements and of fold changes.
@@ -22,6 +23,17 @@ FOLDS = (1.05, 1.1, 1.15, 1.2, 1.3, 1.4, 1.5, 1.75, 2.0, 2.5, 3.0, 4.0)
 
 def directed_draws(means: DataFrame, by: Sequence[str], n_bouts: int, n_draws: int, seed: int = 0) -> DataFrame:
     """by, draw, drift, along: the statistic without displacement, and the gap along a random unit vector."""
+    if n_bouts < 2:
+        raise ValueError(f"need 2 bouts per side or more, not {n_bouts}")
+    return G.by_size(
+        means, by, ["m"],
+        lambda bouts: G.directed(bouts, by, n_draws, seed, n_bouts),
+        lambda rows: _directed_draws(rows, by, n_bouts, n_draws, seed),
+    )
+
+
+def _directed_draws(means: DataFrame, by: Sequence[str], n_bouts: int, n_draws: int, seed: int) -> DataFrame:
+    """The same by joins."""
     rows = R.subsets(R.units_of(means, by), by, n_bouts, n_draws, seed).join(means.select(*by, "bout", "dim", "m"), [*by, "bout"])
     left, right = (F.when(F.col("is_left") == side, F.col("m")) for side in (True, False))
     per_dim = rows.groupBy(*by, "draw", "dim").agg(
@@ -62,7 +74,7 @@ def dispersion_power(moments: DataFrame, by: Sequence[str], n_bouts: int, folds:
     """by, fold, power: how often a fold change of the variance, either way, lies over the threshold."""
 
     def draws(s: int) -> DataFrame:
-        return R.dispersion_draws(moments, R.subsets(R.units_of(moments, by), by, n_bouts, n_draws, s), by)
+        return R.dispersion_of_subsets(moments, by, n_bouts, n_draws, s)
 
     critical = critical_value(draws(seed + R.NULL_SEED), by, "log_ratio", alpha, absolute=True)
     grid = _joined(draws(seed), critical, by).withColumn("fold", F.explode(F.array(*[F.lit(float(f)) for f in folds])))

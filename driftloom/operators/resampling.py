@@ -1,8 +1,9 @@
 """Resampling as a relation: a dimension of draws, whose choices come from hashes of their keys.
 
-Every draw chooses bouts (sampling units), never renditions, and joins only the bouts' moments. A
+Every draw chooses bouts (sampling units), never renditions, and looks only at the bouts' moments. A
 choice is the order, or the remainder, of md5(seed:draw:keys:unit), so runs agree with each other and
-with other engines.
+with other engines. Groups are drawn from as matrices (:mod:`draws`); those too large for one task
+take the relational way, draws joined with bouts, which gives the same numbers.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftloom.functions.scalars import portable_hash, portable_index
+from driftloom.operators import draws as G
 
 FEWEST_BOUTS = 4
 #: Added to the seed of the draws that a threshold comes from, so that it is not tuned to the others.
@@ -95,7 +97,11 @@ def centroid_draws(means: DataFrame, chosen: DataFrame, by: Sequence[str]) -> Da
 
 def centroid_null(means: DataFrame, by: Sequence[str], n_draws: int = 200, seed: int = 0) -> DataFrame:
     """by, draw, drift when nothing has changed: a group's bouts split in halves."""
-    return centroid_draws(means, split_halves(units_of(means, by), by, n_draws, seed), by)
+    return G.by_size(
+        means, by, ["m"],
+        lambda bouts: G.centroid(bouts, by, n_draws, seed, FEWEST_BOUTS),
+        lambda rows: centroid_draws(rows, split_halves(units_of(rows, by), by, n_draws, seed), by),
+    )
 
 
 def _side_variances(moments: DataFrame, chosen: DataFrame, by: Sequence[str], weight: Column | None = None) -> DataFrame:
@@ -121,16 +127,41 @@ def dispersion_draws(moments: DataFrame, chosen: DataFrame, by: Sequence[str]) -
 
 
 def dispersion_null(moments: DataFrame, by: Sequence[str], n_draws: int = 200, seed: int = 0) -> DataFrame:
-    return dispersion_draws(moments, split_halves(units_of(moments, by), by, n_draws, seed), by)
+    return G.by_size(
+        moments.withColumnRenamed("n", "n_rows"), by, ["n_rows", "sx", "sxx"],
+        lambda bouts: G.dispersion(bouts, by, n_draws, seed, FEWEST_BOUTS),
+        lambda rows: dispersion_draws(rows.withColumnRenamed("n_rows", "n"), split_halves(units_of(rows, by), by, n_draws, seed), by),
+    )
+
+
+def dispersion_of_subsets(moments: DataFrame, by: Sequence[str], n_bouts: int, n_draws: int, seed: int = 0) -> DataFrame:
+    """by, draw, log_ratio of two disjoint sets of ``n_bouts``."""
+    if n_bouts < 2:
+        raise ValueError(f"need 2 bouts per side or more, not {n_bouts}")
+    return G.by_size(
+        moments.withColumnRenamed("n", "n_rows"), by, ["n_rows", "sx", "sxx"],
+        lambda bouts: G.dispersion(bouts, by, n_draws, seed, 2 * n_bouts, n_bouts),
+        lambda rows: dispersion_draws(rows.withColumnRenamed("n_rows", "n"), subsets(units_of(rows, by), by, n_bouts, n_draws, seed), by),
+    )
 
 
 def syntax_null(pairs: DataFrame, by: Sequence[str], n_draws: int = 100, seed: int = 0) -> DataFrame:
     """by, draw, jsd: the divergence of two halves of a group's bouts. ``pairs`` has by, bout, first, second."""
+    counts = pairs.groupBy(*by, "bout", "first", "second").agg(F.count(F.lit(1)).alias("n"))
+    name = F.concat_ws("\x01", F.col("first").cast("string"), F.col("second").cast("string"))
+    bouts = counts.groupBy(*by, "bout").agg(F.collect_list(name).alias("pair"), F.collect_list("n").alias("times"))
+    return G.by_size(
+        counts, by, ["pair"],
+        lambda bouts: G.divergences(bouts, by, n_draws, seed, FEWEST_BOUTS),
+        lambda rows: _divergence_draws(rows, by, n_draws, seed),
+        bouts,
+    )
+
+
+def _divergence_draws(counts: DataFrame, by: Sequence[str], n_draws: int, seed: int) -> DataFrame:
     from driftloom.operators.drift import divergence, transition_shares
 
-    counts = pairs.groupBy(*by, "bout", "first", "second").agg(F.count(F.lit(1)).alias("n"))
-    halves = split_halves(pairs.select(*by, "bout").distinct(), by, n_draws, seed)
-    rows = halves.join(counts, [*by, "bout"])
+    rows = split_halves(counts.select(*by, "bout").distinct(), by, n_draws, seed).join(counts, [*by, "bout"])
     keys = [*by, "draw"]
     left, right = (transition_shares(rows.where(F.col("is_left") == side), keys) for side in (True, False))
     return divergence(left, right, keys)
@@ -142,42 +173,65 @@ def bootstrap_centroid(means: DataFrame, by: Sequence[str], side: str, pairs: Da
     ``pairs`` has by, ``side``_a and ``side``_b. With ``collapse`` a bout drawn twice counts once;
     without, it counts twice. Draws with fewer than two bouts on a side have no row.
     """
-    keys = [*by, side]
+    keys, ends = [*by, side], [*by, f"{side}_a", f"{side}_b"]
+    drawn = G.by_size(
+        means, keys, ["m"],
+        lambda bouts: G.resampled_means(bouts, keys, n_boot, seed, collapse),
+        lambda rows: _resampled_means(rows, keys, n_boot, seed, collapse),
+    )
+    gap = F.zip_with("mua", "mub", lambda x, y: (x - y) * (x - y))
+    drift = F.aggregate(gap, F.lit(0.0), lambda t, x: t + x) - F.col("ea") - F.col("eb")
+    rows = _paired(pairs, by, side, drawn, {"n": "n", "mu": "mu", "noise": "e"})
+    return rows.where("na >= 2 and nb >= 2").select(*ends, "draw", drift.alias("drift"))
+
+
+def _resampled_means(means: DataFrame, keys: Sequence[str], n_boot: int, seed: int, collapse: bool) -> DataFrame:
+    """``draws.resampled_means`` by joins: each draw is a share of its own."""
     drawn = resamples(units_of(means, keys), keys, n_boot, seed)
     if collapse:
         drawn = drawn.withColumn("w", F.lit(1))
     n, mu, v = _weighted("m", F.col("w"))
     stats = drawn.join(means.select(*keys, "bout", "dim", "m"), [*keys, "bout"]).groupBy(*keys, "draw", "dim").agg(
-        n.alias("n"), mu.alias("mu"), F.when(n > 1, v).alias("v")
+        n.cast("double").alias("n"), mu.alias("mu"), F.when(n > 1, v).alias("v")
     )
-    rows = _pair_sides(pairs, by, side).join(stats, keys)
-    both = [F.max(F.when(F.col("_is_a") == s, F.col(c))).alias(c + n) for s, n in ((True, "a"), (False, "b")) for c in ("n", "mu", "v")]
-    per_dim = rows.groupBy(*by, f"{side}_a", f"{side}_b", "draw", "dim").agg(*both).where("na >= 2 and nb >= 2")
-    gap = F.col("mua") - F.col("mub")
-    term = gap * gap - F.col("va") / F.col("na") - F.col("vb") / F.col("nb")
-    return per_dim.groupBy(*by, f"{side}_a", f"{side}_b", "draw").agg(F.sum(term).alias("drift"))
+    mus = F.transform(F.sort_array(F.collect_list(F.struct("dim", "mu"))), lambda x: x["mu"])
+    each = stats.groupBy(*keys, "draw").agg(F.first("n").alias("n"), mus.alias("mu"), F.sum(F.col("v") / F.col("n")).alias("noise"))
+    return each.select(*keys, F.col("draw").alias("first"), *[F.array(c).alias(c) for c in ("n", "mu", "noise")])
 
 
-def _pair_sides(pairs: DataFrame, by: Sequence[str], side: str) -> DataFrame:
-    """Each pair twice, once for either side, so that the draws of a side are made once for all its pairs."""
-    each = F.array(*[F.struct(F.col(f"{side}_{s}").alias(side), F.lit(s == "a").alias("_is_a")) for s in "ab"])
-    rows = pairs.select(*by, f"{side}_a", f"{side}_b", F.explode(each).alias("_s"))
-    return rows.select(*by, f"{side}_a", f"{side}_b", f"_s.{side}", "_s._is_a")
+def _paired(pairs: DataFrame, by: Sequence[str], side: str, drawn: DataFrame, values: dict[str, str]) -> DataFrame:
+    """by, both sides, draw and the draws' values of either side, named by ``values`` with a or b behind."""
+    ends = [*by, f"{side}_a", f"{side}_b"]
+    shares = F.sort_array(F.collect_list(F.struct("first", *values)))
+    each = drawn.groupBy(*by, side).agg(shares.alias("_s"))  # every draw of a side, in order
+    rows = pairs.select(*ends)
+    for s in "ab":
+        arrays = [F.flatten(F.col("_s")[v]).alias(c + s) for v, c in values.items()]
+        rows = rows.join(each.select(*by, F.col(side).alias(f"{side}_{s}"), *arrays), [*by, f"{side}_{s}"])
+    names = [c + s for s in "ab" for c in values.values()]
+    rows = rows.select(*ends, F.posexplode(F.arrays_zip(*names)).alias("_at", "_e"))
+    return rows.select(*ends, (F.col("_at") + 1).alias("draw"), *[F.col("_e")[n].alias(n) for n in names])
 
 
 def bootstrap_dispersion(moments: DataFrame, by: Sequence[str], side: str, pairs: DataFrame, n_boot: int = 1000, seed: int = 0) -> DataFrame:
     """Draws of the log variance ratio of pairs of sides; the renditions of a bout drawn twice count twice."""
+    keys, ends = [*by, side], [*by, f"{side}_a", f"{side}_b"]
+    drawn = G.by_size(
+        moments.withColumnRenamed("n", "n_rows"), keys, ["n_rows", "sx", "sxx"],
+        lambda bouts: G.resampled_variances(bouts, keys, n_boot, seed),
+        lambda rows: _resampled_variances(rows.withColumnRenamed("n_rows", "n"), keys, n_boot, seed),
+    )
+    rows = _paired(pairs, by, side, drawn, {"tv": "tv"}).where("tva > 0 and tvb > 0 and not isnan(tva) and not isnan(tvb)")
+    return rows.select(*ends, "draw", F.ln(F.col("tvb") / F.col("tva")).alias("log_ratio"))
+
+
+def _resampled_variances(moments: DataFrame, keys: Sequence[str], n_boot: int, seed: int) -> DataFrame:
     from driftloom.operators.moments import total_variance
 
-    keys = [*by, side]
     drawn = resamples(units_of(moments, keys), keys, n_boot, seed)
     rows = drawn.join(moments.select(*keys, "bout", "dim", "n", "sx", "sxx"), [*keys, "bout"])
-    tv = total_variance(rows, [*keys, "draw"], F.col("w")).where("tv > 0").select(*keys, "draw", "tv")
-    found = _pair_sides(pairs, by, side).join(tv, keys).groupBy(*by, f"{side}_a", f"{side}_b", "draw").agg(
-        F.max(F.when(F.col("_is_a"), F.col("tv"))).alias("a"), F.max(F.when(~F.col("_is_a"), F.col("tv"))).alias("b")
-    )
-    found = found.where("a is not null and b is not null")
-    return found.select(*by, f"{side}_a", f"{side}_b", "draw", F.ln(F.col("b") / F.col("a")).alias("log_ratio"))
+    tv = total_variance(rows, [*keys, "draw"], F.col("w"))
+    return tv.select(*keys, F.col("draw").alias("first"), F.array("tv").alias("tv"))
 
 
 def interval(draws: DataFrame, by: Sequence[str], value: str, alpha: float = 0.05) -> DataFrame:

@@ -18,8 +18,8 @@ from driftloom.plans import tables as T
 from driftloom.plans.registering import registry
 from driftloom.plans.tables import SQL_EVENTS, sql_round
 
-N_DRAWS = 20
-N_BOOT = 40
+#: The operators' own numbers of draws.
+N_DRAWS, N_BOOT = 200, 1000
 X = sql_round
 QUERIES, ORACLES, query = registry()
 
@@ -129,49 +129,49 @@ rn as (select event_type, day, bout, count(*) over w as nb, row_number() over (w
 rs as (select event_type, day, draw, ('0x' || substr(md5(concat_ws(':', '0', draw::varchar, event_type, day::varchar, i::varchar)), 1, 8))::bigint % nb as i
     from rn, range(1, {N_BOOT + 1}) t(draw)),
 rw as (select rs.event_type, rs.day, draw, bout, count(*) as w from rs join rn using (event_type, day, i) group by all),
-near as (select event_type, day_a, day_b, drift from p where day_b - day_a = 7)"""
+pairs as (select event_type, day_a, day_b, drift from p)"""
 
 
 def _sql_boot(weight: str) -> str:
     return f"""{SQL_RESAMPLES},
 bs as (select event_type, day, draw, sum({weight}) as n, sum(m * {weight}) / sum({weight}) as mu,
     (sum(m * m * {weight}) - sum(m * {weight}) * sum(m * {weight}) / sum({weight})) / nullif(sum({weight}) - 1, 0) as v from rw join bm using (event_type, day, bout) group by all),
-bd as (select event_type, day_a, day_b, draw, (a.mu - b.mu) * (a.mu - b.mu) - a.v / a.n - b.v / b.n as d from near
-    join bs a on a.event_type = near.event_type and a.day = day_a join bs b on b.event_type = near.event_type and b.day = day_b and b.draw = a.draw
+bd as (select event_type, day_a, day_b, draw, (a.mu - b.mu) * (a.mu - b.mu) - a.v / a.n - b.v / b.n as d from pairs
+    join bs a on a.event_type = pairs.event_type and a.day = day_a join bs b on b.event_type = pairs.event_type and b.day = day_b and b.draw = a.draw
     where a.n >= 2 and b.n >= 2),
 bi as (select event_type, day_a, day_b, quantile_cont(d, 0.025) as low, quantile_cont(d, 0.975) as high from bd group by all)"""
 
 
 SQL_BOOT_COLLAPSED = _sql_boot("1").replace("draw, event_type, day_a", "event_type, day_a").replace(
-    "select event_type, day_a, day_b, draw, (a.mu", "select near.event_type, day_a, day_b, a.draw, (a.mu"
+    "select event_type, day_a, day_b, draw, (a.mu", "select pairs.event_type, day_a, day_b, a.draw, (a.mu"
 )
-SQL_BOOT_REPEATED = _sql_boot("w").replace("select event_type, day_a, day_b, draw, (a.mu", "select near.event_type, day_a, day_b, a.draw, (a.mu")
+SQL_BOOT_REPEATED = _sql_boot("w").replace("select event_type, day_a, day_b, draw, (a.mu", "select pairs.event_type, day_a, day_b, a.draw, (a.mu")
 
 
-def _week_apart(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(bout moments, the day pairs seven days apart with their drift)."""
+def _drifts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(bout moments, all day pairs with their drift)."""
     moments = cut(T.event_moments(spark, sf_dir))
     units = M.unit_moments(M.bout_means(moments), T.SIDE)
-    return moments, cut(D.centroid_drift(units, T.TYPES, "day", F.datediff("day_b", "day_a") == 7))
+    return moments, cut(D.centroid_drift(units, T.TYPES, "day"))
 
 
 def _boot(spark: SparkSession, sf_dir: str, collapse: bool) -> DataFrame:
-    moments, near = _week_apart(spark, sf_dir)
+    moments, pairs = _drifts(spark, sf_dir)
     keys = ["event_type", "day_a", "day_b"]
-    draws = R.bootstrap_centroid(M.bout_means(moments), T.TYPES, "day", near.select(*keys), N_BOOT, collapse=collapse)
-    found = near.join(R.interval(draws, keys, "drift"), keys)
+    draws = R.bootstrap_centroid(M.bout_means(moments), T.TYPES, "day", pairs.select(*keys), N_BOOT, collapse=collapse)
+    found = pairs.join(R.interval(draws, keys, "drift"), keys)
     return found.select(*keys, rounded("drift").alias("drift"), rounded("low").alias("low"), rounded("high").alias("high"))
 
 
 @query(f"""with {SQL_EVENTS}, {SQL_BOOT_COLLAPSED} select event_type, day_a, day_b, {X('drift')} as drift, {X('low')} as low, {X('high')} as high
-    from near join bi using (event_type, day_a, day_b)""")
+    from pairs join bi using (event_type, day_a, day_b)""")
 def bootstrap_ci_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of the drift of days a week apart; a bout drawn twice counts once."""
+    """Intervals of the drift of all day pairs; a bout drawn twice counts once."""
     return _boot(spark, sf_dir, True)
 
 
 @query(f"""with {SQL_EVENTS}, {SQL_BOOT_REPEATED} select event_type, day_a, day_b, {X('drift')} as drift, {X('low')} as low, {X('high')} as high
-    from near join bi using (event_type, day_a, day_b)""")
+    from pairs join bi using (event_type, day_a, day_b)""")
 def bootstrap_ci_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with bouts that count as often as they are drawn."""
     return _boot(spark, sf_dir, False)
@@ -179,15 +179,15 @@ def bootstrap_ci_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {SQL_EVENTS}, {SQL_RESAMPLES},
     bv as (select event_type, day, draw, (sum(sxx * w) - sum(sx * w) * sum(sx * w) / sum(n * w)) / nullif(sum(n * w) - 1, 0) as tv from rw join bm using (event_type, day, bout) group by all),
-    bd as (select near.event_type, day_a, day_b, a.draw, ln(b.tv / a.tv) as d from near join bv a on a.event_type = near.event_type and a.day = day_a
-        join bv b on b.event_type = near.event_type and b.day = day_b and b.draw = a.draw where a.tv > 0 and b.tv > 0),
+    bd as (select pairs.event_type, day_a, day_b, a.draw, ln(b.tv / a.tv) as d from pairs join bv a on a.event_type = pairs.event_type and a.day = day_a
+        join bv b on b.event_type = pairs.event_type and b.day = day_b and b.draw = a.draw where a.tv > 0 and b.tv > 0),
     bi as (select event_type, day_a, day_b, quantile_cont(d, 0.025) as low, quantile_cont(d, 0.975) as high from bd group by all)
     select bi.event_type, day_a, day_b, {X('ln(b.tv / a.tv)')} as log_ratio, {X('low')} as low, {X('high')} as high
     from bi join tv a on a.event_type = bi.event_type and a.day = day_a join tv b on b.event_type = bi.event_type and b.day = day_b""")
 def bootstrap_ci_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moments, near = _week_apart(spark, sf_dir)
+    moments, pairs = _drifts(spark, sf_dir)
     keys = ["event_type", "day_a", "day_b"]
-    draws = R.bootstrap_dispersion(moments, T.TYPES, "day", near.select(*keys), N_BOOT)
+    draws = R.bootstrap_dispersion(moments, T.TYPES, "day", pairs.select(*keys), N_BOOT)
     ratios = D.dispersion_drift(M.total_variance(moments, T.SIDE), T.TYPES, "day")
     found = ratios.join(R.interval(draws, keys, "log_ratio"), keys)
     return found.select(*keys, rounded("log_ratio").alias("log_ratio"), rounded("low").alias("low"), rounded("high").alias("high"))
@@ -195,14 +195,15 @@ def bootstrap_ci_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {SQL_EVENTS}, {SQL_CENTROID_NULL}, {SQL_BOOT_COLLAPSED}, f as (select quantile_cont(drift, 0.95) as floor from cn)
     select day_a, day_b, count(*)::bigint as n_types, {X('avg(drift)')} as mean_drift,
-    count(*) filter (low > floor)::bigint as n_over_floor from near join bi using (event_type, day_a, day_b), f group by day_a, day_b""")
+    count(*) filter (low > floor)::bigint as n_over_floor from pairs join bi using (event_type, day_a, day_b), f group by day_a, day_b""")
 def types_over_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many types of each pair of days a week apart lie over the pooled noise floor."""
-    moments, near = _week_apart(spark, sf_dir)
+    """How many types of each pair of days lie over the pooled noise floor."""
+    moments, pairs = _drifts(spark, sf_dir)
     keys = ["event_type", "day_a", "day_b"]
-    draws = R.bootstrap_centroid(M.bout_means(moments), T.TYPES, "day", near.select(*keys), N_BOOT)
-    floor = R.floor_of(_centroid_null(spark, sf_dir), [], "drift").select("floor")  # one row
-    found = near.join(R.interval(draws, keys, "drift"), keys).crossJoin(F.broadcast(floor))
+    draws = R.bootstrap_centroid(M.bout_means(moments), T.TYPES, "day", pairs.select(*keys), N_BOOT)
+    null = R.centroid_null(M.bout_means(moments), T.SIDE, N_DRAWS)
+    floor = R.floor_of(null, [], "drift").select("floor")  # one row
+    found = pairs.join(R.interval(draws, keys, "drift"), keys).crossJoin(F.broadcast(floor))
     return found.groupBy("day_a", "day_b").agg(
         F.count(F.lit(1)).alias("n_types"), rounded(F.avg("drift")).alias("mean_drift"), F.count_if(F.col("low") > F.col("floor")).alias("n_over_floor")
     )
@@ -239,7 +240,7 @@ def group_permutation_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {SQL_UNITS}, {SQL_PERMUTED},
     gn as (select grp, unit, x, count(*) over (partition by grp) as n, row_number() over (partition by grp order by unit) - 1 as i from g),
-    gs as (select grp, draw, ('0x' || substr(md5(concat_ws(':', '1', draw::varchar, grp, i::varchar)), 1, 8))::bigint % n as i from gn, range(1, 201) t(draw)),
+    gs as (select grp, draw, ('0x' || substr(md5(concat_ws(':', '1', draw::varchar, grp, i::varchar)), 1, 8))::bigint % n as i from gn, range(1, 2001) t(draw)),
     gd as (select draw, avg(x) filter (gs.grp = 'treated') - avg(x) filter (gs.grp = 'control') as d from gs join gn on gn.grp = gs.grp and gn.i = gs.i group by draw),
     ci as (select quantile_cont(d, 0.025) as low, quantile_cont(d, 0.975) as high from gd),
     sp as (select stddev_samp(x - mean) as sd from (select x, avg(x) over (partition by grp) as mean from g)),
@@ -248,18 +249,18 @@ def group_permutation_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     (select count(*) from g where grp = 'treated')::bigint as n_treated, (select count(*) from g where grp = 'control')::bigint as n_control,
     {X('sd')} as between_sd, case when 100.0 > sd then 'within-bird' else 'between-bird' end as limiting_factor from pv, ci, sp""")
 def group_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = G.compare_groups(group_values(spark, sf_dir), "unit", "grp", "x", within_sd=100.0, n_boot=200)
+    found = G.compare_groups(group_values(spark, sf_dir), "unit", "grp", "x", within_sd=100.0)
     numbers = ["observed_difference", "p_value", "ci_low", "ci_high", "between_sd"]
     return found.select(*[rounded(c).alias(c) for c in numbers], "n_treated", "n_control", "limiting_factor")
 
 
-N_BOUTS, POWER_DRAWS, POWER_SCALE = 8, 40, 2000.0
+N_BOUTS, POWER_DRAWS, POWER_SCALE = 8, 500, 2000.0
 POWER_EFFECTS = (0.05, 0.1, 0.5, 1.0, 2.0, 4.0)
 
 
 def _sql_subset(name: str, seed: int) -> str:
     return f"""
-{name}_n as (select event_type, day, bout, count(*) over (partition by event_type, day) as nb from bm where day = date '2024-01-02'),
+{name}_n as (select event_type, day, bout, count(*) over (partition by event_type, day) as nb from bm),
 {name}_r as (select event_type, day, draw, bout, row_number() over (partition by event_type, day, draw
     order by md5(concat_ws(':', '{seed}', draw::varchar, event_type, day::varchar, bout::varchar)), bout) as r from {name}_n, range(1, {POWER_DRAWS + 1}) t(draw) where nb >= {2 * N_BOUTS}),
 {name} as (select *, r <= {N_BOUTS} as is_left from {name}_r where r <= {2 * N_BOUTS})"""
@@ -274,19 +275,15 @@ def _sql_directed(name: str, seed: int) -> str:
     from {name}_s join bm using (event_type, day, bout) group by event_type, day, draw)"""
 
 
-def _one_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.event_moments(spark, sf_dir).where("day = date '2024-01-02'")
-
-
 @query(f"""with {SQL_EVENTS}, {_sql_directed('nl', R.NULL_SEED)}, {_sql_directed('al', 0)},
     cr as (select event_type, day, quantile_cont(drift, 0.95) as critical from nl group by all),
     gr as (select unnest([{", ".join(f"{e}::double" for e in POWER_EFFECTS)}]) as effect)
-    select event_type, effect, {X(f'avg((drift - 2 * sqrt(effect * {POWER_SCALE}) * along + effect * {POWER_SCALE} > critical)::int)')} as power
-    from al join cr using (event_type, day), gr group by event_type, effect""")
+    select event_type, day, effect, {X(f'avg((drift - 2 * sqrt(effect * {POWER_SCALE}) * along + effect * {POWER_SCALE} > critical)::int)')} as power
+    from al join cr using (event_type, day), gr group by event_type, day, effect""")
 def power_curve_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = M.bout_means(_one_day(spark, sf_dir))
+    means = M.bout_means(T.event_moments(spark, sf_dir))
     found = P.centroid_power(means, T.SIDE, N_BOUTS, POWER_SCALE, POWER_EFFECTS, n_draws=POWER_DRAWS)
-    return found.select("event_type", "effect", rounded("power").alias("power"))
+    return found.select("event_type", "day", "effect", rounded("power").alias("power"))
 
 
 def _sql_ratios(name: str, seed: int) -> str:
@@ -299,22 +296,22 @@ def _sql_ratios(name: str, seed: int) -> str:
 @query(f"""with {SQL_EVENTS}, {_sql_ratios('nl', R.NULL_SEED)}, {_sql_ratios('al', 0)},
     cr as (select event_type, day, quantile_cont(abs(log_ratio), 0.95) as critical from nl group by all),
     gr as (select unnest([{", ".join(f"{f}::double" for f in P.FOLDS)}]) as fold)
-    select event_type, fold, {X('avg((abs(log_ratio + ln(fold)) > critical)::int)')} as power from al join cr using (event_type, day), gr group by event_type, fold""")
+    select event_type, day, fold, {X('avg((abs(log_ratio + ln(fold)) > critical)::int)')} as power from al join cr using (event_type, day), gr group by event_type, day, fold""")
 def power_curve_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = P.dispersion_power(_one_day(spark, sf_dir), T.SIDE, N_BOUTS, n_draws=POWER_DRAWS)
-    return found.select("event_type", "fold", rounded("power").alias("power"))
+    found = P.dispersion_power(T.event_moments(spark, sf_dir), T.SIDE, N_BOUTS, n_draws=POWER_DRAWS)
+    return found.select("event_type", "day", "fold", rounded("power").alias("power"))
 
 
 @query(f"""with {SQL_EVENTS}, {_sql_directed('nl', R.NULL_SEED)}, {_sql_directed('al', 0)},
     cr as (select event_type, day, quantile_cont(drift, 0.95) as critical from nl group by all),
     gr as (select unnest([{", ".join(f"{e}::double" for e in POWER_EFFECTS)}]) as effect),
-    pc as (select event_type, effect, avg((drift - 2 * sqrt(effect * {POWER_SCALE}) * along + effect * {POWER_SCALE} > critical)::int) as power
-        from al join cr using (event_type, day), gr group by event_type, effect)
-    select event_type, min(effect) filter (power >= 0.8) as least from pc group by event_type""")
+    pc as (select event_type, day, effect, avg((drift - 2 * sqrt(effect * {POWER_SCALE}) * along + effect * {POWER_SCALE} > critical)::int) as power
+        from al join cr using (event_type, day), gr group by event_type, day, effect)
+    select event_type, day, min(effect) filter (power >= 0.8) as least from pc group by event_type, day""")
 def minimum_detectable_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = M.bout_means(_one_day(spark, sf_dir))
+    means = M.bout_means(T.event_moments(spark, sf_dir))
     curve = P.centroid_power(means, T.SIDE, N_BOUTS, POWER_SCALE, POWER_EFFECTS, n_draws=POWER_DRAWS)
-    return P.least_detectable(curve, T.TYPES, "effect")
+    return P.least_detectable(curve, T.SIDE, "effect")
 
 
 @query()

@@ -3,13 +3,14 @@
 import datetime as dt
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from driftloom.functions import scalars
-from driftloom.operators import clean, drift, embedding, fidelity, groups, matching, moments, power, resampling, sessions
+from driftloom.operators import clean, draws, drift, embedding, fidelity, groups, matching, moments, power, resampling, sessions
 from driftloom.streaming import sessions as streaming
 
 
@@ -165,6 +166,36 @@ def test_bootstrap_keeps_or_collapses_repeats(spark):
     assert ci["low"] < ci["high"]
 
 
+def test_both_ways_of_drawing_agree(spark, monkeypatch):
+    """Groups as matrices, and draws joined with bouts: five dimensions, groups of unequal size, one of them too small."""
+    rng = np.random.default_rng(9)
+    rows = [(k, d, f"b{i}", (rng.normal(size=5) * (1 + k) + 10 * k).tolist()) for k in (1, 2) for d in (1, 2) for i in range(8 * k + d) for _ in range(3)]
+    rows += [(3, 1, f"b{i}", [0.0] * 5) for i in range(3)]
+    df = spark.createDataFrame(rows, "k int, d int, bout string, z array<double>")
+    m = moments.bout_moments(df, ["k", "d"]).persist()
+    means = moments.bout_means(m)
+    pairs = spark.createDataFrame([(1, 1, 2), (2, 1, 2)], "k int, d_a int, d_b int")
+    turns = [(1 + i % 2, 1, f"b{i % 15}", *random.Random(i).choices("abc", k=2)) for i in range(400)]
+    sequence = spark.createDataFrame(turns, "k int, d int, bout string, first string, second string")
+    by = ["k", "d"]
+
+    def all_ways():
+        found = [
+            resampling.centroid_null(means, by, 20, 3), resampling.dispersion_null(m, by, 20, 3), resampling.dispersion_of_subsets(m, by, 3, 20, 3),
+            power.directed_draws(means, by, 3, 20, 3), resampling.bootstrap_dispersion(m, ["k"], "d", pairs, 20, 3),
+            resampling.syntax_null(sequence, by, 20, 3),
+            *[resampling.bootstrap_centroid(means, ["k"], "d", pairs, 20, 3, collapse=c) for c in (True, False)],
+        ]
+        return [sorted(tuple(r) for r in x.collect()) for x in found]
+
+    as_matrices = all_ways()
+    assert all(as_matrices)
+    monkeypatch.setattr(draws, "NUMBERS", 40)
+    for a, b in zip(as_matrices, all_ways()):
+        assert [x[:3] for x in a if isinstance(x[2], int)] == [x[:3] for x in b if isinstance(x[2], int)]
+        assert np.array(a, float) == pytest.approx(np.array(b, float), abs=1e-9)
+
+
 def test_power_grows_with_the_effect_and_null_means_unreachable(spark):
     rows = clustered(6, 1, bouts=40, each=4)
     m = moments.bout_moments(cloud(spark, rows), ["day"])
@@ -230,16 +261,25 @@ def test_matches_are_one_to_one(spark):
     assert (nothing["precision"], nothing["recall"], nothing["f1"]) == (1.0, 1.0, 1.0)
 
 
-@pytest.mark.parametrize(("a", "b", "n"), [("kitten", "sitting", 3), ("abcde", "abXde", 1), ("abcde", "abde", 1), ("", "ab", 2), ("ab", "", 2)])
-def test_token_distance(spark, a, b, n):
-    df = spark.createDataFrame([(list(a), list(b))], "a array<string>, b array<string>")
-    assert df.select(scalars.token_distance(F.col("a"), F.col("b"))).first()[0] == n
-
-
-def test_tokens_of_several_characters(spark):
-    df = spark.createDataFrame([(["1", "12", "3"], ["1", "2", "3"])], "a array<string>, b array<string>")
-    assert df.select(scalars.token_distance(F.col("a"), F.col("b"))).first()[0] == 1
-    assert df.select(scalars.token_error_rate(F.col("a"), F.col("b"))).first()[0] == pytest.approx(1 / 3)
+def edits(a, b):
+    """The distance by its recurrence."""
+    if not a or not b:
+        return len(a) + len(b)
+    if a[0] == b[0]:
+        return edits(a[1:], b[1:])
+    return 1 + min(edits(a[1:], b), edits(a, b[1:]), edits(a[1:], b[1:]))
+
+
+def test_token_distance_equals_its_recurrence(spark):
+    """Random sequences over tokens of one to three characters, some of them parts of others."""
+    rng = random.Random(12)
+    tokens = ["x", "xy", "yx", "xyz", "z", "é", "  "]
+    rows = [(i, rng.choices(tokens, k=rng.randint(0, 6)), rng.choices(tokens, k=rng.randint(0, 6))) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, a array<string>, b array<string>")
+    found = {r[0]: r[1] for r in df.select("i", scalars.token_distance(F.col("a"), F.col("b"))).collect()}
+    assert found == {i: edits(a, b) for i, a, b in rows}
+    rates = {r[0]: r[1] for r in df.where("size(a) > 0").select("i", scalars.token_error_rate(F.col("a"), F.col("b"))).collect()}
+    assert rates == {i: pytest.approx(edits(a, b) / len(a)) for i, a, b in rows if a}
     with pytest.raises(Exception, match="empty"):
         df.select(scalars.token_error_rate(F.array().cast("array<string>"), F.col("b"))).collect()
 
