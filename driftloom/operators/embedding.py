@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -11,6 +15,10 @@ from pyspark.sql import functions as F
 from driftloom.functions.scalars import squared_distance
 
 
+#: Numbers of sums that a task holds before it passes them on.
+HELD = 8_000_000
+
+
 def fitted_pca(reference: DataFrame, components: int, column: str = "z") -> PCAModel:
     """Principal components of the reference rows only; their number is cut to the rows and features there are.
 
@@ -49,37 +57,61 @@ def assigned(df: DataFrame, centres: list[list[float]], column: str = "z") -> Da
 def embedded(features: DataFrame, by: list[str], side: str, components: int, column: str = "features") -> DataFrame:
     """``features`` with z: principal components of each individual, fitted on its first ``side`` only.
 
-    A fit sees one individual's reference rows; the model then meets the rows of one individual and
-    side at a time, so neither the driver nor any task holds more than that.
+    A fit needs no more than an individual's sums of features and of their products, which are added
+    up where its reference rows lie, batch by batch. The models, one row for each individual, are then
+    joined with the rows, and rows are projected in batches: no task holds an individual.
     """
-    import numpy as np
-    import pandas as pd
-
     kinds = dict(features.dtypes)
     keys = ", ".join(f"`{c}` {kinds[c]}" for c in by)
-    first = features.groupBy(*by).agg(F.min(side).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    reference = features.join(first, by).where(F.col(side) == F.col("_first")).select(*by, "_n", column)
+    first = features.groupBy(*by).agg(F.min(side).alias("_first"))
+    reference = features.join(first, by).where(F.col(side) == F.col("_first")).select(*by, column)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, tuple[int, np.ndarray]] = {}
+
+        def passed() -> pd.DataFrame:
+            found = [(*key, i, n, line) for key, (n, whole) in held.items() for i, line in enumerate(whole)]
+            held.clear()
+            return pd.DataFrame(found, columns=[*by, "_line", "_n", "_s"])
+
+        for batch in batches:
+            for key, rows in batch.groupby(by, sort=False, dropna=False):
+                x = np.stack([np.asarray(v, np.float64) for v in rows[column]])
+                n, whole = held.get(key, (0, 0.0))
+                held[key] = n + len(x), whole + np.vstack([x.sum(axis=0), x.T @ x])
+                if sum(w.size for _, w in held.values()) > HELD:
+                    yield passed()
+        yield passed()
+
+    def added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.asarray(v) for v in rows["_s"]], axis=0)
+        return pd.DataFrame([(*key, int(rows["_n"].sum()), total)], columns=[*by, "_line", "_n", "_s"])
+
+    kind = f"{keys}, _line int, _n long, _s array<double>"
+    lines = reference.mapInPandas(sums, kind).groupBy(*by, "_line").applyInPandas(added, kind)
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.asarray(v, np.float64) for v in rows[column]])
-        mean = x.mean(axis=0)
-        k = max(1, min(components, int(rows["_n"].iloc[0]), *x.shape))
-        axes = np.linalg.svd(x - mean, full_matrices=False)[2][:k]
+        rows = rows.sort_values("_line")
+        n, moments = int(rows["_n"].iloc[0]), np.stack([np.asarray(v) for v in rows["_s"]])
+        mean = moments[0] / n
+        values, vectors = np.linalg.eigh(moments[1:] - n * np.outer(mean, mean))
+        k = max(1, min(components, n, len(mean)))
+        axes = vectors[:, np.argsort(-values, kind="stable")[:k]].T
         return pd.DataFrame([(*key, mean, axes.ravel())], columns=[*by, "_mean", "_axes"])
 
-    models = reference.groupBy(*by).applyInPandas(fit, f"{keys}, _mean array<double>, _axes array<double>")
-    models = features.select(*by, side).distinct().join(models, by)
-    rest = [c for c in features.columns if c not in (*by, side, column)]
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*by, side, *rest)) + ", z array<double>"
-
-    def project(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        out = rows[[*by, side, *rest]]
-        if rows.empty or model.empty:
-            return out.iloc[:0].assign(z=[])
-        mean = np.asarray(model["_mean"].iloc[0])
-        axes = np.asarray(model["_axes"].iloc[0]).reshape(-1, len(mean))
-        x = np.stack([np.asarray(v, np.float64) for v in rows[column]])
-        return out.assign(z=list((x - mean) @ axes.T))
-
-    model_columns = models.select(*[F.col(c).alias(c) for c in (*by, side, "_mean", "_axes")])
-    return features.groupBy(*by, side).cogroup(model_columns.groupBy(*by, side)).applyInPandas(project, schema)
+    models = lines.groupBy(*by).applyInPandas(fit, f"{keys}, _mean array<double>, _axes array<double>")
+    rest = [c for c in features.columns if c != column]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", z array<double>"
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            z: list = [None] * len(batch)
+            for at in batch.groupby(by, sort=False, dropna=False).indices.values():
+                mean = np.asarray(batch["_mean"].iloc[at[0]])
+                axes = np.asarray(batch["_axes"].iloc[at[0]]).reshape(-1, len(mean))
+                x = np.stack([np.asarray(v, np.float64) for v in batch[column].iloc[at]])
+                for i, row in zip(at, (x - mean) @ axes.T):
+                    z[i] = row
+            yield batch[rest].assign(z=z)
+
+    return features.join(models, by).mapInPandas(project, schema)

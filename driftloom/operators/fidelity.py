@@ -27,11 +27,14 @@ def _blocks(df: DataFrame, name: str) -> tuple[DataFrame, int]:
 
 
 def _distances(q: np.ndarray, t: np.ndarray) -> np.ndarray:
-    out = np.empty((len(q), len(t)))
-    for i in range(0, len(q), 64):
-        gap = q[i : i + 64, None, :] - t[None, :, :]
-        out[i : i + 64] = (gap * gap).sum(axis=2)
-    return out
+    """Squared distances as |q|^2 + |t|^2 - 2 q.t, from the mean of both so that little cancels; no more than one product is held."""
+    centre = t.mean(axis=0)
+    q, t = q - centre, t - centre
+    out = q @ t.T
+    out *= -2
+    out += (q * q).sum(axis=1)[:, None]
+    out += (t * t).sum(axis=1)[None, :]
+    return np.maximum(out, 0.0, out=out)
 
 
 def _against(queries: DataFrame, train: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
@@ -58,17 +61,21 @@ def nearest(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
     """
 
     def best(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
-        ids, labels = b["id"].to_numpy(), b["label"].to_numpy()
-        rows = []
-        for i, own in enumerate(a["id"]):
-            order = np.lexsort((ids, d[i]))
-            order = order[ids[order] != own][:k]
-            rows += [(own, ids[j], labels[j], d[i, j]) for j in order]
-        return pd.DataFrame(rows, columns=["id", "other", "other_label", "d2"])
+        ids, labels, own = b["id"].to_numpy(), b["label"].to_numpy(), a["id"].to_numpy()
+        d = np.round(d, 9)
+        d[own[:, None] == ids[None, :]] = np.inf
+        m = min(k, len(ids))
+        last = np.partition(d, m - 1, axis=1)[:, m - 1]
+        row, column = np.nonzero((d <= last[:, None]) & (d < np.inf))  # ties of the last place as well
+        order = np.lexsort((ids[column], d[row, column], row))
+        row, column = row[order], column[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, column = row[place < k], column[place < k]
+        return pd.DataFrame({"id": own[row], "other": ids[column], "other_label": labels[column], "d2": d[row, column]})
 
     kinds = dict(train.dtypes)
     found = _against(queries.select("id", "z"), train.select("id", "label", "z"), best, f"id {kinds['id']}, other {kinds['id']}, other_label {kinds['label']}, d2 double")
-    rank = F.row_number().over(W.partitionBy("id").orderBy(F.round("d2", 9), "other"))
+    rank = F.row_number().over(W.partitionBy("id").orderBy("d2", "other"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -115,15 +122,17 @@ def silhouette(points: DataFrame) -> DataFrame:
     return each.agg(F.avg(score).alias("silhouette"))
 
 
-def within_label_correlation(points: DataFrame, max_pairs: int = 20_000, seed: int = 0) -> DataFrame:
+def within_label_correlation(points: DataFrame, max_pairs: int | None = 20_000, seed: int = 0) -> DataFrame:
     """label, n_pairs, rho: rank correlation of the distances by ``z`` and by ``reference`` among pairs of a label.
 
-    Labels of fewer than three points are left out. A label's points are capped, by hash, so that its
-    pairs are at most ``max_pairs``; this bounds the pairs that are formed. Constant distances give 0.
+    Labels of fewer than three points are left out; constant distances give 0. Pairs are as many as a
+    label's points squared, so the statistic is one of a sample: a label's points are taken by hash
+    until they have ``max_pairs`` pairs. With None all pairs count.
     """
-    most = int((1 + (1 + 8 * max_pairs) ** 0.5) / 2)
     enough = points.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("label")
-    rows = stratified_cap(points.join(enough, "label", "left_semi"), ["label"], "id", most, seed)
+    rows = points.join(enough, "label", "left_semi")
+    if max_pairs is not None:
+        rows = stratified_cap(rows, ["label"], "id", int((1 + (1 + 8 * max_pairs) ** 0.5) / 2), seed)
     a, b = (rows.select("label", F.col("id").alias(f"id{s}"), F.col("z").alias(f"z{s}"), F.col("reference").alias(f"r{s}")) for s in "ab")
     pairs = a.join(b, "label").where("ida < idb")
     pairs = pairs.select("label", *[F.round(F.sqrt(squared_distance(f"{v}a", f"{v}b")), 9).alias(v) for v in "zr"])
