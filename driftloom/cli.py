@@ -13,7 +13,7 @@ from driftloom import __version__
 from driftloom.operators import groups
 from driftloom.plans import report
 from driftloom.plans.analysis import AnalysisConfig, analyse
-from driftloom.sources import annotations, datasets, manifest
+from driftloom.sources import annotations, datasets, files, manifest
 
 
 def _fail(message: str) -> int:
@@ -34,7 +34,7 @@ def _manifest(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def _analyse(spark: SparkSession, a: argparse.Namespace) -> int:
-    if not os.path.exists(a.manifest):
+    if not files.exists(a.manifest, spark):
         return _fail(f"no manifest at {a.manifest}")
     config = AnalysisConfig(
         n_pca=a.n_pca, n_freq_bins=a.n_freq_bins, max_per_day=a.max_per_day, exclude_labels=tuple(a.exclude_labels),
@@ -43,7 +43,7 @@ def _analyse(spark: SparkSession, a: argparse.Namespace) -> int:
     try:
         listed = manifest.load_manifest(spark, a.manifest)
         root = os.path.commonpath([r[0] for r in listed.agg(F.min("annot_path")).union(listed.agg(F.max("annot_path"))).collect()])
-        root = root if os.path.isdir(root) else os.path.dirname(root)
+        root = root if files.is_folder(root, spark) else os.path.dirname(root)
         table, counts = annotations.load_from_manifest(spark, listed, root, a.annot_format, on_missing="skip")
         missing = counts.first()["n_missing"]
         if missing:
@@ -57,16 +57,16 @@ def _analyse(spark: SparkSession, a: argparse.Namespace) -> int:
         return _fail(str(problem))
     print(report.summary(result))
     print("\nDrift is evidence of change only over the individual's own noise floor.")
-    report.write_json(result, a.out)
+    report.write_json(result, a.out, spark)
     print(f"wrote {a.out}")
     if a.drift_out:
-        report.write_drift(found, a.drift_out)
+        report.write_drift(found, a.drift_out, spark)
         print(f"wrote {a.drift_out}: one value per individual")
     return 0
 
 
 def _compare(spark: SparkSession, a: argparse.Namespace) -> int:
-    if not os.path.exists(a.drift):
+    if not files.exists(a.drift, spark):
         return _fail(f"no drift table at {a.drift}")
     rows = spark.read.csv(a.drift, header=True)
     lacking = [c for c in ("group", a.value_column) if c not in rows.columns]
@@ -83,7 +83,7 @@ def _compare(spark: SparkSession, a: argparse.Namespace) -> int:
     result = found.first().asDict()
     print(report.comparison_text(result))
     print("\nOne value per individual: renditions of one individual are not replicates.")
-    report.write_json(result, a.out)
+    report.write_json(result, a.out, spark)
     print(f"wrote {a.out}")
     return 0
 

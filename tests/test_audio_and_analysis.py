@@ -121,7 +121,8 @@ def test_analysis_end_to_end(spark, lab, capsys):
     assert control["syntax_divergence"] < 0.1
     assert result["birds"]["t1"]["n_syllables"] == 98
     assert result["birds"]["t1"]["reference_day"] == "2024-05-01"
-    assert "t1: 98 syllables in 12 bouts on 2 days, 2 types" in capsys.readouterr().out
+    table = [x.split() for x in capsys.readouterr().out.splitlines()]
+    assert ["t1", "98", "12", "2", "2"] in [x[:5] for x in table]
     lines = drift_csv.read_text().splitlines()
     assert lines[0] == "bird,drift"
     assert len(lines) == 3
@@ -181,37 +182,76 @@ def test_analysis_of_points(spark):
     assert none.pairs.agg(F.sum("n_types_exceeding_centroid_floor")).first()[0] == 0
 
 
-class Axes:
-    """Stands for matplotlib's, and writes down what is drawn."""
+class Panel:
+    """Stands for one of matplotlib's axes, and writes down what is drawn."""
 
     def __init__(self):
-        self.figure, self.lines, self.points, self.scales = self, [], [], []
-
-    def plot(self, x, y, *_, **__):
-        self.points += list(zip(x, y))
-
-    def axhline(self, y, **_):
-        self.lines.append(y)
-
-    def set_xscale(self, s):
-        self.scales.append(s)
-
-    set_yscale = set_xscale
-
-    def __getattr__(self, name):
-        return lambda *a, **k: None
-
-
-def test_figures_show_floors_and_negatives():
-    pair = {"separation_days": 3, "centroid_drift_standardised": -0.2, "dispersion_drift_abs": 0.1}
-    result = {"birds": {"x": {"day_pairs": [pair], "centroid_floor": 0.5, "within_type_variance": 2.0, "dispersion_floor": 0.3}}}
-    ax = Axes()
-    assert report.plot_drift(result, "centroid", ax) is ax
-    assert (3, -0.2) in ax.points
-    assert 0.25 in ax.lines
-    with pytest.raises(ValueError):
-        report.plot_drift(result, "other", ax)
-    with pytest.raises(ValueError):
-        report.plot_power({}, ax)
-    report.plot_power({10: 0.1, 5: 0.5}, ax)
-    assert ax.scales == ["log", "log"]
+        self.spans, self.bands, self.bars, self.title = [], [], {}, None
+
+    def plot(self, x, y, style):
+        self.spans.append((*x, y[0], style))
+
+    def axhspan(self, low, high, **_):
+        self.bands.append((low, high))
+
+    def bar(self, x, heights):
+        self.bars = dict(zip(x, heights))
+
+    def set_title(self, title):
+        self.title = title
+
+
+def result_of(*values):
+    pairs = [
+        {"day_a": f"2024-05-0{i + 1}", "day_b": f"2024-05-0{i + 2}", "n_types": 2, "centroid_drift_standardised": v, "dispersion_drift": None,
+         "syntax_divergence": 0.01, "n_types_exceeding_centroid_floor": 1, "n_types_exceeding_dispersion_floor": 0, "syntax_exceeds_floor": True}
+        for i, v in enumerate(values)
+    ]
+    bird = {"n_syllables": 40, "n_bouts": 8, "n_days": 3, "types": ["a", "b"], "centroid_floor": 0.5, "within_type_variance": 2.0, "dispersion_floor": None, "syntax_floor": 0.004}
+    return {"birds": {"x": {**bird, "day_pairs": pairs}, "another": {**bird, "centroid_floor": None, "day_pairs": []}}}
+
+
+def test_a_panel_for_each_individual():
+    made = []
+
+    def panels(n):
+        made.extend(Panel() for _ in range(n))
+        return made
+
+    first, second = report.draw_drift(result_of(-0.3, 0.1), "centroid", panels)
+    assert first.bands == [(-0.25, 0.25)]
+    assert first.spans == [("2024-05-01", "2024-05-02", -0.3, "-"), ("2024-05-02", "2024-05-03", 0.1, ":")]
+    assert second.spans == second.bands == []
+    assert "another" in second.title
+    with pytest.raises(ValueError, match="no measure"):
+        report.draw_drift(result_of(), "other", panels)
+    power = report.draw_least({"centroid": {20: 0.1, 5: 0.5, 2: None}}, lambda n: [Panel() for _ in range(n)])
+    assert power[0].bars == {"5": 0.5, "20": 0.1}
+    with pytest.raises(ValueError, match="no effect"):
+        report.draw_least({}, panels)
+
+
+def test_tables_of_text():
+    lines = report.summary(result_of(-0.3, None)).splitlines()
+    assert lines[0].split() == "individual renditions bouts days types centroid floor dispersion floor syntax floor".split()
+    assert lines[1].split() == ["x", "40", "8", "3", "2", "0.2500", "-", "0.0040"]
+    assert len({len(x) for x in lines[:3]}) == 1
+    assert lines[5].split() == ["x", "2024-05-01", "2024-05-02", "2", "-0.3000", "1", "-", "0", "+0.0100", "1"]
+    text = report.comparison_text({"n_treated": 3, "n_control": 4, "observed_difference": 0.5, "ci_low": -0.1, "ci_high": 1.0, "p_value": 0.25})
+    assert text.splitlines()[1].split() == ["3", "4", "+0.5000", "-0.1000", "+1.0000", "0.2500", "-", "-", "-", "-"]
+
+
+def test_results_are_read_again(spark, tmp_path):
+    path = str(tmp_path / "new" / "study.json")
+    rows = report.study_rows(spark.range(3).withColumn("d", F.lit("2024-01-01").cast("date")))
+    report.write_json(rows, f"file://{path}", spark)
+    assert report.read_json(path, spark) == [{"id": i, "d": "2024-01-01"} for i in range(3)]
+    with pytest.raises(ValueError, match="over 2 rows"):
+        report.study_rows(spark.range(3), 2)
+
+
+def test_pairs_in_long_form(spark):
+    pairs = spark.createDataFrame([("x", 1, 2, 0.5, -0.4, None)], "bird string, day_a int, day_b int, centroid_drift_standardised double, dispersion_drift double, syntax_divergence double")
+    birds = spark.createDataFrame([("x", 2.0, 0.5, 0.3, 0.1)], "bird string, within_type_variance double, centroid_floor double, dispersion_floor double, syntax_floor double")
+    found = {r["measure"]: (r["value"], r["floor"], r["over"]) for r in report.over_floor(pairs, birds).collect()}
+    assert found == {"centroid": (0.5, 0.25, True), "dispersion": (-0.4, 0.3, True), "syntax": (None, 0.1, None)}
