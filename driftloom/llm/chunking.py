@@ -142,7 +142,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has, in place of the last floor(n_chars / 2) code points, the first as many (or
     all) of the next document by doc_id. Rows of one doc_id follow one another by the hash of their
     texts; null ids come last, and what follows the last row is the first with an id (without any,
-    nothing). Null texts are empty; an empty table gives an empty result; other columns are not read.
+    nothing). Null texts are empty; a text of any length is chunked whole; an empty table gives an
+    empty result; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

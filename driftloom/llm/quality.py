@@ -175,7 +175,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, kee
 
     Labels of held-out rows, of null ids and other than 0 and 1 are not learnt from; an id that is
     labelled twice counts twice; without labels every score is near 1. Null texts are empty, and
-    empty texts are scored like any other; repeated rows get equal scores; a null doc_id is not held
+    empty texts are scored like any other, and so are texts of any length; repeated rows get equal scores; a null doc_id is not held
     out; an empty table gives an empty result; only doc_id and text are read.
     """
     score = score_of(fitted(docs, labels, sample))

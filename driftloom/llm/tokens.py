@@ -152,8 +152,10 @@ def edited_counts(docs: DataFrame, edits: Column, vocabulary: str = VOCABULARY)
 
     ``edits`` is an array of (start, length, text), applied in order, each to the text that the one
     before has left; a null array or a null entry changes nothing. ``encoded_chars`` is what the
-    edits made the tree encode anew. A null text is empty; repeated rows give equal rows; an empty
-    table gives an empty result; columns beyond doc_id, text and what ``edits`` names are not read.
+    edits made the tree encode anew. A null text is empty; a text of any length is one tree; repeated
+    rows, and rows that share an id or have none, give a row each, so there are no ties to break; an
+    empty table gives an empty result; columns beyond doc_id, text and what ``edits`` names, whatever
+    they are called, are not read.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -37,7 +37,9 @@ def test_stages_stand_odd_rows(spark):
         nothing = stage(spark, data.empty(spark), SF)
         assert nothing.columns == data.empty(spark).columns
         assert nothing.count() == 0
-    assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).count() > 0
+    packed = corpus_pipeline.STAGES[-1][1]
+    check_packing(data.rows(), packed(spark, odd, SF).collect())
+    assert packed(spark, data.empty(spark), SF).count() == 0
 
 
 def test_run_equals_its_stages(spark):
