@@ -8,7 +8,7 @@ take the relational way, draws joined with bouts, which gives the same numbers.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -173,16 +173,24 @@ def bootstrap_centroid(means: DataFrame, by: Sequence[str], side: str, pairs: Da
     ``pairs`` has by, ``side``_a and ``side``_b. With ``collapse`` a bout drawn twice counts once;
     without, it counts twice. Draws with fewer than two bouts on a side have no row.
     """
-    keys, ends = [*by, side], [*by, f"{side}_a", f"{side}_b"]
+    return _one_by_one(_centroid_arrays(means, by, side, pairs, n_boot, seed, collapse), by, side, "drift")
+
+
+def _centroid_arrays(means: DataFrame, by: Sequence[str], side: str, pairs: DataFrame, n_boot: int, seed: int, collapse: bool) -> DataFrame:
+    """by, both sides, draws: an array with the drift of each draw, null where a side has fewer than two bouts."""
+    keys = [*by, side]
     drawn = G.by_size(
         means, keys, ["m"],
         lambda bouts: G.resampled_means(bouts, keys, n_boot, seed, collapse),
         lambda rows: _resampled_means(rows, keys, n_boot, seed, collapse),
     )
-    gap = F.zip_with("mua", "mub", lambda x, y: (x - y) * (x - y))
-    drift = F.aggregate(gap, F.lit(0.0), lambda t, x: t + x) - F.col("ea") - F.col("eb")
-    rows = _paired(pairs, by, side, drawn, {"n": "n", "mu": "mu", "noise": "e"})
-    return rows.where("na >= 2 and nb >= 2").select(*ends, "draw", drift.alias("drift"))
+
+    def drift(d: Column) -> Column:
+        gaps = F.zip_with(d["mua"], d["mub"], lambda x, y: (x - y) * (x - y))
+        far = F.aggregate(gaps, F.lit(0.0), lambda t, x: t + x) - d["ea"] - d["eb"]
+        return F.when((d["na"] >= 2) & (d["nb"] >= 2), far)
+
+    return _paired(pairs, by, side, drawn, {"n": "n", "mu": "mu", "noise": "e"}, drift)
 
 
 def _resampled_means(means: DataFrame, keys: Sequence[str], n_boot: int, seed: int, collapse: bool) -> DataFrame:
@@ -199,8 +207,8 @@ def _resampled_means(means: DataFrame, keys: Sequence[str], n_boot: int, seed: i
     return each.select(*keys, F.col("draw").alias("first"), *[F.array(c).alias(c) for c in ("n", "mu", "noise")])
 
 
-def _paired(pairs: DataFrame, by: Sequence[str], side: str, drawn: DataFrame, values: dict[str, str]) -> DataFrame:
-    """by, both sides, draw and the draws' values of either side, named by ``values`` with a or b behind."""
+def _paired(pairs: DataFrame, by: Sequence[str], side: str, drawn: DataFrame, values: dict[str, str], what: Callable[[Column], Column]) -> DataFrame:
+    """by, both sides, draws: ``what`` of each draw's values on either side, named by ``values`` with a or b behind."""
     ends = [*by, f"{side}_a", f"{side}_b"]
     shares = F.sort_array(F.collect_list(F.struct("first", *values)))
     each = drawn.groupBy(*by, side).agg(shares.alias("_s"))  # every draw of a side, in order
@@ -208,21 +216,57 @@ def _paired(pairs: DataFrame, by: Sequence[str], side: str, drawn: DataFrame, va
     for s in "ab":
         arrays = [F.flatten(F.col("_s")[v]).alias(c + s) for v, c in values.items()]
         rows = rows.join(each.select(*by, F.col(side).alias(f"{side}_{s}"), *arrays), [*by, f"{side}_{s}"])
-    names = [c + s for s in "ab" for c in values.values()]
-    rows = rows.select(*ends, F.posexplode(F.arrays_zip(*names)).alias("_at", "_e"))
-    return rows.select(*ends, (F.col("_at") + 1).alias("draw"), *[F.col("_e")[n].alias(n) for n in names])
+    both = F.arrays_zip(*[c + s for s in "ab" for c in values.values()])
+    return rows.select(*ends, F.transform(both, what).alias("draws"))
+
+
+def _one_by_one(arrays: DataFrame, by: Sequence[str], side: str, name: str) -> DataFrame:
+    ends = [*by, f"{side}_a", f"{side}_b"]
+    rows = arrays.select(*ends, F.posexplode("draws").alias("_at", name)).where(F.col(name).isNotNull())
+    return rows.select(*ends, (F.col("_at") + 1).alias("draw"), name)
+
+
+def _ends(arrays: DataFrame, by: Sequence[str], side: str, alpha: float) -> DataFrame:
+    """by, both sides, low, high: the exact percentile interval of arrays of draws; pairs without a draw have no row."""
+    ends = [*by, f"{side}_a", f"{side}_b"]
+    rows = arrays.select(*ends, F.sort_array(F.filter("draws", lambda x: x.isNotNull())).alias("_d")).where("size(_d) > 0")
+
+    def at(p: float) -> Column:
+        place = (F.size("_d") - 1) * F.lit(p)
+        low, high = (F.get("_d", f(place).cast("int")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (place - F.floor(place))
+
+    return rows.select(*ends, at(alpha / 2).alias("low"), at(1 - alpha / 2).alias("high"))
+
+
+def centroid_interval(means: DataFrame, by: Sequence[str], side: str, pairs: DataFrame, n_boot: int = 1000, seed: int = 0, collapse: bool = True, alpha: float = 0.05) -> DataFrame:
+    """by, both sides, low, high: ``interval`` of ``bootstrap_centroid`` without a row for each draw."""
+    return _ends(_centroid_arrays(means, by, side, pairs, n_boot, seed, collapse), by, side, alpha)
+
+
+def dispersion_interval(moments: DataFrame, by: Sequence[str], side: str, pairs: DataFrame, n_boot: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """The same of ``bootstrap_dispersion``."""
+    return _ends(_dispersion_arrays(moments, by, side, pairs, n_boot, seed), by, side, alpha)
 
 
 def bootstrap_dispersion(moments: DataFrame, by: Sequence[str], side: str, pairs: DataFrame, n_boot: int = 1000, seed: int = 0) -> DataFrame:
     """Draws of the log variance ratio of pairs of sides; the renditions of a bout drawn twice count twice."""
-    keys, ends = [*by, side], [*by, f"{side}_a", f"{side}_b"]
+    return _one_by_one(_dispersion_arrays(moments, by, side, pairs, n_boot, seed), by, side, "log_ratio")
+
+
+def _dispersion_arrays(moments: DataFrame, by: Sequence[str], side: str, pairs: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    keys = [*by, side]
     drawn = G.by_size(
         moments.withColumnRenamed("n", "n_rows"), keys, ["n_rows", "sx", "sxx"],
         lambda bouts: G.resampled_variances(bouts, keys, n_boot, seed),
         lambda rows: _resampled_variances(rows.withColumnRenamed("n_rows", "n"), keys, n_boot, seed),
     )
-    rows = _paired(pairs, by, side, drawn, {"tv": "tv"}).where("tva > 0 and tvb > 0 and not isnan(tva) and not isnan(tvb)")
-    return rows.select(*ends, "draw", F.ln(F.col("tvb") / F.col("tva")).alias("log_ratio"))
+
+    def ratio(d: Column) -> Column:
+        good = (d["tva"] > 0) & (d["tvb"] > 0) & ~F.isnan(d["tva"]) & ~F.isnan(d["tvb"])
+        return F.when(good, F.ln(d["tvb"] / d["tva"]))
+
+    return _paired(pairs, by, side, drawn, {"tv": "tv"}, ratio)
 
 
 def _resampled_variances(moments: DataFrame, keys: Sequence[str], n_boot: int, seed: int) -> DataFrame:

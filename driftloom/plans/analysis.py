@@ -97,9 +97,9 @@ def analyse_points(points: DataFrame, config: AnalysisConfig = AnalysisConfig(),
     keys = [*TYPE, "day_a", "day_b"]
     drift = cut(D.centroid_drift(M.unit_moments(pair_means, SIDE), TYPE, "day").select(*keys, "drift"))
     days = drift.select(*keys)
-    boot = cut(R.interval(R.bootstrap_centroid(pair_means, TYPE, "day", days, config.n_boot, config.seed), keys, "drift"))
+    boot = cut(R.centroid_interval(pair_means, TYPE, "day", days, config.n_boot, config.seed))
     ratio = D.dispersion_drift(M.total_variance(pair_moments, SIDE), TYPE, "day")
-    boot_ratio = cut(R.interval(R.bootstrap_dispersion(pair_moments, TYPE, "day", days, config.n_boot, config.seed), keys, "log_ratio"))
+    boot_ratio = cut(R.dispersion_interval(pair_moments, TYPE, "day", days, config.n_boot, config.seed))
     typed = (
         drift.join(boot.select(*keys, F.col("low").alias("c_low")), keys)
         .join(ratio, keys).join(boot_ratio.select(*keys, F.col("low").alias("d_low"), F.col("high").alias("d_high")), keys)

@@ -158,8 +158,8 @@ def _drifts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def _boot(spark: SparkSession, sf_dir: str, collapse: bool) -> DataFrame:
     moments, pairs = _drifts(spark, sf_dir)
     keys = ["event_type", "day_a", "day_b"]
-    draws = R.bootstrap_centroid(M.bout_means(moments), T.TYPES, "day", pairs.select(*keys), N_BOOT, collapse=collapse)
-    found = pairs.join(R.interval(draws, keys, "drift"), keys)
+    ends = R.centroid_interval(M.bout_means(moments), T.TYPES, "day", pairs.select(*keys), N_BOOT, collapse=collapse)
+    found = pairs.join(ends, keys)
     return found.select(*keys, rounded("drift").alias("drift"), rounded("low").alias("low"), rounded("high").alias("high"))
 
 
@@ -187,9 +187,9 @@ def bootstrap_ci_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_ci_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
     moments, pairs = _drifts(spark, sf_dir)
     keys = ["event_type", "day_a", "day_b"]
-    draws = R.bootstrap_dispersion(moments, T.TYPES, "day", pairs.select(*keys), N_BOOT)
+    ends = R.dispersion_interval(moments, T.TYPES, "day", pairs.select(*keys), N_BOOT)
     ratios = D.dispersion_drift(M.total_variance(moments, T.SIDE), T.TYPES, "day")
-    found = ratios.join(R.interval(draws, keys, "log_ratio"), keys)
+    found = ratios.join(ends, keys)
     return found.select(*keys, rounded("log_ratio").alias("log_ratio"), rounded("low").alias("low"), rounded("high").alias("high"))
 
 
@@ -200,10 +200,10 @@ def types_over_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many types of each pair of days lie over the pooled noise floor."""
     moments, pairs = _drifts(spark, sf_dir)
     keys = ["event_type", "day_a", "day_b"]
-    draws = R.bootstrap_centroid(M.bout_means(moments), T.TYPES, "day", pairs.select(*keys), N_BOOT)
+    ends = R.centroid_interval(M.bout_means(moments), T.TYPES, "day", pairs.select(*keys), N_BOOT)
     null = R.centroid_null(M.bout_means(moments), T.SIDE, N_DRAWS)
     floor = R.floor_of(null, [], "drift").select("floor")  # one row
-    found = pairs.join(R.interval(draws, keys, "drift"), keys).crossJoin(F.broadcast(floor))
+    found = pairs.join(ends, keys).crossJoin(F.broadcast(floor))
     return found.groupBy("day_a", "day_b").agg(
         F.count(F.lit(1)).alias("n_types"), rounded(F.avg("drift")).alias("mean_drift"), F.count_if(F.col("low") > F.col("floor")).alias("n_over_floor")
     )

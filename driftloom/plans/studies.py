@@ -102,8 +102,7 @@ def manipulation(points: DataFrame, events: DataFrame, least_rows: int = 20, lea
     means = M.bout_means(all_moments)
     how = (F.col("side_a") == F.lit("1900-01-01").cast("date")) & (F.col("side_b") > F.col("side_a"))
     drift = cut(D.centroid_drift(M.unit_moments(means, [*key, "side"]), key, "side", how))
-    draws = R.bootstrap_centroid(means, key, "side", drift.select(*key, "side_a", "side_b"), n_boot, seed, collapse=False)
-    low = R.interval(draws, [*key, "side_a", "side_b"], "drift").select(*key, "side_b", "low")
+    low = R.centroid_interval(means, key, "side", drift.select(*key, "side_a", "side_b"), n_boot, seed, collapse=False).select(*key, "side_b", "low")
     spread = D.dispersion_drift(M.total_variance(all_moments, [*key, "side"]), key, "side", how).select(*key, "side_b", "log_ratio")
     post = drift.join(low, [*key, "side_b"], "left").join(spread, [*key, "side_b"], "left").join(floors, key).join(events, key)
     post = post.withColumns({"days_post": F.datediff("side_b", "t0"), "std": F.col("drift") / F.col("scale"), "over": F.col("low") / F.col("scale") > F.col("centroid_floor")})
