@@ -98,3 +98,10 @@ def has_groups(df: DataFrame, column: str, wanted: Sequence[str]) -> None:
     found = {r[0] for r in df.select(column).distinct().limit(len(wanted) + 1).collect()}
     if found != set(wanted):
         raise ValueError(f"{column} has {sorted(map(str, found))}, not {sorted(wanted)}")
+
+
+def label_inventory(df: DataFrame, by: Sequence[str], label: str, day: str) -> DataFrame:
+    """by, label, n, n_days, first_day, share of the group's rows, place (1 is the most frequent, ties by label)."""
+    counts = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(day).alias("n_days"), F.min(day).alias("first_day"))
+    whole = W.partitionBy(*by)
+    return counts.withColumns({"share": F.col("n") / F.sum("n").over(whole), "place": F.rank().over(whole.orderBy(F.desc("n"), label))})

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -69,6 +70,13 @@ def boundary_counts(true: DataFrame, pred: DataFrame, by: Sequence[str], boundar
     return _counts(true, pred, by, tolerance, boundary)
 
 
+def zipped(true: DataFrame, pred: DataFrame, by: Sequence[str], order: str, label: str) -> DataFrame:
+    """by, place, true_label, predicted_label: two sequences side by side in their ``order``, as far as the shorter goes."""
+    place = F.row_number().over(W.partitionBy(*by).orderBy(order))
+    sides = [df.select(*by, place.alias("place"), F.col(label).alias(name)) for df, name in ((true, "true_label"), (pred, "predicted_label"))]
+    return sides[0].join(sides[1], [*by, "place"])
+
+
 def label_accuracy(pairs: DataFrame, true: str, predicted: str) -> DataFrame:
     """One row, accuracy: the share of equal labels; 1 without any."""
     return pairs.agg(F.coalesce(F.avg((F.col(true) == F.col(predicted)).cast("double")), F.lit(1.0)).alias("accuracy"))
