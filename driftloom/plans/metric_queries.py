@@ -159,7 +159,26 @@ def _segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return true, true.select("user_id", "bout", moved("onset_s").alias("onset_s"), moved("offset_s").alias("offset_s"))
 
 
-@query()
+def _sql_jitter(column: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', '{column}', user_id::varchar, bout::varchar)), 1, 8))::bigint % 41) - 20"
+
+
+#: Sessions lie six hours apart and move by 20 s at most, so a session's only candidate is near it, and matches are a join.
+SQL_SEGMENTS = f"""{SQL_SESSIONS},
+tr as (select user_id, bout, min(tt) as onset_s, max(tt) + 1 as offset_s from se group by all),
+pd as (select user_id, onset_s + {_sql_jitter('onset_s')} as onset_s, offset_s + {_sql_jitter('offset_s')} as offset_s from tr)"""
+
+
+def _sql_scored(matches: str, by: str) -> str:
+    """precision, recall and f1 of ``matches`` (by, n_true, n_pred, n_matched)."""
+    return f"""s0 as (select {by}, sum(n_true)::bigint as n_true, sum(n_pred)::bigint as n_pred, sum(n_matched)::bigint as n_matched from {matches} group by all),
+s1 as (select *, case when n_pred > 0 then n_matched / n_pred else 0 end as p, case when n_true > 0 then n_matched / n_true else 0 end as r from s0)
+select {by}, n_true, n_pred, n_matched, {X('p')} as precision, {X('r')} as recall, {X('case when p + r > 0 then 2 * p * r / (p + r) else 0 end')} as f1 from s1"""
+
+
+@query(f"""with {SQL_SEGMENTS}, m as (select user_id % 8 as unit, (select count(*) from tr x where x.user_id = tr.user_id and x.bout = tr.bout) as n_true, 1 as n_pred,
+    (select count(*) from pd where pd.user_id = tr.user_id and abs(pd.onset_s - tr.onset_s) <= 10 and abs(pd.offset_s - tr.offset_s) <= 10) as n_matched from tr),
+    {_sql_scored('m', 'unit')}""")
 def segment_match_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy one-to-one matches of sessions and jittered sessions, both boundaries within ten seconds."""
     counts = MT.segment_counts(*_segments(spark, sf_dir), ["user_id"], 10.0).withColumn("unit", F.col("user_id") % 8)
@@ -167,7 +186,9 @@ def segment_match_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("unit", "n_true", "n_pred", "n_matched", *[rounded(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query()
+@query(f"""with {SQL_SEGMENTS}, m as (select boundary, 1 as n_true, 1 as n_pred, (select count(*) from pd where pd.user_id = tr.user_id
+        and abs(case boundary when 'onset_s' then pd.onset_s - tr.onset_s else pd.offset_s - tr.offset_s end) <= 10) as n_matched from tr, (values ('onset_s'), ('offset_s')) v(boundary)),
+    {_sql_scored('m', 'boundary')}""")
 def boundary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     true, pred = _segments(spark, sf_dir)
     sides = []

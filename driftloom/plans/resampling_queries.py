@@ -320,7 +320,50 @@ def birds_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.birds_needed(G.power_by_size(spark, 0.1, 0.05))
 
 
-@query()
+def _sql_analysis(n_null: int, n_boot: int, rows: int, bouts: int) -> str:
+    """The whole analysis of one-dimensional points ``e`` (bird, label, day, bout, value), piece by piece."""
+    keys = "bird, label, day"
+    return f"""
+b0 as (select {keys}, bout, count(*) as n, sum(value) as sx, sum(value * value) as sxx, avg(value) as m from e group by all),
+su as (select {keys}, count(*) as nb from b0 group by all having sum(n) >= {rows}),
+nu as (select * from b0 semi join (select * from su where nb >= {bouts}) using ({keys})),
+bm as (select * from b0 semi join (select * from su where nb >= 2) using ({keys})),
+{sql_halves('h', keys, n_null, source='nu')},
+cn as (select {keys}, draw, pow(avg(m) filter (is_left) - avg(m) filter (not is_left), 2)
+    - var_samp(m) filter (is_left) / count(*) filter (is_left) - var_samp(m) filter (not is_left) / count(*) filter (not is_left) as drift
+    from h join nu using ({keys}, bout) group by all having count(*) filter (is_left) >= 2 and count(*) filter (not is_left) >= 2),
+dv as (select h.bird, h.label, h.day, draw, var_samp(value) filter (is_left) as a, var_samp(value) filter (not is_left) as b
+    from h join e using ({keys}, bout) group by all),
+fl as (select bird, quantile_cont(drift, 0.95) as centroid_floor from cn group by bird),
+fd as (select bird, quantile_cont(abs(ln(b / a)), 0.95) as dispersion_floor from dv where a > 0 and b > 0 group by bird),
+tv as (select {keys}, var_samp(value) as tv, count(*) as n_rows from e group by all),
+fi as (select bird, min(day) as day from e group by bird),
+sc as (select bird, avg(tv) as scale from tv semi join fi using (bird, day) where n_rows >= 2 group by bird),
+us as (select {keys}, avg(m) as mu, var_samp(m) as v, count(*) as units from bm group by all),
+pt as (select {keys}, (sum(sxx) - sum(sx) * sum(sx) / sum(n)) / (sum(n) - 1) as tv from bm group by all),
+pr as (select a.bird, a.label, a.day as day_a, b.day as day_b, (a.mu - b.mu) * (a.mu - b.mu) - a.v / a.units - b.v / b.units as drift
+    from us a join us b on a.bird = b.bird and a.label = b.label and a.day < b.day where a.units >= 2 and b.units >= 2),
+rn as (select {keys}, bout, count(*) over w as nb, row_number() over (w order by bout) - 1 as i from bm window w as (partition by {keys})),
+rs as (select {keys}, draw, ('0x' || substr(md5(concat_ws(':', '0', draw::varchar, bird, label, day::varchar, i::varchar)), 1, 8))::bigint % nb as i
+    from rn, range(1, {n_boot + 1}) t(draw)),
+rw as (select rs.bird, rs.label, rs.day, draw, bout, count(*) as w from rs join rn using ({keys}, i) group by all),
+bs as (select {keys}, draw, count(*) as n, avg(m) as mu, var_samp(m) as v,
+    (sum(sxx * w) - sum(sx * w) * sum(sx * w) / sum(bm.n * w)) / nullif(sum(bm.n * w) - 1, 0) as tv from rw join bm using ({keys}, bout) group by all),
+bc as (select pr.bird, pr.label, day_a, day_b,
+    quantile_cont((a.mu - b.mu) * (a.mu - b.mu) - a.v / a.n - b.v / b.n, 0.025) filter (a.n >= 2 and b.n >= 2) as c_low,
+    quantile_cont(case when a.tv > 0 and b.tv > 0 then ln(b.tv / a.tv) end, 0.025) as d_low, quantile_cont(case when a.tv > 0 and b.tv > 0 then ln(b.tv / a.tv) end, 0.975) as d_high
+    from pr join bs a on a.bird = pr.bird and a.label = pr.label and a.day = day_a join bs b on b.bird = pr.bird and b.label = pr.label and b.day = day_b and b.draw = a.draw group by all),
+ty as (select pr.*, c_low, d_low, d_high, ln(y.tv / x.tv) as log_ratio, scale, centroid_floor, dispersion_floor from pr join bc using (bird, label, day_a, day_b)
+    join pt x on x.bird = pr.bird and x.label = pr.label and x.day = day_a join pt y on y.bird = pr.bird and y.label = pr.label and y.day = day_b
+    join sc on sc.bird = pr.bird left join fl on fl.bird = pr.bird left join fd on fd.bird = pr.bird where x.tv > 0 and y.tv > 0)"""
+
+
+@query(f"""with e as (select (user_id % 2)::varchar as bird, event_type as label, ts::date as day, user_id as bout, value from events), {_sql_analysis(300, 400, 10, 4)}
+    select bird, day_a, day_b, (day_b - day_a)::int as separation_days, count(*)::bigint as n_types,
+    count(*) filter (c_low > centroid_floor)::bigint as n_types_exceeding_centroid_floor,
+    count(*) filter (d_low > dispersion_floor or d_high < -dispersion_floor)::bigint as n_types_exceeding_dispersion_floor,
+    {X('avg(drift)')} as centroid_drift, {X('avg(drift) / any_value(scale)')} as centroid_drift_standardised,
+    {X('avg(log_ratio)')} as dispersion_drift, {X('avg(abs(log_ratio))')} as dispersion_drift_abs from ty group by bird, day_a, day_b""")
 def drift_against_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole analysis on events: two halves of the users as individuals, drift of every day pair over its floors."""
     from driftloom.plans.analysis import AnalysisConfig, analyse_points

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from driftloom.functions.scalars import rounded
 from driftloom.operators import embedding as E
 from driftloom.operators import moments as M
+from driftloom.operators import power as P
+from driftloom.operators import resampling as R
 from driftloom.plans import studies
 from driftloom.plans import tables as T
 from driftloom.plans.registering import registry
@@ -17,6 +19,7 @@ from driftloom.plans.tables import sql_round
 
 X = sql_round
 QUERIES, ORACLES, query = registry()
+BOUTS = (5, 10, 20)
 EARLY = (dt.date(2024, 1, 1), dt.date(2024, 1, 8))
 LATE = (dt.date(2024, 1, 22), dt.date(2024, 1, 30))
 
@@ -70,20 +73,74 @@ def manipulation_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     marker = rows.where("event_type = 'signup' and day > date '2024-01-06'").groupBy((F.col("user_id") % 40).alias("recording")).agg(F.min("day").alias("t0"))
     keyed = rows.withColumns({"recording": F.col("user_id") % 40, "bird": F.col("user_id") % 8})
     points = M.points(keyed, ["bird", "recording", "day"], "user_id", "value")
-    _, birds = studies.manipulation(points, marker, 4, 4, 3, 20, 20)
+    _, birds = studies.manipulation(points, marker, 4, 4, 3)
     numbers = ["centroid_floor", "dispersion_floor", "control_median", "post_max", "dispersion_max", "ratio"]
     return birds.select("bird", "n_recordings", "first_day_over_floor", *[rounded(c).alias(c) for c in numbers])
 
 
-@query()
+TYPE_COUNTS, SCALE, EFFECTS = (1, 3, 5), 2000.0, (0.05, 0.1, 0.5, 1.0, 2.0)
+
+
+def _sql_least_effects(n: int, draws: int = 400) -> str:
+    """least_{n}: for each number of types and subset of them the least effect that ``n`` bouts a side would show."""
+    parts = []
+    for name, seed in (("nl", R.NULL_SEED), ("al", 0)):
+        p = f"{name}{n}"
+        angle = f"('0x' || substr(md5(concat_ws(':', '{seed}', 'direction', draw::varchar, '0')), 1, 8))::bigint / 4294967296.0 - 0.5"
+        parts.append(f"""
+{p}_r as (select draw, bout, row_number() over (partition by draw order by md5(concat_ws(':', '{seed}', draw::varchar, bout::varchar)), bout) as r
+    from (select bout, count(*) over () as nb from un), range(1, {draws + 1}) t(draw) where nb >= {2 * n}),
+{p}_l as (select label, draw, avg(m) filter (r <= {n}) - avg(m) filter (r > {n}) as gap,
+    var_samp(m) filter (r <= {n}) / count(*) filter (r <= {n}) + var_samp(m) filter (r > {n}) / count(*) filter (r > {n}) as noise
+    from {p}_r join bm using (bout) where r <= {2 * n} group by all having count(*) filter (r <= {n}) >= 2 and count(*) filter (r > {n}) >= 2),
+{p} as (select n_types, subset, draw, avg(gap * gap - noise) as drift, avg(gap * sign({angle})) as along from {p}_l join ch using (label) group by all)""")
+    return f"""{",".join(parts)},
+cr{n} as (select n_types, subset, quantile_cont(drift, 0.95) as critical from nl{n} group by all),
+pw{n} as (select n_types, subset, effect, avg((drift - 2 * sqrt(effect * {SCALE}) * along + effect * {SCALE} > critical)::int) as power
+    from al{n} join cr{n} using (n_types, subset), gr group by all),
+least{n} as (select n_types, subset, min(effect) filter (power >= 0.8) as least from pw{n} group by all)"""
+
+
+SQL_EFFECTS = " union all ".join(f"select {n}::int as n_bouts, n_types, median(least) as mde from least{n} group by n_types" for n in BOUTS)
+
+
+@query(f"""with e as (select event_type as label, user_id as bout, value from events), bm as (select label, bout, avg(value) as m from e group by all),
+    un as (select distinct bout from bm), la as (select label, count(*) over () as all_types from (select distinct label from bm)),
+    ch as (select k::int as n_types, subset, label from (select k, subset, label, all_types, row_number() over (partition by k, subset
+        order by md5(concat_ws(':', '0', k::varchar, subset::varchar, label)), label) as r from la, (values {", ".join(f"({k})" for k in TYPE_COUNTS)}) v(k), range(0, 5) t(subset))
+        where r <= k and (subset = 0 or k < all_types)),
+    gr as (select unnest([{", ".join(f"{x}::double" for x in EFFECTS)}]) as effect), {", ".join(map(_sql_least_effects, BOUTS))} {SQL_EFFECTS}""")
 def sensitivity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least detectable effect by bouts per side and types averaged."""
-    return studies.sensitivity(labelled_events(spark, sf_dir), (5, 10, 20), (1, 3, 5), 2000.0, (0.05, 0.1, 0.5, 1.0, 2.0))
+    return studies.sensitivity(labelled_events(spark, sf_dir), BOUTS, TYPE_COUNTS, SCALE, EFFECTS)
 
 
-@query()
+def _sql_least_folds(n: int, draws: int = 400) -> str:
+    """least_{n}: per label the least fold change that ``n`` bouts a side would show."""
+    parts = []
+    for name, seed in (("nl", R.NULL_SEED), ("al", 0)):
+        p = f"{name}{n}"
+        parts.append(f"""
+{p}_r as (select label, draw, bout, row_number() over (partition by label, draw order by md5(concat_ws(':', '{seed}', draw::varchar, label, bout::varchar)), bout) as r
+    from un, range(1, {draws + 1}) t(draw) where nb >= {2 * n}),
+{p}_v as (select label, draw, var_samp(value) filter (r <= {n}) as a, var_samp(value) filter (r > {n}) as b from {p}_r join e using (label, bout) where r <= {2 * n} group by all),
+{p} as (select label, draw, ln(b / a) as x from {p}_v where a > 0 and b > 0)""")
+    return f"""{",".join(parts)},
+cr{n} as (select label, quantile_cont(abs(x), 0.95) as critical from nl{n} group by all),
+pw{n} as (select label, fold, avg((abs(x + ln(fold)) > critical)::int) as power from al{n} join cr{n} using (label), gr group by all),
+least{n} as (select label, min(fold) filter (power >= 0.8) as least from pw{n} group by label)"""
+
+
+SQL_TABLE = " union all ".join(
+    f"select {n}::int as n_bouts, median(least) as median_fold, count(*)::bigint as n_types, count(*) filter (least is null)::bigint as n_unreachable from least{n} having count(*) > 0"
+    for n in BOUTS
+)
+
+
+@query(f"""with e as (select event_type as label, user_id as bout, value from events), un as (select label, bout, count(*) over (partition by label) as nb from (select distinct label, bout from e)),
+    gr as (select unnest([{", ".join(f"{f}::double" for f in P.FOLDS)}]) as fold), {", ".join(map(_sql_least_folds, BOUTS))} {SQL_TABLE}""")
 def dispersion_sensitivity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return studies.dispersion_sensitivity(labelled_events(spark, sf_dir), (5, 10, 20))
+    return studies.dispersion_sensitivity(labelled_events(spark, sf_dir), BOUTS)
 
 
 @query()

@@ -1,4 +1,4 @@
-"""Queries without SQL see all days, with the operators' own numbers of draws."""
+"""Studies see all days, with the operators' own numbers of draws."""
 
 import inspect
 
