@@ -58,15 +58,22 @@ def document_key() -> list[Column]:
     return [F.xxhash64(tag, "text").alias("_k1"), F.hash("text", tag).alias("_k2")]
 
 
+#: Keys of a join that are broadcast at most: some 10 MB.
+FEW_KEYS = 100_000
+
+
 def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], rows_of: str) -> DataFrame:
     """The inner join of ``rows`` with ``keyed``, which has each key once and, in ``rows_of``, about how many rows have it.
 
-    A key with more rows than a shuffle partition's even share is dealt out to several tasks by a
-    hash of the whole row. There are no more such keys than partitions; they are broadcast.
+    Up to FEW_KEYS keys are broadcast. Of more, a key with more rows than a shuffle partition's even
+    share is dealt out to several tasks by a hash of the whole row. There are no more such keys than
+    partitions; they are broadcast.
     """
-    n = partitions(rows.sparkSession)
-    total = keyed.agg(F.sum(rows_of)).first()[0] or 0
-    share = max(1000, total // n)
+    keyed = checkpoint(keyed)
+    count, total = keyed.agg(F.count(F.lit(1)), F.sum(rows_of)).first()
+    if count <= FEW_KEYS:
+        return rows.join(F.broadcast(keyed), keys)
+    share = max(1000, (total or 0) // partitions(rows.sparkSession))
     parts = F.ceil(F.col(rows_of) / share).cast("int").alias("_parts")
     hot = keyed.where(F.col(rows_of) > share).select(*keys, parts)
     salt = F.pmod(F.xxhash64(*rows.columns), F.coalesce("_parts", F.lit(1))).cast("int")

@@ -17,6 +17,7 @@ shuffled once, to take the dropped lines out.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,12 +103,12 @@ def _sieve(leaves: DataFrame) -> np.ndarray:
 
 
 def _worded(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
-    """leaf, line, words of the different lines that fields may be taken from, of the leaves in the sieve (and some others)."""
+    """leaf, line, words and times of the different lines that fields may be taken from, of the leaves in the sieve (and some others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         variable, digest = re.compile(VARIABLE.encode()), xxhash.xxh64_intdigest
         for batch in batches:
-            found = {}
+            found, times = {}, Counter()
             for text in batch.column("text"):
                 for x in (text.as_py() or "").encode().split(b"\n"):
                     words, general = _template(x, variable)
@@ -117,13 +118,15 @@ def _worded(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
                     at = leaf >> (64 - SIEVE)
                     if int(sieve[at >> 6]) >> (at & 63) & 1:
                         joined = b" ".join(words)
-                        found[digest(joined)] = leaf, joined.decode()
+                        line = digest(joined)
+                        found[line] = leaf, joined.decode()
+                        times[line] += 1
             leaves, texts = zip(*found.values()) if found else ((), ())
-            columns = [_signed(leaves), _signed(list(found)), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["leaf", "line", "words"])
+            columns = [_signed(leaves), _signed(list(found)), pa.array(texts, pa.string()), pa.array([times[x] for x in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["leaf", "line", "words", "times"])
 
-    rows = docs.select("text").mapInArrow(run, "leaf long, line long, words string")
-    return rows.groupBy("leaf", "line").agg(F.first("words").alias("words"))
+    rows = docs.select("text").mapInArrow(run, "leaf long, line long, words string, times long")
+    return rows.groupBy("leaf", "line").agg(F.first("words").alias("words"), F.sum("times").alias("times"))
 
 
 def _recurring(rows: DataFrame, by: list[str], least: Column) -> DataFrame:
@@ -134,22 +137,22 @@ def _recurring(rows: DataFrame, by: list[str], least: Column) -> DataFrame:
 
 
 def templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """leaf, line, template of the lines that have variable fields beyond the masked ones."""
-    different = lines.where("general").groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("times"))
+    """leaf, line, times, template of the lines that have variable fields beyond the masked ones."""
+    different = lines.where("general").select("leaf", "line").distinct()
     leaves = different.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ONE_IN)
     leaves = checkpoint(leaves)
     worded = spread_join(_worded(docs, _sieve(leaves)), leaves, ["leaf"], "n")
-    worded = checkpoint(worded.select("leaf", "line", "n", F.split("words", " ").alias("words")))
+    worded = checkpoint(worded.select("leaf", "line", "times", "n", F.split("words", " ").alias("words")))
     tokens = worded.select("leaf", "n", F.posexplode("words").alias("at", "token"))
-    counts = tokens.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n"))
-    often = (F.col("times") * ONE_IN >= F.col("n")) & (F.col("token") != FIELD.decode())
+    counts = tokens.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
+    often = (F.col("k") * ONE_IN >= F.col("n")) & (F.col("token") != FIELD.decode())
     kept = counts.groupBy("leaf", "at").agg(F.collect_list(F.when(often, F.col("token"))).alias("kept"), F.first("n").alias("n"))
     kept = kept.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "kept"))).alias("kept"), F.first("n").alias("n"))
     found = spread_join(worded.drop("n"), kept, ["leaf"], "n")
     fixed = F.transform("words", lambda w, i: F.when(F.array_contains(F.get(F.col("kept"), i)["kept"], w), w))
     found = found.withColumn("fixed", fixed).withColumn("constants", F.size(F.filter("fixed", lambda w: w.isNotNull())))
     found = found.where((F.col("constants") < F.size("words")) & (F.col("constants") >= SAME * F.size("words")))
-    return found.select("leaf", "line", F.xxhash64("leaf", F.transform("fixed", lambda w: F.coalesce(w, F.lit(FIELD.decode())))).alias("template"))
+    return found.select("leaf", "line", "times", F.xxhash64("leaf", F.transform("fixed", lambda w: F.coalesce(w, F.lit(FIELD.decode())))).alias("template"))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -157,12 +160,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     lines = checkpoint(parsed(docs))
     least = F.when(F.col("tokens") >= WORDS, DOCS).otherwise(SHORT_DOCS)
     same = _recurring(lines, ["leaf", "line"], least)
-    general = templates(docs, lines)
-    each = lines.where("general").groupBy("leaf", "line", "_k1", "_k2").agg(F.min("_id").alias("_id"), F.min("tokens").alias("tokens"))
-    sizes = each.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"))
-    general = checkpoint(general.join(sizes, ["leaf", "line"]))
-    often = _recurring(spread_join(each, general, ["leaf", "line"], "n"), ["template"], F.lit(FIELD_DOCS))
-    like = spread_join(general, often, ["template"], "docs").select("leaf", "line", "first", F.col("n").alias("docs"))
+    general = checkpoint(templates(docs, lines))
+    like = lines.where("general").select("leaf", "line", "_k1", "_k2", "_id", "tokens")
+    often = _recurring(spread_join(like, general, ["leaf", "line"], "times"), ["template"], F.lit(FIELD_DOCS))
+    like = spread_join(general, often, ["template"], "docs").select("leaf", "line", "first", F.col("times").alias("docs"))
     first = same.unionByName(like).groupBy("leaf", "line").agg(F.min("first").alias("first"), F.max("docs").alias("docs"))
     gone = spread_join(lines, first, ["leaf", "line"], "docs").where(F.col("_id") > F.col("first"))
     return gone.groupBy("_k1", "_k2").agg(F.collect_set("place").alias("drop"))
