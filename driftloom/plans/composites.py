@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions.lineage import cut
+from driftloom.operators import audio as A
 from driftloom.operators import clean as C
 from driftloom.operators import drift as D
+from driftloom.operators import matching as MT
 from driftloom.operators import moments as M
 from driftloom.operators import resampling as R
 from driftloom.plans import report, studies
@@ -77,6 +79,22 @@ def windows_over_floors(points: DataFrame, early: tuple, late: tuple, least: int
     return ratios.join(floors, "label", "left").withColumn("over", F.abs("log_ratio") > F.col("floor"))
 
 
+def segmentation_evaluation(recordings: DataFrame, truth: DataFrame, grid: Sequence[float], tolerance: float = 0.01, margin: float = 0.05, **settings: float) -> DataFrame:
+    """day, threshold, n_true, n_pred, n_matched, precision, recall, f1 of each day but the first, on which the threshold is tuned.
+
+    ``recordings`` has audio_path, content and day; ``truth`` audio_path, onset_s and offset_s. What is
+    found outside the annotated span of a recording, give or take the margin, does not count.
+    """
+    first = recordings.agg(F.min("day")).first()[0]
+    tuning, rest = recordings.where(F.col("day") == F.lit(first)), recordings.where(F.col("day") > F.lit(first))
+    of_first, of_rest = (truth.join(r.select("audio_path"), "audio_path", "left_semi") for r in (tuning, rest))
+    threshold, _ = A.tuned_threshold(tuning, of_first, grid, tolerance, **settings)
+    found = A.amplitude_segments(rest, A.AmplitudeSegmenter(threshold=threshold, **settings))
+    counts = MT.segment_counts(of_rest, C.within_span(found, of_rest, ["audio_path"], margin), ["audio_path"], tolerance)
+    by_day = MT.pooled(counts.join(rest.select("audio_path", "day"), "audio_path"), ["day"])
+    return by_day.withColumn("threshold", F.lit(float(threshold)))
+
+
 def rendition_set(rows: DataFrame, label: str, day: str, key: str, exclude: Sequence[str] = (), min_count: int = 1, max_per_day: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(the rows kept, a summary by label): labels taken out by name, then rare ones, then a cap on each label and day, by hash.
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.functions import scalars
+from driftloom.functions import distributions, scalars
 from driftloom.operators import clean, draws, drift, embedding, fidelity, groups, matching, moments, power, resampling, sessions
 from driftloom.streaming import sessions as streaming
 
@@ -407,3 +407,39 @@ def test_combinations_are_all_there(spark):
     found = {r["mask"] for r in groups.labelings(spark, 6, 3).collect()}
     assert found == {sum(1 << i for i in c) for c in itertools.combinations(range(6), 3)}
     assert groups.labelings(spark, 18, 2).count() == math.comb(18, 2)
+
+
+def test_p_values_of_a_trend(spark):
+    """Critical values as statistical tables print them; a rank correlation of 1 has p = 0."""
+    for t, df, p in ((2.228, 10, 0.05), (12.706, 1, 0.05), (3.169, 10, 0.01), (1.0, 1, 0.5), (0.0, 5, 1.0), (2.0, 60, 0.050)):
+        assert distributions.two_sided_p(t, df) == pytest.approx(p, abs=2e-4)
+    rows = [(float(i), float(i**3)) for i in range(8)]
+    found = distributions.trend(spark.createDataFrame(rows, "x double, y double"), "x", "y").first()
+    assert (found["n"], found["rho"], found["rho_p"]) == (8, pytest.approx(1.0), pytest.approx(0.0, abs=1e-6))
+    slope, _ = np.polyfit([x for x, _ in rows], [y for _, y in rows], 1)
+    assert found["slope"] == pytest.approx(slope)
+    assert 0 < found["slope_p"] < 0.01
+    assert distributions.trend(spark.createDataFrame(rows[:2], "x double, y double"), "x", "y").first()["rho_p"] is None
+
+
+def test_what_no_query_calls(spark):
+    labels = spark.createDataFrame([("a",)] * 3 + [("b",)], "label string")
+    assert matching.majority_share(labels, "label").first()[0] == 0.75
+    rows = spark.createDataFrame([(1, 5.0), (1, 3.0), (1, 9.0)], "k int, t double")
+    left, right = (spark.createDataFrame([(1, i, x) for i, x in enumerate(s)], "k int, at int, label string") for s in ("abc", "abxd"))
+    both = sorted(tuple(r) for r in matching.zipped(left, right, ["k"], "at", "label").select("place", "true_label", "predicted_label").collect())
+    assert both == [(1, "a", "a"), (2, "b", "b"), (3, "c", "x")]
+    assert rows.select(scalars.matlab_seconds("t")).first()[0] == 5.0 * 86_400
+
+
+def test_a_set_of_renditions_and_its_summary(spark, tmp_path):
+    from driftloom.plans import composites, report
+
+    rows = spark.createDataFrame([(i, "abcd"[min(3, i // 10)], i % 3) for i in range(33)], "id int, label string, day int")
+    kept, summary = composites.rendition_set(rows, "label", "day", "id", ["a"], 5, 2)
+    assert {r["label"]: (r["n"], r["n_kept"], r["why"]) for r in summary.collect()} == {
+        "a": (10, 0, "excluded"), "b": (10, 6, "kept"), "c": (10, 6, "kept"), "d": (3, 0, "rare"),
+    }
+    composites.write_set(kept, summary, str(tmp_path / "set"))
+    assert spark.read.parquet(str(tmp_path / "set")).count() == 12
+    assert {r["label"] for r in report.read_json(str(tmp_path / "set.summary.json"), spark)} == set("abcd")
