@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftloom.functions.lineage import cut
 from driftloom.functions.scalars import rounded
-from driftloom.operators import audio
 from driftloom.plans import composites
 from driftloom.plans import tables as T
+from driftloom.plans.recordings import recorded_turns
 from driftloom.plans.registering import registry
 from driftloom.plans.resampling_queries import N_DRAWS, SQL_CENTROID_NULL, SQL_DISPERSION_NULL, SQL_EVENTS
 from driftloom.plans.study_queries import EARLY, LATE, labelled_events
@@ -91,35 +86,6 @@ def rendition_set_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composites.rendition_set(rows, "label", "day", "event_id", ["error"], 2000, 40)[1]
 
 
-RATE = 16_000
-
-
-def recorded_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(a recording of each conversation: audio_path, content and day; its turns as segments): a burst of 3 kHz for each turn.
-
-    Bursts begin 0.3 s apart and are longer for longer texts; faint noise lies under them.
-    """
-    turns = T.read(spark, sf_dir, "conversations")
-    onset = F.lit(0.2) + 0.3 * (F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1)
-    length = 0.08 + 0.02 * F.pmod(F.length(F.coalesce("text", F.lit(""))), F.lit(6))
-    truth = turns.select(F.col("conv_id").cast("string").alias("audio_path"), onset.alias("onset_s"), (onset + length).alias("offset_s"))
-    sounds = truth.groupBy("audio_path").agg(F.sort_array(F.collect_list(F.struct("onset_s", "offset_s"))).alias("at"))
-
-    def play(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for name, at in zip(frame["audio_path"], frame["at"]):
-                t = np.arange(int((at[-1]["offset_s"] + 0.3) * RATE)) / RATE
-                loud = np.zeros(len(t), bool)
-                for s in at:
-                    loud |= (t >= s["onset_s"]) & (t < s["offset_s"])
-                noise = np.random.default_rng(int(name)).normal(size=len(t))
-                out.append((name, audio.encoded(0.5 * np.sin(2 * np.pi * 3000 * t) * loud + 0.002 * noise, RATE)))
-            yield pd.DataFrame(out, columns=["audio_path", "content"])
-
-    content = sounds.mapInPandas(play, "audio_path string, content binary")
-    return content.withColumn("day", F.pmod(F.col("audio_path").cast("int"), F.lit(5))), truth
-
 
 @query("""select (conv_id % 5)::int as day, count(*)::bigint as n_true, count(*)::bigint as n_pred, count(*)::bigint as n_matched, 1.0::double as f1
     from conversations where conv_id % 5 > 0 group by 1""")

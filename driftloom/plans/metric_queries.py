@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from driftloom.operators import fidelity as FD
 from driftloom.operators import matching as MT
 from driftloom.operators import sessions as S
 from driftloom.plans import tables as T
+from driftloom.plans.recordings import recorded_turns
 from driftloom.plans.registering import registry
 from driftloom.plans.tables import sql_round
 from driftloom.sources import names
@@ -294,41 +294,25 @@ def inventory_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("bird", "day", "n_files", "n_sounds", rounded("seconds", 4).alias("seconds"), F.col("level").cast("bigint").alias("level"))
 
 
-def tones(spark: SparkSession, n: int = 6, rate: int = 32_000) -> DataFrame:
-    """audio_path and content: recordings of two seconds with three bursts each, at pitches by their number."""
-
-    def make(frames):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        for frame in frames:
-            out = []
-            for i in frame["id"]:
-                t = np.arange(2 * rate) / rate
-                x = sum(np.where((t >= a) & (t < b), 0.5 * np.sin(2 * np.pi * (2000 + 300 * i) * t), 0.0) for a, b in BURSTS)
-                out.append((f"tone{i}.wav", A.encoded(x, rate)))
-            yield pd.DataFrame(out, columns=["audio_path", "content"])
-
-    return spark.range(n).mapInPandas(make, "audio_path string, content binary")
-
-
-BURSTS = ((0.2, 0.35), (0.7, 0.9), (1.4, 1.52))
-
-
-@query()
+@query("""select conv_id, count(*)::bigint as n, (3200 * count(*))::bigint as n_features, 1.0::double as least_peak, 1.0::double as greatest_peak, true as in_range
+    from conversations group by conv_id""")
 def spectrogram_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length, peak and mean of the spectrogram of each burst of generated recordings."""
-    recordings = tones(spark)
-    bursts = F.explode(F.array(*[F.struct(F.lit(a).alias("onset_s"), F.lit(b).alias("offset_s")) for a, b in BURSTS]))
-    table = recordings.select("audio_path", bursts.alias("b")).select("audio_path", "b.onset_s", "b.offset_s")
-    found, _ = A.spectrograms(table, recordings)
-    return found.select(
-        "audio_path", "onset_s", F.size("features").alias("n"), F.array_max("features").alias("peak"),
-        F.round(F.aggregate("features", F.lit(0.0), lambda t, x: t + x.cast("double")) / F.size("features"), 4).alias("mean"),
+    """Spectrograms of all turns of the recorded conversations: of one size, from 0 to 1 each."""
+    recordings, truth = recorded_turns(spark, sf_dir)
+    found, _ = A.spectrograms(truth, recordings.select("audio_path", "content"))
+    peak = F.array_max("features").cast("double")
+    return found.groupBy(F.col("audio_path").cast("bigint").alias("conv_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.size("features")).alias("n_features"), F.min(peak).alias("least_peak"), F.max(peak).alias("greatest_peak"),
+        F.min(F.forall("features", lambda x: (x >= 0) & (x <= 1))).alias("in_range"),
     )
 
 
-@query()
+@query("select conv_id, count(*)::bigint as n_true, count(*)::bigint as n_found, count(*)::bigint as n_within_10_ms from conversations group by conv_id")
 def amplitude_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bursts of generated recordings found by their amplitude."""
-    found = A.amplitude_segments(tones(spark))
-    return found.select("audio_path", F.round("onset_s", 3).alias("onset_s"), F.round("offset_s", 3).alias("offset_s"))
+    """The turns of the recorded conversations found by their amplitude, each with both boundaries within 10 ms."""
+    recordings, truth = recorded_turns(spark, sf_dir)
+    found = A.amplitude_segments(recordings, A.AmplitudeSegmenter(threshold=0.2))
+    counts = MT.segment_counts(truth, found, ["audio_path"], 0.01)
+    return counts.select(
+        F.col("audio_path").cast("bigint").alias("conv_id"), "n_true", F.col("n_pred").alias("n_found"), F.col("n_matched").alias("n_within_10_ms")
+    )
