@@ -4,7 +4,7 @@ Terms are token ids. Document frequencies, the number of documents and their mea
 over all documents first. Documents are then dealt by content: in order of the two terms of greatest
 BM25 weight, and this order is cut into spans of even size for the shuffle, where a pair of terms
 with more than its share of all tokens is spread over spans of its own. Within a partition the
-documents come in that order, and each run of some two million tokens is a shard with an inverted
+documents come in that order, and each run of some million tokens is a shard with an inverted
 index of its own, so a document's lexical neighbours are in its shard.
 
 In a shard, documents become seeds in order. A seed's tokens fill windows of 1,024; its last,
@@ -33,9 +33,11 @@ from driftloom.llm.common import checkpoint, partitions, table
 WINDOW = 1024
 END = 0
 #: Tokens and documents of a shard: the last document is the one that reaches either.
-SHARD_TOKENS, SHARD_ROWS = 2 << 20, 4096
+SHARD_TOKENS, SHARD_ROWS = 1 << 20, 4096
 K1, B = 1.2, 0.75
 VOCABULARY = "byte_bpe_50k"
+#: Seeds that are scored together; a term that one in so many of a shard's documents have is a column of a matrix, others have lists.
+SEEDS, COMMON = 64, 8
 #: Spans of the order by content for each shuffle partition.
 SPANS = 4
 Piece = tuple[object, int, int, int, int, int, int]
@@ -108,37 +110,59 @@ class Statistics:
         self.df = df
         self.idf = np.log1p((documents - df + 0.5) / (df + 0.5))
 
-    def weights(self, terms: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+    def weights(self, terms: np.ndarray, counts: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The BM25 weight of terms that come so often in documents of such lengths."""
         return self.idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * length / self.mean))
 
-    def place(self, ids: np.ndarray) -> tuple[int, int]:
-        """The two terms of greatest weight of those that another document has too; ties go to the smaller term, 0 where there is none."""
-        terms, counts = terms_of(ids)
-        shared = self.df[terms] > 1
-        terms, weight = terms[shared], self.weights(terms, counts, len(ids))[shared]
-        best = [int(t) for t in terms[np.lexsort((terms, -weight))[:2]]] if len(terms) else []
-        return tuple([*best, 0, 0][:2])
+    def places(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray) -> list[tuple[int, int]]:
+        """For each document the two terms of greatest weight of those that another document has too; ties go to the smaller term, 0 where there is none."""
+        sizes = [len(t) for t in terms]
+        term, count = np.concatenate(terms), np.concatenate(counts)
+        weight = self.weights(term, count, np.repeat(lengths, sizes))
+        weight[self.df[term] < 2] = -1.0
+        out, at = [], 0
+        for t, n in zip(terms, sizes):
+            w, best = weight[at : at + n], []
+            for _ in range(2):
+                i = int(w.argmax())
+                best.append(int(t[i]) if w[i] >= 0 else 0)
+                w[i] = -1.0
+            out.append((best[0], best[1]))
+            at += n
+        return out
 
 
 class Index:
     """An inverted index with BM25 weights over the documents of a shard."""
 
-    def __init__(self, docs: list[np.ndarray], statistics: Statistics):
-        found = [terms_of(d) for d in docs]
-        self.terms, self.n = [t for t, _ in found], len(docs)
-        weights = [statistics.weights(t, c, len(d)) for (t, c), d in zip(found, docs)]
-        term = np.concatenate(self.terms)
-        order = np.argsort(term, kind="stable")
-        self.doc = np.repeat(np.arange(self.n), [len(t) for t in self.terms])[order]
-        self.weight = np.concatenate(weights)[order]
-        self.begin = np.r_[0, np.cumsum(np.bincount(term, minlength=len(statistics.df)))]
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, statistics: Statistics):
+        self.terms, self.n = terms, len(terms)
+        sizes = [len(t) for t in terms]
+        term, doc = np.concatenate(terms), np.repeat(np.arange(self.n), sizes)
+        weight = statistics.weights(term, np.concatenate(counts), np.repeat(lengths, sizes))
+        here = np.bincount(term, minlength=len(statistics.df))
+        common = np.flatnonzero(here * COMMON >= max(2 * COMMON, self.n))
+        self.column = np.full(len(here), -1)
+        self.column[common] = np.arange(len(common))
+        dense = self.column[term] >= 0
+        self.matrix = np.zeros((self.n, len(common)))
+        self.matrix[doc[dense], self.column[term[dense]]] = weight[dense]
+        order = np.argsort(term[~dense], kind="stable")
+        self.doc, self.weight = doc[~dense][order], weight[~dense][order]
+        self.begin = np.r_[0, np.cumsum(np.bincount(term[~dense], minlength=len(here)))]
+        self.block, self.first = np.zeros((0, self.n)), 0
 
     def scores(self, seed: int) -> np.ndarray:
         """The BM25 score of every document of the shard for all of the seed's terms."""
+        if not self.first <= seed < self.first + len(self.block):
+            self.first = seed
+            asks = (self.matrix[seed : seed + SEEDS] > 0).astype(np.float64)
+            self.block = asks @ self.matrix.T
         terms = self.terms[seed].astype(np.int64)
+        terms = terms[self.column[terms] < 0]
         first, count = self.begin[terms], self.begin[terms + 1] - self.begin[terms]
         at = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
-        return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
+        return self.block[seed - self.first] + np.bincount(self.doc[at], self.weight[at], minlength=self.n)
 
 
 class Packer:
@@ -149,10 +173,10 @@ class Packer:
         self.parts: list[tuple[object, np.ndarray, int, int]] = []
         self.filled = 0
 
-    def shard(self, names: list, docs: list[np.ndarray]) -> Iterator[Piece]:
+    def shard(self, names: list, docs: list[np.ndarray], terms: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[Piece]:
         """The pieces (name, start, length, crc, tokens, sequence, offset) of the windows that become full; no array is empty."""
-        index = Index(docs, self.statistics)
         length, start = np.array([len(d) for d in docs]), np.zeros(len(docs), np.int64)
+        index = Index(terms, counts, length, self.statistics)
         unused, upcoming = np.ones(len(docs), bool), list(range(len(docs)))
 
         def put(doc: int) -> None:
@@ -214,37 +238,54 @@ def neighbours(index: Index, seed: int, unused: np.ndarray, upcoming: list[int])
             heapq.heappop(upcoming)
 
 
+def _unsigned(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, h (a hash of the text), ids (the bytes of its token ids and the end id) of every row."""
+    """doc_id, h (a hash of the text), and as bytes its token ids with the end id, the terms (distinct ids) and their counts, of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    unsigned = np.uint16 if size_of(vocabulary) <= 1 << 16 else np.uint32
+    unsigned = _unsigned(size_of(vocabulary))
+    names = ["doc_id", "h", "ids", "terms", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, True)
         for batch in batches:
-            ids = [np.array([*encode(t.as_py() or ""), END], unsigned).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(ids, pa.binary())], ["doc_id", "h", "ids"])
+            ids, terms, counts = [], [], []
+            for text in batch.column("text"):
+                found = np.array([*encode(text.as_py() or ""), END], unsigned)
+                distinct, times = terms_of(found)
+                ids.append(found.tobytes())
+                terms.append(distinct.tobytes())
+                counts.append(times.astype(np.uint32).tobytes())
+            columns = [batch.column("doc_id"), batch.column("h"), *(pa.array(x, pa.binary()) for x in (ids, terms, counts))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, h long, ids binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, h long, ids binary, terms binary, counts binary")
+
+
+def arrays(column: pa.Array, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in column]
 
 
 def statistics_of(rows: DataFrame, vocabulary: str = VOCABULARY) -> Statistics:
     """Counted over all ``encoded`` rows; what comes to the driver is a row for each term of the vocabulary at most."""
     size = size_of(vocabulary)
-    unsigned = np.uint16 if size <= 1 << 16 else np.uint32
+    unsigned = _unsigned(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, documents, tokens = np.zeros(size, np.int64), 0, 0
         for batch in batches:
-            for raw in batch.column("ids"):
-                ids = np.frombuffer(raw.as_buffer(), unsigned)
-                df[np.unique(ids)] += 1
-                documents, tokens = documents + 1, tokens + len(ids)
+            for terms in arrays(batch.column("terms"), unsigned):
+                df[terms] += 1
+            documents += batch.num_rows
+            tokens += int(batch.column("size").to_numpy().sum())
         term = np.r_[-2, -1, np.flatnonzero(df)]
         yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(np.r_[documents, tokens, df[df > 0]])], ["term", "n"])
 
-    found = dict(map(tuple, rows.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect()))
+    each = rows.select("terms", (F.octet_length("ids") / unsigned(0).itemsize).cast("long").alias("size"))
+    found = dict(map(tuple, each.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect()))
     df = np.zeros(size, np.int64)
     for t, n in found.items():
         if t >= 0:
@@ -259,17 +300,20 @@ def placed(rows: DataFrame, statistics: Statistics, spans: int) -> DataFrame:
     than a quarter of a span (at most four for each span), and lays them out by number; a row stands
     in its first term's share by a hash of the second, in a large pair's share by a hash of its own.
     """
-    unsigned = np.uint16 if len(statistics.df) <= 1 << 16 else np.uint32
+    unsigned = _unsigned(len(statistics.df))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields]
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(x.as_buffer(), unsigned) for x in batch.column("ids")]
-            one, two = np.array([statistics.place(x) for x in ids], np.int32).reshape(-1, 2).T
-            columns = [*batch.columns, pa.array(one), pa.array(two), pa.array([len(x) for x in ids], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "one", "two", "size"])
-
-    found = rows.mapInArrow(terms, ", ".join([*fields, "one int", "two int", "size long"]))
+            if not batch.num_rows:
+                continue
+            size = batch.column("size").to_numpy()
+            found = statistics.places(arrays(batch.column("terms"), unsigned), arrays(batch.column("counts"), np.uint32), size)
+            one, two = np.array(found, np.int32).T
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(one), pa.array(two)], [*batch.schema.names, "one", "two"])
+
+    in_tokens = (F.octet_length("ids") / unsigned(0).itemsize).cast("long").alias("size")
+    found = rows.select("terms", "counts", in_tokens).mapInArrow(terms, "terms binary, counts binary, size long, one int, two int")
     pairs = checkpoint(found.groupBy("one", "two").agg(F.sum("size").alias("size")))
     total = pairs.agg(F.sum("size")).first()[0] or 0
     heavy = {(a, b): n for a, b, n in pairs.where(F.col("size") > max(1, total // (4 * spans))).collect()}
@@ -293,8 +337,8 @@ def placed(rows: DataFrame, statistics: Statistics, spans: int) -> DataFrame:
                 out.append(min(spans - 1, int((first + size * share) * spans / max(1, total))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "span"])
 
-    own = rows.withColumn("own", F.xxhash64("doc_id", "h"))
-    return own.mapInArrow(dealt, ", ".join([*fields, "own long", "one int", "two int", "size long", "span int"])).drop("own")
+    own = rows.select("*", F.xxhash64("doc_id", "h").alias("own"), in_tokens)
+    return own.mapInArrow(dealt, ", ".join([*fields, "own long", "size long", "one int", "two int", "span int"])).drop("own")
 
 
 def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -309,11 +353,11 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, sh
     rows = checkpoint(encoded(docs, vocabulary))
     statistics = statistics_of(rows, vocabulary)
     n, field = partitions(spark), docs.schema["doc_id"].dataType
-    unsigned = np.uint16 if len(statistics.df) <= 1 << 16 else np.uint32
+    unsigned = _unsigned(len(statistics.df))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, held, tokens = None, ([], []), 0
+        packer, held, tokens = None, ([], [], [], []), 0
 
         def table_of(pieces: Iterator[Piece]) -> pa.RecordBatch:
             columns = list(zip(*pieces)) or [()] * len(names)
@@ -321,14 +365,16 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, sh
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
         for batch in batches:
-            for doc_id, raw, span in zip(*(batch.column(c) for c in ("doc_id", "ids", "span"))):
+            columns = [batch.column("doc_id"), batch.column("span")]
+            columns += [arrays(batch.column(c), k) for c, k in (("ids", unsigned), ("terms", unsigned), ("counts", np.uint32))]
+            for doc_id, span, *parts in zip(*columns):
                 packer = packer or Packer(statistics, window, span.as_py() << 32)
-                held[0].append(doc_id.as_py())
-                held[1].append(np.frombuffer(raw.as_buffer(), unsigned))
-                tokens += len(held[1][-1])
+                for to, x in zip(held, (doc_id.as_py(), *parts)):
+                    to.append(x)
+                tokens += len(parts[0])
                 if tokens >= shard_tokens or len(held[0]) >= SHARD_ROWS:
                     yield table_of(packer.shard(*held))
-                    held, tokens = ([], []), 0
+                    held, tokens = ([], [], [], []), 0
         if held[0]:
             yield table_of(packer.shard(*held))
         if packer:
@@ -337,7 +383,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, sh
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(field)
-    dealt = placed(rows, statistics, SPANS * n).select("doc_id", "h", "ids", "one", "two", "span")
+    dealt = placed(rows, statistics, SPANS * n).select("doc_id", "h", "ids", "terms", "counts", "one", "two", "span")
     dealt = dealt.repartition(n, "span").sortWithinPartitions("span", "one", "two", "doc_id", "h")
     return dealt.mapInArrow(run, f"doc_id {field.simpleString()}, " + ", ".join(f"{c} long" for c in names[1:]))
 

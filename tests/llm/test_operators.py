@@ -120,7 +120,8 @@ def test_scores_and_neighbours_equal_plain_bm25(spark):
     statistics = packing.statistics_of(rows)
     docs = [[*packing.encoder()(t), 0] for t in texts]
     arrays = [np.array(d, np.uint16) for d in docs]
-    index = packing.Index(arrays, statistics)
+    found = [packing.terms_of(a) for a in arrays]
+    index = packing.Index([t for t, _ in found], [c for _, c in found], np.array([len(a) for a in arrays]), statistics)
     for seed in range(len(docs)):
         want = plain_bm25(docs, seed)
         assert index.scores(seed) == pytest.approx(want)
@@ -143,7 +144,8 @@ def test_packing_prefers_neighbours():
         df[np.unique(d)] += 1
     packer = packing.Packer(packing.Statistics(len(docs), sum(map(len, docs)), df), packing.WINDOW, 0)
     by_sequence = {}
-    for doc, _, _, _, _, sequence, _ in packer.shard(list(range(30)), docs):
+    terms, counts = zip(*map(packing.terms_of, docs))
+    for doc, _, _, _, _, sequence, _ in packer.shard(list(range(30)), docs, terms, counts):
         by_sequence.setdefault(sequence, set()).add(doc % 3)
     assert np.mean([len(t) == 1 for t in by_sequence.values()]) > 0.7
 
