@@ -13,6 +13,7 @@ from driftloom.operators import matching as MT
 from driftloom.operators import moments as M
 from driftloom.operators import power as P
 from driftloom.operators import resampling as R
+from driftloom.plans import studies
 from driftloom.plans import tables as T
 from driftloom.plans.drift_queries import SQL_VECTORS
 from driftloom.plans.registering import registry
@@ -125,3 +126,26 @@ def sequence_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), rounded(F.avg((F.col("true_label") == F.col("predicted_label")).cast("double"))).alias("accuracy")
     )
     return found
+
+
+FRACTIONS = (0.25, 0.5, 1.0)
+
+
+@query(f"""with x as (select vec_id, vec_id % 5 as day, label, unnest(embedding)::double as x, unnest(range(len(embedding))) as dim from embeddings),
+    c as (select label as i, dim, round(avg(x), 6) as c from x where label < 3 group by all),
+    d as (select vec_id, day, i, sum((x - c) * (x - c)) as d2 from x join c using (dim) group by all),
+    m as (select vec_id, day, arg_min(i, (d2, i)) as mode, min(d2) as d2 from d group by all),
+    b as (select *, count(*) over (partition by day, mode) as n, row_number() over (partition by day, mode order by sqrt(d2), vec_id) as r from m),
+    k as (select fraction, b.* from b, (select unnest([{", ".join(f"{f}::double" for f in FRACTIONS)}]) as fraction) where n >= 10 and r <= greatest(floor(n * fraction), 5)),
+    v as (select fraction, k.day, mode, dim, var_samp(x) as v from k join x using (vec_id) group by all),
+    t as (select fraction, day, mode, sum(v) as tv from v group by all)
+    select fraction, day, {X('avg(tv)')} as variance from t group by all""")
+def matched_fraction_given_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variance of the rows nearest to each of three given centres (means of labels), by fraction kept and pseudo-day."""
+    rows = T.vectors(spark, sf_dir)
+    means = rows.where("label < 3").select("label", F.posexplode("z").alias("dim", "x")).groupBy("label", "dim").agg(F.round(F.avg("x"), 6).alias("c"))
+    found = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("dim", "c"))).alias("c")).orderBy("label").collect()  # three rows
+    centres = [[x["c"] for x in r["c"]] for r in found]
+    points = rows.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 5).alias("day"), "z")
+    fractions = studies.matched_fractions(points, centres, FRACTIONS, cluster_rows=10, least=5)
+    return fractions.select("fraction", "day", rounded("variance").alias("variance"))
