@@ -11,9 +11,10 @@ Candidates are checked by their whole sets, and only pairs of similarity 0.8 or
 documents of a component of links are near copies of each other. Sets that are equal are one node.
 
 A dense group would have as many candidates as pairs. So candidates come in two passes: first each
-node with the smallest of its near nodes at an anchor (by a hash that is the same everywhere, so a
-group gathers round few nodes), and then, of the nodes that had any, all near pairs whose ends the
-checked links do not connect yet.
+node with the first of its near nodes in each third of the tables (by a hash that is the same
+everywhere, so a group gathers round few nodes). Then, of the nodes that had any, those that are near
+to a node which the checked links do not connect them with yet: what such pairs connect is compared
+block against block, and of a block only a spanning forest of the links is passed on.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from driftloom.llm.simhash import (
     Table,
     block_pairs,
     by_anchor,
+    forest,
     groups,
     majority,
     near,
@@ -50,13 +52,15 @@ from driftloom.llm.simhash import (
 SHINGLE = 5
 #: Least similarity, as a fraction.
 OVER, UNDER = 4, 5
+#: Nodes of a block; columns of shingles that are multiplied at once; rows gathered before groups are compared.
+BLOCK, COLUMNS, ROWS = 256, 4096, 2000
 WORDS, LIMIT, RECALL = 4, 60, 0.995
 #: Bits of a table at least: those of the code.
 LEAST_WIDTH = 15
 #: Candidates of one node that a group of the check holds, about.
 SPOKES = 512
-#: Nodes that the first pass takes as the centres of one large anchor, at most.
-CENTRES = 64
+#: Centres of a large anchor at least; candidates of a node that it checks, at most.
+CENTRES, FIRST = 64, 3
 
 
 def scheme_for(rows: int) -> Scheme:
@@ -117,40 +121,47 @@ def _rank(node: np.ndarray) -> np.ndarray:
     return node * np.uint64(0x9E3779B97F4A7C15)
 
 
-def centred(at: np.ndarray, fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(centre, node): at each anchor, each node with the first of its near nodes in rank order.
+def centred(at: np.ndarray, fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centre, node, anchor): at each anchor, each node with the first of its near nodes in rank order.
 
-    Of an anchor of over SQUARE rows the first CENTRES nodes are centres, and each other node goes to the first that it is near to.
+    Of an anchor of over SQUARE rows nodes become centres in rank order, each taking what is near to it
+    and not taken yet, until few are left; these and the centres are then compared with all, so every
+    node that has near nodes is there.
     """
     begin, size, own = groups(at)
     p, q = [], []
     for a, b in small_pairs(at, fp, LIMIT):
-        p.append(a)
-        q.append(b)
+        p += [a, b]
+        q += [b, a]
     big = (size > SMALL) & (own > 0)
     for k, n, m in zip(begin[big], size[big], own[big]):
         x = fp[k : k + n]
         if n <= SQUARE:
             for a, b in block_pairs(x[:m], x, LIMIT):
-                p.append(a + k)
-                q.append(b + k)
+                p += [a + k, b + k]
+                q += [b + k, a + k]
             continue
-        rest = np.argsort(_rank(node[k : k + n]), kind="stable")
-        for _ in range(CENTRES):
-            if len(rest) < 2:
-                break
+        rest, centres = np.argsort(_rank(node[k : k + n]), kind="stable"), []
+        while len(rest) and (len(centres) < CENTRES or len(rest) > SQUARE):
             centre, rest = rest[0], rest[1:]
+            centres.append(centre)
             hit = near(x[rest], x[centre], LIMIT)
             p.append(np.full(int(hit.sum()), centre + k))
             q.append(rest[hit] + k)
             rest = rest[~hit]
+        alone = np.r_[np.array(centres, np.int64), rest]
+        for a, b in block_pairs(x[alone], x, LIMIT):
+            a = alone[a]
+            a, b = a[a != b], b[a != b]
+            order = np.lexsort((_rank(node[b + k]), a))
+            order = order[np.r_[True, a[order][1:] != a[order][:-1]]] if len(order) else order
+            p.append(b[order] + k)
+            q.append(a[order] + k)
     none = np.zeros(0, np.int64)
     p, q = np.concatenate([none, *p]), np.concatenate([none, *q])
-    low = _rank(node[p]) <= _rank(node[q])
-    p, q = np.where(low, p, q), np.where(low, q, p)
-    order = np.lexsort((_rank(node[p]), at[q] >> 1, q))
+    order = np.lexsort((_rank(node[p]), q))
     first = order[np.r_[True, q[order][1:] != q[order][:-1]]] if len(order) else order
-    return node[p[first]], node[q[first]]
+    return node[p[first]], node[q[first]], at[q[first]]
 
 
 def unconnected(at: np.ndarray, fp: np.ndarray, node: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,17 +188,98 @@ def unconnected(at: np.ndarray, fp: np.ndarray, node: np.ndarray, root: np.ndarr
     return node[a], node[b]
 
 
-def _candidates(nodes: DataFrame, scheme: Scheme, rooted: bool) -> DataFrame:
-    """Distinct pairs ``a``, ``b``: with ``rooted``, those that are not connected yet."""
-    keep = ("fp", "root") if rooted else ("fp",)
+def _first_candidates(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """Pairs ``a``, ``b``: each node b with the first node in rank order that is near to it, for FIRST parts of the tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, values in whole_anchors(batches, [*scheme.names, "fp"]):
+            a, b, anchor = centred(at, values[:, : scheme.words], values[:, scheme.words])
+            part = (anchor >> 41) % FIRST
+            columns = [signed(_rank(a) ^ np.uint64(1 << 63)), signed(a), signed(b), pa.array(part.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["rank", "a", "b", "part"])
+
+    found = by_anchor(nodes, scheme, ("fp",)).mapInArrow(run, "rank long, a long, b long, part int")
+    best = found.groupBy("b", "part").agg(F.min(F.struct("rank", "a")).alias("x"))
+    return best.select("x.a", "b").where("a <> b").distinct()
+
+
+def _candidates(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links ``a``, ``b`` that connect the near nodes whose roots differ: a spanning forest of those of some anchors at a time."""
+    keep = ("fp", "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, values in whole_anchors(batches, [*scheme.names, *keep]):
-            fp, rest = values[:, : scheme.words], values[:, scheme.words :].T
-            a, b = unconnected(at, fp, *rest) if rooted else centred(at, fp, *rest)
+            a, b = forest(*unconnected(at, values[:, : scheme.words], *values[:, scheme.words :].T))
             yield pa.RecordBatch.from_arrays([signed(a), signed(b)], ["a", "b"])
 
-    return by_anchor(nodes, scheme, keep).mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return by_anchor(nodes, scheme, keep).mapInArrow(run, "a long, b long")
+
+
+def similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all pairs whose Jaccard similarity is 0.8 or more."""
+    size = np.array([len(s) for s in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), size)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float64)
+    for first in range(0, int(shared.sum()), COLUMNS):
+        at = slice(*np.searchsorted(column, [first, first + COLUMNS]))
+        held = np.zeros((len(sets), min(COLUMNS, int(shared.sum()) - first)), np.float32)
+        held[row[at], column[at] - first] = 1
+        common += held @ held.T
+    linked = (OVER + UNDER) * common >= OVER * (size[:, None] + size[None, :])
+    return np.nonzero(np.triu(linked, 1))
+
+
+def _links(members: DataFrame) -> DataFrame:
+    """Links ``a``, ``b`` that connect the nodes of each bucket as its similar pairs do; ``members`` has bucket, lo, hi, node, shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[tuple, int, bytes]] = []
+
+        def passed() -> pa.RecordBatch:
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            begin = 0
+            for end in range(1, len(held) + 1):
+                if end < len(held) and held[end][0] == held[begin][0]:
+                    continue
+                if end - begin > 1:
+                    names = np.array([x[1] for x in held[begin:end]], np.int64)
+                    a, b = similar([np.frombuffer(x[2], np.uint64) for x in held[begin:end]])
+                    if len(a):
+                        out.append(forest(names[a], names[b]))
+                begin = end
+            a, b = (np.concatenate(x) for x in zip(*out))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            for x in batch.to_pylist():
+                key = (x["bucket"], x["lo"], x["hi"])
+                if len(held) >= ROWS and held[-1][0] != key:
+                    yield passed()
+                    held.clear()
+                held.append((key, x["node"], x["shingles"]))
+        if held:
+            yield passed()
+
+    n = partitions(members.sparkSession)
+    dealt = members.repartition(n, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _compared(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of the pairs at 0.8 or more among the nodes that ``candidates`` connect: block against block, no row for a pair."""
+    groups = checkpoint(components(candidates).withColumnRenamed("root", "bucket"))
+    blocks = groups.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    members = groups.join(blocks, "bucket").withColumn("_block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
+    members = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("bucket", F.least("_block", "_other").alias("lo"), F.greatest("_block", "_other").alias("hi"), "node")
+    return _links(members.join(sets, "node"))
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -238,15 +330,14 @@ def near_copies(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     firsts = [F.first(c).alias(c) for c in ("any", *words)]
     nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("h").alias("h"), *firsts))
     scheme = scheme or scheme_for(nodes.count())
-    pairs = checkpoint(_candidates(nodes.where("any"), scheme, rooted=False))
-    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    pairs = checkpoint(_first_candidates(nodes.where("any"), scheme))
+    ends = pairs.select(F.col("b").alias("fp")).unionByName(pairs.select(F.col("a").alias("fp"))).distinct()
     needed = checkpoint(nodes.join(ends, "fp", "left_semi"))
     sets = checkpoint(_sets(docs, needed.select("h")))
     links = checkpoint(_checked(pairs, sets))
     rooted = needed.join(components(links).withColumnRenamed("node", "fp"), "fp", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
-    more = checkpoint(_candidates(rooted, scheme, rooted=True).join(pairs, ["a", "b"], "left_anti"))
-    links = links.unionByName(_checked(more, sets))
+    links = links.unionByName(_compared(checkpoint(_candidates(rooted, scheme)), sets))
     return with_components(fps, nodes.select("fp", "first"), components(links))
 
 

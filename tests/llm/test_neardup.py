@@ -44,8 +44,9 @@ def copies():
     return rows
 
 
-@pytest.mark.parametrize("small", [(16, 2048), (2, 8)])
+@pytest.mark.parametrize("small", [(16, 2048, 64), (2, 8, 1)])
 def test_near_copies_equal_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(neardup, "CENTRES", small[2])
     monkeypatch.setattr(neardup, "SMALL", small[0])
     monkeypatch.setattr(simhash, "SMALL", small[0])
     monkeypatch.setattr(neardup, "SQUARE", small[1])
@@ -55,6 +56,21 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, small):
     assert neardup.near_copies(data.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("square", [2048, 2])
+def test_every_node_with_a_near_node_is_a_candidate(monkeypatch, square):
+    """y is near to x and z, which are not near to each other: whichever comes first, all three are there."""
+    monkeypatch.setattr(neardup, "SQUARE", square)
+    monkeypatch.setattr(neardup, "SMALL", 1)
+    monkeypatch.setattr(neardup, "CENTRES", 1)
+    low, high = np.uint64(2**50 - 1), np.uint64(2**50 - 1)
+    fp = np.array([[low, 0, 0, 0], [0, 0, 0, 0], [0, high, 0, 0], [0, 0, 2**64 - 1, 2**64 - 1]], np.uint64)
+    for names in ((1, 2, 3, 4), (3, 1, 2, 4), (2, 3, 1, 4), (3, 2, 1, 4)):
+        node = np.array(names, np.uint64)
+        a, b, _ = neardup.centred(np.zeros(4, np.int64), fp, node)
+        assert set(node[:3].tolist()) <= set(a.tolist()) | set(b.tolist())
+        assert all(simhash.near(fp[names.index(i)], fp[names.index(j)], 60) for i, j in zip(a.tolist(), b.tolist()))
+
+
 def test_whole_table_equals_brute_force(spark):
     source = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     found = neardup.near_copies(spark.createDataFrame(source, "doc_id long, text string"))
