@@ -58,7 +58,7 @@ def added_tokens(vocabulary: str) -> dict[str, int]:
 
 
 @cache
-def encoder(vocabulary: str = VOCABULARY, special: bool = False) -> Callable[[str], list[int]]:
+def encoder(vocabulary: str = VOCABULARY, special: bool = False) -> Callable[[str], np.ndarray]:
     """The ids of a text by the public vocabulary of that name; with ``special``, its special strings have their own ids.
 
     The ranks of the vocabulary give the same ids as its tokenizer file at several times the speed;
@@ -70,13 +70,13 @@ def encoder(vocabulary: str = VOCABULARY, special: bool = False) -> Callable[[st
     known = added_tokens(vocabulary) if special else {}
     quick = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(vocabulary), special_tokens=known)
 
-    def encode(text: str) -> list[int]:
+    def encode(text: str) -> np.ndarray:
         try:
-            return quick.encode(text, allowed_special="all", disallowed_special=())
+            return quick.encode_to_numpy(text, allowed_special="all", disallowed_special=())
         except BaseException as stopped:  # the library panics on some very long runs of spaces
             if type(stopped).__name__ != "PanicException" and not isinstance(stopped, ValueError):
                 raise
-            return _tokenizer(vocabulary, special).encode(text, add_special_tokens=False).ids
+            return np.array(_tokenizer(vocabulary, special).encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 
@@ -97,7 +97,7 @@ def size_of(vocabulary: str = VOCABULARY) -> int:
 
 def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids, in order, and how often each comes."""
-    s = np.sort(ids)
+    s = np.sort(ids, kind="stable")  # by radix for 16 bits
     begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
     return s[begin], np.diff(np.r_[begin, len(s)])
 
@@ -243,7 +243,10 @@ def _unsigned(size: int) -> type:
 
 
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, h (a hash of the text), and as bytes its token ids with the end id, the terms (distinct ids) and their counts, of every row."""
+    """doc_id, h (a hash of the text), and as bytes its token ids with the end id, the terms (distinct ids) and their counts, of every row.
+
+    Counts are of one byte where they fit.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     unsigned = _unsigned(size_of(vocabulary))
     names = ["doc_id", "h", "ids", "terms", "counts"]
@@ -253,11 +256,11 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         for batch in batches:
             ids, terms, counts = [], [], []
             for text in batch.column("text"):
-                found = np.array([*encode(text.as_py() or ""), END], unsigned)
+                found = np.append(encode(text.as_py() or ""), END).astype(unsigned)
                 distinct, times = terms_of(found)
                 ids.append(found.tobytes())
                 terms.append(distinct.tobytes())
-                counts.append(times.astype(np.uint32).tobytes())
+                counts.append(times.astype(np.uint8 if times.max() < 256 else np.uint32).tobytes())
             columns = [batch.column("doc_id"), batch.column("h"), *(pa.array(x, pa.binary()) for x in (ids, terms, counts))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -269,6 +272,10 @@ def arrays(column: pa.Array, kind: type) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), kind) for x in column]
 
 
+def counts_of(column: pa.Array, terms: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint8 if len(x.as_buffer()) == len(t) else np.uint32) for x, t in zip(column, terms)]
+
+
 def statistics_of(rows: DataFrame, vocabulary: str = VOCABULARY) -> Statistics:
     """Counted over all ``encoded`` rows; what comes to the driver is a row for each term of the vocabulary at most."""
     size = size_of(vocabulary)
@@ -308,7 +315,8 @@ def placed(rows: DataFrame, statistics: Statistics, spans: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             size = batch.column("size").to_numpy()
-            found = statistics.places(arrays(batch.column("terms"), unsigned), arrays(batch.column("counts"), np.uint32), size)
+            distinct = arrays(batch.column("terms"), unsigned)
+            found = statistics.places(distinct, counts_of(batch.column("counts"), distinct), size)
             one, two = np.array(found, np.int32).T
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(one), pa.array(two)], [*batch.schema.names, "one", "two"])
 
@@ -366,7 +374,8 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, sh
 
         for batch in batches:
             columns = [batch.column("doc_id"), batch.column("span")]
-            columns += [arrays(batch.column(c), k) for c, k in (("ids", unsigned), ("terms", unsigned), ("counts", np.uint32))]
+            columns += [arrays(batch.column(c), unsigned) for c in ("ids", "terms")]
+            columns.append(counts_of(batch.column("counts"), columns[-1]))
             for doc_id, span, *parts in zip(*columns):
                 packer = packer or Packer(statistics, window, span.as_py() << 32)
                 for to, x in zip(held, (doc_id.as_py(), *parts)):
