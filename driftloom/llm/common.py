@@ -82,6 +82,17 @@ def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], rows_of: str
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
+def looked_up(rows: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """The left join of ``rows`` with ``keyed``, which has each of its keys once.
+
+    Up to FEW_KEYS keys are broadcast. More are joined as tables that nothing has dealt out before,
+    so that Spark may split the tasks of hot keys among ``rows``.
+    """
+    keyed = checkpoint(keyed)
+    few = keyed.count() <= FEW_KEYS
+    return rows.join(F.broadcast(keyed) if few else keyed, keys, "left")
+
+
 def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with ``_nth``: 1, 2, ... for the rows that are equal in ``keys`` (none of them null), in any order.
 

@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from driftloom.llm import chunking, licenses, lines, mixing, packing, quality, sharding, simhash, tokens, topk
+from driftloom.llm import (
+    audit,
+    chunking,
+    langid,
+    licenses,
+    lines,
+    merkle,
+    mixing,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    tokens,
+    topk,
+)
 
 QUERIES = {
     "op1_edited_token_counts": tokens.op1_edited_token_counts,
@@ -15,10 +29,15 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_simhash_components": simhash.op9_simhash_components,
     "op10_chunk_fingerprints": chunking.op10_chunk_fingerprints,
+    "op11_filter_interaction": audit.op11_filter_interaction,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_language_id": langid.op13_language_id,
 }
 ORACLES = {
     "op3_line_dedup": lines.ORACLE,
     "op4_license_scan": licenses.ORACLE,
     "op5_exact_top_k": topk.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
+    "op11_filter_interaction": audit.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
 }
