@@ -14,12 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 REFERENCE_RATE = 32_000
+#: Samples after which a band-pass filter's answer to a pulse no longer matters.
+_TAPS = 1 << 14
 
 
 def decoded(content: bytes) -> tuple[np.ndarray, int]:
     """Samples between -1 and 1 (frames x channels) and the rate of PCM WAV bytes."""
     with wave.open(io.BytesIO(content)) as w:
-        raw, width, channels, rate = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels(), w.getframerate()
+        return samples_of(w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels()), w.getframerate()
+
+
+def samples_of(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """Samples between -1 and 1 (frames x channels) of PCM frames of ``width`` bytes a sample."""
     if width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
     elif width == 3:
@@ -27,7 +33,7 @@ def decoded(content: bytes) -> tuple[np.ndarray, int]:
         x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8).astype(np.float32) / (1 << 23)
     else:
         x = np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]).astype(np.float32) / float(1 << (8 * width - 1))
-    return x.reshape(-1, channels), rate
+    return x.reshape(-1, channels)
 
 
 def encoded(samples: np.ndarray, rate: int = REFERENCE_RATE) -> bytes:
@@ -109,7 +115,7 @@ def _band_sections(low: float, high: float) -> np.ndarray:
 @cache
 def _impulse(low: float, high: float) -> np.ndarray:
     """The band-pass filter's answer to a single pulse, as long as it matters."""
-    x = np.zeros(1 << 14)
+    x = np.zeros(_TAPS)
     x[0] = 1.0
     for b0, b1, b2, _, a1, a2 in _band_sections(low, high).tolist():
         y, x1, x2, y1, y2 = [], 0.0, 0.0, 0.0, 0.0
@@ -137,7 +143,8 @@ class AmplitudeSegmenter:
     smooth_ms: float = 2.0
     band: tuple[float, float] | None = (500.0, 10_000.0)
 
-    def envelope(self, samples: np.ndarray, rate: int) -> np.ndarray:
+    def levels(self, samples: np.ndarray, rate: int) -> np.ndarray:
+        """The smoothed amplitude of the band, sample by sample."""
         x = mono(np.asarray(samples, np.float64))
         if not len(x):
             return x
@@ -151,14 +158,26 @@ class AmplitudeSegmenter:
         width = max(round(self.smooth_ms * 1e-3 * rate), 1)
         before = width // 2
         sums = np.cumsum(np.r_[0, np.pad(np.abs(x), (before, width - 1 - before), mode="edge")])
-        level = (sums[width:] - sums[:-width]) / width
-        peak = level.max()
+        return (sums[width:] - sums[:-width]) / width
+
+    def reach(self, rate: int) -> int:
+        """How many samples on either side of one its level depends on, at most."""
+        return _TAPS + max(round(self.smooth_ms * 1e-3 * rate), 1)
+
+    def envelope(self, samples: np.ndarray, rate: int) -> np.ndarray:
+        level = self.levels(samples, rate)
+        peak = level.max(initial=0)
         return level / peak if peak > 0 else level
 
-    def segments(self, samples: np.ndarray, rate: int) -> list[tuple[float, float]]:
-        level = self.envelope(samples, rate)
+    def runs(self, level: np.ndarray, peak: float) -> tuple[np.ndarray, np.ndarray]:
+        """Where the runs of samples begin and end whose level is over the threshold's share of ``peak``."""
+        level = level / peak if peak > 0 else level
         loud = np.r_[False, (level >= self.threshold) & (level > 0), False]
-        begin, end = np.flatnonzero(loud[1:] & ~loud[:-1]) / rate, np.flatnonzero(~loud[1:] & loud[:-1]) / rate
+        return np.flatnonzero(loud[1:] & ~loud[:-1]), np.flatnonzero(~loud[1:] & loud[:-1])
+
+    def segments(self, samples: np.ndarray, rate: int) -> list[tuple[float, float]]:
+        level = self.levels(samples, rate)
+        begin, end = (x / rate for x in self.runs(level, level.max(initial=0)))
         if not len(begin):
             return []
         new = np.r_[True, begin[1:] - end[:-1] >= self.least_silence]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions.scalars import base_name, named_groups, stamp
 from driftloom.schema import canonical, require
+from driftloom.sources.matlab import notmat
 from driftloom.sources.names import listing
 
 SEGMENTS = "path string, onset_s double, offset_s double, label string"
@@ -27,35 +30,54 @@ def texts(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     return files.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def _delimited(onset: str, offset: str, label: str, sep: str = ",") -> Reader:
-    """A reader of files with a header, all columns as strings, whose columns may be in any order."""
+def contents(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """path and value: the bytes of each file below ``root`` whose name ends in ``suffix``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}")
+    return files.load(root).select("path", F.col("content").alias("value"))
 
-    def read(files: DataFrame) -> DataFrame:
-        def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for path, text in zip(frame["path"], frame["value"]):
-                    rows = [r for r in text.splitlines() if r.strip()]
-                    names = [n.strip().strip('"') for n in rows[0].split(sep)] if rows else []
-                    lacking = [c for c in (onset, offset, label) if c not in names]
-                    if rows and lacking:
-                        raise ValueError(f"{path} is missing required column(s) {lacking}")
-                    at = [names.index(c) for c in (onset, offset, label)] if rows else []
-                    cells = [[r.split(sep)[i].strip().strip('"') for i in at] for r in rows[1:]]
-                    yield pd.DataFrame([(path, float(a), float(b), c) for a, b, c in cells], columns=["path", "onset_s", "offset_s", "label"])
-
-        return files.select("path", "value").mapInPandas(parse, SEGMENTS)
-
-    return read
 
+def _delimited(onset: str, offset: str, label: str, sep: str = ",") -> Reader:
+    """A reader of files with a header, all columns as strings, whose columns may be in any order."""
 
-def _parsed(one: Callable[[str], list[tuple[float, float, str]]]) -> Reader:
-    """A reader of whole text files, each turned into intervals by ``one``."""
+    def one(text: str) -> list[tuple[float, float, str]]:
+        rows = csv.reader(io.StringIO(text), delimiter=sep, strict=True)
+        names, out = None, []
+        while True:
+            try:
+                row = next(rows, None)
+            except csv.Error as e:
+                raise ValueError(f"row {rows.line_num}: {e}") from e
+            if row is None:
+                return out
+            if not any(c.strip() for c in row):
+                continue
+            if names is None:
+                names = [c.strip() for c in row]
+                lacking = [c for c in (onset, offset, label) if c not in names]
+                if lacking:
+                    raise ValueError(f"missing required column(s) {lacking}")
+                continue
+            try:
+                a, b, c = (row[names.index(n)].strip() for n in (onset, offset, label))
+                out.append((float(a), float(b), c))
+            except (ValueError, IndexError) as e:
+                raise ValueError(f"row {rows.line_num}: {e if isinstance(e, ValueError) else 'too few columns'}") from e
+
+    return _parsed(one)
+
+
+def _parsed(one: Callable[..., list[tuple[float, float, str]]]) -> Reader:
+    """A reader of whole files, each turned into intervals by ``one``; what is wrong with a file is told with its path."""
 
     def read(files: DataFrame) -> DataFrame:
         def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                for path, text in zip(frame["path"], frame["value"]):
-                    yield pd.DataFrame([(path, *x) for x in one(text)], columns=["path", "onset_s", "offset_s", "label"])
+                for path, value in zip(frame["path"], frame["value"]):
+                    try:
+                        found = one(value)
+                    except (ValueError, ET.ParseError) as e:
+                        raise ValueError(f"{path}: {e}") from e
+                    yield pd.DataFrame([(path, *x) for x in found], columns=["path", "onset_s", "offset_s", "label"])
 
         return files.select("path", "value").mapInPandas(parse, SEGMENTS)
 
@@ -95,7 +117,10 @@ READERS: dict[str, Reader] = {
     "aud-seq": _parsed(audacity),
     "textgrid": _parsed(textgrid),
     "birdsong-recognition-dataset": _parsed(song_xml),
+    "notmat": _parsed(notmat),
 }
+#: Formats whose readers take bytes.
+BINARY = {"notmat"}
 
 
 def reader(name: str) -> Reader:
@@ -137,7 +162,7 @@ def load_from_manifest(spark: SparkSession, manifest: DataFrame, annot_root: str
         first = [r[0] for r in missing.select("annot_path").limit(5).collect()]
         if first:
             raise FileNotFoundError(f"annotation file(s) missing: {', '.join(first)}")
-    files = texts(spark, annot_root, suffix).withColumn("_path", _local(F.col("path")))
+    files = (contents if annot_format in BINARY else texts)(spark, annot_root, suffix).withColumn("_path", _local(F.col("path")))
     files = files.join(wanted.select("_path"), "_path", "left_semi")
     rows = _checked(read(files)).withColumn("_path", _local(F.col("path"))).drop("path")
     joined = rows.join(wanted, "_path").withColumns(
