@@ -13,8 +13,9 @@ documents of a component of links are near copies of each other. Sets that are e
 A dense group would have as many candidates as pairs. So candidates come in two passes: first each
 node with the first of its near nodes in each third of the tables (by a hash that is the same
 everywhere, so a group gathers round few nodes). Then, of the nodes that had any, those that are near
-to a node which the checked links do not connect them with yet: what such pairs connect is compared
-block against block, and of a block only a spanning forest of the links is passed on.
+to a node which the checked links do not connect them with yet: these are joined by the rarest
+shingles of their sets (a prefix filter, which loses no pair at 0.8), so that sets that only share
+what is frequent, as pages of one template do, are never brought together.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import checkpoint, components, partitions
+from driftloom.llm.common import checkpoint, components, looked_up, partitions
 from driftloom.llm.simhash import (
     SEED,
     SMALL,
@@ -59,6 +60,8 @@ WORDS, LIMIT, RECALL = 4, 60, 0.995
 LEAST_WIDTH = 15
 #: Candidates of one node that a group of the check holds, about.
 SPOKES = 512
+#: Cells of the table of shingles' frequencies; sets of a token that are compared as pairs, at most.
+CELLS, FEW = 1 << 18, 8
 #: Centres of a large anchor at least; candidates of a node that it checks, at most.
 CENTRES, FIRST = 64, 3
 
@@ -272,14 +275,89 @@ def _links(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _compared(candidates: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of the pairs at 0.8 or more among the nodes that ``candidates`` connect: block against block, no row for a pair."""
-    groups = checkpoint(components(candidates).withColumnRenamed("root", "bucket"))
-    blocks = groups.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = groups.join(blocks, "bucket").withColumn("_block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
-    members = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("bucket", F.least("_block", "_other").alias("lo"), F.greatest("_block", "_other").alias("hi"), "node")
-    return _links(members.join(sets, "node"))
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur in ``sets``, by cell (a shingle modulo CELLS): a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for raw in batch.column("shingles"):
+                np.add.at(total, (np.frombuffer(raw.as_buffer(), np.uint64) % CELLS).astype(np.int64), 1)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], ["cell", "n"])
+
+    rows = sets.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # CELLS rows at most
+    out = np.zeros(CELLS, np.int64)
+    for cell, n in rows:
+        out[cell] = n
+    return out
+
+
+def prefix(found: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, so many that sets at 0.8 or more share one of them; without those that no other set has."""
+    n = often[(found % CELLS).astype(np.int64)]
+    most = len(found) + OVER * len(found) // -UNDER + 1
+    first = np.lexsort((found, n))[:most]
+    return found[first[n[first] > 1]]
+
+
+def _postings(members: DataFrame, often: np.ndarray) -> DataFrame:
+    """token, node, root: the prefix of every set of ``members`` (node, root, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [prefix(np.frombuffer(raw.as_buffer(), np.uint64), often) for raw in batch.column("shingles")]
+            row = pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts]))
+            token = np.concatenate([np.zeros(0, np.uint64), *parts])
+            yield pa.RecordBatch.from_arrays([signed(token), *(batch.column(c).take(row) for c in ("node", "root"))], ["token", "node", "root"])
+
+    return members.mapInArrow(run, "token long, node long, root long")
+
+
+def _buckets(postings: DataFrame) -> DataFrame:
+    """token, n, main of the tokens whose sets are not all connected; of tokens that the same sets have, one.
+
+    ``main`` is the root of most of a token's sets: these are connected, and are not compared with one another.
+    """
+    roots = postings.groupBy("token", "root").agg(
+        F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 24)).alias("y")
+    )
+    tokens = roots.groupBy("token").agg(
+        F.sum("k").alias("n"), F.bit_xor("x").alias("x"), F.sum("y").alias("y"), F.count(F.lit(1)).alias("roots"),
+        F.max(F.struct("k", "root"))["root"].alias("main"),
+    )
+    return tokens.where("roots > 1").groupBy("n", "x", "y").agg(F.min(F.struct("token", "main")).alias("t")).select("t.*", "n")
+
+
+def _compared(candidates: DataFrame, rooted: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of the pairs at 0.8 or more among the nodes that ``candidates`` have: by the prefixes of their sets, which is exact.
+
+    Pages of one template share what is frequent, and their prefixes hold what is rare, so sets of
+    which a fifth or more is their own meet nobody. Tokens of few sets give pairs, FEW * FEW / 2 at
+    most; the sets of the others are compared block against block, those outside the token's main
+    component with all.
+    """
+    ends = candidates.select(F.col("a").alias("fp")).unionByName(candidates.select(F.col("b").alias("fp"))).distinct()
+    members = ends.join(rooted.select("fp", "root"), "fp").withColumnRenamed("fp", "node")
+    members = checkpoint(members.join(sets, "node"))
+    postings = checkpoint(_postings(members, _frequencies(members)))
+    held = checkpoint(looked_up(postings, _buckets(postings), ["token"]).where("n is not null"))
+
+    few = held.where(F.col("n") <= FEW)
+    other = few.select("token", F.col("node").alias("b"), F.col("root").alias("_root"))
+    pairs = few.join(other, "token").where("node < b and root <> _root").select(F.col("node").alias("a"), "b").distinct()
+    found = _checked(checkpoint(pairs), sets)
+
+    many = held.where(F.col("n") > FEW).withColumn("_out", F.col("root") != F.col("main"))
+    size = many.groupBy("token").agg(*[F.ceil(F.count_if(c) / BLOCK).cast("int").alias(k) for k, c in (("_outer", F.col("_out")), ("_inner", ~F.col("_out")))])
+    many = many.join(size, "token")
+    # blocks of the outer sets are numbered first; each meets itself, the later ones and all inner ones
+    block = lambda n: F.pmod(F.xxhash64("node", F.lit(2)), F.greatest(F.lit(1), F.col(n))).cast("int")
+    many = many.withColumn("_block", F.when(F.col("_out"), block("_outer")).otherwise(F.col("_outer") + block("_inner")))
+    last = F.when(F.col("_out"), F.col("_outer") + F.col("_inner") - 1).otherwise(F.col("_outer") - 1)
+    many = many.withColumn("_other", F.explode(F.sequence(F.lit(0), last)))
+    many = many.select(F.col("token").alias("bucket"), F.least("_block", "_other").alias("lo"), F.greatest("_block", "_other").alias("hi"), "node")
+    return found.unionByName(_links(many.join(sets, "node")))
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -337,7 +415,8 @@ def near_copies(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     links = checkpoint(_checked(pairs, sets))
     rooted = needed.join(components(links).withColumnRenamed("node", "fp"), "fp", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
-    links = links.unionByName(_compared(checkpoint(_candidates(rooted, scheme)), sets))
+    rooted = checkpoint(rooted)
+    links = links.unionByName(_compared(checkpoint(_candidates(rooted, scheme)), rooted, sets))
     return with_components(fps, nodes.select("fp", "first"), components(links))
 
 

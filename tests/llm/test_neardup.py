@@ -110,3 +110,58 @@ def test_candidates_at_the_least_similarity(rows):
         for t in scheme.tables:
             met |= np.bitwise_count(t.values(a) ^ t.values(b)) <= t.threshold
         assert (met & simhash.near(a, b, scheme.limit)).mean() > (0.9 if n == 9 else 0.95)
+
+
+def template_pages(n, shared=75, own=25):
+    """Pages whose shingles are, for a share of ``shared``, those of their template."""
+    rng = random.Random(11)
+    page = [rng.getrandbits(63) for _ in range(shared)]
+    return [(i, np.unique(np.array(page + [rng.getrandbits(63) for _ in range(own)], np.uint64))) for i in range(n)]
+
+
+@pytest.mark.parametrize("shared", [75, 79])
+def test_pages_of_one_template_meet_nobody(spark, monkeypatch, shared):
+    """Similarity 0.60 and 0.65 to each other: none links, and what is shuffled grows with the pages alone."""
+    joined = []
+    monkeypatch.setattr(neardup, "_links", lambda members: joined.append(members.count()) or members.selectExpr("0L as a", "0L as b").limit(0))
+    monkeypatch.setattr(neardup, "_checked", lambda pairs, _sets: joined.append(pairs.count()) or pairs)
+    for n in (300, 900):
+        rows = [(i, i, bytes(s.tobytes())) for i, s in template_pages(n, shared, 100 - shared)]
+        sets = spark.createDataFrame([(i, b) for i, _, b in rows], "node long, shingles binary")
+        rooted = spark.createDataFrame([(i, r) for i, r, _ in rows], "fp long, root long")
+        candidates = spark.createDataFrame([(0, i) for i in range(1, n)], "a long, b long")
+        neardup._compared(candidates, rooted, sets)
+        # a few: where a shingle of its own shares the cell of one of the template's
+        assert sum(joined) < n / 20
+        joined.clear()
+
+
+@pytest.mark.parametrize("few", [1, 2, 8, 1000])
+def test_the_prefix_filter_loses_no_pair(spark, monkeypatch, few):
+    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "CELLS", 97)
+    rng, nodes = random.Random(3), []
+    for group in range(8):
+        base = [rng.getrandbits(63) for _ in range(rng.choice([1, 3, 9, 60]))]
+        for _ in range(20):
+            own = [x if rng.random() > 0.12 else rng.getrandbits(63) for x in base]
+            nodes.append(np.unique(np.array(own[: rng.randint(max(1, len(own) * 8 // 10), len(own))], np.uint64)))
+    named = {i: set(x.tolist()) for i, x in enumerate(nodes)}
+    root = {i: i if rng.random() < 0.7 else i // 20 * 20 for i in named}
+    rooted = spark.createDataFrame(list(root.items()), "fp long, root long")
+    sets = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(nodes)], "node long, shingles binary")
+    candidates = spark.createDataFrame([(i, (i + 1) % len(nodes)) for i in named], "a long, b long")
+    found = [tuple(r) for r in neardup._compared(candidates, rooted, sets).select("a", "b").collect()]
+
+    def joined(links):
+        label = dict(root)
+        for a, b in links:
+            x, y = label[a], label[b]
+            label = {k: x if v == y else v for k, v in label.items()}
+        return {frozenset(k for k in label if label[k] == v) for v in label.values()}
+
+    pairs = [(a, b) for a in named for b in named if a < b]
+    want = [p for p in pairs if jaccard(named[p[0]], named[p[1]]) >= 0.8]
+    assert all(jaccard(named[a], named[b]) >= 0.8 for a, b in found) or few == 1
+    assert joined(found) == joined(want)
