@@ -140,7 +140,6 @@ def test_pages_of_one_template_meet_nobody(spark, monkeypatch, shared):
 def test_the_prefix_filter_loses_no_pair(spark, monkeypatch, few):
     monkeypatch.setattr(neardup, "FEW", few)
     monkeypatch.setattr(neardup, "BLOCK", 7)
-    monkeypatch.setattr(neardup, "CELLS", 97)
     rng, nodes = random.Random(3), []
     for group in range(8):
         base = [rng.getrandbits(63) for _ in range(rng.choice([1, 3, 9, 60]))]
