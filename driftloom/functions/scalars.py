@@ -96,6 +96,24 @@ def portable_index(digest: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), n)
 
 
+#: A factor that spreads the bits of a 32-bit number, and how far they are shifted.
+FACTOR, SHIFT = 73_244_475, 16
+
+
+def lane(digest: Column, k: int) -> Column:
+    """The ``k``th 32 bits of a digest in hexadecimal, as a number."""
+    return F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("bigint")
+
+
+def mixed(x: Column, y: Column) -> Column:
+    """A 32-bit hash of two 32-bit numbers, by whole-number arithmetic that any engine, and numpy over whole arrays, can do."""
+    z = x.bitwiseXOR(y)
+    for _ in range(2):
+        z = (z.bitwiseXOR(F.shiftright(z, SHIFT)) * FACTOR) % 2**32
+    return z.bitwiseXOR(F.shiftright(z, SHIFT))
+
+
+
 #: Characters that stand for tokens begin here; those up to 0xD7FF give room for some 35,000 in a pair.
 FIRST_CODE = 0x4E00
 

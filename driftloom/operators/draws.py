@@ -2,7 +2,8 @@
 
 A bout is one row with its moments as arrays. A group's draws are shared out to some tasks; each of
 them gets the group's bouts once, whatever the number of draws, and passes on a row per draw (or, of
-a resample, the draw's means). The choices are those of :mod:`resampling`, digest by digest. A group
+a resample, the draw's means). The choices are those of :mod:`resampling`, hash by hash: one digest for
+a bout and one for a draw, mixed over whole arrays. A group
 of over ``NUMBERS`` numbers is not put into one task: it goes the relational way there.
 """
 
@@ -18,11 +19,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftloom.functions.lineage import cut
+from driftloom.functions.scalars import FACTOR, SHIFT, lane
 
 #: Bouts times dimensions of a group that a task holds, at most.
 NUMBERS = 16_000_000
 #: Tasks that share the draws of a group, at most, and choices that are too few to share.
-CHUNKS, SHARE = 8, 500_000
+CHUNKS, SHARE = 64, 5_000_000
 #: Weights that are held at once.
 BLOCK = 2_000_000
 
@@ -30,38 +32,50 @@ Work = Callable[["Group", range], dict[str, list]]
 
 
 class Group:
-    """The bouts of one group in order: the texts that their choices are hashed from, and their moments."""
+    """The bouts of one group in order: the numbers that their choices are hashed from, and their moments."""
 
     def __init__(self, rows: pa.Table, values: Sequence[str]):
         self.n, self.rows = len(rows), rows
-        self.tails = [t.encode() for t in rows.column("_tail").to_pylist()]
+        self.lanes = tuple(rows.column(c).to_numpy().astype(np.uint32) for c in ("_a", "_b"))
         self.key = rows.column("_key")[0].as_py()
         for v in values:
             flat = rows.column(v).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             setattr(self, v, flat.reshape(self.n, -1))
 
-    @staticmethod
-    def digests(head: str, tails: list[bytes]) -> np.ndarray:
-        start, md5 = head.encode(), hashlib.md5
-        return np.frombuffer(b"".join([md5(start + t).digest() for t in tails]), ">u8").reshape(-1, 2)
-
     def ranks(self, draws: range, seed: int) -> np.ndarray:
-        """For each draw, the place of each bout in the order of its digests."""
-        out = np.empty((len(draws), self.n), np.int64)
-        for i, draw in enumerate(draws):
-            d = self.digests(f"{seed}:{draw}:", self.tails)
-            out[i, np.lexsort((d[:, 1], d[:, 0]))] = np.arange(self.n)
+        """For each draw, the place of each bout in the order of its hashes."""
+        high, low = (mixed(x, d) for x, d in zip(self.lanes, of_draws(draws, seed)))
+        order = np.argsort(high.astype(np.uint64) << np.uint64(32) | low, axis=1, kind="stable")
+        out = np.empty_like(order)
+        np.put_along_axis(out, order, np.broadcast_to(np.arange(self.n), order.shape), axis=1)
         return out
 
     def times(self, draws: range, seed: int) -> np.ndarray:
         """For each draw with replacement, how often each bout was drawn."""
-        out = np.empty((len(draws), self.n))
-        places = [b"%d" % k for k in range(self.n)]
-        for i, draw in enumerate(draws):
-            head = "".join(f"{x}:" for x in (seed, draw, *([self.key] if self.key else [])))
-            first = (self.digests(head, places)[:, 0] >> np.uint64(32)).astype(np.int64)
-            out[i] = np.bincount(first % self.n, minlength=self.n)
-        return out
+        slots = lanes([f"{self.key}:{i}" if self.key else str(i) for i in range(self.n)])
+        first = mixed(slots[0], of_draws(draws, seed)[0]) % np.uint32(self.n)
+        place = first + np.arange(len(draws))[:, None] * self.n
+        return np.bincount(place.ravel(), minlength=len(draws) * self.n).reshape(len(draws), self.n).astype(np.float64)
+
+
+def lanes(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the second 32 bits of the names' digests."""
+    found = np.frombuffer(b"".join([hashlib.md5(n.encode()).digest()[:8] for n in names]), ">u4").astype(np.uint32).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def of_draws(draws: Sequence[int], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    return lanes([f"{seed}:{d}" for d in draws])
+
+
+def mixed(x: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """``scalars.mixed`` of every draw (a row) with every ``x`` (a column); 32-bit products wrap around."""
+    z = x[None, :] ^ draw[:, None]
+    for _ in range(2):
+        z ^= z >> np.uint32(SHIFT)
+        z *= np.uint32(FACTOR)
+    z ^= z >> np.uint32(SHIFT)
+    return z
 
 
 def packed(rows: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -90,7 +104,8 @@ def in_groups(bouts: DataFrame, by: Sequence[str], values: Sequence[str], n_draw
     chunks = F.least(F.lit(min(CHUNKS, n_draws)), F.ceil(n * n_draws / SHARE)).cast("int")
     rows = bouts.withColumn("_chunks", chunks).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
     text = [F.col(c).cast("string") for c in by]
-    rows = rows.withColumn("_tail", F.concat_ws(":", *text, F.col("bout").cast("string"))).withColumn("_key", F.concat_ws(":", *text))
+    digest = F.md5(F.concat_ws(":", *text, F.col("bout").cast("string")).cast("binary"))
+    rows = rows.withColumns({"_a": lane(digest, 0), "_b": lane(digest, 1), "_key": F.concat_ws(":", *text)})
     kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in by]
     names = [f.split()[0] for f in fields.split(", ")]
 
@@ -179,26 +194,71 @@ def dispersion(bouts: DataFrame, by: Sequence[str], n_draws: int, seed: int, few
     return in_groups(bouts, by, ["n_rows", "sx", "sxx"], n_draws, work, "draw int, log_ratio double")
 
 
+def normals(key: str, width: int, draws: Sequence[int], seed: int) -> np.ndarray:
+    """For each draw, a normal number by dimension."""
+    named = lanes([":".join([*([key] if key else []), "direction", str(i)]) for i in range(width)])
+    u1, u2 = (mixed(x, d).astype(np.float64) for x, d in zip(named, of_draws(draws, seed)))
+    return np.sqrt(-2 * np.log((u1 + 1) / 2**32)) * np.cos(2 * np.pi * u2 / 2**32)
+
+
 def directed(bouts: DataFrame, by: Sequence[str], n_draws: int, seed: int, n_bouts: int) -> DataFrame:
     """by, draw, drift, along: the gap of two sides of ``n_bouts`` along a random unit vector as well."""
 
-    def normals(group: Group, draw: int) -> np.ndarray:
-        head = "".join(f"{x}:" for x in (seed, "direction", draw, *([group.key] if group.key else [])))
-        d = group.digests(head, [b"%d" % i for i in range(group.m.shape[1])])[:, 0]
-        u1, u2 = ((d >> np.uint64(32)).astype(np.float64) + 1) / 2**32, (d & np.uint64(0xFFFFFFFF)).astype(np.float64) / 2**32
-        return np.sqrt(-2 * np.log(u1)) * np.cos(2 * np.pi * u2)
-
     def work(group: Group, draws: range) -> dict[str, list]:
         if group.n < 2 * n_bouts:
             return {"draw": [], "drift": [], "along": []}
         good, drift, gap = gaps(group, draws, seed, n_bouts)
-        u = np.array([normals(group, d) for d in draws])
+        u = normals(group.key, group.m.shape[1], draws, seed)
         along = (gap * u).sum(axis=1) / np.sqrt((u * u).sum(axis=1))
         return {"draw": _kept(draws, good), "drift": drift[good].tolist(), "along": along[good].tolist()}
 
     return in_groups(bouts, by, ["m"], n_draws, work, "draw int, drift double, along double")
 
 
+def common_sides(units: DataFrame, n_bouts: int, n_draws: int, seed: int) -> DataFrame:
+    """draw, left, right: two disjoint sets of ``n_bouts`` of all ``units`` (bout), as arrays; no row with fewer units."""
+    kind = dict(units.dtypes)["bout"]
+
+    def work(group: Group, draws: range) -> dict[str, list]:
+        if group.n < 2 * n_bouts:
+            return {"draw": [], "left": [], "right": []}
+        names, place = np.array(group.rows.column("bout").to_pylist(), object), np.argsort(group.ranks(draws, seed), axis=1)
+        left, right = place[:, :n_bouts], place[:, n_bouts : 2 * n_bouts]
+        return {"draw": list(draws), "left": names[left].tolist(), "right": names[right].tolist()}
+
+    return in_groups(units, [], [], n_draws, work, f"draw int, left array<{kind}>, right array<{kind}>")
+
+
+def common_directed(means: DataFrame, sides: list[tuple], seed: int) -> DataFrame:
+    """label, draw, drift, along of ``sides`` (draw, left, right) that are the same for all labels, each with the bouts it has.
+
+    ``means`` has label, bout, dim, m. Only bouts of the sides are looked at, so a label's matrix is no
+    larger than all draws of both sides.
+    """
+    draws = [d for d, _, _ in sides]
+    kind = dict(means.dtypes)["bout"]
+    drawn = means.sparkSession.createDataFrame([(b,) for b in {b for _, x, y in sides for b in (*x, *y)}], f"bout {kind}")
+    rows = packed(means.join(F.broadcast(drawn), "bout", "left_semi"), ["label"], ["m"])
+
+    def run(table: pa.Table) -> pa.Table:
+        m = table.column("m").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+        m = m - m.mean(axis=0)
+        place = {b: i for i, b in enumerate(table.column("bout").to_pylist())}
+        w = np.zeros((2, len(draws), len(table)))
+        for i, (_, *both) in enumerate(sides):
+            for k, own in enumerate(both):
+                w[k, i, [place[b] for b in own if b in place]] = 1
+        (nl, ml, el), (nr, mr, er) = (mean_and_noise(x, m) for x in w)
+        good, gap = (nl >= 2) & (nr >= 2), ml - mr
+        u = normals("", m.shape[1], draws, seed)
+        drift, along = (gap * gap).sum(axis=1) - el - er, (gap * u).sum(axis=1) / np.sqrt((u * u).sum(axis=1))
+        label = table.column("label").take(pa.array(np.zeros(int(good.sum()), np.int64)))
+        columns = [label, pa.array(np.array(draws, np.int32)[good]), pa.array(drift[good]), pa.array(along[good])]
+        return pa.table(columns, names=["label", "draw", "drift", "along"])
+
+    return rows.groupBy("label").applyInArrow(run, f"label {dict(means.dtypes)['label']}, draw int, drift double, along double")
+
+
 def resampled_means(bouts: DataFrame, by: Sequence[str], n_draws: int, seed: int, collapse: bool) -> DataFrame:
     """by, first, n, mu, noise: arrays over the draws from ``first`` on, of the bouts drawn with replacement."""
 
@@ -239,3 +299,46 @@ def divergences(bouts: DataFrame, by: Sequence[str], n_draws: int, seed: int, fe
         return {"draw": _kept(draws, good), "jsd": np.maximum((parts[0] + parts[1]) / 2, 0.0).tolist()}
 
     return in_groups(bouts, by, [], n_draws, work, "draw int, jsd double")
+
+
+def ends(drawn: DataFrame, pairs: DataFrame, by: Sequence[str], side: str, values: Sequence[str], what: Callable[[dict, dict], np.ndarray], alpha: float) -> DataFrame:
+    """by, both sides, low, high: the percentile interval of ``what`` of each draw of every pair of sides.
+
+    A group's sides are held once, as arrays of draws, and its pairs are worked through one after the
+    other; only their ends leave the task. ``what`` gets the values of the two sides and says which
+    draws count by numbers. Pairs without a draw that counts have no row.
+    """
+    kinds = dict(pairs.dtypes)
+    a, b = f"{side}_a", f"{side}_b"
+    names = [*by, a, b]
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "low double", "high double"])
+
+    def run(shares: pa.Table, wanted: pa.Table) -> pa.Table:
+        order = np.argsort(shares.column("first").to_numpy(), kind="stable")
+        parts: dict = {}
+        columns = [shares.column(v).to_pylist() for v in values]
+        for i, s in zip(order, shares.column(side).take(pa.array(order)).to_pylist()):
+            parts.setdefault(s, []).append([np.array(c[i], np.float64) for c in columns])
+        held = {s: {v: np.concatenate([p[k] for p in own]) for k, v in enumerate(values)} for s, own in parts.items()}
+        rows, low, high = [], [], []
+        for i, (x, y) in enumerate(zip(wanted.column(a).to_pylist(), wanted.column(b).to_pylist())):
+            if x in held and y in held:
+                found = what(held[x], held[y])
+                found = np.sort(found[~np.isnan(found)])
+                if len(found):
+                    rows.append(i)
+                    low.append(_at(found, alpha / 2))
+                    high.append(_at(found, 1 - alpha / 2))
+        kept = wanted.select(names).take(pa.array(rows, pa.int64()))
+        return kept.append_column("low", pa.array(low, pa.float64())).append_column("high", pa.array(high, pa.float64()))
+
+    one = [] if by else [F.lit(1).alias("_all")]
+    keys = list(by) or ["_all"]
+    left = drawn.select(*by, side, "first", *values, *one).groupBy(*keys)
+    return left.cogroup(pairs.select(*names, *one).groupBy(*keys)).applyInArrow(run, schema)
+
+
+def _at(x: np.ndarray, p: float) -> float:
+    place = (len(x) - 1) * p
+    low, high = x[int(np.floor(place))], x[int(np.ceil(place))]
+    return float(low + (high - low) * (place - np.floor(place)))

@@ -38,22 +38,56 @@ def _greedy(true: np.ndarray, pred: np.ndarray, tolerance: float) -> int:
     return matched
 
 
-def _counts(true: DataFrame, pred: DataFrame, by: Sequence[str], tolerance: float, boundary: str | None) -> DataFrame:
+#: Seconds of a file whose segments one group of the sweep has, as long as there are gaps.
+STRETCH = 600.0
+
+
+def islands(rows: DataFrame, by: Sequence[str], start: str, tolerance: float, stretch: float = STRETCH) -> DataFrame:
+    """``rows`` with ``_island``: a number that is the same within each stretch of a file and never changes between starts that may match.
+
+    Time is cut into stretches of equal length, so that a file is many tasks. Where the last start of a
+    stretch and the first of the next one are within the tolerance of each other, what hangs together
+    across the edge belongs to the earlier one. Only stretches are looked at one after the other.
+    """
+    cell = [*by, "_cell"]
+    # a little more than the tolerance, so that rounding never parts what matches
+    wide = F.lit(tolerance * (1 + 1e-9) + 1e-9)
+    rows = rows.withColumn("_cell", F.coalesce(F.floor(F.col(start) / stretch), F.lit(-(2**40))))
+    before = F.lag(start).over(W.partitionBy(*cell).orderBy(start))
+    gap = F.coalesce((F.col(start) - before > wide).cast("int"), F.lit(0))
+    rows = rows.withColumn("_gap", gap)
+    rows = rows.withColumn("_part", F.sum("_gap").over(W.partitionBy(*cell).orderBy(start).rowsBetween(W.unboundedPreceding, 0)))
+    cells = rows.groupBy(*cell).agg(F.max("_part").alias("_parts"), F.min(start).alias("_first"), F.max(start).alias("_last"))
+    order = W.partitionBy(*by).orderBy("_cell")
+    joined = F.coalesce(F.col("_first") - F.lag("_last").over(order) <= wide, F.lit(False))
+    cells = cells.withColumn("_joined", joined)
+    # the last earlier stretch in which an island begins that may reach up to here
+    begins = F.when(~F.col("_joined") | (F.col("_parts") > 0), F.col("_cell"))
+    cells = cells.withColumn("_from", F.when(F.col("_joined"), F.last(begins, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))).otherwise(F.col("_cell")))
+    found = rows.join(cells.select(*cell, "_from"), cell)
+    return found.withColumn("_island", F.when(F.col("_part") == 0, F.col("_from")).otherwise(F.col("_cell"))).drop("_cell", "_gap", "_part", "_from")
+
+
+def _counts(true: DataFrame, pred: DataFrame, by: Sequence[str], tolerance: float, boundary: str | None, stretch: float = STRETCH) -> DataFrame:
     """by, n_true, n_pred, n_matched per file: both boundaries, or one of them, within the tolerance.
 
-    The sweep is stateful, so a file's segments are handed to it together, in order.
+    The sweep is stateful, but nothing that it has passed matters beyond a gap of more than the
+    tolerance: a file's segments are handed to it in stretches that end at such gaps, in the order of
+    their onsets, and of equal ones by their offsets.
     """
     columns = ["onset_s", "offset_s"] if boundary is None else [boundary]
+    names = ["n_true", "n_pred", "n_matched"]
 
-    def sweep(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        sides = [f.sort_values(columns[0], kind="stable")[columns].to_numpy() for f in (left, right)]
-        return pd.DataFrame([(*key, len(left), len(right), _greedy(*sides, tolerance))], columns=[*by, *names])
+    def sweep(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(columns, kind="stable")
+        sides = [rows.loc[rows["_true"] == t, columns].to_numpy() for t in (True, False)]
+        return pd.DataFrame([(*key[:-1], len(sides[0]), len(sides[1]), _greedy(*sides, tolerance))], columns=[*by, *names])
 
-    names = ["n_true", "n_pred", "n_matched"]
     kinds = dict(true.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + [f"{n} long" for n in names])
-    sides = [df.select(*[F.col(c).alias(c) for c in (*by, *columns)]).groupBy(*by) for df in (true, pred)]
-    return sides[0].cogroup(sides[1]).applyInPandas(sweep, schema)
+    both = [df.select(*[F.col(c).alias(c) for c in (*by, *columns)], F.lit(t).alias("_true")) for df, t in ((true, True), (pred, False))]
+    parts = islands(both[0].unionByName(both[1]), by, columns[0], tolerance, stretch)
+    return parts.groupBy(*by, "_island").applyInPandas(sweep, schema).groupBy(*by).agg(*[F.sum(c).alias(c) for c in names])
 
 
 def pooled(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -62,12 +96,12 @@ def pooled(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return sums.withColumns(scores(F.col("n_true"), F.col("n_pred"), F.col("n_matched")))
 
 
-def segment_counts(true: DataFrame, pred: DataFrame, by: Sequence[str], tolerance: float = 0.01) -> DataFrame:
-    return _counts(true, pred, by, tolerance, None)
+def segment_counts(true: DataFrame, pred: DataFrame, by: Sequence[str], tolerance: float = 0.01, stretch: float = STRETCH) -> DataFrame:
+    return _counts(true, pred, by, tolerance, None, stretch)
 
 
-def boundary_counts(true: DataFrame, pred: DataFrame, by: Sequence[str], boundary: str, tolerance: float = 0.01) -> DataFrame:
-    return _counts(true, pred, by, tolerance, boundary)
+def boundary_counts(true: DataFrame, pred: DataFrame, by: Sequence[str], boundary: str, tolerance: float = 0.01, stretch: float = STRETCH) -> DataFrame:
+    return _counts(true, pred, by, tolerance, boundary, stretch)
 
 
 def zipped(true: DataFrame, pred: DataFrame, by: Sequence[str], order: str, label: str) -> DataFrame:

@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.functions.scalars import portable_hash
 from driftloom.operators import draws as G
 from driftloom.operators import resampling as R
 
@@ -41,9 +40,8 @@ def _directed_draws(means: DataFrame, by: Sequence[str], n_bouts: int, n_draws:
         F.count(right).alias("nr"), F.avg(right).alias("mr"), F.var_samp(right).alias("vr"),
     )
     gap = F.col("ml") - F.col("mr")
-    digest = portable_hash(F.lit(seed), F.lit("direction"), "draw", *by, "dim")
-    u1 = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 1) / 4294967296.0
-    u2 = F.conv(F.substring(digest, 9, 8), 16, 10).cast("double") / 4294967296.0
+    h1, h2 = R._hashes(seed, *by, F.lit("direction"), "dim")
+    u1, u2 = (h1.cast("double") + 1) / 4294967296.0, h2.cast("double") / 4294967296.0
     normal = F.sqrt(-2 * F.ln(u1)) * F.cos(2 * math.pi * u2)
     per_dim = per_dim.withColumn("gap", gap).withColumn("u", normal)
     term = F.col("gap") * F.col("gap") - F.col("vl") / F.col("nl") - F.col("vr") / F.col("nr")

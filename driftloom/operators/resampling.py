@@ -1,8 +1,8 @@
 """Resampling as a relation: a dimension of draws, whose choices come from hashes of their keys.
 
 Every draw chooses bouts (sampling units), never renditions, and looks only at the bouts' moments. A
-choice is the order, or the remainder, of md5(seed:draw:keys:unit), so runs agree with each other and
-with other engines. Groups are drawn from as matrices (:mod:`draws`); those too large for one task
+choice is the order, or the remainder, of a hash of two digests, one of the unit and its keys and one
+of seed:draw, so runs agree with each other and with other engines. Groups are drawn from as matrices (:mod:`draws`); those too large for one task
 take the relational way, draws joined with bouts, which gives the same numbers.
 """
 
@@ -10,12 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftloom.functions.scalars import portable_hash, portable_index
+from driftloom.functions.lineage import cut
+from driftloom.functions.scalars import lane, mixed, portable_hash
 from driftloom.operators import draws as G
+from driftloom.operators import percentiles
 
 FEWEST_BOUTS = 4
 #: Added to the seed of the draws that a threshold comes from, so that it is not tuned to the others.
@@ -29,8 +32,14 @@ def with_draws(df: DataFrame, n_draws: int) -> DataFrame:
     return df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
 
 
+def _hashes(seed: int, *unit: str | Column) -> list[Column]:
+    """The two hashes of a unit and a draw."""
+    own, draw = portable_hash(*unit), portable_hash(F.lit(seed), "draw")
+    return [mixed(lane(own, k), lane(draw, k)) for k in (0, 1)]
+
+
 def _order(by: Sequence[str], seed: int) -> list[Column]:
-    return [portable_hash(F.lit(seed), "draw", *by, "bout"), F.col("bout")]
+    return [*_hashes(seed, *by, "bout"), F.col("bout")]
 
 
 def split_halves(units: DataFrame, by: Sequence[str], n_draws: int, seed: int = 0) -> DataFrame:
@@ -56,13 +65,23 @@ def subsets(units: DataFrame, by: Sequence[str], n_bouts: int, n_draws: int, see
     )
 
 
+def common_subsets(units: DataFrame, n_bouts: int, n_draws: int, seed: int = 0) -> DataFrame:
+    """draw, left, right: the sides of ``subsets`` of all ``units`` (bout) as arrays."""
+    if n_bouts < 2:
+        raise ValueError(f"need 2 bouts per side or more, not {n_bouts}")
+    if units.count() <= G.NUMBERS:
+        return G.common_sides(units.select("bout"), n_bouts, n_draws, seed)
+    found = subsets(units, [], n_bouts, n_draws, seed).groupBy("draw")
+    return found.agg(*[F.collect_list(F.when(c, F.col("bout"))).alias(k) for k, c in (("left", F.col("is_left")), ("right", ~F.col("is_left")))])
+
+
 def resamples(units: DataFrame, by: Sequence[str], n_draws: int, seed: int = 0) -> DataFrame:
     """by, draw, bout, w: as many bouts as the group has, drawn with replacement; w is how often each was."""
     whole = W.partitionBy(*by)
     placed = units.select(*by, "bout").withColumn("_n", F.count(F.lit(1)).over(whole))
     placed = placed.withColumn("_i", F.row_number().over(whole.orderBy("bout")) - 1)
     slots = with_draws(placed, n_draws)
-    pick = portable_index(portable_hash(F.lit(seed), "draw", *by, "_i"), F.col("_n"))
+    pick = _hashes(seed, *by, "_i")[0] % F.col("_n")
     picks = slots.select(*by, "draw", pick.alias("_i")).groupBy(*by, "draw", "_i").agg(F.count(F.lit(1)).alias("w"))
     return picks.join(placed.select(*by, "_i", "bout"), [*by, "_i"]).select(*by, "draw", "bout", "w")
 
@@ -176,15 +195,21 @@ def bootstrap_centroid(means: DataFrame, by: Sequence[str], side: str, pairs: Da
     return _one_by_one(_centroid_arrays(means, by, side, pairs, n_boot, seed, collapse), by, side, "drift")
 
 
-def _centroid_arrays(means: DataFrame, by: Sequence[str], side: str, pairs: DataFrame, n_boot: int, seed: int, collapse: bool) -> DataFrame:
-    """by, both sides, draws: an array with the drift of each draw, null where a side has fewer than two bouts."""
-    keys = [*by, side]
-    drawn = G.by_size(
+def _means_drawn(means: DataFrame, keys: Sequence[str], n_boot: int, seed: int, collapse: bool) -> DataFrame:
+    return G.by_size(
         means, keys, ["m"],
         lambda bouts: G.resampled_means(bouts, keys, n_boot, seed, collapse),
         lambda rows: _resampled_means(rows, keys, n_boot, seed, collapse),
     )
 
+
+def _centroid_arrays(means: DataFrame, by: Sequence[str], side: str, pairs: DataFrame, n_boot: int, seed: int, collapse: bool) -> DataFrame:
+    """by, both sides, draws: an array with the drift of each draw, null where a side has fewer than two bouts."""
+    return _centroids_paired(_means_drawn(means, [*by, side], n_boot, seed, collapse), by, side, pairs)
+
+
+def _centroids_paired(drawn: DataFrame, by: Sequence[str], side: str, pairs: DataFrame) -> DataFrame:
+
     def drift(d: Column) -> Column:
         gaps = F.zip_with(d["mua"], d["mub"], lambda x, y: (x - y) * (x - y))
         far = F.aggregate(gaps, F.lit(0.0), lambda t, x: t + x) - d["ea"] - d["eb"]
@@ -239,14 +264,46 @@ def _ends(arrays: DataFrame, by: Sequence[str], side: str, alpha: float) -> Data
     return rows.select(*ends, at(alpha / 2).alias("low"), at(1 - alpha / 2).alias("high"))
 
 
+def _by_pairs(drawn: DataFrame, by: Sequence[str], side: str, pairs: DataFrame, value: str, grouped: Callable[[DataFrame, DataFrame], DataFrame], relational: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """``grouped`` of the draws and pairs of all groups whose draws are up to NUMBERS numbers, ``relational`` of those of larger ones."""
+    drawn = cut(drawn)
+    numbers = F.size(value) if dict(drawn.dtypes)[value] == "array<double>" else F.aggregate(value, F.lit(0), lambda n, x: n + F.size(x))
+    size = drawn.withColumn("_size", numbers).groupBy(*by).agg(F.sum("_size").alias("_size")).where(F.col("_size") > G.NUMBERS)
+    if not size.take(1):
+        return grouped(drawn, pairs)
+    if not by:
+        return relational(drawn, pairs)
+    large = cut(size.select(*by))
+    halves = [(drawn.join(large, list(by), how), pairs.join(large, list(by), how)) for how in ("left_anti", "left_semi")]
+    return grouped(*halves[0]).unionByName(relational(*halves[1]))
+
+
 def centroid_interval(means: DataFrame, by: Sequence[str], side: str, pairs: DataFrame, n_boot: int = 1000, seed: int = 0, collapse: bool = True, alpha: float = 0.05) -> DataFrame:
     """by, both sides, low, high: ``interval`` of ``bootstrap_centroid`` without a row for each draw."""
-    return _ends(_centroid_arrays(means, by, side, pairs, n_boot, seed, collapse), by, side, alpha)
+
+    def drift(a: dict, b: dict) -> np.ndarray:
+        gap = a["mu"] - b["mu"]
+        return np.where((a["n"] >= 2) & (b["n"] >= 2), (gap * gap).sum(axis=1) - a["noise"] - b["noise"], np.nan)
+
+    return _by_pairs(
+        _means_drawn(means, [*by, side], n_boot, seed, collapse), by, side, pairs, "mu",
+        lambda drawn, pairs: G.ends(drawn, pairs, by, side, ["n", "mu", "noise"], drift, alpha),
+        lambda drawn, pairs: _ends(_centroids_paired(drawn, by, side, pairs), by, side, alpha),
+    )
 
 
 def dispersion_interval(moments: DataFrame, by: Sequence[str], side: str, pairs: DataFrame, n_boot: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """The same of ``bootstrap_dispersion``."""
-    return _ends(_dispersion_arrays(moments, by, side, pairs, n_boot, seed), by, side, alpha)
+
+    def ratio(a: dict, b: dict) -> np.ndarray:
+        good = (a["tv"] > 0) & (b["tv"] > 0)
+        return np.log(np.where(good, b["tv"], np.nan) / np.where(good, a["tv"], np.nan))
+
+    return _by_pairs(
+        _variances_drawn(moments, [*by, side], n_boot, seed), by, side, pairs, "tv",
+        lambda drawn, pairs: G.ends(drawn, pairs, by, side, ["tv"], ratio, alpha),
+        lambda drawn, pairs: _ends(_dispersions_paired(drawn, by, side, pairs), by, side, alpha),
+    )
 
 
 def bootstrap_dispersion(moments: DataFrame, by: Sequence[str], side: str, pairs: DataFrame, n_boot: int = 1000, seed: int = 0) -> DataFrame:
@@ -255,13 +312,18 @@ def bootstrap_dispersion(moments: DataFrame, by: Sequence[str], side: str, pairs
 
 
 def _dispersion_arrays(moments: DataFrame, by: Sequence[str], side: str, pairs: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    keys = [*by, side]
-    drawn = G.by_size(
+    return _dispersions_paired(_variances_drawn(moments, [*by, side], n_boot, seed), by, side, pairs)
+
+
+def _variances_drawn(moments: DataFrame, keys: Sequence[str], n_boot: int, seed: int) -> DataFrame:
+    return G.by_size(
         moments.withColumnRenamed("n", "n_rows"), keys, ["n_rows", "sx", "sxx"],
         lambda bouts: G.resampled_variances(bouts, keys, n_boot, seed),
         lambda rows: _resampled_variances(rows.withColumnRenamed("n_rows", "n"), keys, n_boot, seed),
     )
 
+
+def _dispersions_paired(drawn: DataFrame, by: Sequence[str], side: str, pairs: DataFrame) -> DataFrame:
     def ratio(d: Column) -> Column:
         good = (d["tva"] > 0) & (d["tvb"] > 0) & ~F.isnan(d["tva"]) & ~F.isnan(d["tvb"])
         return F.when(good, F.ln(d["tvb"] / d["tva"]))
@@ -285,6 +347,6 @@ def interval(draws: DataFrame, by: Sequence[str], value: str, alpha: float = 0.0
 
 
 def floor_of(null: DataFrame, by: Sequence[str], value: str, level: float = 0.95, absolute: bool = False) -> DataFrame:
-    """by, n_draws, floor: a percentile of the null draws, pooled within ``by``."""
-    x = F.abs(value) if absolute else F.col(value)
-    return null.groupBy(*by).agg(F.count(F.lit(1)).alias("n_draws"), F.percentile(x, F.lit(level)).alias("floor"))
+    """by, n_draws, floor: a percentile of the null draws, pooled within ``by``; an individual's draws may be too many for one aggregate."""
+    found = percentiles.of_groups(cut(null), by, F.abs(value) if absolute else F.col(value), level)
+    return found.withColumnsRenamed({"n": "n_draws", "percentile": "floor"})

@@ -126,7 +126,9 @@ def over_floor(pairs: DataFrame, individuals: DataFrame) -> DataFrame:
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(MEASURES[m][0]).alias("value"), f.alias("floor")) for m, f in floors.items()]))
     rows = pairs.join(individuals.select("bird", "within_type_variance", "centroid_floor", "dispersion_floor", "syntax_floor"), "bird")
     rows = rows.select("bird", "day_a", "day_b", each.alias("e")).select("bird", "day_a", "day_b", "e.*")
-    return rows.withColumn("over", F.abs("value") > F.col("floor"))
+    # a change of dispersion may go either way; a distance over its floor is one that is larger
+    size = F.when(F.col("measure") == "dispersion", F.abs("value")).otherwise(F.col("value"))
+    return rows.withColumn("over", size > F.col("floor"))
 
 
 def _panels(n: int) -> list:
@@ -146,7 +148,7 @@ def draw_drift(result: dict, measure: str = "centroid", panels: Callable[[int],
     for ax, (name, b) in zip(axes, result["birds"].items()):
         band = floor(b)
         if band is not None:
-            ax.axhspan(-band, band, alpha=0.2)
+            ax.axhspan(-band if measure == "dispersion" else 0, band, alpha=0.2)
         for p in b["day_pairs"]:
             if p[value] is not None:
                 ax.plot([str(p["day_a"]), str(p["day_b"])], [p[value]] * 2, "-" if band is not None and abs(p[value]) > band else ":")

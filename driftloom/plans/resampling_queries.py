@@ -16,7 +16,7 @@ from driftloom.operators import sessions as S
 from driftloom.plans import drift_queries as Q
 from driftloom.plans import tables as T
 from driftloom.plans.registering import registry
-from driftloom.plans.tables import SQL_EVENTS, sql_round
+from driftloom.plans.tables import SQL_EVENTS, sql_hashed, sql_round
 
 #: The operators' own numbers of draws.
 N_DRAWS, N_BOOT = 200, 1000
@@ -25,13 +25,15 @@ QUERIES, ORACLES, query = registry()
 
 
 def sql_halves(name: str, by: str, n_draws: int, seed: int = 0, source: str = "bm", unit: str = "bout") -> str:
-    keys = ", ".join(f"u.{c}" for c in by.split(", "))
     return f"""
 {name}_u as (select distinct {by}, {unit} as bout from {source}),
 {name}_n as (select *, count(*) over (partition by {by}) as nb from {name}_u),
-{name} as (select u.*, draw, row_number() over (partition by {keys}, draw
-    order by md5(concat_ws(':', '{seed}', draw::varchar, {", ".join(f"u.{c}::varchar" for c in by.split(", "))}, bout::varchar)), bout) <= nb // 2 as is_left
-    from {name}_n u, range(1, {n_draws + 1}) t(draw) where nb >= 4)"""
+{name}_k as (select * from {name}_n where nb >= 4),{sql_hashed(name + "_h", name + "_k", f"{_texts(by)}, bout::varchar", seed, n_draws)},
+{name} as (select {by}, bout, draw, row_number() over (partition by {by}, draw order by h1, h2, bout) <= nb // 2 as is_left from {name}_h)"""
+
+
+def _texts(columns: str) -> str:
+    return ", ".join(f"{c}::varchar" for c in columns.split(", "))
 
 
 SQL_CENTROID_NULL = f"""{sql_halves('h', 'event_type, day', N_DRAWS)},
@@ -126,8 +128,8 @@ def null_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_RESAMPLES = f"""
 rn as (select event_type, day, bout, count(*) over w as nb, row_number() over (w order by bout) - 1 as i from bm window w as (partition by event_type, day)),
-rs as (select event_type, day, draw, ('0x' || substr(md5(concat_ws(':', '0', draw::varchar, event_type, day::varchar, i::varchar)), 1, 8))::bigint % nb as i
-    from rn, range(1, {N_BOOT + 1}) t(draw)),
+{sql_hashed("rh", "rn", "event_type, day::varchar, i::varchar", 0, N_BOOT)},
+rs as (select event_type, day, draw, h1 % nb as i from rh),
 rw as (select rs.event_type, rs.day, draw, bout, count(*) as w from rs join rn using (event_type, day, i) group by all),
 pairs as (select event_type, day_a, day_b, drift from p)"""
 
@@ -261,18 +263,18 @@ POWER_EFFECTS = (0.05, 0.1, 0.5, 1.0, 2.0, 4.0)
 def _sql_subset(name: str, seed: int) -> str:
     return f"""
 {name}_n as (select event_type, day, bout, count(*) over (partition by event_type, day) as nb from bm),
-{name}_r as (select event_type, day, draw, bout, row_number() over (partition by event_type, day, draw
-    order by md5(concat_ws(':', '{seed}', draw::varchar, event_type, day::varchar, bout::varchar)), bout) as r from {name}_n, range(1, {POWER_DRAWS + 1}) t(draw) where nb >= {2 * N_BOUTS}),
+{name}_k as (select * from {name}_n where nb >= {2 * N_BOUTS}),{sql_hashed(name + "_h", name + "_k", "event_type, day::varchar, bout::varchar", seed, POWER_DRAWS)},
+{name}_r as (select event_type, day, draw, bout, row_number() over (partition by event_type, day, draw order by h1, h2, bout) as r from {name}_h),
 {name} as (select *, r <= {N_BOUTS} as is_left from {name}_r where r <= {2 * N_BOUTS})"""
 
 
 def _sql_directed(name: str, seed: int) -> str:
-    digest = f"md5(concat_ws(':', '{seed}', 'direction', draw::varchar, event_type, day::varchar, '0'))"
     return f"""{_sql_subset(name + '_s', seed)},
+{name}_c as (select distinct event_type, day from bm),{sql_hashed(name + "_w", name + "_c", "event_type, day::varchar, 'direction', '0'", seed, POWER_DRAWS)},
 {name} as (select event_type, day, draw, pow(avg(m) filter (is_left) - avg(m) filter (not is_left), 2)
     - var_samp(m) filter (is_left) / {N_BOUTS} - var_samp(m) filter (not is_left) / {N_BOUTS} as drift,
-    (avg(m) filter (is_left) - avg(m) filter (not is_left)) * sign(cos(2 * pi() * (('0x' || substr({digest}, 9, 8))::bigint / 4294967296.0))) as along
-    from {name}_s join bm using (event_type, day, bout) group by event_type, day, draw)"""
+    (avg(m) filter (is_left) - avg(m) filter (not is_left)) * any_value(sign(cos(2 * pi() * (h2 / 4294967296.0)))) as along
+    from {name}_s join bm using (event_type, day, bout) join {name}_w using (event_type, day, draw) group by event_type, day, draw)"""
 
 
 @query(f"""with {SQL_EVENTS}, {_sql_directed('nl', R.NULL_SEED)}, {_sql_directed('al', 0)},
@@ -344,8 +346,8 @@ pt as (select {keys}, (sum(sxx) - sum(sx) * sum(sx) / sum(n)) / (sum(n) - 1) as
 pr as (select a.bird, a.label, a.day as day_a, b.day as day_b, (a.mu - b.mu) * (a.mu - b.mu) - a.v / a.units - b.v / b.units as drift
     from us a join us b on a.bird = b.bird and a.label = b.label and a.day < b.day where a.units >= 2 and b.units >= 2),
 rn as (select {keys}, bout, count(*) over w as nb, row_number() over (w order by bout) - 1 as i from bm window w as (partition by {keys})),
-rs as (select {keys}, draw, ('0x' || substr(md5(concat_ws(':', '0', draw::varchar, bird, label, day::varchar, i::varchar)), 1, 8))::bigint % nb as i
-    from rn, range(1, {n_boot + 1}) t(draw)),
+{sql_hashed("rh", "rn", "bird, label, day::varchar, i::varchar", 0, n_boot)},
+rs as (select {keys}, draw, h1 % nb as i from rh),
 rw as (select rs.bird, rs.label, rs.day, draw, bout, count(*) as w from rs join rn using ({keys}, i) group by all),
 bs as (select {keys}, draw, count(*) as n, avg(m) as mu, var_samp(m) as v,
     (sum(sxx * w) - sum(sx * w) * sum(sx * w) / sum(bm.n * w)) / nullif(sum(bm.n * w) - 1, 0) as tv from rw join bm using ({keys}, bout) group by all),

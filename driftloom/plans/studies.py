@@ -12,8 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftloom.functions.lineage import cut
-from driftloom.functions.scalars import portable_hash
 from driftloom.operators import clean as C
+from driftloom.operators import draws as DR
 from driftloom.operators import drift as D
 from driftloom.operators import embedding as E
 from driftloom.operators import fidelity as FD
@@ -128,10 +128,10 @@ def manipulation_test(birds: DataFrame, seed: int = 0) -> DataFrame:
 def sensitivity(points: DataFrame, bouts: Sequence[int], type_counts: Sequence[int], scale: float, effects: Sequence[float] = P.EFFECTS, n_subsets: int = 5, n_draws: int = 400, alpha: float = 0.05, power: float = 0.8, seed: int = 0) -> DataFrame:
     """n_bouts, n_types, mde: the least detectable effect when the statistic is averaged over so many types.
 
-    A draw takes the same bouts for all types. The median over random subsets of the types; null
+    A draw takes the same bouts, and the same direction, for all types. The median over random subsets of the types; null
     where no effect on the grid has the power. Cells that need more bouts than there are have no row.
     """
-    means = M.bout_means(M.bout_moments(points, ["label"]))
+    means = cut(M.bout_means(M.bout_moments(points, ["label"])))
     units = means.select("bout").distinct()
     names = [r[0] for r in means.select("label").distinct().orderBy("label").collect()]
     spark = points.sparkSession
@@ -144,19 +144,8 @@ def sensitivity(points: DataFrame, bouts: Sequence[int], type_counts: Sequence[i
     for n in bouts:
         sides = []
         for s in (seed + R.NULL_SEED, seed):
-            drawn = R.subsets(units, [], n, n_draws, s)
-            rows = drawn.join(means.select("label", "bout", "dim", "m"), "bout")
-            left, right = (F.when(F.col("is_left") == side, F.col("m")) for side in (True, False))
-            per_dim = rows.groupBy("draw", "label", "dim").agg(
-                F.count(left).alias("nl"), F.avg(left).alias("ml"), F.var_samp(left).alias("vl"), F.count(right).alias("nr"), F.avg(right).alias("mr"), F.var_samp(right).alias("vr")
-            ).where("nl >= 2 and nr >= 2")
-            gap = F.col("ml") - F.col("mr")
-            angle = F.conv(F.substring(portable_hash(F.lit(s), F.lit("direction"), "draw", "dim"), 1, 8), 16, 10).cast("double") / 4294967296.0 - 0.5
-            per_dim = per_dim.withColumn("u", angle)
-            length = F.sqrt(F.sum(F.col("u") * F.col("u")))
-            per_label = per_dim.groupBy("draw", "label").agg(
-                F.sum(gap * gap - F.col("vl") / F.col("nl") - F.col("vr") / F.col("nr")).alias("drift"), (F.sum(gap * F.col("u")) / length).alias("along")
-            )
+            drawn = R.common_subsets(units, n, n_draws, s).collect()  # 2 n bouts for each draw
+            per_label = DR.common_directed(means.select("label", "bout", "dim", "m"), [tuple(r) for r in drawn], s)
             sides.append(per_label.join(chosen_types, "label").groupBy("n_types", "subset", "draw").agg(F.avg("drift").alias("drift"), F.avg("along").alias("along")))
         critical = P.critical_value(sides[0], ["n_types", "subset"], "drift", alpha)
         grid = sides[1].join(critical, ["n_types", "subset"]).withColumn("effect", F.explode(F.array(*[F.lit(float(e)) for e in effects])))

@@ -81,48 +81,68 @@ def manipulation_study(spark: SparkSession, sf_dir: str) -> DataFrame:
 TYPE_COUNTS, SCALE, EFFECTS = (1, 3, 5), 2000.0, (0.05, 0.1, 0.5, 1.0, 2.0)
 
 
-def _sql_least_effects(n: int, draws: int = 400) -> str:
+def _sql_least_effects(n: int, draws: int = 400, scale: float = SCALE) -> str:
     """least_{n}: for each number of types and subset of them the least effect that ``n`` bouts a side would show."""
     parts = []
     for name, seed in (("nl", R.NULL_SEED), ("al", 0)):
         p = f"{name}{n}"
-        angle = f"('0x' || substr(md5(concat_ws(':', '{seed}', 'direction', draw::varchar, '0')), 1, 8))::bigint / 4294967296.0 - 0.5"
         parts.append(f"""
-{p}_r as (select draw, bout, row_number() over (partition by draw order by md5(concat_ws(':', '{seed}', draw::varchar, bout::varchar)), bout) as r
-    from (select bout, count(*) over () as nb from un), range(1, {draws + 1}) t(draw) where nb >= {2 * n}),
-{p}_l as (select label, draw, avg(m) filter (r <= {n}) - avg(m) filter (r > {n}) as gap,
+{p}_k as (select * from (select bout, count(*) over () as nb from un) where nb >= {2 * n}),{T.sql_hashed(p + "_h", p + "_k", "bout::varchar", seed, draws)},
+{p}_r as (select draw, bout, row_number() over (partition by draw order by h1, h2, bout) as r from {p}_h),
+{p}_c as (select distinct dim from bm),{T.sql_hashed(p + "_w", p + "_c", "'direction', dim::varchar", seed, draws)},
+{p}_g as (select label, draw, dim, avg(m) filter (r <= {n}) - avg(m) filter (r > {n}) as gap,
     var_samp(m) filter (r <= {n}) / count(*) filter (r <= {n}) + var_samp(m) filter (r > {n}) / count(*) filter (r > {n}) as noise
     from {p}_r join bm using (bout) where r <= {2 * n} group by all having count(*) filter (r <= {n}) >= 2 and count(*) filter (r > {n}) >= 2),
-{p} as (select n_types, subset, draw, avg(gap * gap - noise) as drift, avg(gap * sign({angle})) as along from {p}_l join ch using (label) group by all)""")
+{p}_u as (select {p}_g.*, sqrt(-2 * ln((h1 + 1) / 4294967296.0)) * cos(2 * pi() * (h2 / 4294967296.0)) as u from {p}_g join {p}_w using (draw, dim)),
+{p}_l as (select label, draw, sum(gap * gap - noise) as drift, sum(gap * u) / sqrt(sum(u * u)) as along from {p}_u group by all),
+{p} as (select n_types, subset, draw, avg(drift) as drift, avg(along) as along from {p}_l join ch using (label) group by all)""")
     return f"""{",".join(parts)},
 cr{n} as (select n_types, subset, quantile_cont(drift, 0.95) as critical from nl{n} group by all),
-pw{n} as (select n_types, subset, effect, avg((drift - 2 * sqrt(effect * {SCALE}) * along + effect * {SCALE} > critical)::int) as power
+pw{n} as (select n_types, subset, effect, avg((drift - 2 * sqrt(effect * {scale}) * along + effect * {scale} > critical)::int) as power
     from al{n} join cr{n} using (n_types, subset), gr group by all),
 least{n} as (select n_types, subset, min(effect) filter (power >= 0.8) as least from pw{n} group by all)"""
 
 
-SQL_EFFECTS = " union all ".join(f"select {n}::int as n_bouts, n_types, median(least) as mde from least{n} group by n_types" for n in BOUTS)
-
-
-@query(f"""with e as (select event_type as label, user_id as bout, value from events), bm as (select label, bout, avg(value) as m from e group by all),
+def _sql_sensitivity(rows: str, label: str, bouts: tuple, counts: tuple, effects: tuple, scale: float) -> str:
+    """The table of least effects; ``rows`` defines bm (label, bout, dim, m)."""
+    union = " union all ".join(f"select {n}::int as n_bouts, n_types, median(least) as mde from least{n} group by n_types" for n in bouts)
+    return f"""with {rows},
     un as (select distinct bout from bm), la as (select label, count(*) over () as all_types from (select distinct label from bm)),
     ch as (select k::int as n_types, subset, label from (select k, subset, label, all_types, row_number() over (partition by k, subset
-        order by md5(concat_ws(':', '0', k::varchar, subset::varchar, label)), label) as r from la, (values {", ".join(f"({k})" for k in TYPE_COUNTS)}) v(k), range(0, 5) t(subset))
+        order by md5(concat_ws(':', '0', k::varchar, subset::varchar, {label})), label) as r from la, (values {", ".join(f"({k})" for k in counts)}) v(k), range(0, 5) t(subset))
         where r <= k and (subset = 0 or k < all_types)),
-    gr as (select unnest([{", ".join(f"{x}::double" for x in EFFECTS)}]) as effect), {", ".join(map(_sql_least_effects, BOUTS))} {SQL_EFFECTS}""")
+    gr as (select unnest([{", ".join(f"{x}::double" for x in effects)}]) as effect), {", ".join(_sql_least_effects(n, scale=scale) for n in bouts)} {union}"""
+
+
+SQL_ROWS = "e as (select event_type as label, user_id as bout, value from events), bm as (select label, bout, 0 as dim, avg(value) as m from e group by all)"
+
+
+@query(_sql_sensitivity(SQL_ROWS, "label", BOUTS, TYPE_COUNTS, EFFECTS, SCALE))
 def sensitivity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least detectable effect by bouts per side and types averaged."""
     return studies.sensitivity(labelled_events(spark, sf_dir), BOUTS, TYPE_COUNTS, SCALE, EFFECTS)
 
 
+VECTOR_BOUTS, VECTOR_COUNTS, VECTOR_SCALE, VECTOR_EFFECTS = (4, 8), (1, 4, 10), 64.0, (0.001, 0.005, 0.01, 0.05, 0.1, 0.2, 0.5)
+SQL_VECTOR_ROWS = """x as (select label, vec_id % 20 as bout, unnest(embedding)::double as x, unnest(range(len(embedding))) as dim from embeddings),
+    bm as (select label, bout, dim::int as dim, avg(x) as m from x group by all)"""
+
+
+@query(_sql_sensitivity(SQL_VECTOR_ROWS, "label::varchar", VECTOR_BOUTS, VECTOR_COUNTS, VECTOR_EFFECTS, VECTOR_SCALE))
+def sensitivity_table_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the labels' vectors: displacements along random directions of 64 dimensions."""
+    points = T.vectors(spark, sf_dir).select("label", (F.col("vec_id") % 20).alias("bout"), "z")
+    return studies.sensitivity(points, VECTOR_BOUTS, VECTOR_COUNTS, VECTOR_SCALE, VECTOR_EFFECTS)
+
+
 def _sql_least_folds(n: int, draws: int = 400) -> str:
     """least_{n}: per label the least fold change that ``n`` bouts a side would show."""
     parts = []
     for name, seed in (("nl", R.NULL_SEED), ("al", 0)):
         p = f"{name}{n}"
         parts.append(f"""
-{p}_r as (select label, draw, bout, row_number() over (partition by label, draw order by md5(concat_ws(':', '{seed}', draw::varchar, label, bout::varchar)), bout) as r
-    from un, range(1, {draws + 1}) t(draw) where nb >= {2 * n}),
+{p}_k as (select * from un where nb >= {2 * n}),{T.sql_hashed(p + "_h", p + "_k", "label, bout::varchar", seed, draws)},
+{p}_r as (select label, draw, bout, row_number() over (partition by label, draw order by h1, h2, bout) as r from {p}_h),
 {p}_v as (select label, draw, var_samp(value) filter (r <= {n}) as a, var_samp(value) filter (r > {n}) as b from {p}_r join e using (label, bout) where r <= {2 * n} group by all),
 {p} as (select label, draw, ln(b / a) as x from {p}_v where a > 0 and b > 0)""")
     return f"""{",".join(parts)},

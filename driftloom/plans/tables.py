@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftloom.functions.scalars import FACTOR, SHIFT
 from driftloom.operators import moments as M
 from driftloom.operators.drift import supported_sides
 
@@ -52,3 +53,17 @@ tv as (select event_type, day, count(*) as n_rows, var_samp(value) as tv from e
 
 def sql_round(expression: str, places: int = 6) -> str:
     return f"(round({expression}, {places}) + 0.0::double)"
+
+
+def sql_hashed(name: str, source: str, unit: str, seed: int, n_draws: int) -> str:
+    """``name``: every row of ``source`` in draws 1 to ``n_draws``, with the hashes h1 and h2 of its ``unit`` and the draw."""
+    lanes = lambda digest, a, b: f"('0x' || substr({digest}, 1, 8))::bigint as {a}, ('0x' || substr({digest}, 9, 8))::bigint as {b}"
+    spread = lambda c: f"(xor({c}, {c} >> {SHIFT}) * {FACTOR}) % 4294967296 as {c}"
+    return f"""
+{name}_md as (select *, md5(concat_ws(':', {unit})) as md from {source}),
+{name}_ln as (select * exclude (md), {lanes('md', 'zx', 'zy')} from {name}_md),
+{name}_dr as (select draw, {lanes(f"md5(concat_ws(':', '{seed}', draw::varchar))", 'zp', 'zq')} from range(1, {n_draws + 1}) t(draw)),
+{name}_z0 as (select l.* replace (xor(zx, zp) as zx, xor(zy, zq) as zy), draw from {name}_ln l, {name}_dr),
+{name}_z1 as (select * replace ({spread('zx')}, {spread('zy')}) from {name}_z0),
+{name}_z2 as (select * replace ({spread('zx')}, {spread('zy')}) from {name}_z1),
+{name} as (select * exclude (zx, zy), xor(zx, zx >> {SHIFT}) as h1, xor(zy, zy >> {SHIFT}) as h2 from {name}_z2)"""

@@ -18,7 +18,7 @@ from driftloom.plans import tables as T
 from driftloom.plans.drift_queries import SQL_VECTORS
 from driftloom.plans.registering import registry
 from driftloom.plans.resampling_queries import N_BOOT, N_DRAWS, POWER_DRAWS, sql_halves
-from driftloom.plans.tables import sql_round
+from driftloom.plans.tables import sql_hashed, sql_round
 
 X = sql_round
 QUERIES, ORACLES, query = registry()
@@ -60,7 +60,8 @@ def dispersion_floor_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_RESAMPLED = f"""
 rn as (select label, bout, count(*) over w as nb, row_number() over (w order by bout) - 1 as i from (select distinct label, bout from xm) window w as (partition by label)),
-rs as (select label, draw, ('0x' || substr(md5(concat_ws(':', '0', draw::varchar, label::varchar, i::varchar)), 1, 8))::bigint % nb as i from rn, range(1, {N_BOOT + 1}) t(draw)),
+{sql_hashed("rh", "rn", "label::varchar, i::varchar", 0, N_BOOT)},
+rs as (select label, draw, h1 % nb as i from rh),
 rw as (select rs.label, draw, bout, count(*) as w from rs join rn using (label, i) group by all)"""
 
 
@@ -80,15 +81,14 @@ def bootstrap_ci_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_directed(name: str, seed: int) -> str:
-    digest = f"md5(concat_ws(':', '{seed}', 'direction', draw::varchar, label::varchar, dim::varchar))"
-    u1, u2 = (f"('0x' || substr({digest}, {at}, 8))::bigint" for at in (1, 9))
     return f"""
 {name}_n as (select *, count(*) over (partition by label) as nb from (select distinct label, bout from xm)),
-{name}_r as (select label, draw, bout, row_number() over (partition by label, draw order by md5(concat_ws(':', '{seed}', draw::varchar, label::varchar, bout::varchar)), bout) as r
-    from {name}_n, range(1, {POWER_DRAWS + 1}) t(draw) where nb >= {2 * N_BOUTS}),
+{name}_k as (select * from {name}_n where nb >= {2 * N_BOUTS}),{sql_hashed(name + "_h", name + "_k", "label::varchar, bout::varchar", seed, POWER_DRAWS)},
+{name}_r as (select label, draw, bout, row_number() over (partition by label, draw order by h1, h2, bout) as r from {name}_h),
+{name}_c as (select distinct label, dim from xm),{sql_hashed(name + "_w", name + "_c", "label::varchar, 'direction', dim::varchar", seed, POWER_DRAWS)},
 {name}_s as (select *, r <= {N_BOUTS} as is_left from {name}_r where r <= {2 * N_BOUTS}),
 {name}_g as ({_sql_gaps(name + '_s')}),
-{name}_u as (select *, sqrt(-2 * ln(({u1} + 1) / 4294967296.0)) * cos(2 * pi() * ({u2} / 4294967296.0)) as u from {name}_g),
+{name}_u as (select {name}_g.*, sqrt(-2 * ln((h1 + 1) / 4294967296.0)) * cos(2 * pi() * (h2 / 4294967296.0)) as u from {name}_g join {name}_w using (label, draw, dim)),
 {name} as (select label, draw, sum(gap * gap - noise) as drift, sum(gap * u) / sqrt(sum(u * u)) as along from {name}_u group by all)"""
 
 
