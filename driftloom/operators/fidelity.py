@@ -15,10 +15,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftloom.functions.scalars import squared_distance
+from driftloom.operators import neighbours as N
 from driftloom.operators.clean import stratified_cap
 from driftloom.operators.sessions import average_ranks
 
 BLOCK = 2048
+#: Rows up to which neighbours are looked for among all.
+DIRECT = 4 * BLOCK
 
 
 def _blocks(df: DataFrame, name: str) -> tuple[DataFrame, int]:
@@ -26,17 +29,6 @@ def _blocks(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
 
 
-def _distances(q: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Squared distances as |q|^2 + |t|^2 - 2 q.t, from the mean of both so that little cancels; no more than one product is held."""
-    centre = t.mean(axis=0)
-    q, t = q - centre, t - centre
-    out = q @ t.T
-    out *= -2
-    out += (q * q).sum(axis=1)[:, None]
-    out += (t * t).sum(axis=1)[None, :]
-    return np.maximum(out, 0.0, out=out)
-
-
 def _against(queries: DataFrame, train: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
     """``work`` on each block of ``queries`` with each block of ``train`` and their squared distances."""
     q, n_q = _blocks(queries, "_q")
@@ -48,8 +40,7 @@ def _against(queries: DataFrame, train: DataFrame, work: Callable[[pd.DataFrame,
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        z = [np.stack([np.asarray(v, np.float64) for v in f["z"]]) for f in (a, b)]
-        return work(a, b, _distances(*z))
+        return work(a, b, N.squared_distances(N.stacked(a["z"]), N.stacked(b["z"])))
 
     return q.groupBy("_q", "_t").cogroup(t.groupBy("_q", "_t")).applyInPandas(run, schema)
 
@@ -57,24 +48,13 @@ def _against(queries: DataFrame, train: DataFrame, work: Callable[[pd.DataFrame,
 def nearest(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
     """id, other, other_label, d2, rank: the ``k`` nearest rows of ``train``, other than itself, ties to the smaller id.
 
-    Both have id, label and z.
+    Both have id, label and z. A few blocks are compared with all; larger tables by cells and bounds.
     """
-
-    def best(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
-        ids, labels, own = b["id"].to_numpy(), b["label"].to_numpy(), a["id"].to_numpy()
-        d = np.round(d, 9)
-        d[own[:, None] == ids[None, :]] = np.inf
-        m = min(k, len(ids))
-        last = np.partition(d, m - 1, axis=1)[:, m - 1]
-        row, column = np.nonzero((d <= last[:, None]) & (d < np.inf))  # ties of the last place as well
-        order = np.lexsort((ids[column], d[row, column], row))
-        row, column = row[order], column[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        row, column = row[place < k], column[place < k]
-        return pd.DataFrame({"id": own[row], "other": ids[column], "other_label": labels[column], "d2": d[row, column]})
-
+    if train.count() > DIRECT:
+        return N.nearest(queries, train, k)
     kinds = dict(train.dtypes)
-    found = _against(queries.select("id", "z"), train.select("id", "label", "z"), best, f"id {kinds['id']}, other {kinds['id']}, other_label {kinds['label']}, d2 double")
+    schema = f"id {kinds['id']}, other {kinds['id']}, other_label {kinds['label']}, d2 double"
+    found = _against(queries.select("id", "z"), train.select("id", "label", "z"), lambda a, b, d: N.best(a, b, d, k), schema)
     rank = F.row_number().over(W.partitionBy("id").orderBy("d2", "other"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

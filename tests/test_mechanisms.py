@@ -195,3 +195,36 @@ def test_days_close_when_the_watermark_has_passed_them(spark, tmp_path):
     found = SD.latest(spark, f"{tmp_path}/table").groupBy("day").agg(F.min("closed").alias("closed"), F.sum("n").alias("n")).orderBy("day").collect()
     assert [r["closed"] for r in found] == [True, True, True, False]
     assert sum(r["n"] for r in found) == len(rows)
+
+
+def clouds(n=3000, d=6, seed=0):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 20, (12, d))
+    z = centres[rng.integers(0, 12, n)] + rng.normal(0, 1, (n, d))
+    z[: n // 3] = z[0]  # a third of all vectors are one
+    return [(i, int(i % 7), v) for i, v in enumerate(z.tolist())]
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_neighbours_by_bounds_equal_those_by_all_distances(spark, k):
+    from driftloom.operators import fidelity as FD
+    from driftloom.operators import neighbours as N
+
+    df = spark.createDataFrame(clouds(), "id long, label int, z array<double>")
+    asked, counted = df.where("id % 3 = 1"), []
+    found = N.nearest(asked, df, k, cell=50, counted=counted)
+    want = FD.nearest(asked, df, k)
+    columns = ["id", "rank", "other", "other_label"]
+    assert sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    # far less than all: but for the third that is one vector, which no bound can part
+    assert sum(counted) < 0.55 * asked.count() * df.count()
+
+
+def test_neighbours_of_few_and_of_nothing(spark):
+    from driftloom.operators import neighbours as N
+
+    df = spark.createDataFrame(clouds(5), "id long, label int, z array<double>")
+    assert N.nearest(df, df, 10).groupBy("id").count().select("count").distinct().collect() == [(4,)]
+    assert N.nearest(df, df.limit(0), 3).count() == 0 and N.nearest(df.limit(0), df, 3).count() == 0
+    apart = spark.createDataFrame([(i, 0, v) for i, _, v in clouds(400, 40, 3)], "id long, label int, z array<double>")  # bounds help little
+    assert N.nearest(apart, apart, 3, cell=20).count() == 1200
