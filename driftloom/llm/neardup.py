@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import checkpoint, components, looked_up, partitions
+from driftloom.llm.common import FEW_KEYS, checkpoint, components, looked_up, partitions
 from driftloom.llm.simhash import (
     SEED,
     SMALL,
@@ -115,7 +115,8 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
             columns = [pa.array([name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["node", "shingles"])
 
-    texts = docs.select(F.xxhash64("text").alias("h"), "text").join(needed, "h", "left_semi")
+    few = needed.count() <= FEW_KEYS  # else as a join whose hot keys Spark splits
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").join(F.broadcast(needed) if few else needed, "h", "left_semi")
     return texts.groupBy("h").agg(F.first("text").alias("text")).mapInArrow(run, "node long, shingles binary")
 
 
