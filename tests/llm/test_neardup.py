@@ -162,5 +162,6 @@ def test_the_prefix_filter_loses_no_pair(spark, monkeypatch, few):
 
     pairs = [(a, b) for a in named for b in named if a < b]
     want = [p for p in pairs if jaccard(named[p[0]], named[p[1]]) >= 0.8]
-    assert all(jaccard(named[a], named[b]) >= 0.8 for a, b in found) or few == 1
+    if few == 1000:  # pairs; else links are those of a forest, which connect what pairs connect
+        assert all(jaccard(named[a], named[b]) >= 0.8 for a, b in found)
     assert joined(found) == joined(want)
