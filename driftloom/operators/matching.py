@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftloom.functions.lineage import cut
+
 
 def scores(n_true: Column, n_pred: Column, n_matched: Column) -> dict[str, Column]:
     """precision, recall and f1; with nothing to find and nothing found all are 1."""
@@ -38,21 +40,26 @@ def _greedy(true: np.ndarray, pred: np.ndarray, tolerance: float) -> int:
     return matched
 
 
-#: Seconds of a file whose segments one group of the sweep has, as long as there are gaps.
-STRETCH = 600.0
+#: Segments of a file that one group of the sweep has, about, as long as there are gaps.
+MANY = 5000
 
 
-def islands(rows: DataFrame, by: Sequence[str], start: str, tolerance: float, stretch: float = STRETCH) -> DataFrame:
+def islands(rows: DataFrame, by: Sequence[str], start: str, tolerance: float, many: int = MANY) -> DataFrame:
     """``rows`` with ``_island``: a number that is the same within each stretch of a file and never changes between starts that may match.
 
-    Time is cut into stretches of equal length, so that a file is many tasks. Where the last start of a
+    A file of over ``many`` rows is cut into stretches of equal length, some ``many`` rows each, so that it
+    is many tasks. Where the last start of a
     stretch and the first of the next one are within the tolerance of each other, what hangs together
     across the edge belongs to the earlier one. Only stretches are looked at one after the other.
     """
-    cell = [*by, "_cell"]
     # a little more than the tolerance, so that rounding never parts what matches
     wide = F.lit(tolerance * (1 + 1e-9) + 1e-9)
-    rows = rows.withColumn("_cell", F.coalesce(F.floor(F.col(start) / stretch), F.lit(-(2**40))))
+    size = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / many).alias("_cells"), F.min(start).alias("_begin"), F.max(start).alias("_end"))
+    rows = rows.join(cut(size), list(by))
+    place = F.floor((F.col(start) - F.col("_begin")) / (F.col("_end") - F.col("_begin")) * F.col("_cells"))
+    cell = F.when((F.col("_cells") == 1) | (F.col("_begin") == F.col("_end")), 0).otherwise(F.least(place, F.col("_cells") - 1))
+    rows = rows.withColumn("_cell", F.coalesce(cell, F.lit(-1)).cast("long")).drop("_cells", "_begin", "_end")
+    cell = [*by, "_cell"]
     before = F.lag(start).over(W.partitionBy(*cell).orderBy(start))
     gap = F.coalesce((F.col(start) - before > wide).cast("int"), F.lit(0))
     rows = rows.withColumn("_gap", gap)
@@ -68,7 +75,7 @@ def islands(rows: DataFrame, by: Sequence[str], start: str, tolerance: float, st
     return found.withColumn("_island", F.when(F.col("_part") == 0, F.col("_from")).otherwise(F.col("_cell"))).drop("_cell", "_gap", "_part", "_from")
 
 
-def _counts(true: DataFrame, pred: DataFrame, by: Sequence[str], tolerance: float, boundary: str | None, stretch: float = STRETCH) -> DataFrame:
+def _counts(true: DataFrame, pred: DataFrame, by: Sequence[str], tolerance: float, boundary: str | None, many: int = MANY) -> DataFrame:
     """by, n_true, n_pred, n_matched per file: both boundaries, or one of them, within the tolerance.
 
     The sweep is stateful, but nothing that it has passed matters beyond a gap of more than the
@@ -86,7 +93,7 @@ def _counts(true: DataFrame, pred: DataFrame, by: Sequence[str], tolerance: floa
     kinds = dict(true.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + [f"{n} long" for n in names])
     both = [df.select(*[F.col(c).alias(c) for c in (*by, *columns)], F.lit(t).alias("_true")) for df, t in ((true, True), (pred, False))]
-    parts = islands(both[0].unionByName(both[1]), by, columns[0], tolerance, stretch)
+    parts = islands(both[0].unionByName(both[1]), by, columns[0], tolerance, many)
     return parts.groupBy(*by, "_island").applyInPandas(sweep, schema).groupBy(*by).agg(*[F.sum(c).alias(c) for c in names])
 
 
@@ -96,12 +103,12 @@ def pooled(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return sums.withColumns(scores(F.col("n_true"), F.col("n_pred"), F.col("n_matched")))
 
 
-def segment_counts(true: DataFrame, pred: DataFrame, by: Sequence[str], tolerance: float = 0.01, stretch: float = STRETCH) -> DataFrame:
-    return _counts(true, pred, by, tolerance, None, stretch)
+def segment_counts(true: DataFrame, pred: DataFrame, by: Sequence[str], tolerance: float = 0.01, many: int = MANY) -> DataFrame:
+    return _counts(true, pred, by, tolerance, None, many)
 
 
-def boundary_counts(true: DataFrame, pred: DataFrame, by: Sequence[str], boundary: str, tolerance: float = 0.01, stretch: float = STRETCH) -> DataFrame:
-    return _counts(true, pred, by, tolerance, boundary, stretch)
+def boundary_counts(true: DataFrame, pred: DataFrame, by: Sequence[str], boundary: str, tolerance: float = 0.01, many: int = MANY) -> DataFrame:
+    return _counts(true, pred, by, tolerance, boundary, many)
 
 
 def zipped(true: DataFrame, pred: DataFrame, by: Sequence[str], order: str, label: str) -> DataFrame:

@@ -245,3 +245,80 @@ def test_a_file_per_row_and_nothing_of_a_failed_job(spark, tmp_path):
         # a task that is killed late may leave something in its own hidden folder, which no reader looks into
         assert not [p for p in (tmp_path / folder).rglob("*.bin") if "_staging" not in str(p)]
         assert not store.files(str(tmp_path / folder)) and not (tmp_path / folder / "_SUCCESS").exists()
+
+
+def flat_lab(tmp_path):
+    """Two days of recordings and one annotation file for all of them."""
+    rng, notes = np.random.default_rng(2), ["audio_file,onset_s,offset_s,label"]
+    for d in (1, 3):
+        for k in range(6):
+            name, t = f"llb3_{d}{k}_2018_04_0{d}_14_18_0{k}.wav", np.arange(32_000 * 2) / 32_000
+            x = 0.002 * rng.normal(size=len(t))
+            for i in range(8):
+                on, hertz = 0.1 + 0.22 * i, (3000 if i % 2 else 5000) + 60 * rng.normal() + (400 * (d == 3) if i % 2 else 0)
+                x += 0.5 * np.sin(2 * np.pi * hertz * t) * ((t >= on) & (t < on + 0.1))
+                notes.append(f"sub/{name},{on},{on + 0.1},{'ab'[i % 2]}")
+            (tmp_path / "wav").mkdir(exist_ok=True)
+            (tmp_path / "wav" / name).write_bytes(audio.encoded(x))
+    notes.append("gone_2018_04_01_10_00_00.wav,0.1,0.2,a")
+    (tmp_path / "notes.csv").write_text("\n".join(notes) + "\n")
+    return str(tmp_path / "notes.csv"), str(tmp_path / "wav")
+
+
+def test_a_flat_file_to_drift_by_separation(spark, tmp_path):
+    from driftloom.plans import analysis, syllables
+
+    csv, root = flat_lab(tmp_path)
+    pattern = r"(?P<timestamp>\d{4}_\d{2}_\d{2}_\d{2}_\d{2}_\d{2})"
+    config = analysis.AnalysisConfig(n_pca=6, n_freq_bins=12, min_renditions=10, n_boot=30, n_null=40)
+    found, by_gap, counts = syllables.flat_run(spark, csv, root, "llb3", pattern, "%Y_%m_%d_%H_%M_%S", config)
+    assert counts.first()["n_missing_audio"] == 1
+    (row,), bird = by_gap.collect(), found.birds.first()
+    assert (row["separation_days"], row["n_pairs"], row["n_types"]) == (2, 1, 2)
+    assert row["over_centroid"] >= 1 and row["ratio_to_floor"] > 1
+    assert row["ratio_to_floor"] == pytest.approx(row["centroid"] * bird["within_type_variance"] / bird["centroid_floor"])
+    assert (bird["n_syllables"], bird["n_days"], bird["n_bouts"]) == (96, 2, 12)
+
+
+def test_a_set_of_syllables_with_spectrograms(spark, tmp_path):
+    import json
+
+    from driftloom.plans import syllables
+
+    rows = [(f"b{b}", d, lab, f"{b}{d}.wav", b * 1000 + d * 100 + i, 0.05 * i, 0.05 * i + 0.04) for b in (1, 2) for d in (1, 2) for i in range(30) for lab in ["a" if i < 20 else "b" if i < 26 + 4 * d else "x"]]
+    rows += [("b1", 1, "a", "11.wav", 5000, 1.95, 9.0), ("b1", 1, "a", "11.wav", 5001, 7.0, 8.0)]
+    table = spark.createDataFrame(rows, "bird string, day int, label string, audio_path string, id long, onset_s double, offset_s double")
+    sounds = spark.createDataFrame([(f"{b}{d}.wav", bytearray(song(2.0, 32_000, b + d))) for b in (1, 2) for d in (1, 2)], "audio_path string, content binary")
+    spec = audio.Spectrogram(rows=8)
+    found, summary = syllables.syllable_set(table, sounds, "id", spec, exclude=("x",), least=10, max_per_day=25)
+    own = {r["bird"]: r.asDict() for r in summary.collect()}
+    # on day 1 each bird has 20 a (b1: 22) and 10 b; on day 2 20 a and 10 b
+    assert own["b2"] == {"bird": "b2", "n_syllables": 50, "n_days": 2, "labels": own["b2"]["labels"], "n_excluded": 0, "n_rare": 0, "n_over_cap": 10, "n_empty": 0}
+    assert sum(own["b1"]["labels"].values()) == own["b1"]["n_syllables"] and own["b1"]["n_over_cap"] == 12
+    clamped = {r["id"]: r["duration_s"] for r in found.collect()}
+    assert 5001 not in clamped and (5000 not in clamped or clamped[5000] == pytest.approx(0.05))
+    rare, told = syllables.syllable_set(table, sounds, "id", spec, exclude=("x",), least=11, max_per_day=None)
+    assert {r["label"] for r in rare.select("label").collect()} == {"a"} and {r["n_rare"] for r in told.collect()} == {20}
+
+    syllables.write_syllables(found, summary, str(tmp_path / "set"), "id", spec, share=20)
+    files = sorted((tmp_path / "set").rglob("*.npz"))
+    assert len(files) >= 4 and {f.parent.name for f in files} == {"b1", "b2"}
+    held = [dict(np.load(f)) for f in files]
+    assert sum(len(h["labels"]) for h in held) == found.count() and all(h["spectrograms"].shape[1:] == (8, spec.columns) for h in held)
+    assert json.loads((tmp_path / "set" / "summary.json").read_text())["spectrogram_shape"] == [8, spec.columns]
+    vectors = archives.read_arrays(spark, str(tmp_path / "set"), arrays="spectrograms")
+    assert vectors.count() == found.count()
+    total = lambda df, c: df.select(F.sum(F.aggregate(c, F.lit(0.0), lambda s, x: s + x))).first()[0]
+    assert total(vectors, "vector") == pytest.approx(total(found, "features"), rel=1e-6)
+
+
+def test_the_numbers_of_the_newest_evaluation(spark, tmp_path):
+    from driftloom.plans import syllables
+
+    assert syllables.newest_evaluation(spark, str(tmp_path)).count() == 0 if list(tmp_path.iterdir()) else True
+    (tmp_path / "run1").mkdir()
+    (tmp_path / "run1" / "eval_240101.csv").write_text("acc,name\n0.1,x\n")
+    (tmp_path / "run1" / "eval_240301.csv").write_text("acc,name,levenshtein\n0.9,x,3\n0.2,y,4\n")
+    (tmp_path / "run1" / "other.csv").write_text("acc\n1\n")
+    found = syllables.newest_evaluation(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [("eval_240301.csv", "acc", 0.9), ("eval_240301.csv", "levenshtein", 3.0)]

@@ -97,8 +97,8 @@ def plain_matches(true, pred, tolerance):
     return MT._greedy(np.array(sorted(true)).reshape(-1, 2), np.array(sorted(pred)).reshape(-1, 2), tolerance)
 
 
-@pytest.mark.parametrize("stretch", [0.5, 3.0, 1e9])
-def test_matches_in_stretches_equal_those_of_one_sweep(spark, stretch):
+@pytest.mark.parametrize("many", [3, 40, 10**9])
+def test_matches_in_stretches_equal_those_of_one_sweep(spark, many):
     rng = random.Random(6)
     true, pred, want = [], [], {}
     for name in "abcdef":
@@ -116,7 +116,7 @@ def test_matches_in_stretches_equal_those_of_one_sweep(spark, stretch):
         if own or found:
             want[name] = (len(own), len(found), plain_matches(own, found, 0.01))
     sides = [spark.createDataFrame(rows, "file string, onset_s double, offset_s double") for rows in (true, pred)]
-    counts = MT.segment_counts(*sides, ["file"], 0.01, stretch=stretch)
+    counts = MT.segment_counts(*sides, ["file"], 0.01, many=many)
     assert {r["file"]: (r["n_true"], r["n_pred"], r["n_matched"]) for r in counts.collect()} == want
 
 
@@ -124,9 +124,9 @@ def test_a_long_file_is_many_groups(spark):
     rows = spark.range(20_000).selectExpr("'only' as file", "id * 0.5 as onset_s", "id * 0.5 + 0.1 as offset_s", "true as _true")
     parts = MT.islands(rows, ["file"], "onset_s", 0.01)
     sizes = [r["count"] for r in parts.groupBy("file", "_island").count().collect()]
-    assert sum(sizes) == 20_000 and max(sizes) <= 1200 and len(sizes) >= 16
+    assert sum(sizes) == 20_000 and max(sizes) <= 6000 and len(sizes) >= 4
     chained = rows.withColumn("onset_s", F.col("onset_s") / 100)  # no gap over the tolerance: one island, whatever the stretches
-    assert MT.islands(chained, ["file"], "onset_s", 0.01, stretch=10.0).select("_island").distinct().count() == 1
+    assert MT.islands(chained, ["file"], "onset_s", 0.01, many=1000).select("_island").distinct().count() == 1
 
 
 def stream_rows(seed=1):
