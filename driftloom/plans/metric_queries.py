@@ -283,6 +283,18 @@ def within_type_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("label", "n_pairs", rounded("rho", 5).alias("rho"))
 
 
+@query(f"""with x as (select vec_id, label, list_transform(embedding, lambda v: v::double) as r, list_transform(embedding[1:16], lambda v: v::double) as z from embeddings),
+    pr as (select a.label, round(list_distance(a.z, b.z), 9) as dz, round(list_distance(a.r, b.r), 9) as dr from x a join x b on a.label = b.label and a.vec_id < b.vec_id),
+    rk as (select label, rank() over (partition by label order by dz) + (count(*) over (partition by label, dz) - 1) / 2.0 as rz,
+        rank() over (partition by label order by dr) + (count(*) over (partition by label, dr) - 1) / 2.0 as rr from pr)
+    select label, count(*)::bigint as n_pairs, {X('corr(rz, rr)', 5)} as rho from rk group by label having count(*) >= 3""")
+def within_type_rho_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all pairs of a label."""
+    rows = T.vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "label", F.slice("z", 1, 16).alias("z"), F.col("z").alias("reference"))
+    found = FD.within_label_correlation(rows, None)
+    return found.select("label", "n_pairs", rounded("rho", 5).alias("rho"))
+
+
 @query(f"""select user_id % 16 as bird, ts::date as day, count(*)::bigint as n_files, sum(length(event_type))::bigint as n_sounds, {X('sum(value)', 4)} as seconds,
     (grouping(user_id % 16) * 2 + grouping(ts::date))::bigint as level from events group by rollup (user_id % 16, ts::date)""")
 def inventory_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

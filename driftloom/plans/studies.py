@@ -18,6 +18,7 @@ from driftloom.operators import drift as D
 from driftloom.operators import embedding as E
 from driftloom.operators import fidelity as FD
 from driftloom.operators import groups as G
+from driftloom.operators import layout as LO
 from driftloom.operators import moments as M
 from driftloom.operators import power as P
 from driftloom.operators import resampling as R
@@ -178,10 +179,11 @@ def dispersion_sensitivity(points: DataFrame, bouts: Sequence[int], folds: Seque
     return out
 
 
-def fidelity_gate(points: DataFrame, components: int, k: int = 5, seed: int = 0) -> DataFrame:
+def fidelity_gate(points: DataFrame, components: int, k: int = 5, seed: int = 0, layout: int | None = None, max_pairs: int | None = 20_000) -> DataFrame:
     """embedder, day, accuracy, purity, silhouette, rho: how raw vectors and principal components keep labels and distances.
 
-    ``points`` has id, label, day and z. Fitted on 70 % of the first day; ``day`` is the first day (its
+    With ``layout``, also a neighbour-graph layout of the components in so many dimensions. ``points``
+    has id, label, day and z. Fitted on 70 % of the first day; ``day`` is the first day (its
     other 30 %) and each later day. Purity, silhouette and rho are of the held-out part.
     """
     first = S.reference_day(points.withColumn("_all", F.lit(1)), ["_all"]).first()["reference_day"]
@@ -189,13 +191,17 @@ def fidelity_gate(points: DataFrame, components: int, k: int = 5, seed: int = 0)
     train, test = (split.where("is_train" if t else "not is_train").select("id", "label", "day", "z") for t in (True, False))
     model = E.fitted_pca(train, components)
     out = None
-    for name, embed in (("raw", lambda df: df), ("pca", lambda df: E.projected(model, df))):
+    embedders = [("raw", lambda df: df), ("pca", lambda df: E.projected(model, df))]
+    if layout is not None:
+        fit = LO.fitted(E.projected(model, train), layout, seed=seed)
+        embedders.append(("layout", lambda df: cut(LO.placed(E.projected(model, df), *fit))))
+    for name, embed in embedders:
         z_train, z_test = embed(train), embed(test)
         asked = z_test.unionByName(embed(points.where(F.col("day") > F.lit(first)).select("id", "label", "day", "z")))
         found = FD.knn_recovery(z_train, asked, k).join(asked.select("id", "day"), "id")
         by_day = found.groupBy("day").agg(F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("accuracy"))
         with_reference = z_test.join(test.select("id", F.col("z").alias("reference")), "id")
-        rho = FD.pair_weighted(FD.within_label_correlation(with_reference, seed=seed))
+        rho = FD.pair_weighted(FD.within_label_correlation(with_reference, max_pairs, seed))
         row = FD.purity(z_test).crossJoin(FD.silhouette(z_test)).crossJoin(rho)  # one row each
         rows = by_day.crossJoin(F.broadcast(row)).select(F.lit(name).alias("embedder"), "day", "accuracy", "purity", "silhouette", "rho")
         out = rows if out is None else out.unionByName(rows)

@@ -165,7 +165,7 @@ def dispersion_sensitivity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fidelity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw vectors and 16 principal components side by side, fitted on the first pseudo-day."""
+    """Raw vectors, 16 principal components and their layout in 8 dimensions side by side, fitted on the first pseudo-day; rho over all pairs."""
     rows = T.vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "label", (F.col("vec_id") % 5).alias("day"), "z")
-    found = studies.fidelity_gate(rows, 16)
+    found = studies.fidelity_gate(rows, 16, layout=8, max_pairs=None)
     return found.select("embedder", "day", *[rounded(c, 4).alias(c) for c in ("accuracy", "purity", "silhouette", "rho")])

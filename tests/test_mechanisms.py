@@ -228,3 +228,37 @@ def test_neighbours_of_few_and_of_nothing(spark):
     assert N.nearest(df, df.limit(0), 3).count() == 0 and N.nearest(df.limit(0), df, 3).count() == 0
     apart = spark.createDataFrame([(i, 0, v) for i, _, v in clouds(400, 40, 3)], "id long, label int, z array<double>")  # bounds help little
     assert N.nearest(apart, apart, 3, cell=20).count() == 1200
+
+
+def test_weights_of_neighbours():
+    from driftloom.operators import layout as LO
+
+    d = np.sort(np.random.default_rng(0).random((50, 15)), axis=1)
+    d[3, 10:] = np.nan
+    d[4, :2] = 0.0
+    w = LO.smooth(d)
+    k = np.full(50, 15)
+    k[3] = 10
+    assert np.allclose(np.nansum(w, axis=1), np.log2(k), atol=1e-6)
+    assert np.allclose(w[np.arange(50) != 4, 0], 1) and np.nanmax(w) <= 1
+
+
+def test_a_layout_keeps_clusters_and_agrees_with_itself(spark):
+    from driftloom.operators import fidelity as FD
+    from driftloom.operators import layout as LO
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 6, (6, 20))
+    rows = [(i, i % 6, (centres[i % 6] + rng.normal(size=20)).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, label int, z array<double>")
+    train = df.where("id < 400")
+    edges = LO.edges(train, 10)
+    assert edges.where("a >= b or w <= 0 or w > 1 + 1e-9").count() == 0
+    first, again = (LO.fitted(train, 2, k=10, epochs=60, seed=3) for _ in range(2))
+    assert sorted(map(tuple, first[1].collect())) == sorted(map(tuple, again[1].collect()))
+    out = LO.placed(df, *first, k=10)
+    assert out.count() == 600 and out.select(F.size("z")).distinct().collect() == [(2,)]
+    assert FD.purity(out.select("id", "label", "z")).first()[0] > 0.97
+    assert FD.purity(out.where("id >= 400").select("id", "label", "z")).first()[0] > 0.97
+    one = LO.fitted(df.limit(1), 3)
+    assert LO.placed(df.where("id < 3"), *one).count() == 3
