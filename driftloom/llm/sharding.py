@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from driftloom.llm.common import checkpoint, partitions, spread_join, table
 
 SHARDS = 40
-ROUNDS = 8
+#: Rounds in a row without more links kept, after which moves only go round in circles.
+IDLE = 4
 BUCKETS = 4096
 FIXED_BYTES = 16
 
@@ -72,10 +73,15 @@ def wishes(cells: DataFrame, room: list[int]) -> DataFrame:
     return moving.select("g", "shard", "n", F.element_at("open", pick + 1).alias("target"))
 
 
-def propagate(cells: DataFrame, shards: int, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """The cells (g, shard, n) after up to ``rounds`` rounds of moves under the shards' quotas."""
+def propagate(cells: DataFrame, shards: int, quotas: list[int], rounds: int | None = None) -> DataFrame:
+    """The cells (g, shard, n) after rounds of moves under the shards' quotas: until nothing moves any more, or ``rounds`` of them.
+
+    Rounds also end when IDLE of them in a row have brought no more copies together.
+    """
     state = checkpoint(cells)
-    for _ in range(rounds):
+    best, idle = -1, 0
+    while rounds is None or rounds > 0:
+        rounds = None if rounds is None else rounds - 1
         load = _per_shard(state, shards, "n")
         room = [max(0, q - n) for q, n in zip(quotas, load)]
         moves = checkpoint(
@@ -98,13 +104,16 @@ def propagate(cells: DataFrame, shards: int, quotas: list[int], rounds: int = RO
             taken.select("g", "shard", (-F.col("_m")).alias("n"))
         )
         state = checkpoint(state.unionByName(change).groupBy("g", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
-        moved = [a - b for a, b in zip(_per_shard(state, shards, "n"), load)]
-        if not any(moved) and not taken.take(1):
+        if not taken.take(1):
+            break
+        kept = state.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+        best, idle = max(best, kept), 0 if kept > best else idle + 1
+        if idle >= IDLE:
             break
     return state
 
 
-def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, links (other rows with the text), cut_links (those in other shards), shard, slot of every row.
 
     The counts of the shards differ by one at most, and slots run from 0 without gaps. Null texts
