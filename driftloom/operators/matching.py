@@ -93,7 +93,7 @@ def _counts(true: DataFrame, pred: DataFrame, by: Sequence[str], tolerance: floa
     kinds = dict(true.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + [f"{n} long" for n in names])
     both = [df.select(*[F.col(c).alias(c) for c in (*by, *columns)], F.lit(t).alias("_true")) for df, t in ((true, True), (pred, False))]
-    parts = islands(both[0].unionByName(both[1]), by, columns[0], tolerance, many)
+    parts = islands(cut(both[0].unionByName(both[1])), by, columns[0], tolerance, many)
     return parts.groupBy(*by, "_island").applyInPandas(sweep, schema).groupBy(*by).agg(*[F.sum(c).alias(c) for c in names])
 
 

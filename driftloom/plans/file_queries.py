@@ -58,19 +58,19 @@ _DAYS = "(unix_micros(cast(ts as timestamp)) / 86400000000d)"
 
 
 @query(f"""
-with e as (select user_id, event_type, value, epoch_us(ts) / 86400000000.0::double as days from events where user_id is not null and value is not null and ts is not null),
-t as (select user_id, min(days) filter (event_type = '{MARKER}') as t0 from e group by user_id)
-select user_id, count(*)::bigint as n, {T.sql_round("sum(value)")} as total, {T.sql_round("any_value(t0)")} as t0,
+with e as (select user_id % 40 as recording, event_type, value, epoch_us(ts) / 86400000000.0::double as days from events where user_id is not null and value is not null and ts is not null),
+t as (select recording, min(days) filter (event_type = '{MARKER}') as t0 from e group by recording)
+select recording, count(*)::bigint as n, {T.sql_round("sum(value)")} as total, {T.sql_round("any_value(t0)")} as t0,
     count(*) filter (days < t0)::bigint as n_before, count(*) filter (days > t0)::bigint as n_after
-from e join t using (user_id) group by user_id
+from e join t using (recording) group by recording
 """)
 def mat_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's events of a day in a MATLAB file, read as typed rows: events before and after the first marker."""
-    events = T.events(spark, sf_dir).where("user_id is not null and value is not null and ts is not null")
+    """Events of 40 recordings in a MATLAB file a day, read as typed rows: events before and after the first marker."""
+    events = T.events(spark, sf_dir).where("user_id is not null and value is not null and ts is not null").withColumn("recording", F.col("user_id") % 40)
     point = F.struct(F.expr(_DAYS).alias("at"), "value")
     note = F.when(F.col("event_type") == MARKER, F.struct(F.lit(MARKER).alias("text"), F.expr(_DAYS).alias("timestamp")))
-    per = events.groupBy("user_id", "day").agg(F.sort_array(F.collect_list(point)).alias("points"), F.collect_list(note).alias("notes"))
-    per = per.withColumns({"bird": F.col("user_id").cast("string"), "kind": F.lit("group")})
+    per = events.groupBy("recording", "day").agg(F.sort_array(F.collect_list(point)).alias("points"), F.collect_list(note).alias("notes"))
+    per = per.withColumns({"bird": F.col("recording").cast("string"), "kind": F.lit("group")})
     name = F.format_string("%s/%s.mat", "bird", F.col("day").cast("string"))
 
     def read(folder: str) -> DataFrame:
@@ -78,7 +78,7 @@ def mat_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
         first = found.groupBy("birdname").agg(F.min("t0").alias("t0"))
         rows = found.select("birdname", F.explode(F.arrays_zip("timestamps", "quantity")).alias("p")).join(first, "birdname")
         at = F.col("p.timestamps")
-        return rows.groupBy(F.col("birdname").cast("bigint").alias("user_id")).agg(
+        return rows.groupBy(F.col("birdname").cast("bigint").alias("recording")).agg(
             F.count(F.lit(1)).alias("n"), F.round(F.sum("p.quantity"), 6).alias("total"), F.round(F.first("t0"), 6).alias("t0"),
             F.count_if(at < F.col("t0")).alias("n_before"), F.count_if(at > F.col("t0")).alias("n_after"),
         )
@@ -206,19 +206,20 @@ def _zip_of_days(x: dict) -> bytes:
 
 
 @query("""
-with e as (select user_id % 10 as part, user_id as bird, ts::date::varchar as day, 1 + length(event_type) as length from events
+with e as (select user_id % 40 as bird, ts::date::varchar as day, 1 + length(event_type) as length from events
     where user_id is not null and ts is not null and event_type is not null),
 f as (select bird, day, count(*) as sounds, sum(length) as seconds from e group by all)
 select bird::varchar as bird, day, count(*)::bigint as n_files, sum(sounds)::bigint as n_sounds, sum(seconds)::double as seconds,
     grouping_id(bird, day)::bigint as level from f group by rollup (bird, day)
 """)
 def archive_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sounds of every user and day from text members of zip archives, with subtotals."""
+    """Sounds of 40 individuals and every day from text members of zip archives, one for each, with subtotals."""
     events = T.events(spark, sf_dir).where("user_id is not null and ts is not null and event_type is not null")
     at = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
     note = F.struct(at.alias("at"), (1 + F.length("event_type")).alias("length"))
-    days = events.groupBy("user_id", F.col("day").cast("string").alias("day")).agg(F.sort_array(F.collect_list(note)).alias("notes"))
-    users = days.groupBy(F.col("user_id").cast("string").alias("bird")).agg(F.collect_list(F.struct("day", "notes")).alias("days"))
+    bird = (F.col("user_id") % 40).cast("string").alias("bird")
+    days = events.groupBy(bird, F.col("day").cast("string").alias("day")).agg(F.sort_array(F.collect_list(note)).alias("notes"))
+    users = days.groupBy("bird").agg(F.collect_list(F.struct("day", "notes")).alias("days"))
 
     def read(folder: str) -> DataFrame:
         segments = datasets.text_segments(archives.lines(archives.read_members(spark, folder, members="*.txt")))

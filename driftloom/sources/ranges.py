@@ -2,7 +2,7 @@
 
 ``spark.read.format("wav_ranges").load(folder)`` gives a row per range of a WAV file: its samples with
 ``overlap`` more on both sides where the file has them. Ranges are planned from the files' sizes alone;
-a task opens the file, seeks to its range and reads no more than that.
+a task opens the file, seeks to a range and reads no more than that; it holds one range at a time.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ FEW_FILES = 100_000
 
 
 class RangeSource(DataSource):
-    """Options: bytes (of a range), overlap (samples on either side), pattern (of file names, ``*.wav``)."""
+    """Options: bytes (of a range), overlap (samples on either side), share (bytes that a task reads, range by range), pattern (of file names, ``*.wav``)."""
 
     @classmethod
     def name(cls) -> str:
@@ -47,12 +47,13 @@ class RangeReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.pattern = options["path"], options.get("pattern", "*.wav")
         self.bytes, self.overlap = int(options.get("bytes", 8 << 20)), int(options.get("overlap", 0))
+        self.share = int(options.get("share", max(self.bytes, store.SHARE // 8)))
         if self.bytes < 1 or self.overlap < 0:
             raise ValueError("a range has bytes, and an overlap is not negative")
 
     def partitions(self) -> list[store.Share]:
         found = [(path, k, min(size, self.bytes)) for path, size in store.files(self.path, self.pattern) for k in range(-(-size // self.bytes))]
-        return store.shares(found, self.bytes)
+        return store.shares(found, self.share)
 
     def read(self, partition: store.Share) -> Iterator[pa.RecordBatch]:
         for path, k in partition.items:
@@ -73,10 +74,11 @@ class RangeReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays(columns, ["path", "rate", "frames", "first", "count", "before", "samples"])
 
 
-def read_ranges(spark: SparkSession, root: str, bytes: int = 8 << 20, overlap: int = 0, pattern: str = "*.wav") -> DataFrame:  # noqa: A002
+def read_ranges(spark: SparkSession, root: str, bytes: int = 8 << 20, overlap: int = 0, pattern: str = "*.wav", share: int | None = None) -> DataFrame:  # noqa: A002
     """The ranges of all recordings below ``root``; see :class:`RangeSource`."""
     spark.dataSource.register(RangeSource)
-    return spark.read.format("wav_ranges").options(bytes=bytes, overlap=overlap, pattern=pattern).load(root)
+    options = {"bytes": bytes, "overlap": overlap, "pattern": pattern, **({"share": share} if share else {})}
+    return spark.read.format("wav_ranges").options(**options).load(root)
 
 
 def ranged_levels(pieces: DataFrame, segmenter: AmplitudeSegmenter) -> DataFrame:

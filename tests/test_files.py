@@ -167,7 +167,7 @@ def test_a_task_holds_one_range_and_its_overlap(spark, tmp_path):
     content = song(2.0)
     (tmp_path / "x.wav").write_bytes(content)
     whole, rate = audio.decoded(content)
-    df = ranges.read_ranges(spark, str(tmp_path), bytes=8000, overlap=100)
+    df = ranges.read_ranges(spark, str(tmp_path), bytes=8000, overlap=100, share=1)
     rows = df.orderBy("first").collect()
     assert (df.rdd.getNumPartitions(), len(rows)) == (9, 8)  # planned from the size, header included
     assert max(len(r["samples"]) for r in rows) <= 4200
