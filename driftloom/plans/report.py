@@ -147,11 +147,13 @@ def draw_drift(result: dict, measure: str = "centroid", panels: Callable[[int],
     axes = panels(max(1, len(result["birds"])))
     for ax, (name, b) in zip(axes, result["birds"].items()):
         band = floor(b)
+        both = measure == "dispersion"  # the only one that may change either way
         if band is not None:
-            ax.axhspan(-band if measure == "dispersion" else 0, band, alpha=0.2)
+            ax.axhspan(-band if both else 0, band, alpha=0.2)
         for p in b["day_pairs"]:
             if p[value] is not None:
-                ax.plot([str(p["day_a"]), str(p["day_b"])], [p[value]] * 2, "-" if band is not None and abs(p[value]) > band else ":")
+                over = band is not None and (abs(p[value]) if both else p[value]) > band
+                ax.plot([str(p["day_a"]), str(p["day_b"])], [p[value]] * 2, "-" if over else ":")
         ax.set_title(f"{name}: {measure}")
     return axes
 

@@ -218,11 +218,16 @@ def test_a_panel_for_each_individual():
         made.extend(Panel() for _ in range(n))
         return made
 
-    first, second = report.draw_drift(result_of(-0.3, 0.1), "centroid", panels)
-    assert first.bands == [(-0.25, 0.25)]
-    assert first.spans == [("2024-05-01", "2024-05-02", -0.3, "-"), ("2024-05-02", "2024-05-03", 0.1, ":")]
+    # a distance is over its floor only if it is larger, so one of -0.3 is not over 0.25
+    first, second = report.draw_drift(result_of(-0.3, 0.1, 0.3), "centroid", panels)
+    assert first.bands == [(0, 0.25)]
+    assert first.spans == [("2024-05-01", "2024-05-02", -0.3, ":"), ("2024-05-02", "2024-05-03", 0.1, ":"), ("2024-05-03", "2024-05-04", 0.3, "-")]
     assert second.spans == second.bands == []
     assert "another" in second.title
+    either = result_of(0.1)
+    either["birds"]["x"]["dispersion_floor"], either["birds"]["x"]["day_pairs"][0]["dispersion_drift"] = 0.2, -0.5
+    drawn = report.draw_drift(either, "dispersion", lambda n: [Panel() for _ in range(n)])[0]
+    assert drawn.bands == [(-0.2, 0.2)] and drawn.spans[0][2:] == (-0.5, "-")
     with pytest.raises(ValueError, match="no measure"):
         report.draw_drift(result_of(), "other", panels)
     power = report.draw_least({"centroid": {20: 0.1, 5: 0.5, 2: None}}, lambda n: [Panel() for _ in range(n)])
@@ -255,3 +260,6 @@ def test_pairs_in_long_form(spark):
     birds = spark.createDataFrame([("x", 2.0, 0.5, 0.3, 0.1)], "bird string, within_type_variance double, centroid_floor double, dispersion_floor double, syntax_floor double")
     found = {r["measure"]: (r["value"], r["floor"], r["over"]) for r in report.over_floor(pairs, birds).collect()}
     assert found == {"centroid": (0.5, 0.25, True), "dispersion": (-0.4, 0.3, True), "syntax": (None, 0.1, None)}
+    below = pairs.withColumn("centroid_drift_standardised", F.lit(-0.5))
+    found = {r["measure"]: r["over"] for r in report.over_floor(below, birds).collect()}
+    assert found == {"centroid": False, "dispersion": True, "syntax": None}
