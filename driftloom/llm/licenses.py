@@ -261,7 +261,7 @@ RULES: tuple[tuple[str, str], ...] = (
 
 #: A sentence that says under which licence something is, or a line with an SPDX expression: the names are the first group.
 STATEMENT = (
-    "^(?:(?:(?:this|the) [a-z]{1,30} is |it is |is )?(?:dual )?(?:licensed|released|distributed|available|published|dedicated) (?:under|to) "
+    "^(?:(?:(?:this|the) [a-z]{1,30} is |(?:it |this )?is )?(?:dual )?(?:licensed|released|distributed|available|published|dedicated) (?:under|to) "
     "(?:the terms of )?|(?:[a-z0-9]{1,4} )?spdx license identifier )([a-z0-9 ]{2,240}?)(?: license)?"
     "(?: the license| see [a-z0-9 ]{1,80}| at your option| which [a-z0-9 ]{1,80})*$"
 )
