@@ -1,6 +1,7 @@
 """Edit-aware token counts over a segment tree of pre-tokens for each document.
 
 The vocabulary encodes every pre-token by itself, so a text's count is the sum over its pre-tokens.
+Special strings of the vocabulary are pre-tokens of one token each, and pre-tokens end where they begin.
 A tree's leaves hold runs of pre-tokens (their lengths and counts) and its inner nodes the sums
 below. An edit re-encodes from a pre-token boundary shortly before it up to the first boundary after
 it where old and new pre-tokens fall into step, replaces what lies between, and updates the sums on
@@ -20,7 +21,7 @@ from driftloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k"
 LEAF = 32
-#: Characters before an edit that a pre-token's end can depend on: one that follows it, and contractions of up to three.
+#: Characters before an edit that a pre-token's end can depend on, one that follows it and contractions of up to three, besides those of a special string that the edit completes.
 CONTEXT = 4
 CACHE = 500_000
 
@@ -33,12 +34,33 @@ def pre_tokens():  # noqa: ANN201
     return regex.compile(public_tokenizers.PATTERN)
 
 
+@cache
+def special_strings(vocabulary: str = VOCABULARY):  # noqa: ANN201
+    """(pattern of the special strings, or None; the characters of the longest)."""
+    import regex
+
+    from driftloom.llm.packing import added_tokens
+
+    known = sorted(added_tokens(vocabulary), key=lambda t: (-len(t), t))
+    return (regex.compile("|".join(map(regex.escape, known))), len(known[0])) if known else (None, 0)
+
+
+def found_pre_tokens(text: str, begin: int = 0, vocabulary: str = VOCABULARY) -> Iterator[str]:
+    """The pre-tokens of a text from a boundary on, in order."""
+    special, ordinary = special_strings(vocabulary)[0], pre_tokens()
+    for stop in special.finditer(text, begin) if special else ():
+        yield from (m.group() for m in ordinary.finditer(text, begin, stop.start()))
+        yield stop.group()
+        begin = stop.end()
+    yield from (m.group() for m in ordinary.finditer(text, begin))
+
+
 @cache
 def counter(vocabulary: str = VOCABULARY) -> Callable[[list[str]], list[int]]:
     """The token counts of pre-tokens, looked up in a bounded cache first."""
     from driftloom.llm.packing import encoder
 
-    encode, known = encoder(vocabulary), {}
+    encode, known = encoder(vocabulary, True), {}
 
     def counts(words: list[str]) -> list[int]:
         found = list(map(known.get, words))
@@ -60,10 +82,11 @@ class TokenTree:
     """A segment tree over a text's pre-tokens: sums of characters and of tokens."""
 
     def __init__(self, text: str, vocabulary: str = VOCABULARY):
-        self.counts = counter(vocabulary)
+        self.counts, self.vocabulary = counter(vocabulary), vocabulary
+        self.context = CONTEXT + max(0, special_strings(vocabulary)[1] - 1)
         self.text = text
         self.encoded = 0
-        words = pre_tokens().findall(text)
+        words = list(found_pre_tokens(text, 0, vocabulary))
         self._build(list(map(len, words)), self.counts(words))
 
     def _build(self, lengths: list[int], counts: list[int]) -> None:
@@ -107,15 +130,15 @@ class TokenTree:
         end = min(start + max(length, 0), len(self.text))
         self.text = self.text[:start] + replacement + self.text[end:]
         shift = len(replacement) - (end - start)
-        first, at = self._leaf_at(max(0, start - CONTEXT))
+        first, at = self._leaf_at(max(0, start - self.context))
         lengths, counts = self.leaves[first]
         kept = 0
-        while kept < len(lengths) and at + lengths[kept] <= start - CONTEXT:
+        while kept < len(lengths) and at + lengths[kept] <= start - self.context:
             at += lengths[kept]
             kept += 1
         old, leaf, place = at, first, kept  # where the old pre-tokens are
         new_words, now = [], at
-        found = pre_tokens().finditer(self.text, at)
+        found = found_pre_tokens(self.text, at, self.vocabulary)
         while True:
             while old < end or old + shift < now:
                 if place == len(self.leaves[leaf][0]):
@@ -127,11 +150,11 @@ class TokenTree:
                 place += 1
             if old >= end and old + shift == now:
                 break
-            match = next(found, None)
-            if match is None:
+            word = next(found, None)
+            if word is None:
                 break
-            new_words.append(match.group())
-            now = match.end()
+            new_words.append(word)
+            now += len(word)
         self.encoded += now - at
         new_lengths, new_counts = list(map(len, new_words)), self.counts(new_words)
         if leaf == first:
@@ -151,7 +174,7 @@ def edited_counts(docs: DataFrame, edits: Column, vocabulary: str = VOCABULARY)
     """doc_id, n_chars, tokens, edited_chars, edited_tokens, encoded_chars of every row.
 
     ``edits`` is an array of (start, length, text), applied in order, each to the text that the one
-    before has left; a null array or a null entry changes nothing. ``encoded_chars`` is what the
+    before has left; a null array or a null entry changes nothing. Counts are those of packing. ``encoded_chars`` is what the
     edits made the tree encode anew. A null text is empty; a text of any length is one tree; repeated
     rows, and rows that share an id or have none, give a row each, so there are no ties to break; an
     empty table gives an empty result; columns beyond doc_id, text and what ``edits`` names, whatever

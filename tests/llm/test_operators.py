@@ -14,7 +14,7 @@ from . import data
 
 
 def test_tree_counts_equal_whole_encodings():
-    rng, encode = random.Random(3), packing.encoder()
+    rng, encode = random.Random(3), packing.encoder(special=True)
     alphabet = ["a", "'s", "'", "r", "e", "ll", " ", "  ", "\n", "é", "1", "23", ".", " the", "ñ", "\t", "'re", "x" * 5]
     for _ in range(300):
         tree = tokens.TokenTree("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 300))))
@@ -36,8 +36,19 @@ def plain_revision(text):
     return text
 
 
+def test_special_strings_come_and_go_with_edits():
+    rng, encode, special = random.Random(8), packing.encoder(special=True), "<|endoftext|>"
+    assert tokens.TokenTree(f"a {special} b").total == len(encode(f"a {special} b")) == 4
+    pieces = ["<|endof", "text|>", special, "<|", "|>", "a", " ", "  ", "!!", "'s", "<|endoftext|", ">", "\n", "é", "word word"]
+    for _ in range(150):
+        tree = tokens.TokenTree("".join(rng.choice(pieces) for _ in range(rng.randint(0, 200))))
+        for _ in range(12):
+            tree.edit(rng.randint(0, len(tree.text)), rng.choice([0, 0, 1, 2, 6, 13, 40]), "".join(rng.choice(pieces) for _ in range(rng.randint(0, 3))))
+            assert tree.total == len(encode(tree.text)), tree.text
+
+
 def test_edited_counts_equal_whole_encodings_of_every_row(spark):
-    encode = packing.encoder()
+    encode = packing.encoder(special=True)
     whole = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     odd = spark.createDataFrame(data.rows(), data.DOCS)
     clashing = odd.withColumns({c: F.lit(f"x{c}") for c in ("edits", "tokens", "edited_tokens", "encoded_chars")})
