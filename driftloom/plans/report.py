@@ -168,3 +168,57 @@ def draw_least(least: dict[str, dict[int, float | None]], panels: Callable[[int]
         ax.bar([str(n) for n in shown], list(shown.values()))
         ax.set_title(f"{name}: least effect by bouts")
     return axes
+
+
+def draw_curves(rows: Iterable[dict], panel: str, series: str, x: str, y: str, panels: Callable[[int], list] = _panels) -> list:
+    """A panel for each value of ``panel``, in it a line for each value of ``series``: ``y`` over ``x`` in order.
+
+    For what changes with a number: the least effect by bouts, the distance to a reference by day, a rank
+    correlation by dimensions. Rows are those of a study (``study_rows``); rows without x or y are left out.
+    """
+    lines: dict[Any, dict[Any, list]] = {}
+    for r in rows:
+        of = lines.setdefault(r[panel], {}).setdefault(r[series], [])
+        if r[x] is not None and r[y] is not None:
+            of.append((r[x], r[y]))
+    if not any(of for each in lines.values() for of in each.values()):
+        raise ValueError(f"no row has {x} and {y}")
+    axes = panels(len(lines))
+    for ax, name in zip(axes, sorted(lines, key=str)):
+        for key in sorted(lines[name], key=str):
+            points = sorted(lines[name][key])
+            if points:
+                ax.plot([a for a, _ in points], [b for _, b in points], "o-", label=str(key))
+        ax.set_title(str(name))
+        ax.set_xlabel(x)
+        ax.set_ylabel(y)
+        ax.legend()
+    return axes
+
+
+def day_square(day_pairs: Iterable[dict], value: str) -> tuple[list[str], list[list[float]]]:
+    """The days in order, and the value of each pair of days as a symmetric square; not a number where there is none, as on the diagonal."""
+    pairs = {(str(p["day_a"]), str(p["day_b"])): p[value] for p in day_pairs}
+    days = sorted({d for pair in pairs for d in pair})
+
+    def at(a: str, b: str) -> float:
+        found = pairs.get((a, b), pairs.get((b, a)))
+        return math.nan if found is None else found
+
+    return days, [[at(a, b) for b in days] for a in days]
+
+
+def draw_matrices(result: dict, measure: str = "centroid", panels: Callable[[int], list] = _panels) -> list:
+    """A panel for each individual: the square of its days, each pair's value as a colour, with the floor in the title."""
+    if measure not in MEASURES:
+        raise ValueError(f"no measure is called {measure!r}; there are {', '.join(MEASURES)}")
+    value, floor, _ = MEASURES[measure]
+    axes = panels(max(1, len(result["birds"])))
+    for ax, (name, b) in zip(axes, result["birds"].items()):
+        days, square = day_square(b["day_pairs"], value)
+        if days:
+            ax.imshow(square)
+            ax.set_xticks(range(len(days)), days, rotation=90)
+            ax.set_yticks(range(len(days)), days)
+        ax.set_title(f"{name}: {measure}, floor {written(floor(b), '.4f')}")
+    return axes

@@ -1,6 +1,7 @@
 """Signals, and the analysis end to end on generated recordings."""
 
 import json
+import math
 
 import numpy as np
 import pytest
@@ -236,6 +237,54 @@ def test_a_panel_for_each_individual():
         report.draw_least({}, panels)
 
 
+class CurvePanel:
+    """What is drawn on a panel of curves or of a square."""
+
+    def __init__(self):
+        self.curves, self.square, self.title = [], None, ""
+
+    def plot(self, x, y, form, label):
+        self.curves.append((x, y, label))
+
+    def imshow(self, square):
+        self.square = square
+
+    def set_title(self, title):
+        self.title = title
+
+    def set_xlabel(self, text):
+        self.x = text
+
+    def set_ylabel(self, text):
+        self.y = text
+
+    def set_xticks(self, at, names, rotation):
+        self.columns = names
+
+    def set_yticks(self, at, names):
+        self.rows = names
+
+    def legend(self):
+        self.explained = True
+
+
+def test_curves_of_a_study_and_squares_of_days():
+    rows = [{"m": m, "n": n, "bouts": b, "least": e} for m, n, b, e in
+            [("centroid", 2, 20, 0.1), ("centroid", 2, 5, 0.5), ("centroid", 1, 5, None), ("dispersion", 1, 10, 1.5)]]
+    found = report.draw_curves(rows, "m", "n", "bouts", "least", lambda n: [CurvePanel() for _ in range(n)])
+    assert [p.curves for p in found] == [[([5, 20], [0.5, 0.1], "2")], [([10], [1.5], "1")]]
+    with pytest.raises(ValueError, match="no row"):
+        report.draw_curves([{**r, "least": None} for r in rows], "m", "n", "bouts", "least")
+    days, square = report.day_square(result_of(-0.3, 0.1)["birds"]["x"]["day_pairs"], "centroid_drift_standardised")
+    assert days == ["2024-05-01", "2024-05-02", "2024-05-03"]
+    assert square[0][1] == square[1][0] == -0.3 and square[1][2] == 0.1 and math.isnan(square[0][2]) and math.isnan(square[1][1])
+    first, second = report.draw_matrices(result_of(-0.3, 0.1), "centroid", lambda n: [CurvePanel() for _ in range(n)])
+    assert len(first.square) == 3 and "0.2500" in first.title
+    assert second.square is None and second.title.endswith("floor -")
+    with pytest.raises(ValueError, match="no measure"):
+        report.draw_matrices(result_of(), "other")
+
+
 def test_tables_of_text():
     lines = report.summary(result_of(-0.3, None)).splitlines()
     assert lines[0].split() == "individual renditions bouts days types centroid floor dispersion floor syntax floor".split()
