@@ -201,8 +201,8 @@ def pre_post_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.events(spark, sf_dir)
     marker = rows.where("event_type = 'signup'").groupBy("user_id").agg(F.to_date(F.min("ts")).alias("t0"))
     rows = rows.join(marker, "user_id")
-    base = rows.where("day < t0").groupBy("user_id").agg(F.avg("value").alias("baseline"), F.count(F.lit(1)).alias("n")).where("n >= 2")
-    post = rows.where("day > t0").groupBy("user_id", "day").agg(F.avg("value").alias("m"))
+    base = M.ordered_means(rows.where("day < t0"), ["user_id"], "value", ["event_id"], "baseline").where("n >= 2")
+    post = M.ordered_means(rows.where("day > t0"), ["user_id", "day"], "value", ["event_id"], "m").drop("n")
     change = F.abs(F.col("m") - F.col("baseline"))
     return post.join(base, "user_id").groupBy("user_id").agg(
         rounded(F.first("baseline")).alias("baseline"), F.count(F.lit(1)).alias("n_days"), rounded(F.max(change)).alias("max_change"),

@@ -262,3 +262,30 @@ def test_a_layout_keeps_clusters_and_agrees_with_itself(spark):
     assert FD.purity(out.where("id >= 400").select("id", "label", "z")).first()[0] > 0.97
     one = LO.fitted(df.limit(1), 3)
     assert LO.placed(df.where("id < 3"), *one).count() == 3
+
+
+def test_means_by_day_do_not_depend_on_how_the_events_lie_in_files(spark, tmp_path):
+    import duckdb
+
+    from driftloom.plans import catalogue
+
+    rng = random.Random(5)
+    rows, begin = [], dt.datetime(2024, 1, 1)
+    for user in range(300):  # 32 values of two places: their mean often ends in a 5 at the seventh place
+        for i in range(34):
+            kind = "signup" if i == 32 else "view"
+            rows.append((0, begin + dt.timedelta(days=max(i // 16, i - 30), seconds=i), user, kind, rng.randint(0, 20_000) / 100))
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").orderBy("event_id")
+    df.coalesce(1).write.parquet(f"{tmp_path}/one/events.parquet")
+    df.repartition(7, F.xxhash64("event_id")).orderBy(F.xxhash64("event_id")).write.parquet(f"{tmp_path}/many/events.parquet")
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/one/events.parquet/*.parquet')")
+    found = con.execute(catalogue.ORACLES["pre_post_event"])
+    columns = [c[0] for c in found.description]
+    want = sorted(found.fetchall())
+    assert len(want) == 300
+    for folder in ("one", "many"):
+        got = catalogue.QUERIES["pre_post_event"](spark, f"{tmp_path}/{folder}")
+        assert sorted(map(tuple, got.select(*columns).collect())) == want
