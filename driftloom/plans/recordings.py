@@ -14,6 +14,8 @@ from driftloom.operators import audio
 from driftloom.plans import tables as T
 
 RATE = 16_000
+#: Recordings that a task makes before it passes them on.
+AT_ONCE = 64
 
 
 def recorded_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -28,7 +30,7 @@ def recorded_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     sounds = truth.groupBy("audio_path").agg(F.sort_array(F.collect_list(F.struct("onset_s", "offset_s"))).alias("at"))
 
     def play(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in T.in_pieces(frames, AT_ONCE):
             out = []
             for name, at in zip(frame["audio_path"], frame["at"]):
                 t = np.arange(int((at[-1]["offset_s"] + 0.3) * RATE)) / RATE
@@ -59,7 +61,7 @@ def recorded_tones(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     sounds = truth.groupBy("audio_path").agg(F.sort_array(F.collect_list(F.struct("onset_s", "offset_s", "pitch"))).alias("at"))
 
     def play(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in T.in_pieces(frames, AT_ONCE):
             out = []
             for name, at in zip(frame["audio_path"], frame["at"]):
                 t = np.arange(int((at[-1]["offset_s"] + 0.2) * RATE)) / RATE
