@@ -1,7 +1,8 @@
 """Drift kept up to date: bouts' moments as state, a log of their latest values, and drift from it at any time.
 
 A stream of points (bird, label, day, bout, ts, z) is summed up per bout and task first. The state of
-an individual, type and day is the moments of its bouts; sums can be taken in any order, so late and
+an individual, type and day is the moments of its bouts, in ``PARTS`` parts by a hash of the bout; a part
+is read and written once for each micro-batch, not bout by bout. Sums can be taken in any order, so late and
 shuffled points give what sorted ones give. Each micro-batch passes on the bouts that it has changed,
 and writes them to a folder of its own; a batch that is run again after a failure writes the same
 folder again. The latest values of all bouts are what ``operators.moments`` has for the whole table,
@@ -24,6 +25,9 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 SUMS = "n long, sx array<double>, sxx array<double>"
 KEYS = ("bird", "label", "day")
 _DAY_MS = 86_400_000
+#: Parts of the state of an individual, type and day, and what one holds.
+PARTS = 16
+HELD = "bout array<string>, n array<bigint>, sx array<array<double>>, sxx array<array<double>>"
 
 
 def partial_moments(points: DataFrame) -> DataFrame:
@@ -31,11 +35,17 @@ def partial_moments(points: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for key, own in frame.groupby([*KEYS, "bout"], sort=False):
-                z = np.stack([np.asarray(v, np.float64) for v in own["z"]])
-                out.append((*key, own["ts"].max(), len(z), z.sum(axis=0).tolist(), (z * z).sum(axis=0).tolist()))
-            yield pd.DataFrame(out, columns=[*KEYS, "bout", "ts", "n", "sx", "sxx"])
+            frame = frame.dropna(subset=[*KEYS, "bout"]).reset_index(drop=True)
+            for _, own in frame.groupby(frame["z"].map(len)):  # vectors of one width at once
+                groups = own.groupby([*KEYS, "bout"], sort=False)
+                code = groups.ngroup().to_numpy()
+                order = np.argsort(code, kind="stable")
+                begins = np.flatnonzero(np.r_[True, np.diff(code[order]) > 0])
+                z = np.stack([np.asarray(v, np.float64) for v in own["z"]])[order]
+                out = own.iloc[order[begins]][[*KEYS, "bout"]].reset_index(drop=True)
+                out["ts"], out["n"] = groups["ts"].max().to_numpy(), np.diff(np.r_[begins, len(code)])
+                out["sx"], out["sxx"] = (list(np.add.reduceat(v, begins, axis=0)) for v in (z, z * z))
+                yield out
 
     return points.select(*[F.col(c).cast("string") for c in ("bird", "label")], "day", F.col("bout").cast("string"), F.col("ts").cast("timestamp"), "z").mapInPandas(
         run, f"bird string, label string, day date, bout string, ts timestamp, {SUMS}"
@@ -43,34 +53,34 @@ def partial_moments(points: DataFrame) -> DataFrame:
 
 
 class BoutMoments(StatefulProcessor):
-    """The moments of the bouts of one individual, type and day."""
+    """The moments of the bouts of one part of an individual, type and day."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.bouts = handle.getMapState("bouts", "bout string", SUMS)
+        self.bouts = handle.getValueState("bouts", HELD)
+
+    def _held(self) -> dict:
+        return {bout: sums for bout, *sums in zip(*self.bouts.get())} if self.bouts.exists() else {}
 
     def _rows(self, key: tuple, found: dict, closed: bool) -> pd.DataFrame:
-        rows = [(*key, bout, *sums, closed) for bout, sums in found.items()]
+        rows = [(*key[:3], bout, *sums, closed) for bout, sums in found.items()]
         return pd.DataFrame(rows, columns=[*KEYS, "bout", "n", "sx", "sxx", "closed"])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        changed: dict = {}
+        held, changed = self._held(), {}
         for frame in rows:
             for bout, n, sx, sxx in zip(*(frame[c] for c in ("bout", "n", "sx", "sxx"))):
-                if bout not in changed:
-                    held = self.bouts.getValue((bout,)) if self.bouts.containsKey((bout,)) else None
-                    changed[bout] = (0, np.zeros(len(sx)), np.zeros(len(sx))) if held is None else (held[0], np.array(held[1]), np.array(held[2]))
-                m, x, xx = changed[bout]
-                changed[bout] = (m + int(n), x + np.asarray(sx), xx + np.asarray(sxx))
+                m, x, xx = changed.get(bout) or held.get(bout) or (0, 0.0, 0.0)
+                changed[bout] = (m + int(n), np.asarray(x) + sx, np.asarray(xx) + sxx)
         changed = {bout: (n, x.tolist(), xx.tolist()) for bout, (n, x, xx) in changed.items()}
-        for bout, sums in changed.items():
-            self.bouts.updateValue((bout,), sums)
+        held.update(changed)
+        self.bouts.update((list(held), *(list(v) for v in zip(*held.values()))))
         end = (key[2] - dt.date(1970, 1, 1)).days * _DAY_MS + _DAY_MS
         self.handle.registerTimer(end)
         yield self._rows(key, changed, False)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = {bout[0]: (sums[0], list(sums[1]), list(sums[2])) for bout, sums in self.bouts.iterator()}
+        held = self._held()
         self.bouts.clear()
         yield self._rows(key, held, True)
 
@@ -80,9 +90,9 @@ class BoutMoments(StatefulProcessor):
 
 def changed_bouts(points: DataFrame, late: str = "1 day") -> DataFrame:
     """The bouts that each micro-batch of a stream of points has changed, with all of their moments; and those of days that close."""
-    partial = partial_moments(points).withWatermark("ts", late)
+    partial = partial_moments(points).withWatermark("ts", late).withColumn("part", F.pmod(F.xxhash64("bout"), F.lit(PARTS)).cast("int"))
     schema = f"bird string, label string, day date, bout string, {SUMS}, closed boolean"
-    return partial.groupBy(*KEYS).transformWithStateInPandas(BoutMoments(), schema, outputMode="Update", timeMode="EventTime")
+    return partial.groupBy(*KEYS, "part").transformWithStateInPandas(BoutMoments(), schema, outputMode="Update", timeMode="EventTime")
 
 
 def keep_up(points: DataFrame, table: str, checkpoint: str, late: str = "1 day", available: bool = True) -> StreamingQuery:
