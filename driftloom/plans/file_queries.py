@@ -36,8 +36,12 @@ def through_files(files: DataFrame, read: Callable[[str], DataFrame]) -> DataFra
 
 
 def packed(rows: DataFrame, name: Column, encode: Callable[[dict], bytes]) -> DataFrame:
-    """name and content: each row as a file, as ``encode`` lays out its columns."""
+    """name and content: each row as a file, as ``encode`` lays out its columns.
+
+    Rows are small and files take time, so they are dealt out to all tasks first.
+    """
     fields = [c for c in rows.columns]
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(name))
 
     @F.pandas_udf("binary")
     def content(frame: pd.DataFrame) -> pd.Series:

@@ -20,6 +20,8 @@ from driftloom.sources.names import listing
 
 SEGMENTS = "path string, onset_s double, offset_s double, label string"
 POLICIES = ("raise", "skip")
+#: Intervals that a task passes on at once, about.
+AT_ONCE = 10_000
 #: From whole files (path, value) to their intervals.
 Reader = Callable[[DataFrame], DataFrame]
 
@@ -72,12 +74,18 @@ def _parsed(one: Callable[..., list[tuple[float, float, str]]]) -> Reader:
     def read(files: DataFrame) -> DataFrame:
         def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
+                out = []
                 for path, value in zip(frame["path"], frame["value"]):
                     try:
-                        found = one(value)
+                        out += [(path, *x) for x in one(value)]
                     except (ValueError, ET.ParseError) as e:
                         raise ValueError(f"{path}: {e}") from e
-                    yield pd.DataFrame([(path, *x) for x in found], columns=["path", "onset_s", "offset_s", "label"])
+                    if len(out) >= AT_ONCE:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+                yield pd.DataFrame(out, columns=names)
+
+        names = ["path", "onset_s", "offset_s", "label"]
 
         return files.select("path", "value").mapInPandas(parse, SEGMENTS)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyarrow import fs
@@ -19,6 +20,9 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from driftloom.sources import store
 
+#: Files that are moved to their names at a time.
+MOVES = 16
+
 
 @dataclass
 class Written(WriterCommitMessage):
@@ -50,12 +54,15 @@ class FilesWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator[Row]) -> Written:
         system, _, staging = self._staging()
-        folder, names = f"{staging}/{uuid.uuid4().hex}", []
+        folder, names, made = f"{staging}/{uuid.uuid4().hex}", [], set()
         for row in iterator:
             to = f"{folder}/{row['name']}"
             if ".." in row["name"].split("/"):
                 raise ValueError(f"{row['name']!r} leaves the folder")
-            system.create_dir(to.rpartition("/")[0], recursive=True)
+            parent = to.rpartition("/")[0]
+            if parent not in made:
+                system.create_dir(parent, recursive=True)
+                made.add(parent)
             with system.open_output_stream(to) as f:
                 f.write(row["content"])
             names.append(row["name"])
@@ -70,9 +77,9 @@ class FilesWriter(DataSourceWriter):
             raise ValueError(f"{len(names) - len(set(names))} row(s) have the name of another")
         for folder in {f"{path}/{n}".rpartition("/")[0] for n in names} | {path}:
             system.create_dir(folder, recursive=True)
-        for m in done:
-            for n in m.names:
-                system.move(f"{m.folder}/{n}", f"{path}/{n}")
+        with ThreadPoolExecutor(MOVES) as pool:
+            for _ in pool.map(lambda x: system.move(*x), [(f"{m.folder}/{n}", f"{path}/{n}") for m in done for n in m.names]):
+                pass  # raises what a move has raised
         self.abort(messages)
         with system.open_output_stream(f"{path}/_SUCCESS"):
             pass
