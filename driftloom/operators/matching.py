@@ -29,19 +29,39 @@ def _greedy(true: np.ndarray, pred: np.ndarray, tolerance: float) -> int:
     Predictions whose first boundary lies too early are passed over for good. The next one is the
     only candidate of a truth; if it fails, it stays for the truths that follow.
     """
-    at = matched = 0
+    true, pred = true.tolist(), pred.tolist()  # plain numbers: an array's call for each truth costs more than the comparison
+    at, matched, end = 0, 0, len(pred)
     for t in true:
-        while at < len(pred) and pred[at, 0] < t[0] - tolerance:
+        least = t[0] - tolerance
+        while at < end and pred[at][0] < least:
             at += 1
-        if at == len(pred):
+        if at == end:
             break
-        if (np.abs(pred[at] - t) <= tolerance).all():
+        if all(abs(p - x) <= tolerance for p, x in zip(pred[at], t)):
             matched, at = matched + 1, at + 1
     return matched
 
 
+def _swept(rows: pd.DataFrame, file: Sequence[str], columns: Sequence[str], tolerance: float) -> pd.DataFrame:
+    """``file``, n_true, n_pred, n_matched of every stretch of a file among ``rows``."""
+    code = rows.groupby(list(file), sort=False, dropna=False).ngroup().to_numpy()
+    values = rows[list(columns)].to_numpy()
+    order = np.lexsort((*values.T[::-1], code))
+    code, values, is_true = code[order], values[order], rows["_true"].to_numpy()[order]
+    begins = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    found = rows[list(file)].iloc[order[begins]].reset_index(drop=True)
+    many = []
+    for begin, end in zip(begins, np.r_[begins[1:], len(code)]):
+        part, side = values[begin:end], is_true[begin:end]
+        true, pred = part[side], part[~side]
+        many.append((len(true), len(pred), _greedy(true, pred, tolerance)))
+    return pd.concat([found, pd.DataFrame(many, columns=["n_true", "n_pred", "n_matched"])], axis=1)
+
+
 #: Segments of a file that one group of the sweep has, about, as long as there are gaps.
 MANY = 5000
+#: Segments, of many files where they are short, that one call of the sweep has, about.
+TOGETHER = 50_000
 
 
 def islands(rows: DataFrame, by: Sequence[str], start: str, tolerance: float, many: int = MANY) -> DataFrame:
@@ -80,21 +100,22 @@ def _counts(true: DataFrame, pred: DataFrame, by: Sequence[str], tolerance: floa
 
     The sweep is stateful, but nothing that it has passed matters beyond a gap of more than the
     tolerance: a file's segments are handed to it in stretches that end at such gaps, in the order of
-    their onsets, and of equal ones by their offsets.
+    their onsets, and of equal ones by their offsets. A call has the stretches of many short files.
     """
     columns = ["onset_s", "offset_s"] if boundary is None else [boundary]
     names = ["n_true", "n_pred", "n_matched"]
+    file = [*by, "_island"]
 
-    def sweep(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(columns, kind="stable")
-        sides = [rows.loc[rows["_true"] == t, columns].to_numpy() for t in (True, False)]
-        return pd.DataFrame([(*key[:-1], len(sides[0]), len(sides[1]), _greedy(*sides, tolerance))], columns=[*by, *names])
+    def sweep(rows: pd.DataFrame) -> pd.DataFrame:
+        return _swept(rows, file, columns, tolerance)[[*by, *names]]
 
     kinds = dict(true.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + [f"{n} long" for n in names])
     both = [df.select(*[F.col(c).alias(c) for c in (*by, *columns)], F.lit(t).alias("_true")) for df, t in ((true, True), (pred, False))]
-    parts = islands(cut(both[0].unionByName(both[1])), by, columns[0], tolerance, many)
-    return parts.groupBy(*by, "_island").applyInPandas(sweep, schema).groupBy(*by).agg(*[F.sum(c).alias(c) for c in names])
+    both = cut(both[0].unionByName(both[1]))
+    calls = max(1, -(-both.count() // TOGETHER))
+    parts = islands(both, by, columns[0], tolerance, many).withColumn("_call", F.pmod(F.xxhash64(*file), F.lit(calls)))
+    return parts.groupBy("_call").applyInPandas(sweep, schema).groupBy(*by).agg(*[F.sum(c).alias(c) for c in names])
 
 
 def pooled(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftloom.functions.lineage import cut
 from driftloom.functions.scalars import named_groups, portable_hash, rounded, token_distance, token_error_rate
 from driftloom.operators import audio as A
 from driftloom.operators import clean as C
@@ -151,7 +152,7 @@ def segment_merge_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(sessions of each user as segments, the same with boundaries moved by up to 20 s by hash)."""
     rows = user_sessions(spark, sf_dir).withColumn("at", S.seconds("ts"))
-    true = rows.groupBy("user_id", "bout").agg(F.min("at").alias("onset_s"), (F.max("at") + 1).alias("offset_s"))
+    true = cut(rows.groupBy("user_id", "bout").agg(F.min("at").alias("onset_s"), (F.max("at") + 1).alias("offset_s")))
 
     def moved(c: str) -> Column:
         return F.col(c) + F.pmod(F.conv(F.substring(portable_hash(F.lit(c), "user_id", "bout"), 1, 8), 16, 10).cast("bigint"), F.lit(41)) - 20
