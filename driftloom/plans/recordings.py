@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,20 @@ RATE = 16_000
 AT_ONCE = 64
 
 
+def _between(t: np.ndarray, begin: float, end: float) -> slice:
+    """The samples at ``begin`` or after it and before ``end``, of the times ``t`` in order."""
+    return slice(*np.searchsorted(t, (begin, end)))
+
+
+def _tones(at: Sequence, t: np.ndarray) -> np.ndarray:
+    """The sum of the tones ``at`` (onset_s, offset_s, pitch) at the times ``t``; each is worked out where it sounds only."""
+    x = np.zeros(len(t))
+    for s in at:
+        where = _between(t, s["onset_s"], s["offset_s"])
+        x[where] += np.sin(2 * np.pi * s["pitch"] * t[where])
+    return x
+
+
 def recorded_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(a recording of each conversation: audio_path, content and day; its turns as segments): a burst of 3 kHz for each turn.
 
@@ -36,7 +50,7 @@ def recorded_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
                 t = np.arange(int((at[-1]["offset_s"] + 0.3) * RATE)) / RATE
                 loud = np.zeros(len(t), bool)
                 for s in at:
-                    loud |= (t >= s["onset_s"]) & (t < s["offset_s"])
+                    loud[_between(t, s["onset_s"], s["offset_s"])] = True
                 noise = np.random.default_rng(int(name)).normal(size=len(t))
                 out.append((name, audio.encoded(0.5 * np.sin(2 * np.pi * 3000 * t) * loud + 0.002 * noise, RATE)))
             yield pd.DataFrame(out, columns=["audio_path", "content"])
@@ -65,9 +79,8 @@ def recorded_tones(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
             out = []
             for name, at in zip(frame["audio_path"], frame["at"]):
                 t = np.arange(int((at[-1]["offset_s"] + 0.2) * RATE)) / RATE
-                x = sum(np.sin(2 * np.pi * s["pitch"] * t) * ((t >= s["onset_s"]) & (t < s["offset_s"])) for s in at)
                 noise = np.random.default_rng(int(name)).normal(size=len(t))
-                out.append((name, audio.encoded(0.5 * x + 0.001 * noise, RATE)))
+                out.append((name, audio.encoded(0.5 * _tones(at, t) + 0.001 * noise, RATE)))
             yield pd.DataFrame(out, columns=["audio_path", "content"])
 
     return sounds.mapInPandas(play, "audio_path string, content binary"), truth

@@ -24,6 +24,8 @@ from driftloom.sources.files import write_text
 
 # Labels of calls and of unclear sounds, which are no syllables of a song.
 OFF_SCHEMA = ("0", "x", "y", "z", "@", "s", "u", "w")
+#: Recordings up to which the names of those to open are broadcast.
+FEW_FILES = 100_000
 #: Syllables of one file of a set.
 SHARE = 2000
 
@@ -40,8 +42,11 @@ def syllable_set(table: DataFrame, recordings: DataFrame, key: str, spec: Spectr
     named = C.exclude(rows, "label", exclude)
     counts = named.groupBy("bird", "day", "label").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).drop("_n")
     often = cut(named.join(counts, ["bird", "day", "label"], "left_semi"))
-    chosen = C.stratified_cap(often, ["bird", "day"], key, max_per_day, seed)
-    found, _ = spectrograms(chosen, recordings, spec)
+    chosen = cut(C.stratified_cap(often, ["bird", "day"], key, max_per_day, seed))
+    # recordings that no chosen syllable lies in are not sent to be opened
+    wanted = cut(chosen.select(F.col("audio_path").alias("_wanted")).distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW_FILES else wanted
+    found, _ = spectrograms(chosen, recordings.join(wanted, F.col("audio_path").eqNullSafe(F.col("_wanted")), "left_semi"), spec)
     found = cut(found.select("bird", "day", "label", "audio_path", key, "onset_s", (F.col("offset_s") - F.col("onset_s")).alias("duration_s"), "features"))
     steps = [df.groupBy("bird").agg(F.count(F.lit(1)).alias(name)) for df, name in ((rows, "_all"), (named, "_named"), (often, "_often"), (chosen, "_chosen"))]
     labels = found.groupBy("bird", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bird")
