@@ -18,6 +18,11 @@ RATE = 16_000
 AT_ONCE = 64
 
 
+def _dealt(sounds: DataFrame) -> DataFrame:
+    """``sounds`` dealt out to all tasks: their rows are small, so that they may lie in one, but recordings made of them take time."""
+    return sounds.repartition(int(sounds.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("audio_path"))
+
+
 def _between(t: np.ndarray, begin: float, end: float) -> slice:
     """The samples at ``begin`` or after it and before ``end``, of the times ``t`` in order."""
     return slice(*np.searchsorted(t, (begin, end)))
@@ -55,7 +60,7 @@ def recorded_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
                 out.append((name, audio.encoded(0.5 * np.sin(2 * np.pi * 3000 * t) * loud + 0.002 * noise, RATE)))
             yield pd.DataFrame(out, columns=["audio_path", "content"])
 
-    content = sounds.mapInPandas(play, "audio_path string, content binary")
+    content = _dealt(sounds).mapInPandas(play, "audio_path string, content binary")
     return content.withColumn("day", F.pmod(F.col("audio_path").cast("int"), F.lit(5))), truth
 
 
@@ -83,4 +88,4 @@ def recorded_tones(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
                 out.append((name, audio.encoded(0.5 * _tones(at, t) + 0.001 * noise, RATE)))
             yield pd.DataFrame(out, columns=["audio_path", "content"])
 
-    return sounds.mapInPandas(play, "audio_path string, content binary"), truth
+    return _dealt(sounds).mapInPandas(play, "audio_path string, content binary"), truth
