@@ -6,6 +6,7 @@ import io
 import uuid
 import zipfile
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from driftloom.functions.lineage import cut, shared_folder
 from driftloom.operators import audio as A
 from driftloom.operators import matching as MT
 from driftloom.plans import tables as T
-from driftloom.plans.recordings import recorded_turns
+from driftloom.plans.recordings import recorded_parts
 from driftloom.plans.registering import registry
 from driftloom.sources import annotations, archives, datasets, manifest, matlab, ranges, sink, store
 
@@ -176,20 +177,25 @@ def annotation_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one
 
 
-#: Bytes of a range: most recordings are cut several times.
-RANGE = 20_000
+#: Bytes of a range: most recordings are cut several times. Bytes of recordings that lie in files at a time, about.
+RANGE, ON_DISK = 20_000, 4 << 30
 
 
 @query("select conv_id, count(*)::bigint as n_true, count(*)::bigint as n_found, count(*)::bigint as n_within_10_ms, 0::bigint as n_unlike_whole from conversations group by conv_id")
 def ranged_amplitude_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of the recorded conversations found in WAV files by ranges of samples, and how many segments differ from whole files'."""
-    recordings, truth = recorded_turns(spark, sf_dir)
-    recordings = cut(recordings)
+    parts, truth = recorded_parts(spark, sf_dir, ON_DISK)
     segmenter = A.AmplitudeSegmenter(threshold=0.2)
-    files = recordings.select(F.concat("audio_path", F.lit(".wav")).alias("name"), "content")
-    found = through_files(files, lambda folder: ranges.ranged_segments(spark, folder, segmenter, bytes=RANGE))
-    found = found.withColumn("audio_path", F.regexp_extract("audio_path", r"(\d+)\.wav$", 1))
-    whole = A.amplitude_segments(recordings, segmenter).withColumn("whole", F.lit(1))
+
+    def read(folder: str) -> DataFrame:
+        pieces = ranges.ranged_segments(spark, folder, segmenter, bytes=RANGE)
+        whole = A.amplitude_segments(datasets.wav_files(spark, folder), segmenter)
+        both = pieces.withColumn("ranged", F.lit(True)).unionByName(whole.withColumn("ranged", F.lit(False)))
+        return both.withColumn("audio_path", F.regexp_extract("audio_path", r"(\d+)\.wav$", 1))
+
+    both = [through_files(r.select(F.concat("audio_path", F.lit(".wav")).alias("name"), "content"), read) for r in parts]
+    both = reduce(DataFrame.unionAll, both)
+    found, whole = both.where("ranged").drop("ranged"), both.where("not ranged").drop("ranged").withColumn("whole", F.lit(1))
     both = found.withColumn("ranged", F.lit(1)).join(whole, ["audio_path", "onset_s", "offset_s"], "full")
     unlike = both.groupBy("audio_path").agg(F.count_if(F.col("whole").isNull() | F.col("ranged").isNull()).alias("n_unlike_whole"))
     counts = MT.segment_counts(truth, found, ["audio_path"], 0.01).join(unlike, "audio_path", "left")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftloom.functions.lineage import cut
 from driftloom.operators import audio
 from driftloom.plans import tables as T
 
@@ -37,16 +38,17 @@ def _tones(at: Sequence, t: np.ndarray) -> np.ndarray:
     return x
 
 
-def recorded_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(a recording of each conversation: audio_path, content and day; its turns as segments): a burst of 3 kHz for each turn.
-
-    Bursts begin 0.3 s apart and are longer for longer texts; faint noise lies under them.
-    """
+def _bursts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(audio_path and the turns ``at`` of each conversation, the turns as segments)."""
     turns = T.read(spark, sf_dir, "conversations")
     onset = F.lit(0.2) + 0.3 * (F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1)
     length = 0.08 + 0.02 * F.pmod(F.length(F.coalesce("text", F.lit(""))), F.lit(6))
     truth = turns.select(F.col("conv_id").cast("string").alias("audio_path"), onset.alias("onset_s"), (onset + length).alias("offset_s"))
-    sounds = truth.groupBy("audio_path").agg(F.sort_array(F.collect_list(F.struct("onset_s", "offset_s"))).alias("at"))
+    return truth.groupBy("audio_path").agg(F.sort_array(F.collect_list(F.struct("onset_s", "offset_s"))).alias("at")), truth
+
+
+def _recorded(sounds: DataFrame) -> DataFrame:
+    """audio_path and content: a burst of 3 kHz for each turn."""
 
     def play(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in T.in_pieces(frames, AT_ONCE):
@@ -60,8 +62,25 @@ def recorded_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
                 out.append((name, audio.encoded(0.5 * np.sin(2 * np.pi * 3000 * t) * loud + 0.002 * noise, RATE)))
             yield pd.DataFrame(out, columns=["audio_path", "content"])
 
-    content = _dealt(sounds).mapInPandas(play, "audio_path string, content binary")
-    return content.withColumn("day", F.pmod(F.col("audio_path").cast("int"), F.lit(5))), truth
+    return _dealt(sounds).mapInPandas(play, "audio_path string, content binary")
+
+
+def recorded_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(a recording of each conversation: audio_path, content and day; its turns as segments): a burst of 3 kHz for each turn.
+
+    Bursts begin 0.3 s apart and are longer for longer texts; faint noise lies under them.
+    """
+    sounds, truth = _bursts(spark, sf_dir)
+    return _recorded(sounds).withColumn("day", F.pmod(F.col("audio_path").cast("int"), F.lit(5))), truth
+
+
+def recorded_parts(spark: SparkSession, sf_dir: str, most: int) -> tuple[list[DataFrame], DataFrame]:
+    """The recordings of :func:`recorded_turns` (audio_path, content) in parts of some ``most`` bytes, each recording in one of them; and the turns."""
+    sounds, truth = _bursts(spark, sf_dir)
+    sounds = cut(sounds)
+    whole = sounds.agg(F.sum(2 * RATE * (F.element_at("at", -1)["offset_s"] + 0.3))).first()[0]
+    many = max(1, -(-int(whole or 0) // most))
+    return [_recorded(sounds.where(F.pmod(F.xxhash64("audio_path", F.lit("part")), F.lit(many)) == k)) for k in range(many)], truth
 
 
 def recorded_tones(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

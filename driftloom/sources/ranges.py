@@ -3,12 +3,14 @@
 ``spark.read.format("wav_ranges").load(folder)`` gives a row per range of a WAV file: its samples with
 ``overlap`` more on both sides where the file has them. Ranges are planned from the files' sizes alone;
 a task opens the file, seeks to a range and reads no more than that; it holds one range at a time.
+Samples are never shuffled: what needs them twice reads them twice.
 """
 
 from __future__ import annotations
 
+import itertools
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,8 +27,8 @@ from driftloom.sources import store
 from driftloom.sources.annotations import _local
 
 RANGES = "path string, rate int, frames long, first long, count long, before long, samples array<float>"
-#: Files up to which their peaks are broadcast.
-FEW_FILES = 100_000
+#: Rows that a task finds before it passes them on; levels of a file's ranges that it keeps until it has met the file's peak.
+ROWS, HELD = 4096, 1 << 22
 
 
 class RangeSource(DataSource):
@@ -57,16 +59,10 @@ class RangeReader(DataSourceReader):
 
     def read(self, partition: store.Share) -> Iterator[pa.RecordBatch]:
         for path, k in partition.items:
-            with store.opened(path) as f, wave.open(f) as w:
-                frames, width, channels = w.getnframes(), w.getsampwidth(), w.getnchannels()
-                most = max(1, self.bytes // (width * channels))
-                first = k * most
-                if first >= frames:
-                    continue
-                begin, end = max(0, first - self.overlap), min(frames, first + most + self.overlap)
-                w.setpos(begin)
-                samples = mono(samples_of(w.readframes(end - begin), width, channels))
-                row = [path, w.getframerate(), frames, first, min(most, frames - first), first - begin]
+            found = _piece(path, self.bytes, self.overlap, lambda most: k * most)
+            if found is None:
+                continue
+            *row, samples = (path, *found)
             kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             columns = [pa.array([v], t) for v, t in zip(row, kinds)]
             offsets = pa.array([0, len(samples)], pa.int32())
@@ -74,6 +70,20 @@ class RangeReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays(columns, ["path", "rate", "frames", "first", "count", "before", "samples"])
 
 
+def _piece(path: str, bytes: int, overlap: int, begin: Callable[[int], int]) -> tuple | None:  # noqa: A002
+    """rate, frames, first, count, before and samples of a range, which begins at the sample ``begin`` tells for a range's length; None past the file's end."""
+    with store.opened(path) as f, wave.open(f) as w:
+        frames, width, channels = w.getnframes(), w.getsampwidth(), w.getnchannels()
+        most = max(1, bytes // (width * channels))
+        first = begin(most)
+        if first >= frames:
+            return None
+        at, end = max(0, first - overlap), min(frames, first + most + overlap)
+        w.setpos(at)
+        samples = mono(samples_of(w.readframes(end - at), width, channels))
+        return w.getframerate(), frames, first, min(most, frames - first), first - at, samples
+
+
 def read_ranges(spark: SparkSession, root: str, bytes: int = 8 << 20, overlap: int = 0, pattern: str = "*.wav", share: int | None = None) -> DataFrame:  # noqa: A002
     """The ranges of all recordings below ``root``; see :class:`RangeSource`."""
     spark.dataSource.register(RangeSource)
@@ -81,19 +91,51 @@ def read_ranges(spark: SparkSession, root: str, bytes: int = 8 << 20, overlap: i
     return spark.read.format("wav_ranges").options(**options).load(root)
 
 
-def ranged_levels(pieces: DataFrame, segmenter: AmplitudeSegmenter) -> DataFrame:
-    """audio_path, first and peak: the largest amplitude of each range, smoothed as the segmenter does."""
+def ranged_levels(pieces: DataFrame, segmenter: AmplitudeSegmenter, held: int = HELD) -> DataFrame:
+    """path, rate, first, peak, begin, end: a row per run of a file that a task has met whole, range after range; else one per range.
+
+    A run (begin, end) is over the threshold's share of the file's peak. Of files with more than ``held``
+    samples, or whose ranges lie in several tasks, there is each range's first sample and the largest level.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [(p, int(f), float(_own(segmenter, s, r, b, c).max(initial=0))) for p, f, s, r, b, c in _columns(frame)]
-            yield pd.DataFrame(out, columns=["path", "first", "peak"])
+        names = ("path", "first", "samples", "rate", "before", "count", "frames")
+        rows = (x for frame in frames for x in zip(*(frame[c] for c in names)))
+        yield from _frames(_met(rows, segmenter, held), ["path", "rate", "first", "peak", "begin", "end"])
+
+    return pieces.mapInPandas(run, "path string, rate int, first long, peak double, begin long, end long")
+
 
-    return pieces.mapInPandas(run, "path string, first long, peak double")
+def _frames(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    while some := list(itertools.islice(rows, ROWS)):
+        yield pd.DataFrame(some, columns=names, dtype=object)
 
 
-def _columns(frame: pd.DataFrame) -> Iterator[tuple]:
-    return zip(*(frame[c] for c in ("path", "first", "samples", "rate", "before", "count")))
+def _met(rows: Iterator[tuple], segmenter: AmplitudeSegmenter, held: int) -> Iterator[tuple]:
+    """The rows of :func:`ranged_levels` for ranges in order."""
+    file, many = [], 0  # the ranges so far of a file met from its beginning
+
+    def left() -> list[tuple]:
+        return [(p, r, f, peak, None, None) for p, r, f, peak, _ in file]
+
+    for path, first, samples, rate, before, count, frames in rows:
+        level = _own(segmenter, samples, rate, before, count)
+        follows = first == 0 or bool(file) and file[-1][0] == path and file[-1][2] + len(file[-1][4]) == first
+        if first == 0 or not follows:
+            yield from left()
+            file, many = [], 0
+        many += count
+        file.append((path, rate, first, float(level.max(initial=0)), level))
+        if not follows or many > held:
+            yield from left()
+            file = []
+        elif first + count == frames:
+            peak = max(x[3] for x in file)
+            for p, r, f, _, own in file:
+                for begin, end in zip(*segmenter.runs(own, peak)):
+                    yield p, r, None, None, int(begin) + f, int(end) + f
+            file = []
+    yield from left()
 
 
 def _own(segmenter: AmplitudeSegmenter, samples: np.ndarray, rate: int, before: int, count: int) -> np.ndarray:
@@ -101,29 +143,31 @@ def _own(segmenter: AmplitudeSegmenter, samples: np.ndarray, rate: int, before:
     return segmenter.levels(np.asarray(samples, np.float64), rate)[before : before + count]
 
 
-def ranged_segments(spark: SparkSession, root: str, segmenter: AmplitudeSegmenter = AmplitudeSegmenter(), bytes: int = 8 << 20, pattern: str = "*.wav") -> DataFrame:  # noqa: A002
+def ranged_segments(spark: SparkSession, root: str, segmenter: AmplitudeSegmenter = AmplitudeSegmenter(), bytes: int = 8 << 20, pattern: str = "*.wav", held: int = HELD) -> DataFrame:  # noqa: A002
     """audio_path, onset_s, offset_s of all recordings below ``root``, as ``audio.amplitude_segments`` finds them in whole files.
 
     The band-pass filter runs over each range and as many samples around it as it looks at, so the
-    pieces join without a seam. Recordings are read twice: for their peaks, then for what is over a
-    share of the peak. Segments that a range's end cuts are joined again, by a window per recording
-    over its segments.
+    pieces join without a seam. Recordings that a task meets whole are read once; others twice: for
+    their peaks, then for what is over a share of the peak, by tasks that get the places of ranges,
+    dealt out anew, and read them one by one. Segments that a range's end cuts are joined again, by a
+    window per recording over its segments.
     """
     # a recording's rate is not known when ranges are planned: enough for the smoothing at 192 kHz
     overlap = segmenter.reach(192_000)
-    pieces = read_ranges(spark, root, bytes, overlap, pattern)
-    peaks = cut(ranged_levels(pieces, segmenter).groupBy("path").agg(F.max("peak").alias("peak")))
-    peaks = F.broadcast(peaks) if peaks.count() <= FEW_FILES else peaks
+    met = cut(ranged_levels(read_ranges(spark, root, bytes, overlap, pattern), segmenter, held))
+    places = met.where("begin is null").select("path", "first", F.max("peak").over(W.partitionBy("path")).alias("peak"))
+    places = places.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("path", "first"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for (p, f, s, r, b, c), peak in zip(_columns(frame), frame["peak"]):
-                begin, end = segmenter.runs(_own(segmenter, s, r, b, c), peak)
-                out += [(p, r, int(x), int(y)) for x, y in zip(begin + f, end + f)]
-            yield pd.DataFrame(out, columns=["path", "rate", "begin", "end"])
-
-    runs = pieces.join(peaks, "path").mapInPandas(run, "path string, rate int, begin long, end long")
+    def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found() -> Iterator[tuple]:
+            for path, first, peak in (x for frame in frames for x in zip(frame["path"], frame["first"], frame["peak"])):
+                rate, _, _, count, before, samples = _piece(path, bytes, overlap, lambda _, at=first: at)
+                for begin, end in zip(*segmenter.runs(_own(segmenter, samples, rate, before, count), peak)):
+                    yield path, rate, int(begin) + first, int(end) + first
+
+        yield from _frames(found(), ["path", "rate", "begin", "end"])
+
+    runs = met.where("begin is not null").select("path", "rate", "begin", "end").unionAll(places.mapInPandas(again, "path string, rate int, begin long, end long"))
     by = W.partitionBy("path").orderBy("begin")
     before = F.lag("end").over(by)
     apart = F.col("begin") / F.col("rate") - before / F.col("rate") >= segmenter.least_silence
